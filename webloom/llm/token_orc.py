@@ -1,7 +1,7 @@
 """Token ids in ORC: run-length coded integers, row indexes, Bloom filters.
 
-Files hold one row per document, in ascending (doc_id, text hash) order over
-all shards: doc_id, shard, pos (ids before the document within its shard),
+Files hold one row per document, in ascending doc_id order over all
+shards: doc_id, shard, pos (ids before the document within its shard),
 n_tokens and ids.  ORC codes `ids` with its integer run-length encoding, keeps
 min/max of doc_id for each stripe and row group, and a Bloom filter on doc_id,
 so readers take stripes in parallel and skip those that hold no wanted id.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries of the word cache a Python worker keeps before it starts afresh.
-CACHE_WORDS = 400_000
+#: Words a Python worker remembers before it lets go of those not used lately.
+CACHE_WORDS = 300_000
 STORED = "doc_id long, shard int, pos long, n_tokens int, ids array<int>"
 
 _encoders: dict[str, Encoder] = {}
@@ -58,33 +58,60 @@ class Encoder:
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in kind.get("added_tokens", []))
         )
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.loose = re.compile(r"\s ")
-        self.cut = re.compile(r"(?<=\S) ")
-
-    def _learn(self, cache: dict[str, bytes], wanted: set[str], lead: str) -> None:
-        new = [w for w in wanted if w not in cache]
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(wanted)
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([lead + w for w in some], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
+        self.opens = np.zeros(max(self.tokenizer.get_vocab(True).values(), default=0) + 1, bool)  # tokens that begin with a space or line end
+        for token, i in self.tokenizer.get_vocab(False).items():
+            self.opens[i] = token.startswith(("\u0120", "\u010a"))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.loose = re.compile(r"\s[ \n]")
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; one that does not begin with a line end has a space before it.
+
+        Pieces are encoded in long rows, cut again before each token that begins with a space or line end.
+        """
+        spaced = [p if p[:1] == "\n" else " " + p for p in pieces]
+        ids = np.concatenate([np.frombuffer(x, "<u4") for x in self._ids(["".join(spaced[k : k + 2000]) for k in range(0, len(spaced), 2000)])])
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(spaced):
+            return self._ids(spaced)
+        raw, at = ids.tobytes(), (at * 4).tolist()
+        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
+
+    def _learn(self, wanted: set[str]) -> None:
+        again = wanted & self.old.keys()
+        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        new = wanted - again
+        plain = [w for w in new if w and " " not in w and "\n" not in w[1:] and not w[-1].isspace()]
+        if plain:
+            self.young.update(zip(plain, self._pieces(plain), strict=True))
+        if len(plain) < len(new):
+            odd = list(new.difference(plain))
+            self.young.update(zip(odd, self._ids([w if w[:1] == "\n" else " " + w for w in odd]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         if not self.by_word:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [self.cut.split(t) if self.loose.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in split}, "")
-        rest: set[str] = set()
+            return self._ids(texts)
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        split = [[t] if self.loose.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        first = self._ids([p[0] for p in split])
+        known, found, wanted = self.young.get, [], set()
         for p in split:
-            rest.update(p[1:])
-        self._learn(self.rest, rest, " ")
-        known = self.rest.__getitem__
-        return [self.first[p[0]] + b"".join(map(known, p[1:])) for p in split]
+            del p[0]
+            ids = list(map(known, p))
+            found.append(ids)
+            if None in ids:
+                wanted.update([w for w, x in zip(p, ids, strict=True) if x is None])
+        if wanted:
+            self._learn(wanted)
+            known = self.young.__getitem__
+            found = [[known(w) if x is None else x for w, x in zip(p, ids, strict=True)] if None in ids else ids for p, ids in zip(split, found, strict=True)]
+        return [f + b"".join(ids) for f, ids in zip(first, found, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -117,15 +144,14 @@ def _encoded(tokenizer: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_bytes: int = 16 << 20, bloom_fpp: float = 0.01) -> None:
     """Encodes docs(doc_id, text) into ORC files at path.
 
-    One range shuffle puts documents in order; ties on doc_id spread by text
-    hash, so no single id makes a large shard.
+    One range shuffle puts documents in order; rows with one doc_id
+    spread as well, so no single id makes a large shard.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = ["doc_id", F.xxhash64("text")]
-    ranged = d.repartitionByRange(common.parts_for(docs.select("doc_id", "text"), shard_bytes), *order).sortWithinPartitions(*order)
-    rows = ranged.mapInArrow(_encoded(tokenizer, end_id), STORED)
+    ranged = d.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(common.parts_for(docs.select("doc_id", "text"), shard_bytes), "doc_id", "nth")
+    rows = ranged.sortWithinPartitions("doc_id", "nth").select("doc_id", "text").mapInArrow(_encoded(tokenizer, end_id), STORED)
     (
-        rows.write.option("orc.compress", "ZSTD")
+        rows.write.option("orc.compress", "LZ4")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", str(bloom_fpp))
         .option("orc.row.index.stride", "1000")
