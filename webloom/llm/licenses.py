@@ -4,7 +4,7 @@ Texts become their words (runs of ASCII letters and digits and of any other
 characters above ASCII, A-Z lower-cased) with one space between.  A notice that
 occurs with at most k errors, cut into k + 1 pieces, has one piece intact: an
 automaton finds the pieces, and around each the regex library looks for the
-whole notice with bounded errors, the fewest first.
+whole notice with bounded errors and improves the fit.
 
 Exact phrases are found as well, at every place where their words follow each
 other.  Null texts are empty ones; an empty text has no words and no labels;
@@ -27,20 +27,22 @@ PHRASES = {
 }
 #: Notices searched for with errors.
 NOTICES = {
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "permission is hereby granted free of charge": "mit",
     "released under the mit license": "mit",
     "licensed under the apache license version 2 0": "apache",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
+    "licensed under the gnu general public license": "gpl",
+    "under the terms of the gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "permission to use copy modify and or distribute this software for any purpose": "isc",
-    "this source code form is subject to the terms of the mozilla public license": "mpl",
-    "this is free and unencumbered software released into the public domain": "unlicense",
+    "redistribution and use in source and binary forms": "bsd",
+    "permission to use copy modify and or distribute": "isc",
+    "subject to the terms of the mozilla public license": "mpl",
+    "free and unencumbered software released into the public domain": "unlicense",
+    "licensed under cc by nc 4 0": "cc-by-nc",
     "creative commons attribution": "cc-by",
     "all rights reserved": "all-rights-reserved",
 }
-#: An error for so many characters, one at least.
-PER_ERROR = 10
+#: An error for so many characters, from one to MOST_ERRORS.
+PER_ERROR, MOST_ERRORS = 12, 3
 #: Bytes that are no part of a word become spaces, A-Z small letters.
 _WORDS = bytes(c if c >= 128 or chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -55,12 +57,12 @@ class Searcher:
         self.seeds = ahocorasick.Automaton()
         self.notices, places = [], {}
         for notice, label in NOTICES.items():
-            k = max(1, len(notice) // PER_ERROR)
+            k = min(MOST_ERRORS, max(1, len(notice) // PER_ERROR))
             size = len(notice) // (k + 1)
             for i in range(k + 1):
                 seed = notice[i * size : (i + 1) * size if i < k else len(notice)]
                 places.setdefault(seed, []).append((len(self.notices), i * size))
-            self.notices.append((len(notice), k, label, regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={k}}}")))
+            self.notices.append((len(notice), k, label, regex.compile(f"(?e)(?:{regex.escape(notice)}){{e<={k}}}")))
         for seed, at in places.items():
             self.seeds.add_word(seed, (len(seed), at))
         self.seeds.make_automaton()
@@ -68,15 +70,14 @@ class Searcher:
 
     def fuzzy(self, joined: str) -> list[tuple[int, int, str, float]]:
         """(start, end, label, similarity) of the notices in joined words, in characters; the best of overlapping ones."""
-        done: dict[int, int] = {}  # for each notice, up to where starts have been searched
-        found = {}
+        done, found = set(), {}
         for end, (n, places) in self.seeds.iter(joined):
             for which, offset in places:
                 size, k, label, pattern = self.notices[which]
                 start = end + 1 - n - offset
-                if start + k < done.get(which, 0):
+                if (which, start) in done:
                     continue
-                done[which] = start + k + 1
+                done.add((which, start))
                 low = max(0, start - k)
                 if m := pattern.search(joined, low, min(len(joined), start + size + k)):
                     found[which, m.start()] = (m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / size)

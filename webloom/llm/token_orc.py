@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words a Python worker remembers before it lets go of those not used lately.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 STORED = "doc_id long, shard int, pos long, n_tokens int, ids array<int>"
 
 _encoders: dict[str, Encoder] = {}
