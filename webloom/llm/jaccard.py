@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, hashing
 
 #: Cells of the rarity sketch and bits of the candidates' table, as powers of two.
 SKETCH_BITS, TABLE_BITS = 22, 24
@@ -44,37 +44,13 @@ COST, MOST = 64, 8
 
 #: White space becomes a space, A-Z small letters.
 _WORDS = bytes(32 if c in b"\x20\x09\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_ODD, _INVERSE)):
-            p = np.full(max(n, 1 << 20), base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
 
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     split = [t.encode("utf-8", "replace").translate(_WORDS).split() for t in texts]
     joined = b"".join(b" ".join(w) + b" " for w in split)
     b = np.frombuffer(joined, np.uint8)
-    up, down = _power(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTES[b] * up[: len(b)], out=total[1:])
+    strings = hashing.Substrings(b)
     counts = np.array([len(w) for w in split])
     ends = np.flatnonzero(b == 32)
     if (counts == 0).any():  # an empty text leaves a lone space
@@ -86,7 +62,7 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
         if c:
             k = min(n, c)
             s, e = starts[at : at + c - k + 1], ends[at + k - 1 : at + c]
-            out.append(np.unique(mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))))
+            out.append(np.unique(strings.of(s, e)))
         else:
             out.append(np.zeros(0, np.uint64))
         at += c

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, common, cover_tree, decontam, jaccard, langid, licenses, mixing, token_orc
+from . import chat_windows, class_lm, common, cover_tree, decontam, jaccard, langid, licenses, mixing, repeats, token_orc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +20,22 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_digests(spark, path)
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = langid.held_out(F.col("doc_id"), 7, 2)
+    found = class_lm.score(_table(spark, sf_dir, "documents"), F.col("doc_id").isNotNull() & ~held)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     return chat_windows.digests(common.stored(chat_windows.windows(turns.unionByName(planted)), "chat"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.Repeats(_table(spark, sf_dir, "documents")).removed().drop("kept")
+
+
 def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -57,7 +67,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.Join(_table(spark, sf_dir, "documents")).result()
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op3_chat_windows, op5_cover_tree, op6_mixing, op7_licenses, op8_language, op9_decontamination, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_class_lm, op3_chat_windows, op4_repeats, op5_cover_tree, op6_mixing, op7_licenses, op8_language, op9_decontamination, op10_jaccard)}
 
 _OP3 = r"""
 with t as (
