@@ -1,13 +1,63 @@
-"""From raw documents to token files, one stage after the other."""
+"""From raw documents to token files, one stage after the other.
+
+Each stage takes the documents that the one before it kept.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom.llm import common, decontam, jaccard, langid, mixing, token_orc
+
+#: Predictions below this score are rejected, as are texts without a letter.
+LEAST_SCORE = 0.3
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told: with a letter, and a prediction that is not a guess."""
+    model = langid.fit(docs, F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"), 4, 2))
+    found = langid.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones, the one of the smallest doc_id."""
+    return jaccard.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token files; doc_id, start, n_tokens and ids_crc32 as read from them."""
+    import public_tokenizers
+
+    path = common.new_path(spark, "tokens")
+    token_orc.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_orc.token_digests(spark, path)
+
+
+STAGES = [
+    ("language ID", languages),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources", mixture),
+    ("token-ID output", tokens),
+]
+#: Linear machines and hashed draws are no SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

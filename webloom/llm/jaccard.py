@@ -30,7 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, hashing
@@ -108,7 +108,7 @@ def _table(rows: list, bits: int) -> np.ndarray:
 
 
 def _prefixes(n: int, t100: int, sketch):
-    names = ["doc_id", "set", "size", "matches", "prefix"]
+    names = ["doc_id", "text_hash", "set", "size", "matches", "prefix"]
 
     def run(batches):
         cells = sketch.value
@@ -129,7 +129,7 @@ def _prefixes(n: int, t100: int, sketch):
                     more = min(MOST, 1 + int(math.log2(1 + cost / COST)), need)
                     rows.append((_digest(s), len(s), more, s[order[: length + more - 1]].tobytes()))
                 kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
 
     return run
 
@@ -196,14 +196,15 @@ class Join:
 
     def __init__(self, docs: DataFrame, n: int = 4, threshold: float = 0.85):
         self.spark, self.n, self.t100 = docs.sparkSession, n, round(100 * threshold)
-        self.docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        text = F.coalesce("text", F.lit(""))
+        self.docs = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
         texts = self.docs.select("text")
         blocks = texts.mapInArrow(_sketched(n), "block int, counts binary").groupBy("block").applyInArrow(_added, "block int, counts binary")
         sketch = self.spark.sparkContext.broadcast(_table(blocks.collect(), SKETCH_BITS))
-        rows = self.docs.mapInArrow(_prefixes(n, self.t100, sketch), self.docs.select("doc_id").schema.add("set", "binary").add("size", "integer").add("matches", "integer").add("prefix", "binary"))
+        rows = self.docs.mapInArrow(_prefixes(n, self.t100, sketch), self.docs.select("doc_id", "text_hash").schema.add("set", "binary").add("size", "integer").add("matches", "integer").add("prefix", "binary"))
         #: A row for each document and one for each class.
         stored = common.stored(rows, "prefixes")
-        self.members = stored.select("doc_id", "set", "size")
+        self.members = stored.select("doc_id", "text_hash", "set", "size")
         self.classes = stored.where(F.col("size") > 0).groupBy("set").agg(F.first("size").alias("size"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
         self.links = self._links()
 
@@ -260,11 +261,30 @@ class Join:
             links = links.unionByName(self._verified(rest, common.stored(self._sets(rest), "sets")))
         return links
 
+    def components(self) -> DataFrame:
+        """Every row of docs: doc_id, text_hash, size, component (null for the empty set)."""
+        label = components(self.members.select("set").distinct(), self.links)
+        m = self.members.join(label, "set", "left")
+        return m.select("doc_id", "text_hash", "size", F.when(F.col("size") > 0, F.coalesce("component", "set")).alias("component"))
+
     def result(self) -> DataFrame:
         """Every row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-        label = components(self.members.select("set").distinct(), self.links)
-        m = self.members.withColumn("none", F.col("size") == 0)
-        m = m.join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))
-        least = m.where(~F.col("none")).groupBy("component").agg(F.min("doc_id").alias("least"))
-        named = m.join(least.withColumnRenamed("component", "c"), (F.col("c") == F.col("component")) & ~F.col("none"), "left")
-        return named.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("none"), F.col("doc_id")).otherwise(F.col("least")).cast("long").alias("component_id"))
+        m = common.stored(self.components(), "components")
+        least = m.where(F.col("component").isNotNull()).groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("least"))
+        named = m.join(least, F.col("c") == F.col("component"), "left")
+        return named.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).cast("long").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 4, threshold: float = 0.85) -> DataFrame:
+    """docs with one row of each component: that of the smallest id, null last.
+
+    Texts without words are in no component and stay; rows that agree in id and
+    text are one document.
+    """
+    m = common.stored(Join(docs, n, threshold).components(), "components")
+    key = lambda h: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), h)
+    first = m.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f")).select("f.doc_id", "f.text_hash")
+    stay = first.unionByName(m.where(F.col("component").isNull()).select("doc_id", "text_hash")).select(key(F.col("text_hash").cast("string")).alias("k")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), key(F.xxhash64(F.coalesce("text", F.lit(""))).cast("string")).alias("k"))
+    nth = F.row_number().over(Window.partitionBy("k").orderBy("k"))
+    return keyed.join(stay, "k").withColumn("nth", nth).where(F.col("nth") == 1).select("row.*")

@@ -23,6 +23,8 @@ from . import common
 
 BUCKETS = 65536
 SEED = "mix-1"
+#: Sources whose plan is broadcast; of more, joins shuffle.
+SOURCES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -66,6 +68,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     return s.select("source", "source_size", F.least("most", F.col("w") * level).alias("target"))
 
 
+def _near(sources: DataFrame) -> DataFrame:
+    """A table of a row for each source, kept, and broadcast if there are at most SOURCES of them: a large source then stays where its rows are."""
+    kept = common.stored(sources, "sources")
+    return F.broadcast(kept) if kept.count() <= SOURCES else kept
+
+
 def plan(docs: DataFrame, **mix) -> DataFrame:
     """Per source: source_size, target, epochs, and where the fractional epoch ends (end_bucket, end_key).
 
@@ -79,7 +87,7 @@ def plan(docs: DataFrame, **mix) -> DataFrame:
     at = sums.select("source", "bucket", "size", upto.alias("upto")).withColumnRenamed("source", "s")
     same = F.col("s").eqNullSafe(F.col("source"))
     end = at.join(goal, same).where(F.col("upto") > F.col("part")).groupBy("source").agg(F.min(F.struct("bucket", "upto", "size", "part")).alias("e"))
-    end = end.select(F.col("source").alias("s"), F.col("e.bucket").alias("b"), (F.col("e.upto") - F.col("e.size")).alias("before"), F.col("e.part").alias("part"))
+    end = _near(end.select(F.col("source").alias("s"), F.col("e.bucket").alias("b"), (F.col("e.upto") - F.col("e.size")).alias("before"), F.col("e.part").alias("part")))
     inside = docs.join(end, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("bucket")))
     each = inside.groupBy("source", "b", "before", "part", "key").agg(F.sum("size").alias("n"))
     upto = F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("key"))) - F.col("n") / 2
@@ -90,7 +98,7 @@ def plan(docs: DataFrame, **mix) -> DataFrame:
 
 def copies(docs: DataFrame, goal: DataFrame) -> DataFrame:
     """docs(source, key, bucket, ...) with source_size, target and `copies`, how often the mix takes the document."""
-    g = goal.withColumnRenamed("source", "s")
+    g = _near(goal.withColumnRenamed("source", "s"))
     inside = (F.col("bucket") < F.col("end_bucket")) | (F.col("bucket") == F.col("end_bucket")) & (F.col("key") >= F.col("end_key"))
     extra = F.when((F.col("part") > 0) & F.coalesce(inside, F.lit(False)), 1).otherwise(0)
     return docs.join(g, F.col("s").eqNullSafe(F.col("source"))).withColumn("copies", F.col("epochs") + extra).drop("s", "epochs", "part", "end_bucket", "end_key")
