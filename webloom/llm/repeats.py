@@ -92,7 +92,7 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 def _parts(batches, column: str = "body"):
     for batch in batches:
-        for part in common.sized_batches(batch, column):
+        for part in common.sized_batches(batch, column, 1 << 20):
             yield part, [x or b"" for x in part.column(column).to_pylist()]
 
 
