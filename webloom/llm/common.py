@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +73,23 @@ def sized_batches(batch, column: str, limit: int = 4 << 20):
         size += n
     if at < batch.num_rows:
         yield batch.slice(at)
+
+
+def near(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, broadcast in joins if it has at most `most` rows (of short keys; df should be stored); else joins shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def bit_table(keys: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2**bits bits: set at the top bits of each of keys(key), longs.  Its size does not depend on how many there are."""
+    bit = F.shiftrightunsigned("key", 64 - bits)
+    words = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return table.view(np.uint8)
+
+
+def in_table(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Whether each of the unsigned keys may be in a bit_table."""
+    at = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7) & 1).astype(bool)

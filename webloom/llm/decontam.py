@@ -121,6 +121,6 @@ def report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """docs without the documents in which a window of an item occurs."""
-    bad = hits(docs, items, size).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    bad = common.near(common.stored(hits(docs, items, size).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "hit"))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     return docs.join(bad, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == key), "left_anti")

@@ -10,12 +10,13 @@ longer prefix, and min(m_x, m_y) common shingles before it is verified.
 
 Copies are not expanded into pairs.  The classes under one prefix shingle are
 first compared with one of them, the one with the fewest shingles of its own;
-links found so make components.  Only then are the classes of a shingle that
-are still in different components paired, within the sizes that the positions
-of their shared shingles allow.  Sets are verified whole and exactly.
+links found so make components.  Only classes that are not in that one's
+component are paired further, within the sizes that the positions of their
+shared shingles allow; and if both were compared with it, only by shingles that
+it lacks, without which they can't link.  Sets are compared whole and exactly.
 
-Texts are read three times: for the sketch, for the prefixes, and for the sets
-of the classes that have a candidate, told by a bit table of fixed size.
+Texts are read four times: for the sketch, for the prefixes, and twice for the
+sets of the classes that have a candidate, told by a bit table of fixed size.
 
 Defined results: documents with fewer words than a shingle have their whole
 sequence as one; null and empty texts have the empty set and link with nothing;
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from . import common, hashing
 
-#: Cells of the rarity sketch and bits of the candidates' table, as powers of two.
-SKETCH_BITS, TABLE_BITS = 22, 24
+#: Cells of the rarity sketch, and bits of the tables of shared shingles and of candidates, as powers of two.
+SKETCH_BITS, TABLE_BITS = 22, 26
 #: Sketch cells that are sent and summed together, as a power of two.
 BLOCK_BITS = 16
 #: Estimated candidates of a prefix for which one match is enough, and the most matches.
@@ -84,7 +85,7 @@ def _sketched(n: int):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         some = False
         for batch in batches:
-            for part in common.sized_batches(batch, "text"):
+            for part in common.sized_batches(batch, "text", 2 << 20):
                 sets = shingle_sets(part.column("text").to_pylist(), n)
                 total += np.bincount(_cells(np.concatenate(sets), SKETCH_BITS), minlength=len(total)).astype(np.uint32)
                 some = True
@@ -114,7 +115,7 @@ def _prefixes(n: int, t100: int, sketch):
         cells = sketch.value
         usual = int(np.median(cells)) + 1
         for batch in batches:
-            for part in common.sized_batches(batch, "text"):
+            for part in common.sized_batches(batch, "text", 2 << 20):
                 rows = []
                 for s in shingle_sets(part.column("text").to_pylist(), n):
                     need = -(-t100 * len(s) // 100)
@@ -134,47 +135,70 @@ def _prefixes(n: int, t100: int, sketch):
     return run
 
 
-def _exploded(batches):
-    for batch in batches:
-        sizes = np.array([x.as_buffer().size // 8 for x in batch.column("prefix")], int)
-        for k in range(0, batch.num_rows, 512):
-            some, c = batch.slice(k, 512), sizes[k : k + 512]
-            flat = np.frombuffer(b"".join(x.as_py() for x in some.column("prefix")), np.int64)
-            at = pa.array(np.repeat(np.arange(len(c)), c))
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(c) - c, c)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), some.column("set").take(at), some.column("size").take(at), some.column("matches").take(at), pa.array(place.astype(np.int32))], names=["shingle", "set", "size", "matches", "place"])
+def _exploded(sent=None):
+    """Prefixes as rows; with a table, only the shingles that may be in it."""
+
+    def run(batches):
+        table = None if sent is None else sent.value
+        for batch in batches:
+            sizes = np.array([x.as_buffer().size // 8 for x in batch.column("prefix")], int)
+            for k in range(0, batch.num_rows, 512):
+                some, c = batch.slice(k, 512), sizes[k : k + 512]
+                flat = np.frombuffer(b"".join(x.as_py() for x in some.column("prefix")), np.int64)
+                keep = slice(None) if table is None else common.in_table(table, flat.view(np.uint64), TABLE_BITS)
+                at = pa.array(np.repeat(np.arange(len(c)), c)[keep])
+                place = (np.arange(len(flat)) - np.repeat(np.cumsum(c) - c, c))[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), some.column("set").take(at), some.column("size").take(at), some.column("matches").take(at), pa.array(place.astype(np.int32))], names=["shingle", "set", "size", "matches", "place"])
+
+    return run
 
 
 def _wanted(n: int, table):
     def run(batches):
         bits = table.value
         for batch in batches:
-            for part in common.sized_batches(batch, "text"):
+            for part in common.sized_batches(batch, "text", 2 << 20):
                 got = {}
                 for s in shingle_sets(part.column("text").to_pylist(), n):
                     d = _digest(s)
-                    if bits[int.from_bytes(d[:8], "big") >> (64 - TABLE_BITS)]:
+                    if common.in_table(bits, np.frombuffer(d[:8], ">u8").astype(np.uint64), TABLE_BITS)[0]:
                         got[d] = s.tobytes()
                 yield pa.RecordBatch.from_pydict({"set": pa.array(list(got), pa.binary()), "hashes": pa.array(list(got.values()), pa.binary())})
 
     return run
 
 
-def _linked(t100: int):
+def _compared(t100: int):
+    """Pairs with the size of their intersection, whether they link, and what only the first has."""
+
     def run(batches):
         for batch in batches:
-            keep = []
+            both, linked, rest = [], [], []
             for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= t100 * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+                common_ = np.isin(a, b, assume_unique=True)
+                n = int(common_.sum())
+                both.append(n)
+                linked.append(100 * n >= t100 * (len(a) + len(b) - n))
+                rest.append(a[~common_].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int32()), pa.array(linked, pa.bool_()), pa.array(rest, pa.binary())], names=["a", "b", "both", "linked", "rest"])
 
     return run
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(set, component) for every node(set) that links (a, b) touch: the smallest set it reaches.
+def _rests(batches):
+    """What only the first of each pair has, as rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            some = batch.slice(k, 512)
+            rest = [x.as_py() for x in some.column("rest")]
+            at = pa.array(np.repeat(np.arange(len(rest)), [len(x) // 8 for x in rest]))
+            flat = pa.array(np.frombuffer(b"".join(rest), np.int64))
+            yield pa.RecordBatch.from_arrays([flat, some.column("a").take(at), some.column("b").take(at), some.column("both").take(at)], names=["shingle", "set", "pivot", "o"])
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(set, component) for every set that links (a, b) touch: the smallest set it reaches.
 
     Labels spread along links and are then followed once more; rounds grow with
     the logarithm of the longest path, not with its length.
@@ -209,61 +233,90 @@ class Join:
         self.links = self._links()
 
     def _shared(self) -> DataFrame:
-        """Prefix shingles that several classes have: (shingle, set, size, matches, place), place from 0 in the prefix."""
-        every = self.classes.mapInArrow(_exploded, "shingle long, set binary, size int, matches int, place int")
-        several = every.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("shingle")
-        return common.stored(every.join(several, "shingle"), "shared")
-
-    def _sets(self, pairs: DataFrame) -> DataFrame:
-        """(set, hashes) of the classes in pairs."""
-        wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-        bit = F.shiftrightunsigned(F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("long"), 64 - TABLE_BITS)
-        words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits"))
-        table = np.zeros(1 << (TABLE_BITS - 5), np.uint32)
-        got = words.toArrow()
-        table[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
-        sent = self.spark.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool))
+        """Prefix shingles that several classes have: (shingle, set, size, matches, place), place from 0 in the prefix.
+
+        Those that only one class has are dropped by a table of fixed size before the classes are shuffled with them.
+        """
+        row = "shingle long, set binary, size int, matches int, place int"
+        every = self.classes.mapInArrow(_exploded(), row)
+        several = common.stored(every.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("shingle"), "several")
+        sent = self.spark.sparkContext.broadcast(common.bit_table(several.select(F.col("shingle").alias("key")), TABLE_BITS))
+        return common.stored(self.classes.mapInArrow(_exploded(sent), row).join(several, "shingle"), "shared")
+
+    def _compare(self, pairs: DataFrame) -> DataFrame:
+        """pairs(a, b) with both, linked and rest, from whole sets; the texts of their classes are read for them."""
+        wanted = common.stored(pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct(), "wanted")
+        key = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("long")
+        sent = self.spark.sparkContext.broadcast(common.bit_table(wanted.select(key.alias("key")), TABLE_BITS))
         found = self.docs.select("text").mapInArrow(_wanted(self.n, sent), "set binary, hashes binary")
-        return found.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes"))
-
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        one = pairs.join(sets.toDF("a", "hashes_a"), "a")
-        return common.stored(one.join(sets.toDF("b", "hashes_b"), "b").mapInArrow(_linked(self.t100), "a binary, b binary"), "links")
-
-    def _matched(self, met: DataFrame) -> DataFrame:
-        """Pairs (a, b) of met(a, b, need), a row for each common shingle, that have enough of them."""
-        return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).where(F.col("n") >= F.col("need")).select("a", "b")
+        sets = common.stored(found.join(common.near(wanted), "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes")), "sets")
+        one = pairs.join(sets.toDF("a", "hashes_a"), "a").join(sets.toDF("b", "hashes_b"), "b")
+        return common.stored(one.mapInArrow(_compared(self.t100), "a binary, b binary, both int, linked boolean, rest binary"), "compared")
 
     def _links(self) -> DataFrame:
-        shared = self._shared()
-        # what stands before the first shared shingle is a class's own: so much can be common at most, and so it bounds the sizes of partners
-        first = shared.groupBy("set").agg(F.min("place").alias("own"))
-        common_ = F.col("size") - F.col("own")
         t = self.t100
-        low, high = F.ceil(t * F.col("size") / 100), F.floor(common_ * (100 + t) / t - F.col("size"))
-        s = shared.join(first, "set").withColumns({"low": low, "high": F.least(high, F.floor(100 * F.col("size") / t))})
-        s = common.stored(s.where(F.col("low") <= F.col("high")).select("shingle", "set", "size", "matches", "low", "high", (F.col("own") / F.col("size")).alias("own")), "bounded")
+        least = lambda x, y: F.ceil(t * (x + y) / (100 + t))  # noqa: E731  common shingles that sets of these sizes need
+        # A class that shares a shingle has all its shingles before that one in its prefix.  So what another class has
+        # of them before it, unshared, is not common to the two; that bounds what is common, and so the partner's size.
+        nth = F.row_number().over(Window.partitionBy("set").orderBy("place"))
+        shared = self._shared().withColumn("own", F.col("place") - nth + 1)
+        low, high = F.ceil(t * F.col("size") / 100), F.floor((F.col("size") - F.col("own")) * (100 + t) / t - F.col("size"))
+        s = shared.withColumns({"low": low, "high": F.least(high, F.floor(100 * F.col("size") / t))})
+        s = s.where(F.col("low") <= F.col("high")).select("shingle", "set", "size", "matches", "low", "high", (F.col("own") / F.col("size")).alias("own"))
+        s = common.stored(s, "bounded")
+
+        # each class with the pivot of its shingles: the class that has the least of its own
         pivot = s.groupBy("shingle").agg(F.min(F.struct("own", "set", "size", "matches", "low", "high")).alias("p"))
         star = s.join(pivot, "shingle").where(F.col("set") != F.col("p.set")).where(F.col("p.size").between(F.col("low"), F.col("high")) & F.col("size").between(F.col("p.low"), F.col("p.high")))
-        near = common.stored(self._matched(star.select(F.col("set").alias("a"), F.col("p.set").alias("b"), F.least("matches", "p.matches").alias("need"))), "star")
-        links = self._verified(near, common.stored(self._sets(near), "sets"))
-        label = components(s.select("set").distinct(), links)
-
-        left = s.join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))
-        # only shingles that still stand in several components, and there only classes whose range meets another's size
-        open_ = left.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("size").alias("s0"), F.max("size").alias("s1")).where(F.col("c0") != F.col("c1"))
-        left = common.stored(left.join(open_, "shingle").where((F.col("s0") <= F.col("high")) & (F.col("s1") >= F.col("low"))).select("shingle", "set", "size", "matches", "low", "high", "component"), "open")
-        x = left.toDF(*(f"{c}_x" if c != "shingle" else c for c in left.columns))
-        y = left.toDF(*(f"{c}_y" if c != "shingle" else c for c in left.columns))
-        met = x.join(y, "shingle").where((F.col("set_x") < F.col("set_y")) & (F.col("component_x") != F.col("component_y")) & F.col("size_y").between(F.col("low_x"), F.col("high_x")) & F.col("size_x").between(F.col("low_y"), F.col("high_y")))
-        rest = common.stored(self._matched(met.select(F.col("set_x").alias("a"), F.col("set_y").alias("b"), F.least("matches_x", "matches_y").alias("need"))).join(near, ["a", "b"], "left_anti"), "rest")
+        near = star.groupBy("set", F.col("p.set").alias("pivot")).agg(F.count("*").alias("n"), F.first(F.least("matches", "p.matches")).alias("need")).where(F.col("n") >= F.col("need"))
+        star = self._compare(common.stored(near.select(F.col("set").alias("a"), F.col("pivot").alias("b")), "star"))
+        links = star.where("linked").select("a", "b")
+        label = components(links)
+
+        def labelled(rows: DataFrame) -> DataFrame:
+            """rows(set, pivot) with both components; a class without links is its own."""
+            r = rows.join(label.toDF("set", "component"), "set", "left").join(label.toDF("pivot", "pivots"), "pivot", "left")
+            return r.withColumns({"component": F.coalesce("component", "set"), "pivots": F.coalesce("pivots", "pivot")})
+
+        # Classes of a shingle that are not in its pivot's component meet the others.  Two that were both compared with
+        # the pivot, and have less in common with it than they need of each other, link only by shingles that the pivot
+        # lacks: they meet by those, below.
+        over = s.join(pivot.select("shingle", F.col("p.set").alias("pivot")), "shingle").join(star.select(F.col("a").alias("set"), F.col("b").alias("pivot"), F.col("both").alias("o")), ["set", "pivot"], "left")
+        over = labelled(over.withColumn("o", F.when(F.col("set") == F.col("pivot"), F.col("size")).otherwise(F.col("o")))).withColumn("out", F.col("component") != F.col("pivots"))
+        group = over.groupBy("shingle").agg(F.min("size").alias("s0"), F.max("size").alias("s1"), F.max("out").alias("some"))
+        kind = F.when(F.col("o").isNull(), 0).when(F.col("o") >= least(F.col("size"), F.col("s0")), 1).otherwise(2)
+        over = over.join(group.where("some"), "shingle").where((F.col("s0") <= F.col("high")) & (F.col("s1") >= F.col("low")))
+        over = common.stored(over.select("shingle", "set", "size", "matches", "low", "high", "o", "component", "out", kind.alias("kind")), "open")
+        meets = F.when(F.col("kind") == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).when(F.col("kind") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        names = ["set", "size", "matches", "low", "high", "o", "component", "out"]
+        x = over.where("out").select("shingle", F.explode(meets).alias("kind"), *[F.col(c).alias(c + "_x") for c in names])
+        y = over.select("shingle", "kind", *[F.col(c).alias(c + "_y") for c in names])
+        c = F.col
+        apart = (c("component_x") != c("component_y")) & ((c("set_x") < c("set_y")) | ~c("out_y") & (c("set_x") != c("set_y")))
+        fits = c("size_y").between(c("low_x"), c("high_x")) & c("size_x").between(c("low_y"), c("high_y"))
+        by_pivot = F.coalesce(F.least("o_x", "o_y"), F.lit(1 << 30))
+        known = c("o_x").isNotNull() & c("o_y").isNotNull() & (by_pivot < least(c("size_x"), c("size_y")))
+        met = x.join(y, ["shingle", "kind"]).where(apart & fits & ~known)
+        rest = met.groupBy(c("set_x").alias("a"), c("set_y").alias("b")).agg(F.count("*").alias("n"), F.first(F.least("matches_x", "matches_y")).alias("need")).where("n >= need").select("a", "b")
+
+        sizes = self.classes.select("set", "size")
+        own = labelled(star.mapInArrow(_rests, "shingle long, set binary, pivot binary, o int")).withColumn("out", F.col("component") != F.col("pivots"))
+        several = own.groupBy("pivot", "shingle").agg(F.count("*").alias("n"), F.max("out").alias("some")).where("some and n > 1").select("pivot", "shingle")
+        own = common.stored(own.join(several, ["pivot", "shingle"]).join(sizes, "set").select("pivot", "shingle", "set", "size", "o", "component", "out"), "rests")
+        names = ["set", "size", "o", "component", "out"]
+        x = own.where("out").select("pivot", "shingle", *[F.col(n).alias(n + "_x") for n in names])
+        y = own.select("pivot", "shingle", *[F.col(n).alias(n + "_y") for n in names])
+        fits = F.least("size_x", "size_y") * 100 >= t * F.greatest("size_x", "size_y")
+        both = x.join(y, ["pivot", "shingle"]).where(apart & fits)
+        found = both.groupBy("pivot", c("set_x").alias("a"), c("set_y").alias("b")).agg(F.count("*").alias("n"), F.first(least(c("size_x"), c("size_y")) - F.least("o_x", "o_y")).alias("need")).where("n >= need")
+        rest = common.stored(rest.union(found.select("a", "b")).distinct(), "rest")
         if rest.limit(1).count():
-            links = links.unionByName(self._verified(rest, common.stored(self._sets(rest), "sets")))
+            links = links.unionByName(self._compare(rest).where("linked").select("a", "b"))
         return links
 
     def components(self) -> DataFrame:
         """Every row of docs: doc_id, text_hash, size, component (null for the empty set)."""
-        label = components(self.members.select("set").distinct(), self.links)
+        label = components(self.links)
         m = self.members.join(label, "set", "left")
         return m.select("doc_id", "text_hash", "size", F.when(F.col("size") > 0, F.coalesce("component", "set")).alias("component"))
 
@@ -286,5 +339,9 @@ def one_of_each(docs: DataFrame, n: int = 4, threshold: float = 0.85) -> DataFra
     first = m.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f")).select("f.doc_id", "f.text_hash")
     stay = first.unionByName(m.where(F.col("component").isNull()).select("doc_id", "text_hash")).select(key(F.col("text_hash").cast("string")).alias("k")).distinct()
     keyed = docs.select(F.struct(*docs.columns).alias("row"), key(F.xxhash64(F.coalesce("text", F.lit(""))).cast("string")).alias("k"))
+    every = m.select(key(F.col("text_hash").cast("string")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    if not every.where("n > 1").limit(1).count():  # no row repeats: those that go are told by their keys
+        gone = common.stored(every.select("k").join(stay, "k", "left_anti"), "gone")
+        return keyed.join(common.near(gone), "k", "left_anti").select("row.*")
     nth = F.row_number().over(Window.partitionBy("k").orderBy("k"))
     return keyed.join(stay, "k").withColumn("nth", nth).where(F.col("nth") == 1).select("row.*")
