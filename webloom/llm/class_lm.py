@@ -71,9 +71,12 @@ def exchange(n_items: int, fixed: int, pairs: np.ndarray, counts: np.ndarray, cl
 
     pairs are codes first * n_items + second, counts how often each occurs.
     """
-    k = classes + 1
-    of = np.arange(n_items) % classes
+    # the last class holds what is not placed yet; the first items have a class each, the others join the best one
+    k = classes + 2
+    of = np.full(n_items, classes + 1)
     of[fixed] = classes
+    seeds = [i for i in range(n_items) if i != fixed][:classes]
+    of[seeds] = np.arange(len(seeds))
     first, second = pairs // n_items, pairs % n_items
     by_first, by_second = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     at_first = np.searchsorted(first[by_first], np.arange(n_items + 1))
@@ -85,7 +88,7 @@ def exchange(n_items: int, fixed: int, pairs: np.ndarray, counts: np.ndarray, cl
         moved = 0
         for w in range(n_items):
             right, left = by_first[at_first[w] : at_first[w + 1]], by_second[at_second[w] : at_second[w + 1]]
-            if w == fixed or not (len(right) or len(left)):
+            if w == fixed:
                 continue
             own = counts[right][second[right] == w].sum()
             r, s = second[right] != w, first[left] != w
@@ -102,7 +105,7 @@ def exchange(n_items: int, fixed: int, pairs: np.ndarray, counts: np.ndarray, cl
             gain += f(d + after + before + own) - f(d) - (f(d + after) - f(d)) - (f(d + before) - f(d))
             gain -= f(rows + n_right) - f(rows) + f(columns + n_left) - f(columns)
             c = int(gain[:classes].argmax())
-            if gain[c] <= gain[a] + 1e-9:
+            if a < classes and gain[c] <= gain[a] + 1e-9:
                 c = a
             moved += c != a
             of[w] = c

@@ -153,17 +153,20 @@ def _exploded(sent=None):
     return run
 
 
-def _wanted(n: int, table):
+def _wanted(n: int, sent):
     def run(batches):
-        bits = table.value
+        table = sent.value
         for batch in batches:
             for part in common.sized_batches(batch, "text", 2 << 20):
-                got = {}
-                for s in shingle_sets(part.column("text").to_pylist(), n):
+                at, sets, hashes = [], [], []
+                for i, s in enumerate(shingle_sets(part.column("text").to_pylist(), n)):
                     d = _digest(s)
-                    if common.in_table(bits, np.frombuffer(d[:8], ">u8").astype(np.uint64), TABLE_BITS)[0]:
-                        got[d] = s.tobytes()
-                yield pa.RecordBatch.from_pydict({"set": pa.array(list(got), pa.binary()), "hashes": pa.array(list(got.values()), pa.binary())})
+                    if common.in_table(table, np.frombuffer(d[:8], ">u8").astype(np.uint64), TABLE_BITS)[0]:
+                        at.append(i)
+                        sets.append(d)
+                        hashes.append(s.tobytes())
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("text_hash").take(take), pa.array(sets, pa.binary()), pa.array(hashes, pa.binary())], names=["doc_id", "text_hash", "set", "hashes"])
 
     return run
 
@@ -186,15 +189,21 @@ def _compared(t100: int):
     return run
 
 
-def _rests(batches):
-    """What only the first of each pair has, as rows."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 512):
-            some = batch.slice(k, 512)
-            rest = [x.as_py() for x in some.column("rest")]
-            at = pa.array(np.repeat(np.arange(len(rest)), [len(x) // 8 for x in rest]))
-            flat = pa.array(np.frombuffer(b"".join(rest), np.int64))
-            yield pa.RecordBatch.from_arrays([flat, some.column("a").take(at), some.column("b").take(at), some.column("both").take(at)], names=["shingle", "set", "pivot", "o"])
+def _rests(sent=None):
+    """What only the first of each pair has, as rows; with a table, only the shingles that may be in it."""
+
+    def run(batches):
+        table = None if sent is None else sent.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                some = batch.slice(k, 512)
+                rest = [x.as_py() for x in some.column("rest")]
+                flat = np.frombuffer(b"".join(rest), np.int64)
+                keep = slice(None) if table is None else common.in_table(table, flat.view(np.uint64), TABLE_BITS)
+                at = pa.array(np.repeat(np.arange(len(rest)), [len(x) // 8 for x in rest])[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), *(some.column(c).take(at) for c in ("set", "pivot", "both", "component", "out"))], names=["shingle", "set", "pivot", "o", "component", "out"])
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -229,9 +238,16 @@ class Join:
         #: A row for each document and one for each class.
         stored = common.stored(rows, "prefixes")
         self.members = stored.select("doc_id", "text_hash", "set", "size")
-        self.classes = stored.where(F.col("size") > 0).groupBy("set").agg(F.first("size").alias("size"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+        # of each class, the row that stands for it; copies of that very row stand for it too, which only repeats its pairs
+        first = self.members.where(F.col("size") > 0).groupBy(F.col("set").alias("s")).agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
+        self.first = common.near(common.stored(first.select("s", F.col("r.doc_id").alias("d"), F.col("r.text_hash").alias("h")), "first"))
+        self.classes = stored.join(self.first, self._stands()).select("set", "size", "matches", "prefix")
         self.links = self._links()
 
+    @staticmethod
+    def _stands():
+        return (F.col("s") == F.col("set")) & F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))
+
     def _shared(self) -> DataFrame:
         """Prefix shingles that several classes have: (shingle, set, size, matches, place), place from 0 in the prefix.
 
@@ -245,13 +261,16 @@ class Join:
 
     def _compare(self, pairs: DataFrame) -> DataFrame:
         """pairs(a, b) with both, linked and rest, from whole sets; the texts of their classes are read for them."""
-        wanted = common.stored(pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct(), "wanted")
-        key = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("long")
+        wanted = common.stored(pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct(), "wanted")
+        key = F.conv(F.hex(F.substring("w", 1, 8)), 16, -10).cast("long")
         sent = self.spark.sparkContext.broadcast(common.bit_table(wanted.select(key.alias("key")), TABLE_BITS))
-        found = self.docs.select("text").mapInArrow(_wanted(self.n, sent), "set binary, hashes binary")
-        sets = common.stored(found.join(common.near(wanted), "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes")), "sets")
-        one = pairs.join(sets.toDF("a", "hashes_a"), "a").join(sets.toDF("b", "hashes_b"), "b")
-        return common.stored(one.mapInArrow(_compared(self.t100), "a binary, b binary, both int, linked boolean, rest binary"), "compared")
+        docs = self.docs.select("doc_id", "text_hash", "text")
+        found = docs.mapInArrow(_wanted(self.n, sent), docs.select("doc_id", "text_hash").schema.add("set", "binary").add("hashes", "binary"))
+        sets = common.stored(found.join(common.near(wanted), F.col("w") == F.col("set"), "left_semi").join(self.first, self._stands()).select("set", "hashes"), "sets")
+        second = common.near(common.stored(pairs.select(F.col("b").alias("w")).distinct(), "wanted"))
+        one = sets.toDF("a", "hashes_a").join(common.near(pairs), "a")
+        two = sets.join(second, F.col("w") == F.col("set"), "left_semi").toDF("b", "hashes_b")
+        return common.stored(one.join(two, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_compared(self.t100), "a binary, b binary, both int, linked boolean, rest binary"), "compared")
 
     def _links(self) -> DataFrame:
         t = self.t100
@@ -272,16 +291,17 @@ class Join:
         star = self._compare(common.stored(near.select(F.col("set").alias("a"), F.col("pivot").alias("b")), "star"))
         links = star.where("linked").select("a", "b")
         label = components(links)
+        near_label, near_star = common.near(label), common.near(common.stored(star.select(F.col("a").alias("set"), F.col("b").alias("pivot"), F.col("both").alias("o")), "star"))
 
         def labelled(rows: DataFrame) -> DataFrame:
             """rows(set, pivot) with both components; a class without links is its own."""
-            r = rows.join(label.toDF("set", "component"), "set", "left").join(label.toDF("pivot", "pivots"), "pivot", "left")
+            r = rows.join(near_label.toDF("set", "component"), "set", "left").join(near_label.toDF("pivot", "pivots"), "pivot", "left")
             return r.withColumns({"component": F.coalesce("component", "set"), "pivots": F.coalesce("pivots", "pivot")})
 
         # Classes of a shingle that are not in its pivot's component meet the others.  Two that were both compared with
         # the pivot, and have less in common with it than they need of each other, link only by shingles that the pivot
         # lacks: they meet by those, below.
-        over = s.join(pivot.select("shingle", F.col("p.set").alias("pivot")), "shingle").join(star.select(F.col("a").alias("set"), F.col("b").alias("pivot"), F.col("both").alias("o")), ["set", "pivot"], "left")
+        over = s.join(pivot.select("shingle", F.col("p.set").alias("pivot")), "shingle").join(near_star, ["set", "pivot"], "left")
         over = labelled(over.withColumn("o", F.when(F.col("set") == F.col("pivot"), F.col("size")).otherwise(F.col("o")))).withColumn("out", F.col("component") != F.col("pivots"))
         group = over.groupBy("shingle").agg(F.min("size").alias("s0"), F.max("size").alias("s1"), F.max("out").alias("some"))
         kind = F.when(F.col("o").isNull(), 0).when(F.col("o") >= least(F.col("size"), F.col("s0")), 1).otherwise(2)
@@ -299,8 +319,12 @@ class Join:
         met = x.join(y, ["shingle", "kind"]).where(apart & fits & ~known)
         rest = met.groupBy(c("set_x").alias("a"), c("set_y").alias("b")).agg(F.count("*").alias("n"), F.first(F.least("matches_x", "matches_y")).alias("need")).where("n >= need").select("a", "b")
 
-        sizes = self.classes.select("set", "size")
-        own = labelled(star.mapInArrow(_rests, "shingle long, set binary, pivot binary, o int")).withColumn("out", F.col("component") != F.col("pivots"))
+        sizes = common.near(common.stored(self.members.select("set", "size").distinct(), "sizes"))
+        pairs = labelled(star.withColumnsRenamed({"a": "set", "b": "pivot"})).withColumn("out", F.col("component") != F.col("pivots"))
+        row = "shingle long, set binary, pivot binary, o int, component binary, out boolean"
+        outer = pairs.where("out").mapInArrow(_rests(), row).select(F.col("shingle").alias("key")).distinct()
+        sent = self.spark.sparkContext.broadcast(common.bit_table(outer, TABLE_BITS))
+        own = common.stored(pairs.mapInArrow(_rests(sent), row), "rests")
         several = own.groupBy("pivot", "shingle").agg(F.count("*").alias("n"), F.max("out").alias("some")).where("some and n > 1").select("pivot", "shingle")
         own = common.stored(own.join(several, ["pivot", "shingle"]).join(sizes, "set").select("pivot", "shingle", "set", "size", "o", "component", "out"), "rests")
         names = ["set", "size", "o", "component", "out"]
