@@ -6,9 +6,11 @@ Equal windows have equal anchors, so the windows split into blocks by anchor:
 a block is a run of windows with one anchor, its context the bytes they span.
 A window can only repeat in a block whose anchor's gram repeats.
 
-1. Grams are counted over all texts.  Those of one occurrence are done with.
-2. Equal contexts under one gram repeat as a whole; their windows all count.
-3. Different contexts under one gram are sorted by the suffixes that begin
+1. Every block is written with the hashes of its context and gram, and these
+   are counted.
+2. A context of several occurrences repeats as a whole.
+3. If a gram has different contexts, some of one occurrence, the bytes of its
+   contexts are read again and sorted by the suffixes that begin
    their windows.  A stack scan over the common prefixes of neighbours gives
    the tree of intervals; an interval of `size` bytes or more whose suffixes
    have different bytes to their left is a maximal repeat, and all of the
@@ -19,8 +21,8 @@ A gram with more than `MOST` different contexts is too large for one suffix
 array; its windows are compared by their hashes, each on its own, which is
 exact as well and gathers no group.
 
-What is broadcast is a table of fixed size that tells the grams which may
-repeat; grams it names wrongly are dropped later.
+What is broadcast is a table of fixed size that tells the grams whose bytes are
+wanted; grams it names wrongly do no harm.
 
 Defined results: texts are UTF-8 bytes, null is empty; matches lie within one
 text; rows that repeat are texts each, so they repeat each other; texts shorter
@@ -43,7 +45,7 @@ GRAM = 64
 TABLE_BITS = 26
 #: Different contexts of a gram in one suffix array, and bytes of contexts sorted together.
 MOST, SORTED = 20_000, 2 << 20
-KEY = ["doc_id", "text_hash"]
+KEY = ["text_hash", "n_bytes"]
 _PLACE = 31
 _LOW = np.uint64((1 << _PLACE) - 1)
 
@@ -96,44 +98,43 @@ def _parts(batches, column: str = "body"):
             yield part, [x or b"" for x in part.column(column).to_pylist()]
 
 
-def _grams(size: int):
+OCCURRENCE = "text_hash long, n_bytes long, place int, count int, gram long, context long"
+
+
+def _occurrences(size: int):
     def run(batches):
-        for _, texts in _parts(batches):
+        for part, texts in _parts(batches):
             x = Blocks(texts, size)
-            yield pa.RecordBatch.from_arrays([_longs(x.gram), _longs(x.context)], names=["gram", "context"])
+            if len(x.gram):
+                at = pa.array(x.text)
+                sizes = np.array([len(t) for t in texts], np.int64)[x.text]
+                yield pa.RecordBatch.from_arrays([part.column("text_hash").take(at), pa.array(sizes), pa.array(x.place.astype(np.int32)), pa.array(x.count.astype(np.int32)), _longs(x.gram), _longs(x.context)], names=["text_hash", "n_bytes", "place", "count", "gram", "context"])
 
     return run
 
 
-def _bit(gram: np.ndarray) -> np.ndarray:
-    return (gram >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
+#: Contexts a task remembers to have sent.
+SENT = 1_000_000
 
-OCCURRENCE = "doc_id long, text_hash long, place int, count int, gram long, context long, body binary"
 
-
-def _occurrences(size: int, sent):
-    """Blocks whose gram may repeat; with the context's bytes where it may have different contexts."""
+def _bodies(size: int, sent):
+    """Contexts with their bytes, of the grams that the table tells; mostly once from each task."""
 
     def run(batches):
-        some_, several = sent.value
-        for part, texts in _parts(batches):
+        table, seen = sent.value, set()
+        for _, texts in _parts(batches):
             x = Blocks(texts, size)
             if not len(x.gram):
                 continue
-            bit = _bit(x.gram)
-            keep = np.flatnonzero(some_[bit >> 3] >> (bit & 7) & 1)
-            if not len(keep):
-                continue
-            bit = bit[keep]
-            many = (several[bit >> 3] >> (bit & 7) & 1).astype(bool)
+            keep = np.flatnonzero(common.in_table(table, x.gram, TABLE_BITS))
+            _, first = np.unique(x.context[keep], return_index=True)
+            some = [i for i, c in zip(keep[first].tolist(), x.context[keep[first]].tolist(), strict=True) if c not in seen]
+            if len(seen) > SENT:
+                seen.clear()
+            seen.update(x.context[some].tolist())
             raw = x.b.tobytes()
-            bodies = [raw[s:e] if m else None for s, e, m in zip(x.start[keep].tolist(), x.end[keep].tolist(), many.tolist(), strict=True)]
-            at = pa.array(x.text[keep])
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(at), part.column("text_hash").take(at), pa.array(x.place[keep].astype(np.int32)), pa.array(x.count[keep].astype(np.int32)), _longs(x.gram[keep]), _longs(x.context[keep]), pa.array(bodies, pa.binary())],
-                names=["doc_id", "text_hash", "place", "count", "gram", "context", "body"],
-            )
+            bodies = [raw[s:e] for s, e in zip(x.start[some].tolist(), x.end[some].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([_longs(x.gram[some]), _longs(x.context[some]), pa.array(x.count[some].astype(np.int32)), pa.array(bodies, pa.binary())], names=["gram", "context", "count", "body"])
 
     return run
 
@@ -239,6 +240,7 @@ def _repeated(size: int):
     """Maximal repeats of contexts that come sorted by gram; many grams are sorted in one suffix array."""
 
     def flush(rows):
+        rows = list({(r[0], r[1]): r for r in rows}.values())
         groups = maximal_repeats([r[2] for r in rows], [r[3] for r in rows], size)
         made = []
         for length, members in groups:
@@ -282,7 +284,7 @@ class Repeats:
     """Repeats of `size` bytes and more in docs(doc_id, text).
 
     occurrences: the blocks that may repeat; groups: maximal repeats within
-    contexts, each with all its members (REPEAT); covers: per (gram, context)
+    contexts, each with all its members (REPEAT); covers: per context
     the places [low, high) that repeats cover.
     """
 
@@ -290,49 +292,56 @@ class Repeats:
         self.size, spark = size, docs.sparkSession
         body = F.coalesce("text", F.lit(""))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
-        grams = self.docs.select("body").mapInArrow(_grams(size), "gram long, context long")
-        seen = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where(F.col("n") > 1)
-        bit = F.shiftrightunsigned("gram", 64 - TABLE_BITS)
-        one = "shiftleft(1L, cast(bit % 32 as int))"
-        words = seen.select(bit.alias("bit"), (F.col("c0") != F.col("c1")).alias("several")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr(f"bit_or({one})").alias("some_"), F.expr(f"bit_or(if(several, {one}, 0L))").alias("several")).toArrow()
-        tables = []
-        for name in ("some_", "several"):
-            t = np.zeros(1 << (TABLE_BITS - 5), np.uint32)
-            t[words["word"].to_numpy()] = words[name].to_numpy().astype(np.uint32)
-            tables.append(t.view(np.uint8))
-        sent = spark.sparkContext.broadcast(tuple(tables))
-        self.occurrences = common.stored(self.docs.mapInArrow(_occurrences(size, sent), OCCURRENCE), "occurrences")
-        contexts = self.occurrences.groupBy("gram", "context").agg(F.count("*").alias("n"), F.first("count").alias("count"), F.first("body", ignorenulls=True).alias("body"))
-        self.contexts = common.stored(contexts, "contexts")
-        per = self.contexts.groupBy("gram").agg(F.count("*").alias("contexts")).where(F.col("contexts") > 1)
-        mixed = self.contexts.select("gram", "context", "count", "body").join(per, "gram")
-        near = mixed.where(F.col("contexts") <= MOST).drop("contexts")
+        self.occurrences = common.stored(self.docs.select("text_hash", "body").mapInArrow(_occurrences(size), OCCURRENCE), "occurrences")
+        self.contexts = common.stored(self.occurrences.groupBy("context").agg(F.count("*").alias("n"), F.first("gram").alias("gram"), F.first("count").alias("count")), "contexts")
+        per = self.contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where((F.col("contexts") > 1) & (F.col("least") == 1))
+        per = common.stored(per.select("gram", "contexts"), "grams")
+        sent = spark.sparkContext.broadcast(common.bit_table(per.select(F.col("gram").alias("key")), TABLE_BITS))
+        near = self.docs.select("body").mapInArrow(_bodies(size, sent), "gram long, context long, count int, body binary")
+        hot = common.stored(per.where(F.col("contexts") > MOST).select("gram"), "hot")
+        any_hot = bool(hot.limit(1).count())
+        if any_hot:
+            large = near.join(common.near(hot), "gram", "left_semi")
+            near = near.join(common.near(hot), "gram", "left_anti")
         self.groups = common.stored(near.repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(_repeated(size), REPEAT), "repeats")
-        covers = self.groups.select("gram", "context", F.col("place").alias("low"), (F.col("place") + F.col("length")).alias("high"))
-        hot = mixed.where(F.col("contexts") > MOST).drop("contexts")
-        if per.where(F.col("contexts") > MOST).limit(1).count():
-            each = common.stored(hot.mapInArrow(_windows(size), "gram long, context long, place int, window long"), "windows")
+        covers = self.groups.select("context", F.col("place").alias("low"), (F.col("place") + F.col("length")).alias("high"))
+        if any_hot:
+            each = common.stored(large.mapInArrow(_windows(size), "gram long, context long, place int, window long").distinct(), "windows")
             twice = each.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("window")
-            covers = covers.unionByName(each.join(twice, "window").select("gram", "context", F.col("place").alias("low"), (F.col("place") + size).alias("high")))
-        whole = self.contexts.where(F.col("n") > 1).select("gram", "context", F.lit(0).alias("low"), (F.col("count") - 1 + size).alias("high"))
-        self.covers = covers.unionByName(whole).groupBy("gram", "context").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+            covers = covers.unionByName(each.join(twice, "window").select("context", F.col("place").alias("low"), (F.col("place") + size).alias("high")))
+        whole = self.contexts.where(F.col("n") > 1).select("context", F.lit(0).alias("low"), (F.col("count") - 1 + size).alias("high"))
+        self.covers = covers.unionByName(whole).groupBy("context").agg(F.collect_set(_span(F.col("low"), F.col("high"))).alias("spans"))
 
     def spans(self) -> DataFrame:
-        """doc_id, text_hash, spans: the covered [low, high) of each text that has any; they overlap."""
-        at = self.occurrences.select(*KEY, "place", "gram", "context").join(self.covers, ["gram", "context"])
-        moved = F.transform("spans", lambda s: F.struct((s["low"] + F.col("place")).alias("low"), (s["high"] + F.col("place")).alias("high")))
-        return at.select(*KEY, moved.alias("spans")).groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        """text_hash, n_bytes, spans: the covered places of each text that has any, as low * 2**31 + high; they overlap."""
+        at = self.occurrences.select(*KEY, "place", "context").join(self.covers, "context")
+        moved = F.transform("spans", lambda s: s + _span(F.col("place"), F.col("place")))
+        return at.select(*KEY, F.explode(moved).alias("span")).groupBy(*KEY).agg(F.collect_list("span").alias("spans"))
 
     def removed(self) -> DataFrame:
-        """Every row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain)."""
-        s = self.spans().withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
-        both = self.docs.join(s, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left")
-        return both.select("doc_id", "body", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        """Every row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain).
+
+        Texts go through the shuffle compressed.
+        """
+        packed = self.docs.mapInArrow(_packed, "doc_id long, text_hash long, n_bytes long, body binary")
+        return packed.join(self.spans(), KEY, "left").select("doc_id", "body", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def _span(low, high):
+    return F.shiftleft(low.cast("long"), 31) + high
+
+
+def _packed(batches):
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=1)
+    for part, bodies in _parts(batches):
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([len(x) for x in bodies], pa.int64()), pa.array([z.compress(x) for x in bodies], pa.binary())], names=["doc_id", "text_hash", "n_bytes", "body"])
 
 
 def _merged(spans: list) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for low, high in sorted((s["low"], s["high"]) for s in spans):
+    for low, high in sorted((s >> 31, s & (1 << 31) - 1) for s in spans):
         if out and low <= out[-1][1]:
             out[-1] = (out[-1][0], max(high, out[-1][1]))
         else:
@@ -341,9 +350,12 @@ def _merged(spans: list) -> list[tuple[int, int]]:
 
 
 def _cut(batches):
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
     for part, bodies in _parts(batches):
         rows = []
-        for body, spans in zip(bodies, part.column("spans").to_pylist(), strict=True):
+        for body, spans in zip(map(z.decompress, bodies), part.column("spans").to_pylist(), strict=True):
             runs = _merged(spans or [])
             kept, at = [], 0
             for low, high in runs:
