@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words a Python worker remembers before it lets go of those not used lately.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 STORED = "doc_id long, shard int, pos long, n_tokens int, ids array<int>"
 
 _encoders: dict[str, Encoder] = {}
@@ -104,14 +104,16 @@ class Encoder:
         for p in split:
             del p[0]
             ids = list(map(known, p))
-            found.append(ids)
-            if None in ids:
-                wanted.update([w for w, x in zip(p, ids, strict=True) if x is None])
+            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else ()
+            wanted.update([p[i] for i in gaps])
+            found.append((ids, gaps))
         if wanted:
             self._learn(wanted)
             known = self.young.__getitem__
-            found = [[known(w) if x is None else x for w, x in zip(p, ids, strict=True)] if None in ids else ids for p, ids in zip(split, found, strict=True)]
-        return [f + b"".join(ids) for f, ids in zip(first, found, strict=True)]
+            for p, (ids, gaps) in zip(split, found, strict=True):
+                for i in gaps:
+                    ids[i] = known(p[i])
+        return [f + b"".join(ids) for f, (ids, _) in zip(first, found, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -129,7 +131,7 @@ def _encoded(tokenizer: str, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("pos", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
         for batch in batches:
-            for some in common.sized_batches(batch, "text"):
+            for some in common.sized_batches(batch, "text", 1 << 20):
                 ids = [x + end for x in coder.encode(some.column("text").to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(n)
@@ -150,14 +152,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = d.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(common.parts_for(docs.select("doc_id", "text"), shard_bytes), "doc_id", "nth")
     rows = ranged.sortWithinPartitions("doc_id", "nth").select("doc_id", "text").mapInArrow(_encoded(tokenizer, end_id), STORED)
-    (
-        rows.write.option("orc.compress", "LZ4")
-        .option("orc.bloom.filter.columns", "doc_id")
-        .option("orc.bloom.filter.fpp", str(bloom_fpp))
-        .option("orc.row.index.stride", "1000")
-        .option("orc.stripe.size", str(16 << 20))
-        .orc(path)
-    )
+    with common.batches_of(docs.sparkSession, 1000):
+        (
+            rows.write.option("orc.compress", "LZ4")
+            .option("orc.bloom.filter.columns", "doc_id")
+            .option("orc.bloom.filter.fpp", str(bloom_fpp))
+            .option("orc.row.index.stride", "1000")
+            .option("orc.stripe.size", str(16 << 20))
+            .orc(path)
+        )
 
 
 def read_tokens(spark: SparkSession, path: str, ids: list[int] | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
