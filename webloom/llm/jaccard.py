@@ -270,7 +270,7 @@ class Join:
         second = common.near(common.stored(pairs.select(F.col("b").alias("w")).distinct(), "wanted"))
         one = sets.toDF("a", "hashes_a").join(common.near(pairs), "a")
         two = sets.join(second, F.col("w") == F.col("set"), "left_semi").toDF("b", "hashes_b")
-        return common.stored(one.join(two, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_compared(self.t100), "a binary, b binary, both int, linked boolean, rest binary"), "compared")
+        return common.stored(one.join(two, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_compared(self.t100), "a binary, b binary, both int, linked boolean, rest binary"), "compared", 100)
 
     def _links(self) -> DataFrame:
         t = self.t100
