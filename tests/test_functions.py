@@ -208,3 +208,42 @@ def test_schema_from_prompt():
     assert [f.name for f in X.schema_from_prompt("{structs, traits, functions}")] == ["structs", "traits", "functions"]
     assert [f.name for f in X.schema_from_prompt('{"fields": [{"name": "a", "type": "number"}]}')] == ["a"]
     assert X.schema_from_prompt("nothing here") is None
+
+
+def test_more_urls(value):
+    assert value(U.is_tutorial(F.lit("https://docs.x.org/a"))) and value(U.is_tutorial(F.lit("https://x.org/guide"))) and not value(U.is_tutorial(F.lit("https://x.org/a")))
+    assert value(U.needs_browser(F.lit("https://mobile.x.com/a"))) and not value(U.needs_browser(F.lit("https://notx.com/")))
+    assert value(U.browser_first(F.lit("https://a.org"), "high"))
+
+
+def test_noise_and_prefixes(value):
+    assert value(Q.is_high_noise(F.lit("\n".join(["share", "reply now please"] * 6))))
+    assert not value(Q.is_high_noise(F.lit("one line")))
+    assert value(T.byte_prefix(F.lit("aé日"), 3)) == "aé" and value(T.byte_prefix(F.lit("aé日"), 5)) == "aé" and value(T.byte_prefix(F.lit("abc"), 9)) == "abc"
+    assert value(T.paragraphs_within(F.array(F.lit("a" * 400), F.lit("b" * 200), F.lit("c")), 100)) == ["a" * 400, "b" * 200]
+    assert value(T.research_queries(F.lit(" Rust  x ")))[0] == "Rust  x"
+    assert value(Q.preflight(F.lit(200), F.lit("captcha")))["rejected"] and value(Q.engine_timeout_ms(F.lit("brave"))) == 3500
+
+
+def test_requests():
+    from webloom.plans.config import Research
+
+    r = Research.of({"query": " q ", "depth": 99, "max_sources": 999, "max_concurrent": 999, "max_chars_per_source": 0, "relevance_threshold": 2.0})
+    assert (r.query, r.depth, r.max_sources, r.max_concurrent, r.max_chars, r.threshold) == ("q", 3, 20, 10, 1, 1.0)
+    for bad in ({"query": " "}, {"query": "q", "quality_mode": "turbo"}):
+        with pytest.raises(ValueError):
+            Research.of(bad)
+
+
+def test_cache_and_sql(spark, tmp_path):
+    from webloom.plans import sql_functions
+    from webloom.sources import cache
+
+    now = F.lit(dt.datetime(2024, 1, 1))
+    path = str(tmp_path / "cache")
+    cache.write(spark.createDataFrame([(1,)], "a int"), path, "q", now)
+    assert cache.read(spark, path, "q", now).first()["a"] == 1 and cache.read(spark, path, "other", now).count() == 0
+    assert cache.read(spark, path, "q", F.lit(dt.datetime(2024, 1, 2))).count() == 0
+    assert "web_words" in sql_functions.register(spark)
+    r = spark.sql("select web_words(' a b '), web_tokens('Ab abc'), web_domain('https://X.org/a'), web_cosine(array(1f, 0f), array(1f, 0f)), web_band(0.95D)").first()
+    assert tuple(r) == (2, ["abc"], "x.org", 1.0, "Exact")

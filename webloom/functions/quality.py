@@ -171,3 +171,32 @@ def is_grounded(value: Column, source: Column) -> Column:
     w = F.filter(F.split(v, "[^\\p{IsAlphabetic}\\p{N}]+"), lambda x: F.octet_length(x) >= 3)
     part = F.size(F.filter(w, lambda x: F.contains(s, x))) / F.greatest(F.size(w), F.lit(1))
     return (F.octet_length(v) < 4) | F.contains(s, v) | (F.size(w) == 0) | (part >= 0.70)
+
+
+def has_challenge(html: Column) -> Column:
+    return has_any(F.lower(html), tables.CHALLENGES)
+
+
+def preflight(status: Column, html: Column) -> Column:
+    """struct(status, words, reason, rejected) of a first look at a page."""
+    from .text import html_text
+
+    reason = block_reason(html)
+    return F.struct(status.alias("status"), word_count(html_text(html)).alias("words"), reason.alias("reason"), (reason.isNotNull() | (status >= 400)).alias("rejected"))
+
+
+def is_high_noise(text: Column) -> Column:
+    """Whether ten lines or more are mostly short ones and controls."""
+    lines = F.transform(F.split(text, "\\r?\\n"), lambda x: F.trim(x))
+    control = lambda x: (F.octet_length(x) < 40) & has_any(F.lower(x), tables.CONTROL_WORDS)
+    noise = F.size(F.filter(lines, lambda x: (F.octet_length(x) < 10) | control(x)))
+    chars = F.aggregate(F.filter(lines, lambda x: F.octet_length(x) >= 10), F.lit(0), lambda a, x: a + F.octet_length(x))
+    return (F.size(lines) >= 10) & ((noise / F.size(lines) > 0.6) | (F.floor(chars / F.size(lines)) < 20))
+
+
+def engine_timeout_ms(engine: Column) -> Column:
+    return F.greatest(F.lit(tables.ENGINE_TIMEOUT_LEAST), first_match([(engine == e, ms) for e, ms in tables.ENGINE_TIMEOUTS.items()], tables.ENGINE_TIMEOUT))
+
+
+def is_media(resource: Column) -> Column:
+    return F.lower(resource).isin("media", "font")

@@ -245,10 +245,12 @@ def recovery_queries(query: Column, effective: Column) -> Column:
     return F.array_except(F.array_distinct(tried), F.array(query, effective))
 
 
-def research_queries(query: Column) -> Column:
-    """The query and its angles, once each."""
+def research_queries(query: Column, most: int = 6) -> Column:
+    """The query and its angles, without regard to case and spacing once each, `most` of them."""
     every = F.array(F.trim(query), *[F.concat(query, F.lit(" " + a)) for a in tables.RESEARCH_ANGLES])
-    return F.array_distinct(every)
+    same = lambda a, b: normalized_query(a) == normalized_query(b)
+    add = lambda have, q: F.when(F.exists(have, lambda h: same(h, q)), have).otherwise(F.concat(have, F.array(q)))
+    return F.slice(F.aggregate(every, F.array().cast("array<string>"), add), 1, most)
 
 
 def query_topic(query: Column) -> Column:
@@ -266,3 +268,25 @@ def is_similar_query(a: Column, b: Column) -> Column:
     within = (F.size(x) > 0) & (F.size(y) > 0) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
     common = F.size(F.filter(x, lambda t: F.array_contains(y, t))) / F.greatest(F.size(x), F.size(y), F.lit(1))
     return (F.lower(a) == F.lower(b)) | within | ((F.size(x) >= 2) & (F.size(y) >= 2) & (common > 0.7))
+
+
+def byte_prefix(text: Column, most: int) -> Column:
+    """The longest beginning of at most so many bytes that cuts no character."""
+    cut = F.substring(text.cast("binary"), 1, most)
+    # a character that is cut becomes a replacement character
+    keep = F.make_valid_utf8(cut.cast("string"))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(keep, "\\uFFFD+$", ""))
+
+
+def paragraphs_within(paragraphs: Column, max_chars: int) -> Column:
+    """The first paragraphs until their bytes, with four each besides, reach max_chars - 2000, 500 at least."""
+    budget = max(500, max_chars - 2000)
+    begin = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept"))
+    step = lambda s, p: F.when(s["n"] >= budget, s).otherwise(F.struct((s["n"] + F.octet_length(p) + 4).alias("n"), F.concat(s["kept"], F.array(p)).alias("kept")))
+    return F.aggregate(paragraphs, begin, step, lambda s: s["kept"])
+
+
+def image_hints(images: Column, fallback: Column, most: int = 3) -> Column:
+    """Markdown of the first images, array of struct(src, alt, title)."""
+    label = lambda i: F.coalesce(F.nullif(i["alt"], F.lit("")), F.nullif(i["title"], F.lit("")), fallback)
+    return F.transform(F.slice(images, 1, most), lambda i: F.concat(F.lit("!["), label(i), F.lit("]("), i["src"], F.lit(")")))

@@ -189,3 +189,18 @@ def scheme_by_port(port: Column) -> Column:
     return first_match([(port.isin(443, 8443), "https"), (port.isin(1080, 1081, 1082, 1085, 1086, 1088, 10800, 10808, 10809, 9050, 9150, 4145), "socks5")], "http")
 
 
+
+
+def is_tutorial(url: Column) -> Column:
+    h, p = F.coalesce(host(url), F.lit("")), F.lower(path(url))
+    return has_any(h, tables.TUTORIAL_HOSTS) | h.startswith(tables.TUTORIAL_PREFIXES[0]) | h.startswith(tables.TUTORIAL_PREFIXES[1]) | has_any(p, tables.TUTORIAL_PATHS)
+
+
+def needs_browser(url: Column) -> Column:
+    h = F.coalesce(host(url), F.lit(""))
+    return has_any(h, tables.BROWSER_HOSTS) | (h == tables.BROWSER_DOMAIN) | h.endswith("." + tables.BROWSER_DOMAIN)
+
+
+def browser_first(url: Column, quality: str = "balanced", proxy: bool = False, app_state: bool = False) -> Column:
+    """Whether a page should come from a browser's rendering: for a proxy, for page state, for high quality, for some sites."""
+    return F.lit(True) if proxy or app_state or quality in ("aggressive", "high") else needs_browser(url)

@@ -87,7 +87,27 @@ def deep_research(results: DataFrame, pages: DataFrame, query: str, as_of: Colum
     return found.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= max_sources)
 
 
-def clean_json(fetched: DataFrame) -> DataFrame:
+def memory_candidates(rows: DataFrame, query: str, as_of: Column, budget: int = 20) -> DataFrame:
+    """URLs that past searches know for a query, before a new search: url, via, ord.
+
+    Those of a near duplicate of the last three days; if it has none, those of
+    like searches, told whether their query was the same.
+    """
+    vector = R.embedded(F.lit(query))
+    recent = M.recent_duplicate(rows, vector, as_of, 72).select("id", F.col("full_result").alias("json"))
+    first = D.logged_urls(recent, budget).select(F.posexplode("urls").alias("ord", "url")).select("url", F.lit("memory_duplicate").alias("via"), "ord")
+    if first.limit(1).count():
+        return first
+    like = M.hybrid(rows, query, vector, max(12, budget), 0.55, "search")
+    ranked = like.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    urls = D.logged_urls(ranked.select("id", F.col("full_result").alias("json")), budget)
+    via = F.when(T.normalized_query(F.col("query")) == T.normalized_query(F.lit(query)), "memory_exact").otherwise("memory_history")
+    each = ranked.select("id", "place", via.alias("via")).join(urls, "id").select("via", "place", F.posexplode("urls").alias("at", "url"))
+    best = each.groupBy("url").agg(F.min(F.struct("place", "at", "via")).alias("b")).orderBy("b").limit(budget)
+    return best.select("url", F.col("b.via").alias("via"), F.row_number().over(Window.orderBy("b")).alias("ord"))
+
+
+def clean_json(fetched: DataFrame, max_chars: int = 10_000) -> DataFrame:
     """fetched pages as url, title, paragraphs, key_points: paragraphs long enough and without boilerplate, and their first sentences."""
     from .. import tables
 
@@ -95,4 +115,4 @@ def clean_json(fetched: DataFrame) -> DataFrame:
     paragraphs = F.filter(F.split("clean_content", "\\n\\n"), lambda p: (T.word_count(p) >= least) & ~T.has_any(F.lower(p), tables.BOILERPLATE))
     first = lambda p: F.regexp_extract(p, "^(.+?[.!?])(?:\\s|$)", 1)
     points = F.filter(F.transform(paragraphs, first), lambda s: T.word_count(s) >= 4)
-    return fetched.select("url", "title", paragraphs.alias("paragraphs"), points.alias("key_points"))
+    return fetched.select("url", "title", T.paragraphs_within(paragraphs, max_chars).alias("paragraphs"), points.alias("key_points"))

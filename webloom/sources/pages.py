@@ -71,19 +71,24 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def scored(rows: DataFrame) -> DataFrame:
-    """Parsed pages with counts, quality, reading time and domain; column expressions only."""
+    """Parsed pages with counts, quality, reading time and domain; column expressions only.
+
+    A page without clean content falls back to its markdown, at a fixed low score.
+    """
+    bare = (F.trim("clean_content") == "") & (F.trim("markdown") != "")
+    rows = rows.withColumn("fallback", bare).withColumn("clean_content", F.when(bare, F.col("markdown")).otherwise(F.col("clean_content")))
     w = F.size(F.filter(F.split("clean_content", "(?U)\\s+"), lambda x: x != "")).cast("long")
     r = rows.withColumn("word_count", w)
     r = r.withColumns(
         {
-            "extraction_score": Q.extraction_score(F.col("word_count"), F.col("published_at"), F.size("code_blocks"), F.size("headings")),
+            "extraction_score": F.when(F.col("fallback"), 0.3).otherwise(Q.extraction_score(F.col("word_count"), F.col("published_at"), F.size("code_blocks"), F.size("headings"))),
             "reading_minutes": Q.reading_minutes(F.col("word_count")),
             "domain": U.domain(F.col("url")),
             "page_type": Q.page_type(F.col("url"), F.col("title"), F.col("clean_content"), F.size("headings"), F.col("word_count"), F.col("published_at")),
         }
     )
-    warn = [F.when(F.col("word_count") < 50, "short_content"), F.when(F.col("extraction_score") < 0.4, "low_extraction_score"), F.when(Q.is_auth_wall(F.col("clean_content")), "content_restricted")]
-    return r.withColumn("warnings", F.filter(F.array(*warn), lambda x: x.isNotNull()))
+    warn = [F.when(F.col("fallback"), "fallback_scraper_used"), F.when(F.col("word_count") < 50, "short_content"), F.when(F.col("extraction_score") < 0.4, "low_extraction_score"), F.when(Q.is_auth_wall(F.col("clean_content")), "content_restricted")]
+    return r.withColumn("warnings", F.filter(F.array(*warn), lambda x: x.isNotNull())).drop("fallback")
 
 
 def fetched(urls: DataFrame, pages: DataFrame, max_chars: int = 10_000) -> DataFrame:

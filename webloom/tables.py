@@ -254,3 +254,22 @@ BOILERPLATE = ["terms of service", "privacy policy", "cookie policy", "all right
 
 # Month names in dates of snippets.
 MONTHS = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+
+# Hosts and paths of tutorials.
+TUTORIAL_HOSTS = ["doc.rust-lang.org", "docs.rs", "developer.mozilla.org", "docs.python.org", "learn.microsoft.com", "docs.microsoft.com", "reactjs.org", "vuejs.org"]
+TUTORIAL_PREFIXES = ["docs.", "doc."]
+TUTORIAL_PATHS = ["/tutorial", "/guide", "/docs/", "/book/", "/learn/"]
+
+# Vendors of challenges.
+CHALLENGES = ["challenges.cloudflare.com", "hcaptcha.com", "recaptcha", "perimeterx", "datadome.co"]
+
+# Sites that show their content only in a browser.
+BROWSER_HOSTS = ["ticketmaster.", "linkedin.", "instagram.", "airbnb.", "upwork.", "indeed.", "tiktok."]
+BROWSER_DOMAIN = "x.com"
+
+# Milliseconds that an engine is given.
+ENGINE_TIMEOUTS = {"duckduckgo": 4500, "ddg": 4500, "brave": 3500}
+ENGINE_TIMEOUT, ENGINE_TIMEOUT_LEAST = 2500, 250
+
+# Words of lines that are controls.
+CONTROL_WORDS = ["share", "upvote", "downvote", "comment", "reply", "login", "sign up", "subscribe", "follow", "like", "tweet", "retweet", "menu", "navigation"]
