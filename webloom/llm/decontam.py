@@ -55,19 +55,40 @@ def text_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def hits(docs: DataFrame, items: DataFrame, size: int = 10, small: int = 500_000) -> DataFrame:
-    """doc_id, text_hash, start (of a word, from 0), n_words, window, items: each occurrence of a window in a document."""
+#: Marks among a document's shingles, none of which holds such a character: its place tells how many words there are.
+MARK, MARK_ONE = "\x00", "\x01"
+
+
+def _found(docs: DataFrame, items: DataFrame, size: int, small: int) -> tuple[DataFrame, DataFrame, bool]:
+    """The windows, and the places of their shingles in documents: doc_id, text_hash, pos, part.
+
+    If the shingles are few enough to be broadcast (the third value), each
+    document has a row for a mark as well.
+    """
     win = common.stored(windows(items, size), "windows")
     parts = win.select(F.explode("parts").alias("part")).distinct()
     fits = parts.count() <= small
-    near = F.broadcast if fits else (lambda df: df)
     d = text_key(docs).select(*KEY, words(F.col("text")).alias("w"))
-    found = d.select(*KEY, F.posexplode(shingles(F.col("w"))).alias("pos", "part")).join(near(parts), "part")
-    if win.where(F.size("parts") == 1).where(F.col("n_words") == 1).limit(1).count():
-        single = win.where(F.col("n_words") == 1).select(F.col("parts")[0].alias("part"))
-        found = found.unionByName(d.where(F.size("w") > 1).select(*KEY, F.posexplode("w").alias("pos", "part")).join(near(single), "part"))
-    found = common.stored(found.select(*KEY, "pos", "part"), "shingles")
+    each = shingles(F.col("w"))
+    if fits:
+        marks = docs.sparkSession.createDataFrame([(MARK,), (MARK_ONE,)], "part string")
+        parts = F.broadcast(parts.unionByName(marks))
+        each = F.concat(each, F.array(F.when(F.size("w") == 1, MARK_ONE).otherwise(MARK)))
+    found = d.select(*KEY, F.posexplode(each).alias("pos", "part")).join(parts, "part")
+    single = win.where(F.col("n_words") == 1).select(F.col("parts")[0].alias("part"))
+    if single.limit(1).count():
+        found = found.unionByName(d.where(F.size("w") > 1).select(*KEY, F.posexplode("w").alias("pos", "part")).join(F.broadcast(single) if fits else single, "part"))
+    return win, common.stored(found.select(*KEY, "pos", "part"), "shingles"), fits
 
+
+def hits(docs: DataFrame, items: DataFrame, size: int = 10, small: int = 500_000) -> DataFrame:
+    """doc_id, text_hash, start (of a word, from 0), n_words, window, items: each occurrence of a window in a document."""
+    return _hits(*_found(docs, items, size, small), size)
+
+
+def _hits(win: DataFrame, found: DataFrame, fits: bool, size: int) -> DataFrame:
+    near = F.broadcast if fits else (lambda df: df)
+    found = found.where(~F.col("part").isin(MARK, MARK_ONE))
     counts = found.groupBy("part").agg(F.count("*").alias("n"))
     at = win.select("window", "n_words", "parts", F.posexplode("parts").alias("offset", "part"))
     # a window with a shingle that no document has cannot occur
@@ -108,11 +129,15 @@ def summary(found: DataFrame) -> DataFrame:
     return by.select(*KEY, F.size(F.array_distinct(inside)).cast("long").alias("n_hit"), "item_ids")
 
 
-def report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, size: int = 10, small: int = 500_000) -> DataFrame:
     """Every document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    k = text_key(docs)
-    base = k.select(*KEY, F.regexp_count(common.lowered(F.col("text")), F.lit(f"[^{SEPARATORS}]+")).cast("long").alias("n_words"))
-    s = summary(hits(docs, items, size)).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    win, found, fits = _found(docs, items, size, small)
+    if fits:  # of n > 1 words there are n - 1 pairs before the mark
+        n = F.when(F.col("part") == MARK_ONE, 1).when(F.col("pos") == 0, 0).otherwise(F.col("pos") + 1)
+        base = found.where(F.col("part").isin(MARK, MARK_ONE)).select(*KEY, n.cast("long").alias("n_words"))
+    else:
+        base = text_key(docs).select(*KEY, F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    s = summary(_hits(win, found, fits, size)).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     both = base.join(s, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<long>"))
     named = F.concat_ws(",", F.sort_array(F.transform(ids, lambda i: i.cast("string"))))
