@@ -40,8 +40,8 @@ from . import common, hashing
 SKETCH_BITS, TABLE_BITS = 22, 26
 #: Sketch cells that are sent and summed together, as a power of two.
 BLOCK_BITS = 16
-#: Estimated candidates of a prefix for which one match is enough, and the most matches.
-COST, MOST = 64, 8
+#: Matches asked of a prefix; the estimated candidates for which they are enough; the most matches.
+LEAST, COST, MOST = 4, 64, 8
 
 #: White space becomes a space, A-Z small letters.
 _WORDS = bytes(32 if c in b"\x20\x09\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -127,7 +127,7 @@ def _prefixes(n: int, t100: int, sketch):
                     rank = np.log2(1 + seen // usual).astype(np.int64)  # rarity in powers of two; ties by hash
                     order = np.lexsort((s, rank))
                     cost = float(np.maximum(seen[order[:length]].astype(np.int64) - 3 * usual, 0).sum())
-                    more = min(MOST, 1 + int(math.log2(1 + cost / COST)), need)
+                    more = min(MOST, LEAST + int(math.log2(1 + cost / COST)), need)
                     rows.append((_digest(s), len(s), more, s[order[: length + more - 1]].tobytes()))
                 kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
@@ -172,19 +172,29 @@ def _wanted(n: int, sent):
 
 
 def _compared(t100: int):
-    """Pairs with the size of their intersection, whether they link, and what only the first has."""
+    """Pairs with the size of their intersection, whether they link, and a prefix of what only the first has.
+
+    A class that links with the first, if not by what both have in common with
+    the second, has at least k of the rest; so prefixes of the rest that leave
+    out k - m shingles share m of them.
+    """
 
     def run(batches):
         for batch in batches:
-            both, linked, rest = [], [], []
+            both, linked, rest, matches = [], [], [], []
             for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common_ = np.isin(a, b, assume_unique=True)
                 n = int(common_.sum())
                 both.append(n)
                 linked.append(100 * n >= t100 * (len(a) + len(b) - n))
-                rest.append(a[~common_].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int32()), pa.array(linked, pa.bool_()), pa.array(rest, pa.binary())], names=["a", "b", "both", "linked", "rest"])
+                k = max(1, -(-t100 * len(a) // 100) - n)
+                m = min(MOST, k)
+                only = a[~common_]
+                rest.append(only[: max(0, len(only) - k + m)].tobytes())
+                matches.append(m)
+            kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(v, t) for v, t in zip((both, linked, rest, matches), kinds, strict=True))], names=["a", "b", "both", "linked", "rest", "matches"])
 
     return run
 
@@ -201,7 +211,7 @@ def _rests(sent=None):
                 flat = np.frombuffer(b"".join(rest), np.int64)
                 keep = slice(None) if table is None else common.in_table(table, flat.view(np.uint64), TABLE_BITS)
                 at = pa.array(np.repeat(np.arange(len(rest)), [len(x) // 8 for x in rest])[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), *(some.column(c).take(at) for c in ("set", "pivot", "both", "component", "out"))], names=["shingle", "set", "pivot", "o", "component", "out"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), *(some.column(c).take(at) for c in ("set", "pivot", "both", "matches", "component", "out"))], names=["shingle", "set", "pivot", "o", "matches", "component", "out"])
 
     return run
 
@@ -270,7 +280,7 @@ class Join:
         second = common.near(common.stored(pairs.select(F.col("b").alias("w")).distinct(), "wanted"))
         one = sets.toDF("a", "hashes_a").join(common.near(pairs), "a")
         two = sets.join(second, F.col("w") == F.col("set"), "left_semi").toDF("b", "hashes_b")
-        return common.stored(one.join(two, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_compared(self.t100), "a binary, b binary, both int, linked boolean, rest binary"), "compared", 100)
+        return common.stored(one.join(two, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_compared(self.t100), "a binary, b binary, both int, linked boolean, rest binary, matches int"), "compared", 100)
 
     def _links(self) -> DataFrame:
         t = self.t100
@@ -278,16 +288,18 @@ class Join:
         # A class that shares a shingle has all its shingles before that one in its prefix.  So what another class has
         # of them before it, unshared, is not common to the two; that bounds what is common, and so the partner's size.
         nth = F.row_number().over(Window.partitionBy("set").orderBy("place"))
-        shared = self._shared().withColumn("own", F.col("place") - nth + 1)
+        shared = self._shared().withColumns({"own": F.col("place") - nth + 1, "n": F.count("*").over(Window.partitionBy("set"))})
         low, high = F.ceil(t * F.col("size") / 100), F.floor((F.col("size") - F.col("own")) * (100 + t) / t - F.col("size"))
         s = shared.withColumns({"low": low, "high": F.least(high, F.floor(100 * F.col("size") / t))})
-        s = s.where(F.col("low") <= F.col("high")).select("shingle", "set", "size", "matches", "low", "high", (F.col("own") / F.col("size")).alias("own"))
+        enough = F.least(F.lit(LEAST), "matches", F.ceil(t * low / 100))  # partners ask for as many at least
+        s = s.where((F.col("low") <= F.col("high")) & (F.col("n") >= enough)).select("shingle", "set", "size", "matches", "low", "high", (F.col("own") / F.col("size")).alias("own"))
         s = common.stored(s, "bounded")
 
         # each class with the pivot of its shingles: the class that has the least of its own
         pivot = s.groupBy("shingle").agg(F.min(F.struct("own", "set", "size", "matches", "low", "high")).alias("p"))
-        star = s.join(pivot, "shingle").where(F.col("set") != F.col("p.set")).where(F.col("p.size").between(F.col("low"), F.col("high")) & F.col("size").between(F.col("p.low"), F.col("p.high")))
-        near = star.groupBy("set", F.col("p.set").alias("pivot")).agg(F.count("*").alias("n"), F.first(F.least("matches", "p.matches")).alias("need")).where(F.col("n") >= F.col("need"))
+        s = common.stored(s.join(pivot, "shingle").select(*s.columns, "p.set", *[F.col(f"p.{c}").alias(c + "_p") for c in ("size", "matches", "low", "high")]).toDF(*s.columns, "pivot", "size_p", "matches_p", "low_p", "high_p"), "pivots")
+        star = s.where((F.col("set") != F.col("pivot")) & F.col("size_p").between(F.col("low"), F.col("high")) & F.col("size").between(F.col("low_p"), F.col("high_p")))
+        near = star.groupBy("set", "pivot").agg(F.count("*").alias("n"), F.first(F.least("matches", "matches_p")).alias("need")).where(F.col("n") >= F.col("need"))
         star = self._compare(common.stored(near.select(F.col("set").alias("a"), F.col("pivot").alias("b")), "star"))
         links = star.where("linked").select("a", "b")
         label = components(links)
@@ -301,7 +313,7 @@ class Join:
         # Classes of a shingle that are not in its pivot's component meet the others.  Two that were both compared with
         # the pivot, and have less in common with it than they need of each other, link only by shingles that the pivot
         # lacks: they meet by those, below.
-        over = s.join(pivot.select("shingle", F.col("p.set").alias("pivot")), "shingle").join(near_star, ["set", "pivot"], "left")
+        over = s.join(near_star, ["set", "pivot"], "left")
         over = labelled(over.withColumn("o", F.when(F.col("set") == F.col("pivot"), F.col("size")).otherwise(F.col("o")))).withColumn("out", F.col("component") != F.col("pivots"))
         group = over.groupBy("shingle").agg(F.min("size").alias("s0"), F.max("size").alias("s1"), F.max("out").alias("some"))
         kind = F.when(F.col("o").isNull(), 0).when(F.col("o") >= least(F.col("size"), F.col("s0")), 1).otherwise(2)
@@ -317,22 +329,22 @@ class Join:
         by_pivot = F.coalesce(F.least("o_x", "o_y"), F.lit(1 << 30))
         known = c("o_x").isNotNull() & c("o_y").isNotNull() & (by_pivot < least(c("size_x"), c("size_y")))
         met = x.join(y, ["shingle", "kind"]).where(apart & fits & ~known)
-        rest = met.groupBy(c("set_x").alias("a"), c("set_y").alias("b")).agg(F.count("*").alias("n"), F.first(F.least("matches_x", "matches_y")).alias("need")).where("n >= need").select("a", "b")
+        rest = met.groupBy(F.least("set_x", "set_y").alias("a"), F.greatest("set_x", "set_y").alias("b")).agg(F.count("*").alias("n"), F.first(F.least("matches_x", "matches_y")).alias("need")).where("n >= need").select("a", "b")
 
         sizes = common.near(common.stored(self.members.select("set", "size").distinct(), "sizes"))
         pairs = labelled(star.withColumnsRenamed({"a": "set", "b": "pivot"})).withColumn("out", F.col("component") != F.col("pivots"))
-        row = "shingle long, set binary, pivot binary, o int, component binary, out boolean"
+        row = "shingle long, set binary, pivot binary, o int, matches int, component binary, out boolean"
         outer = pairs.where("out").mapInArrow(_rests(), row).select(F.col("shingle").alias("key")).distinct()
         sent = self.spark.sparkContext.broadcast(common.bit_table(outer, TABLE_BITS))
         own = common.stored(pairs.mapInArrow(_rests(sent), row), "rests")
         several = own.groupBy("pivot", "shingle").agg(F.count("*").alias("n"), F.max("out").alias("some")).where("some and n > 1").select("pivot", "shingle")
-        own = common.stored(own.join(several, ["pivot", "shingle"]).join(sizes, "set").select("pivot", "shingle", "set", "size", "o", "component", "out"), "rests")
-        names = ["set", "size", "o", "component", "out"]
+        own = common.stored(own.join(several, ["pivot", "shingle"]).join(sizes, "set").select("pivot", "shingle", "set", "size", "o", "matches", "component", "out"), "rests")
+        names = ["set", "size", "o", "matches", "component", "out"]
         x = own.where("out").select("pivot", "shingle", *[F.col(n).alias(n + "_x") for n in names])
         y = own.select("pivot", "shingle", *[F.col(n).alias(n + "_y") for n in names])
         fits = F.least("size_x", "size_y") * 100 >= t * F.greatest("size_x", "size_y")
         both = x.join(y, ["pivot", "shingle"]).where(apart & fits)
-        found = both.groupBy("pivot", c("set_x").alias("a"), c("set_y").alias("b")).agg(F.count("*").alias("n"), F.first(least(c("size_x"), c("size_y")) - F.least("o_x", "o_y")).alias("need")).where("n >= need")
+        found = both.groupBy("pivot", c("set_x").alias("a"), c("set_y").alias("b")).agg(F.count("*").alias("n"), F.first(F.least("matches_x", "matches_y")).alias("need")).where("n >= need")
         rest = common.stored(rest.union(found.select("a", "b")).distinct(), "rest")
         if rest.limit(1).count():
             links = links.unionByName(self._compare(rest).where("linked").select("a", "b"))
