@@ -10,12 +10,14 @@ A window can only repeat in a block whose anchor's gram repeats.
    are counted.
 2. A context of several occurrences repeats as a whole.
 3. If a gram has different contexts, some of one occurrence, the bytes of its
-   contexts are read again and sorted by the suffixes that begin
-   their windows.  A stack scan over the common prefixes of neighbours gives
-   the tree of intervals; an interval of `size` bytes or more whose suffixes
-   have different bytes to their left is a maximal repeat, and all of the
-   interval's suffixes are its occurrences.  A repeat is maximal as far as its
-   contexts reach; longer ones appear as several that overlap.
+   contexts are read again, with the suffixes that begin their windows.  Of the
+   suffix array only the parts of `size` common bytes and more matter: those
+   are found by the hash of so many bytes, and each is sorted.  A stack scan
+   over the common prefixes of neighbours gives the tree of intervals; one of
+   `size` bytes or more whose suffixes have different bytes to their left is a
+   maximal repeat, and all of its suffixes are the occurrences.  A repeat is
+   maximal as far as its contexts reach; longer ones appear as several that
+   overlap.
 
 A gram with more than `MOST` different contexts is too large for one suffix
 array; its windows are compared by their hashes, each on its own, which is
@@ -139,30 +141,6 @@ def _bodies(size: int, sent):
     return run
 
 
-def suffix_ranks(b: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-    """Rank of the `size` bytes from each place of b among all; strings that would cross one of `ends` are all different.
-
-    Eight bytes make a first rank; pairs of ranks are ranked again, over twice the length each time.
-    """
-    n = len(b)
-    padded = np.concatenate([b, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(n, np.uint64)
-    for i in range(8):
-        word = word << np.uint64(8) | padded[i : i + n]
-    _, rank = np.unique(word, return_inverse=True)
-    crossing = (ends[None] - np.arange(1, 8)[:, None]).ravel()
-    crossing = crossing[(crossing >= 0) & (crossing < n)]
-    rank[crossing] = n + 1 + crossing
-    length = 8
-    while length < size:
-        step = min(length, size - length)
-        second = np.full(n, -1)
-        second[: n - step] = rank[step:]
-        _, rank = np.unique(rank * np.int64(2 * n + 2) + second + 1, return_inverse=True)
-        length += step
-    return rank
-
-
 def maximal_repeats(contexts: list[bytes], counts: list[int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Groups (length, [(context, place)]) of the maximal repeats of `size` bytes or more.
 
@@ -174,14 +152,13 @@ def maximal_repeats(contexts: list[bytes], counts: list[int], size: int) -> list
     b = np.frombuffer(raw, np.uint8)
     ends = np.cumsum([len(c) for c in contexts])
     begins = ends - [len(c) for c in contexts]
-    rank = suffix_ranks(b, ends, size)
     c = np.array(counts)
     of = np.repeat(np.arange(len(contexts)), c)
     place = np.arange(len(of)) - np.repeat(np.cumsum(c) - c, c)
     at = begins[of] + place
     # before a context's first suffix stands a byte of its own
     left = np.where(place > 0, b[np.maximum(at - 1, 0)].astype(np.int64), 256 + of)
-    r = rank[at]
+    r = hashing.Substrings(b).of(at, at + size)
     order = np.argsort(r, kind="stable")
     r, left_sorted = r[order], left[order]
     heads = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
@@ -190,8 +167,8 @@ def maximal_repeats(contexts: list[bytes], counts: list[int], size: int) -> list
     groups = []
     for h, n in zip(heads[diverse].tolist(), sizes[diverse].tolist(), strict=True):
         members = order[h : h + n].tolist()
-        tails = sorted((raw[at[i] + size : ends[of[i]]], i) for i in members)
-        groups += _intervals(tails, size, left, of, place)
+        suffixes = sorted((raw[at[i] : ends[of[i]]], i) for i in members)
+        groups += _intervals(suffixes, size, left, of, place)
     return groups
 
 
@@ -209,27 +186,25 @@ def _common(x: bytes, y: bytes) -> int:
     return low
 
 
-def _intervals(tails: list[tuple[bytes, int]], size: int, left: np.ndarray, of: np.ndarray, place: np.ndarray) -> list:
-    """Left-diverse intervals of the tree over sorted suffixes that agree in their first `size` bytes.
+def _intervals(suffixes: list[tuple[bytes, int]], size: int, left: np.ndarray, of: np.ndarray, place: np.ndarray) -> list:
+    """Left-diverse intervals of `size` bytes and more of the tree over sorted suffixes.
 
     The stack holds open intervals (common prefix, first suffix, left byte or None if they differ).
     """
     out, stack = [], []
-    lcp = [_common(x[0], y[0]) for x, y in zip(tails, tails[1:], strict=False)] + [-1]
-    for k, (_, i) in enumerate(tails):
-        sides, start = left[i], k
-        if stack:
-            top = stack[-1]
-            top[2] = top[2] if top[2] == sides else None
+    lcp = [_common(x[0], y[0]) for x, y in zip(suffixes, suffixes[1:], strict=False)] + [-1]
+    for k, (_, i) in enumerate(suffixes):
+        side, start = left[i], k
+        if stack and stack[-1][2] != side:
+            stack[-1][2] = None
         while stack and stack[-1][0] > lcp[k]:
-            depth, start, seen = stack.pop()
-            if seen is None:
-                out.append((size + depth, [(int(of[j]), int(place[j])) for _, j in tails[start : k + 1]]))
-            sides = seen
-            if stack:
-                stack[-1][2] = stack[-1][2] if stack[-1][2] == seen else None
+            depth, start, side = stack.pop()
+            if side is None and depth >= size:
+                out.append((depth, [(int(of[j]), int(place[j])) for _, j in suffixes[start : k + 1]]))
+            if stack and stack[-1][2] != side:
+                stack[-1][2] = None
         if lcp[k] >= 0 and (not stack or stack[-1][0] < lcp[k]):
-            stack.append([lcp[k], start, sides])
+            stack.append([lcp[k], start, side])
     return out
 
 
