@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words a Python worker remembers before it lets go of those not used lately.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 STORED = "doc_id long, shard int, pos long, n_tokens int, ids array<int>"
 
 _encoders: dict[str, Encoder] = {}
@@ -143,7 +143,7 @@ def _encoded(tokenizer: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_bytes: int = 16 << 20, bloom_fpp: float = 0.01) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_bytes: int = 8 << 20, bloom_fpp: float = 0.01) -> None:
     """Encodes docs(doc_id, text) into ORC files at path.
 
     One range shuffle puts documents in order; rows with one doc_id
