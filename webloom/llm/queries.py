@@ -33,7 +33,7 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.Repeats(_table(spark, sf_dir, "documents")).removed().drop("kept")
+    return repeats.Repeats(_table(spark, sf_dir, "documents")).removed(texts=False)
 
 
 def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

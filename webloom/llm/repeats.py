@@ -46,7 +46,7 @@ GRAM = 64
 #: Bits of the table of grams, as a power of two.
 TABLE_BITS = 26
 #: Different contexts of a gram in one suffix array, and bytes of contexts sorted together.
-MOST, SORTED = 20_000, 2 << 20
+MOST, SORTED = 1_000, 2 << 20
 KEY = ["text_hash", "n_bytes"]
 _PLACE = 31
 _LOW = np.uint64((1 << _PLACE) - 1)
@@ -293,13 +293,15 @@ class Repeats:
         moved = F.transform("spans", lambda s: s + _span(F.col("place"), F.col("place")))
         return at.select(*KEY, F.explode(moved).alias("span")).groupBy(*KEY).agg(F.collect_list("span").alias("spans"))
 
-    def removed(self) -> DataFrame:
-        """Every row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain).
+    def removed(self, texts: bool = True) -> DataFrame:
+        """Every row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept (the bytes that remain).
 
         Texts go through the shuffle compressed.
         """
         packed = self.docs.mapInArrow(_packed, "doc_id long, text_hash long, n_bytes long, body binary")
-        return packed.join(self.spans(), KEY, "left").select("doc_id", "body", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        both = packed.join(self.spans(), KEY, "left").select("doc_id", "body", "spans")
+        row = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        return common.stored(both.mapInArrow(_cut(texts), row + ", kept binary" if texts else row), "removed", 250)
 
 
 def _span(low, high):
@@ -324,19 +326,24 @@ def _merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(batches):
-    import zstandard
+def _cut(texts: bool):
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if texts else 5]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
-    z = zstandard.ZstdDecompressor()
-    for part, bodies in _parts(batches):
-        rows = []
-        for body, spans in zip(map(z.decompress, bodies), part.column("spans").to_pylist(), strict=True):
-            runs = _merged(spans or [])
-            kept, at = [], 0
-            for low, high in runs:
-                kept.append(body[at:low])
-                at = high
-            kept = b"".join([*kept, body[at:]])
-            rows.append((len(body), len(body) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+    def run(batches):
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        for part, bodies in _parts(batches):
+            rows = []
+            for body, spans in zip(map(z.decompress, bodies), part.column("spans").to_pylist(), strict=True):
+                runs = _merged(spans or [])
+                kept, at = [], 0
+                for low, high in runs:
+                    kept.append(body[at:low])
+                    at = high
+                kept = b"".join([*kept, body[at:]])
+                rows.append((len(body), len(body) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if texts else None))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names) - 1))], names=names)
+
+    return run
