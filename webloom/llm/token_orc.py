@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words a Python worker remembers before it lets go of those not used lately.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 STORED = "doc_id long, shard int, pos long, n_tokens int, ids array<int>"
 
 _encoders: dict[str, Encoder] = {}
@@ -127,6 +127,7 @@ def _encoded(tokenizer: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker held
         shard, pos, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("pos", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -152,7 +153,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = d.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(common.parts_for(docs.select("doc_id", "text"), shard_bytes), "doc_id", "nth")
     rows = ranged.sortWithinPartitions("doc_id", "nth").select("doc_id", "text").mapInArrow(_encoded(tokenizer, end_id), STORED)
-    with common.batches_of(docs.sparkSession, 1000):
+    with common.batches_of(docs.sparkSession, 250):
         (
             rows.write.option("orc.compress", "LZ4")
             .option("orc.bloom.filter.columns", "doc_id")
@@ -193,4 +194,5 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     sums = read_tokens(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     each = read_tokens(spark, path).select("doc_id", "shard", "pos", "ids").mapInArrow(_digests, "doc_id long, shard int, pos long, n_tokens long, ids_crc32 long")
+    each = common.stored(each, "digests", 250)
     return each.join(before, "shard").select("doc_id", (F.col("before") + F.col("pos")).alias("start"), "n_tokens", "ids_crc32")
