@@ -46,7 +46,7 @@ GRAM = 64
 #: Bits of the table of grams, as a power of two.
 TABLE_BITS = 26
 #: Different contexts of a gram in one suffix array, and bytes of contexts sorted together.
-MOST, SORTED = 1_000, 2 << 20
+MOST, SORTED = 2_000, 2 << 20
 KEY = ["text_hash", "n_bytes"]
 _PLACE = 31
 _LOW = np.uint64((1 << _PLACE) - 1)
@@ -285,7 +285,8 @@ class Repeats:
             twice = each.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("window")
             covers = covers.unionByName(each.join(twice, "window").select("context", F.col("place").alias("low"), (F.col("place") + size).alias("high")))
         whole = self.contexts.where(F.col("n") > 1).select("context", F.lit(0).alias("low"), (F.col("count") - 1 + size).alias("high"))
-        self.covers = covers.unionByName(whole).groupBy("context").agg(F.collect_set(_span(F.col("low"), F.col("high"))).alias("spans"))
+        every = covers.unionByName(whole).groupBy("context").agg(F.sort_array(F.collect_set(_span(F.col("low"), F.col("high")))).alias("spans"))
+        self.covers = every.select("context", _joined(F.col("spans")).alias("spans"))
 
     def spans(self) -> DataFrame:
         """text_hash, n_bytes, spans: the covered places of each text that has any, as low * 2**31 + high; they overlap."""
@@ -308,6 +309,19 @@ def _span(low, high):
     return F.shiftleft(low.cast("long"), 31) + high
 
 
+def _joined(spans):
+    """Sorted spans of one context as few that do not touch."""
+    mask = F.lit((1 << 31) - 1)
+    high = lambda s: s.bitwiseAND(mask)
+
+    def add(have, s):
+        last = F.try_element_at(have, F.lit(-1))
+        wider = F.array(F.shiftleft(F.shiftright(last, 31), 31) + F.greatest(high(last), high(s)))
+        return F.when(F.shiftright(s, 31) <= high(last), F.concat(F.slice(have, 1, F.size(have) - 1), wider)).otherwise(F.concat(have, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<bigint>"), add)
+
+
 def _packed(batches):
     import zstandard
 
@@ -316,14 +330,11 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([len(x) for x in bodies], pa.int64()), pa.array([z.compress(x) for x in bodies], pa.binary())], names=["doc_id", "text_hash", "n_bytes", "body"])
 
 
-def _merged(spans: list) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for low, high in sorted((s >> 31, s & (1 << 31) - 1) for s in spans):
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(high, out[-1][1]))
-        else:
-            out.append((low, high))
-    return out
+def _merged(spans: np.ndarray) -> list[tuple[int, int]]:
+    spans = np.sort(spans)
+    low, high = spans >> 31, np.maximum.accumulate(spans & (1 << 31) - 1)
+    at = np.flatnonzero(np.append(True, low[1:] > high[:-1])) if len(spans) else np.zeros(0, int)
+    return list(zip(low[at].tolist(), high[np.append(at[1:], len(spans)) - 1].tolist(), strict=True)) if len(spans) else []
 
 
 def _cut(texts: bool):
@@ -336,8 +347,8 @@ def _cut(texts: bool):
         z = zstandard.ZstdDecompressor()
         for part, bodies in _parts(batches):
             rows = []
-            for body, spans in zip(map(z.decompress, bodies), part.column("spans").to_pylist(), strict=True):
-                runs = _merged(spans or [])
+            for body, spans in zip(map(z.decompress, bodies), part.column("spans"), strict=True):
+                runs = _merged(spans.values.to_numpy() if spans.is_valid else np.zeros(0, np.int64))
                 kept, at = [], 0
                 for low, high in runs:
                     kept.append(body[at:low])
