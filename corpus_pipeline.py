@@ -18,7 +18,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: with a letter, and a prediction that is not a guess."""
     model = langid.fit(docs, F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"), 4, 2))
     found = langid.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return common.stored(kept, "languages", 250)  # whole rows go to Python and back: in small batches
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
