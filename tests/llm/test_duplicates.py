@@ -133,7 +133,7 @@ def test_maximal_repeats():
     core = bytes(r.randrange(97, 100) for _ in range(60))
     contexts = [bytes([65 + i]) * 3 + core[i % 3 * 5 :][: 40 + i] + bytes([75 + i]) for i in range(6)]
     counts = [max(0, len(c) - size + 1) for c in contexts]
-    groups = repeats.maximal_repeats(contexts, counts, size)
+    groups = repeats.occurrences_of(repeats.maximal_repeats(contexts, counts, size))
     assert groups
     for length, members in groups:
         strings = {contexts[i][p : p + length] for i, p in members}

@@ -141,8 +141,11 @@ def _bodies(size: int, sent):
     return run
 
 
-def maximal_repeats(contexts: list[bytes], counts: list[int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Groups (length, [(context, place)]) of the maximal repeats of `size` bytes or more.
+def maximal_repeats(contexts: list[bytes], counts: list[int], size: int) -> list[list]:
+    """Groups [length, [(context, place)], parent] of the maximal repeats of `size` bytes or more.
+
+    All occurrences of a group are its own members and those of the groups
+    whose parent, or parent's parent, it is; so each suffix is listed once.
 
     counts: how many suffixes of each context, from its first byte on, take part.
     """
@@ -168,10 +171,20 @@ def maximal_repeats(contexts: list[bytes], counts: list[int], size: int) -> list
     for h, n in zip(heads[diverse].tolist(), sizes[diverse].tolist(), strict=True):
         members = order[h : h + n].tolist()
         suffixes = sorted((raw[at[i] : ends[of[i]]], i) for i in members)
-        groups += _intervals(suffixes, size, left, of, place)
+        some, base = _intervals(suffixes, size, left, of, place), len(groups)
+        groups += [[n, m, parent + base if parent >= 0 else -1] for n, m, parent in some]
     return groups
 
 
+def occurrences_of(groups: list[list]) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(length, all occurrences) of each group."""
+    every = [list(m) for _, m, _ in groups]
+    for g, (_, _, parent) in enumerate(groups):  # a parent comes after its children
+        if parent >= 0:
+            every[parent] += every[g]
+    return [(n, m) for (n, _, _), m in zip(groups, every, strict=True)]
+
+
 def _common(x: bytes, y: bytes) -> int:
     n = min(len(x), len(y))
     if x[:n] == y[:n]:
@@ -189,26 +202,42 @@ def _common(x: bytes, y: bytes) -> int:
 def _intervals(suffixes: list[tuple[bytes, int]], size: int, left: np.ndarray, of: np.ndarray, place: np.ndarray) -> list:
     """Left-diverse intervals of `size` bytes and more of the tree over sorted suffixes.
 
-    The stack holds open intervals (common prefix, first suffix, left byte or None if they differ).
+    As (length, members, number of the parent): numbers are places in the list;
+    a suffix is a member of the deepest such interval only, as it is of all
+    above that one too.  The stack holds open intervals (common prefix, left
+    byte or None if they differ, suffixes without an interval yet, intervals
+    without a parent yet).
     """
-    out, stack = [], []
+    out: list = []
+    stack: list[list] = []
     lcp = [_common(x[0], y[0]) for x, y in zip(suffixes, suffixes[1:], strict=False)] + [-1]
     for k, (_, i) in enumerate(suffixes):
-        side, start = left[i], k
-        if stack and stack[-1][2] != side:
-            stack[-1][2] = None
+        side, own, below = left[i], [i], []
+        if stack and stack[-1][0] >= lcp[k]:  # the open interval is the deepest that holds this suffix
+            stack[-1][2].append(i)
+            own = []
+        if stack and stack[-1][1] != side:
+            stack[-1][1] = None
         while stack and stack[-1][0] > lcp[k]:
-            depth, start, side = stack.pop()
+            depth, side, mine, children = stack.pop()
+            own, below = own + mine, below + children
             if side is None and depth >= size:
-                out.append((depth, [(int(of[j]), int(place[j])) for _, j in suffixes[start : k + 1]]))
-            if stack and stack[-1][2] != side:
-                stack[-1][2] = None
-        if lcp[k] >= 0 and (not stack or stack[-1][0] < lcp[k]):
-            stack.append([lcp[k], start, side])
+                for c in below:
+                    out[c][2] = len(out)
+                out.append([depth, [(int(of[j]), int(place[j])) for j in own], -1])
+                own, below = [], [len(out) - 1]
+            if stack and stack[-1][1] != side:
+                stack[-1][1] = None
+        if stack and stack[-1][0] == lcp[k]:
+            stack[-1][2] += own
+            stack[-1][3] += below
+        elif lcp[k] >= 0:
+            stack.append([lcp[k], side, own, below])
     return out
 
 
-REPEAT = "gram long, context long, length int, place int, repeat long, member int"
+#: A row for each member; a repeat whose occurrences are all its children's has one row without a member.
+REPEAT = "gram long, context long, length int, place int, repeat long, parent long"
 
 
 def _repeated(size: int):
@@ -217,13 +246,17 @@ def _repeated(size: int):
     def flush(rows):
         rows = list({(r[0], r[1]): r for r in rows}.values())
         groups = maximal_repeats([r[2] for r in rows], [r[3] for r in rows], size)
+        first: list = [min(((*rows[i][:2], p) for i, p in m), default=None) for _, m, _ in groups]
+        for g, (_, _, parent) in enumerate(groups):  # a parent comes after its children
+            if parent >= 0:
+                first[parent] = min(x for x in (first[parent], first[g]) if x)
+        names = [int.from_bytes(hashlib.blake2b(repr((f, g[0])).encode(), digest_size=8).digest(), "big", signed=True) for f, g in zip(first, groups, strict=True)]
         made = []
-        for length, members in groups:
-            first = min((rows[i][0], rows[i][1], p) for i, p in members)
-            name = int.from_bytes(hashlib.blake2b(repr((first, length)).encode(), digest_size=8).digest(), "big", signed=True)
-            made += [(rows[i][0], rows[i][1], length, p, name, k) for k, (i, p) in enumerate(members)]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(kinds)], names=["gram", "context", "length", "place", "repeat", "member"])
+        for f, name, (length, members, parent) in zip(first, names, groups, strict=True):
+            above = names[parent] if parent >= 0 else None
+            made += [(rows[i][0], rows[i][1], length, p, name, above) for i, p in members] or [(f[0], None, length, None, name, above)]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(kinds)], names=["gram", "context", "length", "place", "repeat", "parent"])
 
     def run(batches):
         rows, held = [], 0
@@ -259,7 +292,7 @@ class Repeats:
     """Repeats of `size` bytes and more in docs(doc_id, text).
 
     occurrences: the blocks that may repeat; groups: maximal repeats within
-    contexts, each with all its members (REPEAT); covers: per context
+    contexts as a tree, each suffix with its longest one (REPEAT); covers: per context
     the places [low, high) that repeats cover.
     """
 
@@ -279,7 +312,7 @@ class Repeats:
             large = near.join(common.near(hot), "gram", "left_semi")
             near = near.join(common.near(hot), "gram", "left_anti")
         self.groups = common.stored(near.repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(_repeated(size), REPEAT), "repeats")
-        covers = self.groups.select("context", F.col("place").alias("low"), (F.col("place") + F.col("length")).alias("high"))
+        covers = self.groups.where(F.col("context").isNotNull()).select("context", F.col("place").alias("low"), (F.col("place") + F.col("length")).alias("high"))
         if any_hot:
             each = common.stored(large.mapInArrow(_windows(size), "gram long, context long, place int, window long").distinct(), "windows")
             twice = each.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("window")
