@@ -246,7 +246,8 @@ class Join:
         sketch = self.spark.sparkContext.broadcast(_table(blocks.collect(), SKETCH_BITS))
         rows = self.docs.mapInArrow(_prefixes(n, self.t100, sketch), self.docs.select("doc_id", "text_hash").schema.add("set", "binary").add("size", "integer").add("matches", "integer").add("prefix", "binary"))
         #: A row for each document and one for each class.
-        stored = common.stored(rows, "prefixes")
+        stored = common.stored(rows, "prefixes", 500)
+        sketch.unpersist()  # executors need it no longer
         self.members = stored.select("doc_id", "text_hash", "set", "size")
         # of each class, the row that stands for it; copies of that very row stand for it too, which only repeats its pairs
         first = self.members.where(F.col("size") > 0).groupBy(F.col("set").alias("s")).agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
@@ -267,7 +268,9 @@ class Join:
         every = self.classes.mapInArrow(_exploded(), row)
         several = common.stored(every.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("shingle"), "several")
         sent = self.spark.sparkContext.broadcast(common.bit_table(several.select(F.col("shingle").alias("key")), TABLE_BITS))
-        return common.stored(self.classes.mapInArrow(_exploded(sent), row).join(several, "shingle"), "shared")
+        shared = common.stored(self.classes.mapInArrow(_exploded(sent), row).join(several, "shingle"), "shared")
+        sent.unpersist()
+        return shared
 
     def _compare(self, pairs: DataFrame) -> DataFrame:
         """pairs(a, b) with both, linked and rest, from whole sets; the texts of their classes are read for them."""
@@ -276,7 +279,8 @@ class Join:
         sent = self.spark.sparkContext.broadcast(common.bit_table(wanted.select(key.alias("key")), TABLE_BITS))
         docs = self.docs.select("doc_id", "text_hash", "text")
         found = docs.mapInArrow(_wanted(self.n, sent), docs.select("doc_id", "text_hash").schema.add("set", "binary").add("hashes", "binary"))
-        sets = common.stored(found.join(common.near(wanted), F.col("w") == F.col("set"), "left_semi").join(self.first, self._stands()).select("set", "hashes"), "sets")
+        sets = common.stored(found.join(common.near(wanted), F.col("w") == F.col("set"), "left_semi").join(self.first, self._stands()).select("set", "hashes"), "sets", 250)
+        sent.unpersist()
         second = common.near(common.stored(pairs.select(F.col("b").alias("w")).distinct(), "wanted"))
         one = sets.toDF("a", "hashes_a").join(common.near(pairs), "a")
         two = sets.join(second, F.col("w") == F.col("set"), "left_semi").toDF("b", "hashes_b")
@@ -337,6 +341,7 @@ class Join:
         outer = pairs.where("out").mapInArrow(_rests(), row).select(F.col("shingle").alias("key")).distinct()
         sent = self.spark.sparkContext.broadcast(common.bit_table(outer, TABLE_BITS))
         own = common.stored(pairs.mapInArrow(_rests(sent), row), "rests")
+        sent.unpersist()
         several = own.groupBy("pivot", "shingle").agg(F.count("*").alias("n"), F.max("out").alias("some")).where("some and n > 1").select("pivot", "shingle")
         own = common.stored(own.join(several, ["pivot", "shingle"]).join(sizes, "set").select("pivot", "shingle", "set", "size", "o", "matches", "component", "out"), "rests")
         names = ["set", "size", "o", "matches", "component", "out"]
