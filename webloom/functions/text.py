@@ -143,9 +143,12 @@ def sections(markdown: Column) -> Column:
     return F.filter(F.split(markdown, "(?m)\\n(?=#{1,6}(?!#))"), lambda s: F.trim(s) != "")
 
 
-def chunks(text: Column, window: int = 200, stride: int = 100) -> Column:
-    """Overlapping runs of words; the last ends with the text; a short text is one chunk, as it is."""
-    w = words(text)
+def chunks(text: Column, window: int = 200, stride: int = 100, w: Column | None = None) -> Column:
+    """Overlapping runs of words; the last ends with the text; a short text is one chunk, as it is.
+
+    w: a column of words(text); without it they are split anew for each chunk.
+    """
+    w = words(text) if w is None else w
     n = F.size(w)
     starts = F.sequence(F.lit(0), F.ceil((n - window) / stride).cast("int"))
     return F.when(n == 0, F.array().cast("array<string>")).when(n <= window, F.array(text)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(w, i * stride + 1, window), " ")))

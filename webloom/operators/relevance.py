@@ -18,7 +18,8 @@ def embedded(text: Column, dimensions: int = DIMENSIONS) -> Column:
 
 def chunked(docs: DataFrame, window: int = 200, stride: int = 100) -> DataFrame:
     """docs(id, text) as id, chunk (from 0), text."""
-    return docs.select("id", F.posexplode(T.chunks(F.col("text"), window, stride)).alias("chunk", "text"))
+    d = docs.select("id", "text", T.words(F.col("text")).alias("w"))
+    return d.select("id", F.posexplode(T.chunks(F.col("text"), window, stride, F.col("w"))).alias("chunk", "text"))
 
 
 def near(parts: DataFrame, query: str) -> DataFrame:
