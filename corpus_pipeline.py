@@ -23,8 +23,11 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, the one of the smallest doc_id."""
-    return jaccard.one_of_each(docs)
+    """One document of each group of linked ones, the one of the smallest doc_id.
+
+    Linked: sets of five-word shingles with a similarity of 0.8 or more.
+    """
+    return jaccard.one_of_each(docs, n=5, threshold=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,3 +167,26 @@ def test_pipeline(spark, tmp_path):
     run = corpus_pipeline.run(spark, sf)
     assert sorted(map(str, run.collect())) == sorted(map(str, last.collect()))
     assert kept[0] > kept[2] and [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "n-gram Jaccard join", "benchmark decontamination", "mixing sources", "token-ID output"]
+
+
+def kept_by_brute_force(docs, n, percent):
+    """Ids of the documents without words and of the smallest of each linked group."""
+    sets = {d: shingles(t, n) for d, t in docs}
+    group = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            x, y = sets[a], sets[b]
+            if a < b and group[a] != group[b] and x and y and 100 * len(x & y) >= percent * len(x | y):
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    return sorted(d for d, g in group.items() if d == g)
+
+
+def test_pipeline_drops_near_duplicates_of_five_words(spark):
+    words = [f"v{i}" for i in range(1000)]
+    docs = [(i, t) for i, (_, t) in enumerate(near_copies())]
+    docs += [(9500, " ".join(words[:200])), (9501, " ".join(words[:245]))]  # 196 of 241 shingles: 0.813; 0.814 on four words
+    docs += [(9502, " ".join(words[300:500])), (9503, " ".join(words[300:550]))]  # 196 of 246: 0.797
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, DOC), "").collect())
+    assert kept == kept_by_brute_force(docs, 5, 80)
+    assert {9500, 9501, 9502, 9503} & set(kept) == {9500, 9502, 9503}
