@@ -107,3 +107,13 @@ def test_serp(spark):
     got = {r.serp_id: r for r in serp.parsed(df).collect()}
     assert (got[1].url, got[1].content, got[1].published_at) == ("https://x.org/docs", "about x", "Jan 10, 2024")
     assert got[2].url == "https://x.org/a" and got[3].url == "https://d.org/" and got[4].url == "https://br.org/" and len(got) == 4
+
+
+def test_batch_summary_fetches_every_page(spark, tmp_path):
+    from webloom import catalogue
+
+    pages = [(i, f"https://example.com/{i}", PAGE) for i in range(1, 12)] + [(13, "https://example.com/3", PAGE), (15, "https://example.com/empty", "<html></html>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    (got,) = catalogue.batch_summary(spark, str(tmp_path)).collect()
+    made_up = sum(i % 5 == 0 for i, _, _ in pages)
+    assert (got.total, got.successful, got.failed) == (len(pages) + made_up, len(pages) - 1, 1 + made_up)

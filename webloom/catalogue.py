@@ -283,7 +283,7 @@ def quality_vs_label(spark, sf_dir):
 @query()
 def batch_summary(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    urls = p.where(F.col("page_id") % 2 == 0).select("url").unionByName(p.where(F.col("page_id") % 5 == 0).select(F.concat("url", F.lit("-missing")).alias("url")))
+    urls = p.select("url").distinct().unionByName(p.where(F.col("page_id") % 5 == 0).select(F.concat("url", F.lit("-missing")).alias("url")))
     return api.batch_summary(api.web_fetch(p, urls))
 
 
