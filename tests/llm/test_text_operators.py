@@ -117,6 +117,54 @@ def test_exchange_finds_classes():
     assert len({*of[1:5]}) == 1 and len({*of[5:]}) == 1 and of[1] != of[5] and of[0] == 2
 
 
+def test_words_are_placed_as_the_exchange_does():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    k, classes = 6, 5
+    table, words = r.integers(20, 400, (k, k)).astype(float), []
+    for i in range(300):
+        after, before = r.poisson(0.4, k) * r.integers(1, 4), r.poisson(0.4, k)
+        words.append((int(r.integers(classes)), after, before, int(i % 5 == 0)))
+    home, after, before, own = (np.array(x) for x in zip(*words, strict=True))
+    got = class_lm.best_classes(table, home, after.astype(float), before.astype(float), own.astype(float), classes)
+
+    def likelihood(t):
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return f(t) - f(t.sum(0)) - f(t.sum(1))
+
+    for a, x, y, o, c in zip(home, after, before, own, got, strict=True):
+        rest = table.copy()
+        rest[a] -= x
+        rest[:, a] -= y
+        rest[a, a] -= o
+        by_class = []
+        for b in range(classes):
+            t = rest.copy()
+            t[b] += x
+            t[:, b] += y
+            t[b, b] += o
+            by_class.append(likelihood(t))
+        assert by_class[c] >= max(by_class) - 1e-6
+
+
+def test_rare_words_have_classes_of_their_own_bigrams(spark):
+    """Rare words of one bundle, some used like the item `p`, some like `q`: texts tell them apart by single words."""
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        a, b = ("x", "p") if i % 2 else ("y", "q")
+        rows.append((i, " ".join(f"{a} {b if r.random() < 0.7 else f'{b}{r.randrange(40):03d}end'}" for _ in range(20))))
+    right = ["x p%03dend x" % i for i in range(40)]
+    wrong = ["x q%03dend x" % i for i in range(40)]
+    rows += [(1000 + i, t) for i, t in enumerate(right + wrong)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for head in (6, 1000):  # rare words outside and in the head
+        got = {x.doc_id: x.score for x in class_lm.score(df, F.col("doc_id") < 1000, head=head, items=5, bundles=4, classes=4).collect()}
+        assert len(got) == len(rows)
+        assert sum(got[1000 + i] - got[1040 + i] for i in range(40)) > 40 * 0.3
+
+
 def test_language_identification(spark):
     r = random.Random(6)
     vocabulary = {"en": "the and thing with hello would that", "de": "der und nicht ein über schön straße", "fr": "le et être français très où ça", "es": "el y niño español qué más año"}

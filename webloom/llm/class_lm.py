@@ -1,16 +1,19 @@
 """Class-based n-gram language model (Brown): exchange clustering of words.
 
-Every word belongs to an item: the most frequent words are items of their own,
-all others share bundles by their last three bytes, so that any word, seen or
-not, has one.  The exchange algorithm moves items between classes as long as
-the likelihood of class bigrams grows.  A text's probability is the product of
-class transitions, of an item within its class, and of a word within its
-bundle; the last leaves a discounted share to unseen words, which count as one
-event of their bundle.  Transitions are smoothed by the class frequencies.
-
-Counts come from all training texts: word counts are a distributed table, which
-is joined by word with the rare words of each document.  What is broadcast, the
-`head` most frequent words, the items and the classes, has a fixed size.
+The most frequent words are items of their own, all others share bundles by
+their last three bytes.  The exchange algorithm moves items between classes as
+long as the likelihood of class bigrams grows.  Then every other training word
+leaves its bundle for the class that the exchange would move it to, by the
+counts of the classes beside all of its occurrences; bundles remain for unseen
+words only, which count as one event of their bundle.  A text's probability is
+the product of class transitions, and of each word within its class, which
+leaves a discounted share to the unseen.  Transitions are counted with the
+words' own classes and smoothed by the class frequencies.
+
+Counts come from all training texts: counts, classes and neighbours of words
+are distributed tables, joined by word with the rare words of each document.
+What is broadcast, the `head` most frequent words, the items and the class
+bigrams, has a fixed size.
 
 Defined results: null texts are empty; an empty text is one end token; rows
 that repeat are rows each; a null id is neither held out nor learned from; with
@@ -35,6 +38,10 @@ END = b"\n"
 _WORDS = bytes(32 if c in b"\x20\x09\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Tokens that the class frequencies count for among the transitions from a class.
+STRENGTH = 5.0
+
+
 def split(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_WORDS).split()
 
@@ -66,6 +73,56 @@ def _counted(limit: int):
     return run
 
 
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def _gains(table: np.ndarray, after: np.ndarray, before: np.ndarray, own: float) -> np.ndarray:
+    """What the likelihood gains if a word that the table leaves out joins each class; own: how often it follows itself."""
+    r, s, d = np.flatnonzero(after), np.flatnonzero(before), np.diag(table)
+    gain = (_f(table[:, r] + after[r]) - _f(table[:, r])).sum(1) + (_f(table[s] + before[s][:, None]) - _f(table[s])).sum(0)
+    gain += _f(d + after + before + own) - _f(d) - (_f(d + after) - _f(d)) - (_f(d + before) - _f(d))
+    rows, columns = table.sum(1) + before, table.sum(0) + after  # tokens of a class stand beside this word too
+    return gain - (_f(rows + after.sum() + own) - _f(rows) + _f(columns + before.sum() + own) - _f(columns))
+
+
+def best_classes(table: np.ndarray, home: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, classes: int) -> np.ndarray:
+    """The class of the first `classes` that the exchange would move each word to, from its class in `home`.
+
+    table: class bigrams with the words at home; after, before: a row for each
+    word, how often it stands before and after each class, without itself.
+    """
+    k, w = len(table), np.arange(len(home))
+    n_right, n_left = after.sum(1), before.sum(1)
+    gain = np.zeros(after.shape)
+    for side, t in ((after, table.T), (before, table)):  # t[c]: the cells that a neighbour of class c counts in
+        one = _f(t + 1) - _f(t)
+        for c in range(k):
+            at = np.flatnonzero(side[:, c])
+            n, h = side[at, c], home[at]
+            add = np.where((n == 1)[:, None], one[c], 0.0)
+            more = np.flatnonzero(n > 1)
+            add[more] = _f(t[c] + n[more, None]) - _f(t[c])
+            add[np.arange(len(at)), h] = _f(t[c, h]) - _f(np.maximum(t[c, h] - n, 0))
+            gain[at] += add
+    i, c = np.nonzero((after > 0) & (before > 0))
+    d, x, y = table[c, c], after[i, c], before[i, c]
+    gain[i, c] += _f(d + x + y) + _f(d) - _f(d + x) - _f(d + y)
+    rows, columns = (np.tile(table.sum(i), (len(w), 1)) for i in (1, 0))
+    rows[w, home] -= n_right
+    columns[w, home] -= n_left
+    gain -= _f(rows + n_right[:, None]) - _f(rows) + _f(columns + n_left[:, None]) - _f(columns)
+    # next to itself or its own class a word changes the cells by which it is judged
+    for j in np.flatnonzero((after[w, home] > 0) | (before[w, home] > 0) | (own > 0)).tolist():
+        a, rest = home[j], table.copy()
+        rest[a] -= after[j]
+        rest[:, a] -= before[j]
+        rest[a, a] -= own[j]
+        gain[j] = _gains(rest, after[j], before[j], own[j])
+    best = gain[:, :classes].argmax(1)
+    return np.where(gain[w, best] <= gain[w, home] + 1e-9, home, best)
+
+
 def exchange(n_items: int, fixed: int, pairs: np.ndarray, counts: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     """Classes of items 0 .. n_items - 1 by the exchange algorithm; the item `fixed` is alone in the last class.
 
@@ -83,7 +140,6 @@ def exchange(n_items: int, fixed: int, pairs: np.ndarray, counts: np.ndarray, cl
     at_second = np.searchsorted(second[by_second], np.arange(n_items + 1))
     counts = counts.astype(float)
     table = np.bincount(of[first] * k + of[second], counts, k * k).reshape(k, k)
-    f = lambda x: x * np.log(np.maximum(x, 1e-300))
     for _ in range(sweeps):
         moved = 0
         for w in range(n_items):
@@ -98,12 +154,7 @@ def exchange(n_items: int, fixed: int, pairs: np.ndarray, counts: np.ndarray, cl
             table[a] -= after
             table[:, a] -= before
             table[a, a] -= own
-            rows, columns = table.sum(1), table.sum(0)
-            n_right, n_left = after.sum() + own, before.sum() + own
-            gain = (f(table + after) - f(table)).sum(1) + (f(table + before[:, None]) - f(table)).sum(0)
-            d = np.diag(table)
-            gain += f(d + after + before + own) - f(d) - (f(d + after) - f(d)) - (f(d + before) - f(d))
-            gain -= f(rows + n_right) - f(rows) + f(columns + n_left) - f(columns)
+            gain = _gains(table, after, before, own)
             c = int(gain[:classes].argmax())
             if a < classes and gain[c] <= gain[a] + 1e-9:
                 c = a
@@ -147,8 +198,7 @@ class Model:
         seen = np.bincount(pairs % n_items, counts, n_items) + 0.5
         total = np.bincount(of, seen, k)
         table = np.bincount(of[pairs // n_items] * k + of[pairs % n_items], counts, k * k).reshape(k, k)
-        strength = 5.0
-        table = (table + strength * (total / total.sum())) / (table.sum(1, keepdims=True) + strength)
+        table = (table + STRENGTH * (total / total.sum())) / (table.sum(1, keepdims=True) + STRENGTH)
         self.of, self.step = of, np.log10(table)
         self.emit = np.log10(seen / total[of])
         self.discount = discount
@@ -159,6 +209,31 @@ class Model:
         rare = np.arange(len(self.words)) >= self.items
         self.within = np.where(rare, np.log10(np.maximum(self.count - discount, 1e-300)) - self.in_bundle[np.maximum(self.item - self.items, 0)], 0.0)
 
+    def place(self, words: pa.Table, per: list[tuple[int, int, int]]) -> None:
+        """Classes and emissions of the head words.
+
+        words: class and n of the head words that are no items; per: class,
+        tokens and distinct words of all placed words.  A word of count n has
+        (n - off) / mass of its class, the unseen words' share is dealt among
+        the class's bundles, one event each.
+        """
+        at, k = {w: i for i, w in enumerate(self.words)}, self.of[0] + 1
+        self.classed = np.zeros(len(self.words), np.int64)
+        self.classed[: self.items] = self.of[: self.items]
+        for w, c in zip(words["word"].to_pylist(), words["class"].to_pylist(), strict=True):
+            self.classed[at[w]] = c
+        mass = np.bincount(self.of[: self.items], self.count[: self.items], k)
+        types = np.bincount(self.of[: self.items], self.count[: self.items] > 0, k)
+        for c, n, t in per:
+            mass[c] += n
+            types[c] += t
+        bundles = np.bincount(self.of[self.items :], minlength=k)
+        self.off = np.where(bundles > 0, self.discount, 0.0)
+        self.mass = np.maximum(mass, 1.0)
+        unseen = np.where(types > 0, self.off * types / self.mass, 1.0) / np.maximum(bundles, 1)
+        self.unplaced = np.log10(unseen[self.of[self.items :]])
+        self.emits = np.log10(np.where(self.count > 0, (self.count - self.off[self.classed]) / self.mass[self.classed], 1.0))
+
 
 def _paired(sent):
     def run(batches):
@@ -189,62 +264,194 @@ def _paired(sent):
     return run
 
 
-SCORED = "doc_id long, rid long, n_tokens long, n_known long, base double, score double, words array<binary>, counts array<int>, bundles array<int>"
+#: Words a task counts the neighbours of before it sends them on; words placed together.
+HELD, PLACED = 200_000, 4096
+
+
+def _binaries(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """x cut at ends, as one binary each."""
+    offsets = np.append(0, ends * x.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all binaries of a column, and how many each holds."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data if data is not None else b"", np.uint8)[offsets[0] : offsets[-1]].copy().view(kind), np.diff(offsets) // np.dtype(kind).itemsize
 
 
-def _scored(sent):
+def _neighbours(sent, k: int):
+    """Of each word that is no item: how often each class stands before (code c) and after it (k + c), and itself after it (2 k)."""
+
+    def run(batches):
+        model = sent.value
+        items, of, end = model.items_of(), model.of, model.items
+        ids: dict[bytes, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            codes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            found, at = np.unique(codes, return_inverse=True)
+            return found, np.bincount(at, counts).astype(np.int64)
+
+        def packed():
+            codes, counts = merged()
+            word, code = np.divmod(codes, 2 * k + 1)
+            ends = np.cumsum(np.bincount(word, minlength=len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()), _binaries(code.astype(np.int32), ends), _binaries(counts.astype(np.int64), ends)], names=["word", "codes", "counts"])
+
+        for batch in batches:
+            for some in common.sized_batches(batch, "text"):
+                words = [END]
+                for t in some.column("text").to_pylist():
+                    words += split(t)
+                    words.append(END)
+                line = np.array(list(map(items.__getitem__, words)), np.int64)
+                at = np.flatnonzero(line >= end)
+                if not len(at):
+                    continue
+                word = np.full(len(line), -1)
+                word[at] = [ids.setdefault(words[i], len(ids)) for i in at.tolist()]
+                w, before, after = word[at], word[at - 1], word[at + 1]
+                base = w * (2 * k + 1)
+                codes = np.concatenate([(base + of[line[at - 1]])[before != w], (base + k + of[line[at + 1]])[after != w], (base + 2 * k)[after == w]])
+                held.append(np.unique(codes, return_counts=True))
+                if len(held) == 8:
+                    held = [merged()]
+                if len(ids) > HELD:
+                    yield packed()
+                    ids, held = {}, []
+        if held:
+            yield packed()
+
+    return run
+
+
+def _placed(sent, table: np.ndarray, classes: int):
+    """Count and class of words that come sorted, with the counts of their neighbours."""
+    k = classes + 1
+
+    def place(rows: pa.Table, model):
+        words = rows.column("word").to_pylist()
+        new = np.array([True] + [x != y for x, y in zip(words, words[1:], strict=False)])
+        first = np.flatnonzero(new)
+        code, sizes = _flat(rows.column("codes"), np.int32)
+        count, _ = _flat(rows.column("counts"), np.int64)
+        word = np.repeat(np.cumsum(new) - 1, sizes)
+        names = [words[i] for i in first.tolist()]
+        home = model.of[[model.items + bundle_of(w, model.bundles) for w in names]]
+        found, n = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+        for low in range(0, len(names), PLACED):
+            high = min(low + PLACED, len(names))
+            a, b = np.searchsorted(word, [low, high])
+            dense = np.bincount((word[a:b] - low) * (2 * k + 1) + code[a:b], count[a:b], (high - low) * (2 * k + 1)).reshape(-1, 2 * k + 1)
+            before, after, own = dense[:, :k], dense[:, k : 2 * k], dense[:, 2 * k]
+            found[low:high] = best_classes(table, home[low:high], after, before, own, classes)
+            n[low:high] = before.sum(1) + own
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n), pa.array(found.astype(np.int32))], names=["word", "n", "class"])
+
+    def run(batches):
+        model, rest = sent.value, None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            words = rows.column("word").to_pylist()
+            cut = len(words)
+            while cut and words[cut - 1] == words[-1]:  # the last word may go on
+                cut -= 1
+            rest = rows.slice(cut)
+            if cut:
+                yield place(rows.slice(0, cut), model)
+        if rest is not None and rest.num_rows:
+            yield place(rest, model)
+
+    return run
+
+
+LOCAL = "doc_id long, learn boolean, rid long, n_tokens long, n_known long, base double, score double, line binary, words array<binary>, places array<binary>, bundles array<int>"
+_NONE = 65535
+
+
+def _local(sent):
+    """What the head words tell of each text; the classes of its tokens, _NONE where the word is not of the head, and those words with their places."""
+
     def run(batches):
         from pyspark import TaskContext
 
         m = sent.value
         at = {w: i for i, w in enumerate(m.words)}
         rid = TaskContext.get().partitionId() << 40
-        emit, of = m.emit, m.of
         for batch in batches:
             for some in common.sized_batches(batch, "text"):
                 rows = []
-                for doc_id, t in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                for doc_id, learn, t in zip(*(some.column(c).to_pylist() for c in ("doc_id", "learn", "text")), strict=True):
                     words = split(t)
-                    got = list(map(at.get, words))
-                    rest = Counter([w for w, i in zip(words, got, strict=True) if i is None]) if None in got else {}
-                    if rest:
-                        far = [bundle_of(w, m.bundles) for w in rest]
-                        new = dict(zip(rest, far, strict=True))
-                        items = np.array([m.items + new[w] if i is None else -1 for w, i in zip(words, got, strict=True)] + [-1], np.int64)
-                        head = np.array([-1 if i is None else i for i in got] + [0], np.int64)
-                        known = head[head >= 0]
-                        items[head >= 0] = m.item[known]
-                        tail = -sum(c * m.in_bundle[b] for c, b in zip(rest.values(), far, strict=True))
-                    else:
-                        far, tail = [], 0.0
-                        known = np.array([*got, 0], np.int64)
-                        items = m.item[known]
-                    c = of[items]
-                    score = m.step[np.concatenate(([of[0]], c[:-1])), c].sum() + emit[items].sum() + m.within[known].sum() + tail
-                    rows.append((doc_id, rid, len(items), int((m.count[known] > 0).sum()), float(m.log_count[known].sum()), float(score), list(rest), list(rest.values()) if rest else [], far))
+                    head = np.array([at.get(w, -1) for w in words] + [0], np.int64)
+                    far: dict[bytes, list[int]] = {}
+                    for i in np.flatnonzero(head < 0).tolist():
+                        far.setdefault(words[i], []).append(i)
+                    known = head[head >= 0]
+                    line = np.where(head >= 0, m.classed[np.maximum(head, 0)], _NONE).astype(np.uint16)
+                    places = [np.array(x, np.int32).tobytes() for x in far.values()]
+                    rows.append((doc_id, learn, rid, len(head), int((m.count[known] > 0).sum()), float(m.log_count[known].sum()), float(m.emits[known].sum()), line.tobytes(), list(far), places, [bundle_of(w, m.bundles) for w in far]))
                     rid += 1
-                kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-                names = ["doc_id", "rid", "n_tokens", "n_known", "base", "score", "words", "counts", "bundles"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+                kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate(kinds)], names=["doc_id", "learn", "rid", "n_tokens", "n_known", "base", "score", "line", "words", "places", "bundles"])
 
     return run
 
 
-def _by_bundle(sent):
+def _filled(batches):
+    """Lines with the classes of the words that are not of the head."""
+    for batch in batches:
+        lines = []
+        for line, far in zip(batch.column("line").to_pylist(), batch.column("far").to_pylist(), strict=True):
+            x = np.frombuffer(line, np.uint16).copy()
+            for f in far or []:
+                x[np.frombuffer(f["places"], np.int32)] = f["class"]
+            lines.append(x.tobytes())
+        columns = {n: batch.column(n) for n in batch.schema.names if n not in ("line", "far")}
+        yield pa.RecordBatch.from_pydict(columns | {"line": pa.array(lines, pa.binary())})
+
+
+def _followed(end: int):
+    """Counts of the class bigrams of lines."""
+
     def run(batches):
-        m = sent.value
-        items, tokens, types = set(m.words[: m.items]), np.zeros(m.bundles, np.int64), np.zeros(m.bundles, np.int64)
+        k = end + 1
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                x = np.append(end, np.frombuffer(line, np.uint16)).astype(np.int64)
+                total += np.bincount(x[:-1] * k + x[1:], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    return run
+
+
+def _stepped(step: np.ndarray):
+    def run(batches):
+        end = len(step) - 1
         for batch in batches:
-            for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                if w not in items:
-                    b = bundle_of(w, m.bundles)
-                    tokens[b] += n
-                    types[b] += 1
-        yield pa.RecordBatch.from_pydict({"bundle": pa.array(range(m.bundles), pa.int32()), "tokens": pa.array(tokens), "types": pa.array(types)})
+            sums = []
+            for line in batch.column("line").to_pylist():
+                x = np.append(end, np.frombuffer(line, np.uint16)).astype(np.int64)
+                sums.append(float(step[x[:-1], x[1:]].sum()))
+            columns = {n: batch.column(n) for n in batch.schema.names if n != "line"}
+            yield pa.RecordBatch.from_pydict(columns | {"steps": pa.array(sums, pa.float64())})
 
     return run
 
 
+def _totals(pairs: DataFrame, size: int) -> np.ndarray:
+    got = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    return np.bincount(got["pair"].to_numpy(), got["n"].to_numpy().astype(float), size)
+
+
 def score(docs: DataFrame, learn: Column, head: int = 1 << 18, items: int = 2048, bundles: int = 256, classes: int = 64) -> DataFrame:
     """Every row of docs(doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that `learn` picks."""
     spark = docs.sparkSession
@@ -255,36 +462,54 @@ def score(docs: DataFrame, learn: Column, head: int = 1 << 18, items: int = 2048
     # the smallest count whose words, with those of larger counts, are at most `head`
     upto = F.sum("words").over(Window.orderBy(F.desc("n")))
     least = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto).where(F.col("upto") <= head).agg(F.min("n")).first()[0]
-    top = counts.where((F.col("n") >= F.lit(least if least is not None else 1 << 62)) | (F.col("word") == F.lit(END))).toArrow()
-    model = Model(top, total, distinct, items, bundles)
+    least = F.lit(least if least is not None else 1 << 62)
+    model = Model(counts.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).toArrow(), total, distinct, items, bundles)
     sent = spark.sparkContext.broadcast(model)
     pairs = training.mapInArrow(_paired(sent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    found = counts.mapInArrow(_by_bundle(sent), "bundle int, tokens long, types long").groupBy("bundle").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect()
-    tails, types = np.zeros(bundles), np.zeros(bundles)
-    for b, tokens, n in found:
-        tails[b], types[b] = tokens, n
+    sent.unpersist()
     discount = min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.5))
     codes = pairs["pair"].to_numpy()
     order = np.argsort(codes, kind="stable")  # the order in which sums arrive changes nothing
-    model.finish(codes[order], pairs["n"].to_numpy()[order], tails, types, discount, classes)
+    codes, n = codes[order], pairs["n"].to_numpy()[order]
+    model.finish(codes, n, np.zeros(bundles), np.zeros(bundles), discount, classes)
+    k, n_items = classes + 1, model.items + bundles
+    table = np.bincount(model.of[codes // n_items] * k + model.of[codes % n_items], n, k * k).reshape(k, k)
+    sent = spark.sparkContext.broadcast(model)
+    beside = training.mapInArrow(_neighbours(sent, k), "word binary, codes binary, counts binary").repartition("word").sortWithinPartitions("word")
+    placed = common.stored(beside.mapInArrow(_placed(sent, table, classes), "word binary, n long, class int"), "placed")
+    sent.unpersist()
+    per = placed.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
+    model.place(placed.where(F.col("n") >= least).toArrow(), [(r["class"], r["n"], r["types"]) for r in per])
     sent = spark.sparkContext.broadcast(model)
-    local = common.stored(d.select("doc_id", "text").mapInArrow(_scored(sent), SCORED), "scored")
-    rare = local.select("rid", F.explode(F.arrays_zip("words", "counts", "bundles")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.counts").alias("c"), F.col("x.bundles").alias("b"))
-    unseen = F.element_at(F.array(*[F.lit(float(x)) for x in model.unseen]), F.col("b") + 1)
-    met = rare.join(counts.where(F.col("n") < F.lit(least if least is not None else 1 << 62)), "word", "left")
-    sums = met.select(
+    local = common.stored(d.select("doc_id", "learn", "text").mapInArrow(_local(sent), LOCAL), "local", 250)
+    sent.unpersist()
+    rare = local.select("rid", F.explode(F.arrays_zip("words", "places", "bundles")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.places").alias("places"), F.col("x.bundles").alias("b"))
+    at = lambda x: F.element_at(F.array(*[F.lit(v) for v in x.tolist()]), F.col("b") + 1)
+    mass = F.element_at(F.array(*[F.lit(v) for v in model.mass.tolist()]), F.col("class") + 1)
+    off = F.element_at(F.array(*[F.lit(v) for v in model.off.tolist()]), F.col("class") + 1)
+    known, c = F.col("n").isNotNull(), F.octet_length("places") / 4
+    met = rare.join(placed.where(F.col("n") < least), "word", "left").select(
         "rid",
-        F.when(F.col("n").isNotNull(), F.col("c")).otherwise(0).alias("known"),
-        F.when(F.col("n").isNotNull(), F.col("c") * F.log10(F.col("n") + 1)).otherwise(0.0).alias("base"),
-        (F.col("c") * F.when(F.col("n").isNotNull(), F.log10(F.col("n") - discount)).otherwise(unseen)).alias("score"),
+        F.struct("places", F.when(known, F.col("class")).otherwise(at(model.of[model.items :])).cast("int").alias("class")).alias("far"),
+        F.when(known, c.cast("long")).otherwise(0).alias("known"),
+        F.when(known, c * F.log10(F.col("n") + 1)).otherwise(0.0).alias("base"),
+        (c * F.when(known, F.log10(F.col("n") - off) - F.log10(mass)).otherwise(at(model.unplaced))).alias("score"),
     )
-    sums = sums.groupBy(F.col("rid").alias("r")).agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))
+    sums = met.groupBy(F.col("rid").alias("r")).agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"), F.collect_list("far").alias("far"))
     zero = F.lit(0.0)
-    return local.join(sums, F.col("r") == F.col("rid"), "left").select(
+    both = local.join(sums, F.col("r") == F.col("rid"), "left").select(
         "doc_id",
+        "learn",
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", zero) - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"),
         (F.col("score") + F.coalesce("s", zero)).alias("score"),
+        "line",
+        "far",
     )
+    row = "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double"
+    lines = common.stored(both.mapInArrow(_filled, row + ", line binary"), "lines", 250)
+    pairs = _totals(lines.where("learn").select("line").mapInArrow(_followed(classes), "pair long, n long"), k * k).reshape(k, k)
+    seen = pairs.sum(0) + 0.5
+    step = np.log10((pairs + STRENGTH * seen / seen.sum()) / (pairs.sum(1, keepdims=True) + STRENGTH))
+    return lines.mapInArrow(_stepped(step), row + ", steps double").select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.col("steps")).alias("score"))
