@@ -183,3 +183,13 @@ def test_streaming_matches_batch(spark, tmp_path):
     q.stop()
     assert sorted(map(tuple, spark.table("tumbled").collect())) == sorted(map(tuple, EV.tumbling(df).collect()))
     assert EV.distinct(df.union(df)).count() == 48
+
+
+def test_query_rewrite_reads_whole_turns(spark, tmp_path):
+    from webloom import catalogue
+
+    turns = [(1, 0, "system", "be brief"), (1, 1, "user", "a word of greeting, then stack overflow error"), (4, 3, "user", "a word of greeting, then nothing else")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.turn): r for r in catalogue.query_rewrite(spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 1), (4, 3)}
+    assert "stack overflow error" in got[1, 1].recovery and "nothing else" in got[4, 3].recovery

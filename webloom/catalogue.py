@@ -478,11 +478,11 @@ def best_proxy(spark, sf_dir):
     return ST.best_proxy(p, F.lit(dt.datetime(2024, 2, 1))).select("url")
 
 
-def _user_queries(spark, sf_dir) -> DataFrame:
-    """Queries made of the users' turns: their first words, and a developer's question in front of some."""
+def _user_queries(spark, sf_dir, whole: bool = False) -> DataFrame:
+    """Queries made of the users' turns: a developer's question, then the first 12 characters (as the oracles have it) or the whole text."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     some = F.element_at(F.array(*[F.lit(s) for s in ("rust docs", "how to use tokio", "python error message", "coffee", "react tutorial")]), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
-    return c.select("conv_id", "turn", F.concat(some, F.lit(" "), F.substring("text", 1, 12)).alias("q"))
+    return c.select("conv_id", "turn", F.concat(some, F.lit(" "), F.col("text") if whole else F.substring("text", 1, 12)).alias("q"))
 
 
 _UQ = "select conv_id, turn, ['rust docs', 'how to use tokio', 'python error message', 'coffee', 'react tutorial'][(conv_id + turn) % 5 + 1] || ' ' || left(text, 12) as q from conversations where role = 'user'"
@@ -497,7 +497,7 @@ def query_classes(spark, sf_dir):
 @query()
 def query_rewrite(spark, sf_dir):
     q = F.col("q")
-    return _user_queries(spark, sf_dir).select("conv_id", "turn", T.rewritten(q).alias("rewritten"), F.array_join(T.suggestions(q), " | ").alias("suggestions"), F.array_join(T.recovery_queries(q, F.coalesce(T.rewritten(q), q)), " | ").alias("recovery"))
+    return _user_queries(spark, sf_dir, whole=True).select("conv_id", "turn", T.rewritten(q).alias("rewritten"), F.array_join(T.suggestions(q), " | ").alias("suggestions"), F.array_join(T.recovery_queries(q, F.coalesce(T.rewritten(q), q)), " | ").alias("recovery"))
 
 
 @query(f"select conv_id, turn, angle from (select conv_id, turn, unnest(list_distinct([trim(q), q || ' {tables.RESEARCH_ANGLES[0]}', q || ' {tables.RESEARCH_ANGLES[1]}', q || ' {tables.RESEARCH_ANGLES[2]}'])) as angle from ({_UQ}))")
