@@ -190,3 +190,48 @@ def test_pipeline_drops_near_duplicates_of_five_words(spark):
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, DOC), "").collect())
     assert kept == kept_by_brute_force(docs, 5, 80)
     assert {9500, 9501, 9502, 9503} & set(kept) == {9500, 9502, 9503}
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Kept ids of the duplicate and benchmark stages, words by source of the mix, tokens of the output; languages have a test of their own."""
+    import zlib
+
+    import public_tokenizers
+    from test_text_operators import contained
+    from tokenizers import Tokenizer
+
+    r = random.Random(21)
+    vocabulary = [f"u{i}" for i in range(400)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate([3, 10, 12, 30])]
+    docs = [(i, text(r.randrange(20, 60)), r.choice("aaab")) for i in range(80)]
+    docs += [(100 + i, docs[i][1] + " " + text(i), "a") for i in range(25)]  # near copies, from equal to unlike
+    docs += [(200 + i, text(9) + ", " + t[: len(t) - i % 2] + " " + text(9), "b") for i, (_, t) in enumerate(items * 2)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = spark.createDataFrame([(d, t, "en", s) for d, t, s in docs], "doc_id long, text string, lang string, source string")
+    of = {d: (t, s) for d, t, s in docs}
+
+    unlike = corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).localCheckpoint()
+    want = kept_by_brute_force([(d, t) for d, t, _ in docs], 5, 80)
+    assert sorted(x.doc_id for x in unlike.collect()) == want and len(want) < len(docs)
+
+    clean = corpus_pipeline.decontaminated(spark, unlike, str(tmp_path)).localCheckpoint()
+    left = [d for d in want if not contained(of[d][0], items)[1]]
+    assert sorted(x.doc_id for x in clean.collect()) == left and len(left) < len(want)
+
+    mix = corpus_pipeline.mixture(spark, clean, str(tmp_path)).localCheckpoint()
+    size = {s: sum(len(of[d][0].split()) for d in left if of[d][1] == s) for s in "ab"}
+    goal = {s: 1.5 * sum(size.values()) * w / 4 for s, w in (("a", 3), ("b", 1))}  # weights 3 and 1, two epochs at most
+    for s, other in ("ab", "ba"):
+        if goal[s] > 2 * size[s]:
+            goal = {s: 2 * size[s], other: min(2 * size[other], 1.5 * sum(size.values()) - 2 * size[s])}
+    taken = [x.doc_id for x in mix.collect()]
+    assert set(taken) <= set(left)
+    for s in "ab":
+        assert abs(sum(len(of[d][0].split()) for d in taken if of[d][1] == s) - goal[s]) <= 3 * 85
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {d: [*t.encode(of[d][0], add_special_tokens=False).ids, 2] for d in set(taken)}
+    out = corpus_pipeline.tokens(spark, mix, str(tmp_path)).collect()
+    crc = lambda x: zlib.crc32(b"".join(v.to_bytes(4, "little") for v in x))
+    assert sorted((x.doc_id, x.n_tokens, x.ids_crc32) for x in out) == sorted((d, len(ids[d]), crc(ids[d])) for d in taken)
