@@ -185,11 +185,60 @@ def test_streaming_matches_batch(spark, tmp_path):
     assert EV.distinct(df.union(df)).count() == 48
 
 
-def test_query_rewrite_reads_whole_turns(spark, tmp_path):
+def test_queries_read_whole_turns(spark, tmp_path):
     from webloom import catalogue
+    from webloom.functions import text as T
 
     turns = [(1, 0, "system", "be brief"), (1, 1, "user", "a word of greeting, then stack overflow error"), (4, 3, "user", "a word of greeting, then nothing else")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {(r.conv_id, r.turn): r for r in catalogue.query_rewrite(spark, str(tmp_path)).collect()}
+    q = catalogue._user_queries(spark, str(tmp_path))
+    got = {(r.conv_id, r.turn): r for r in q.select("conv_id", "turn", "q", T.recovery_queries(F.col("q"), T.rewritten(F.col("q"))).alias("s")).collect()}
     assert set(got) == {(1, 1), (4, 3)}
-    assert "stack overflow error" in got[1, 1].recovery and "nothing else" in got[4, 3].recovery
+    assert got[1, 1].q.endswith("stack overflow error") and any("stack overflow error" in x for x in got[1, 1].s)
+    assert any("nothing else" in x for x in got[4, 3].s)
+
+
+def test_grounded_counts_equal_all_pairs(spark):
+    import random
+
+    from webloom.functions import quality as Q
+    from webloom.operators import extract
+
+    r = random.Random(3)
+    words = ["the", "theme", "a", "an", "report", "reports", "Zürich", "x1", "blue", "green", "greenhouse", "of"]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 25)))) for i in range(60)] + [(60, None), (61, ""), (62, "THE-report"), (62, "THE-report"), (None, "blue green of")]
+    values = [(i, " ".join(r.choice(words) for _ in range(r.randrange(1, 9)))) for i in range(40)] + [(40, "a"), (41, "!? ..--"), (42, "of an"), (43, "blue, GREEN"), (44, "nothing there")]
+    d, v = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(values, "id long, value string")
+    got = {x.id: x.grounded for x in extract.grounded_counts(v, d).collect()}
+    pairs = v.crossJoin(d).groupBy("id").agg(F.count_if(Q.is_grounded(F.col("value"), F.col("text"))).alias("n"))
+    assert got == {x.id: x.n for x in pairs.collect()} and len(got) == len(values)
+
+
+def test_placed_numbers_all_rows(spark):
+    from webloom.operators import store
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), "id")
+    got = {x.k: x.place for x in store.placed(rows.repartition(5), F.desc("k"), "id").collect()}
+    assert got == {k: 1000 - k for k in range(1000)}
+    assert store.placed(rows.where("false"), "k").count() == 0
+
+
+def test_shared_links_walk(spark):
+    from webloom.operators import crawl
+
+    links = [(0, "a"), (1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "c"), (4, "z"), (0, "a")]
+    got = crawl.shared_links(spark.createDataFrame(links, "page_id long, href string"), spark.createDataFrame([(0,)], "node long"), 2)
+    assert sorted((x.node, x.depth) for x in got.collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_extras_of_engines(spark):
+    from webloom.operators import search
+
+    rows = [(2, ["r2"], None, ["w"], "second", None), (1, ["r1", "x"], ["s"], None, None, None), (3, [], [], ["w"], "third", "42")]
+    kinds = "ord long, related array<string>, suggestions array<string>, warnings array<string>, rewrite string, answer string"
+    x = search.merged_extras(spark.createDataFrame(rows, kinds)).first()
+    assert (x.related, x.suggestions, x.warnings, x.rewrite, x.answer) == (["r1", "x", "r2"], ["s"], ["w", "w"], "second", "42")
+    base = "ord long, engine string, url string, title string, content string, published_at string, domain string, source_type string, breadcrumbs array<string>, top_answer string"
+    found = spark.createDataFrame([(1, "a", "https://h.example/", "", "c", None, "h", "other", ["h"], None), (2, "b", "https://h.example/", "t", "", None, "h", "other", ["H", "x"], "yes")], base)
+    (m,) = search.merged(found).collect()
+    assert m.top_answer == "yes" and m.breadcrumbs == ["h", "x"] and m.title == "t" and m.content == "c"

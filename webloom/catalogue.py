@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tables
+from . import families, tables
 from .functions import fields as X
 from .functions import quality as Q
 from .functions import text as T
@@ -19,34 +19,15 @@ from .operators import relevance as R
 from .operators import research as D
 from .operators import search as S
 from .operators import state as ST
+from .operators import store
 from .plans import api
+from .registry import ORACLE, QUERIES, query, table
+from .registry import sql_any as _sql_any
 from .sources import pages as P
 from .streaming import events as EV
 
 QUERY = "the and tion with report"
 AS_OF = dt.date(2024, 2, 1)
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _sql_any(column: str, needles: list[str]) -> str:
-    return "(" + " or ".join(f"contains({column}, '{n.replace(chr(39), chr(39) * 2)}')" for n in needles) + ")"
-
-
 _TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: strlen(w) > 2)"
 _RELEVANCE = """round(least(1.0, (least(list_sum(list_transform({q}, lambda t: case when list_contains({t}, t) then 0.4 when list_contains({c}, t) then 0.2 else 0.0 end)) / (0.4 * len({q})), 1.0)
   + list_sum(list_transform({q}, lambda t: case when list_contains({t}, t) or list_contains({c}, t) then 1.0 else 0.0 end)) / len({q})) / 2), 6)"""
@@ -79,10 +60,8 @@ _EARLY = " + ".join(f"cast(contains(lower(left(text, 200)), '{t}') as int)" for
 
 @query(f"select doc_id, row_number() over (order by early desc, doc_id) as place from (select doc_id, round((1 + doc_id % 7) * (1 + 0.2 * ({_EARLY})), 6) as early from documents)")
 def early_boost_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     d = S.boosted(_docs(spark, sf_dir).withColumn("score", (1 + F.col("doc_id") % 7).cast("double")), QUERY)
-    return d.select("doc_id", F.row_number().over(Window.orderBy(F.desc("early"), "doc_id")).cast("long").alias("place"))
+    return store.placed(d.select("doc_id", "early"), F.desc("early"), "doc_id").select("doc_id", "place")
 
 
 _SIGNATURE = r"trim(lower(left(text, 60))) || '|' || trim(regexp_replace(lower(left(text, 140)), '\s+', ' ', 'g'))"
@@ -183,23 +162,23 @@ _TITLE = r"replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.
 
 @query(f"select page_id, case when {_TITLE} = '' then 'No Title' else {_TITLE} end as title, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) as language from pages")
 def page_title_lang(spark, sf_dir):
-    return P.parsed(table(spark, sf_dir, "pages")).select("page_id", "title", "language")
+    return P.parsed(table(spark, sf_dir, "pages"), ["title", "language"]).select("page_id", "title", "language")
 
 
 @query(r"select page_id, replace(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), '&amp;', '&') as h1 from pages where regexp_matches(html, '<h1')")
 def page_h1(spark, sf_dir):
-    return P.parsed(table(spark, sf_dir, "pages")).select("page_id", F.explode("headings").alias("h")).where(F.col("h.level") == "h1").select("page_id", F.col("h.text").alias("h1"))
+    return P.parsed(table(spark, sf_dir, "pages"), ["headings"]).select("page_id", F.explode("headings").alias("h")).where(F.col("h.level") == "h1").select("page_id", F.col("h.text").alias("h1"))
 
 
 @query()
 def page_links(spark, sf_dir):
-    p = P.parsed(table(spark, sf_dir, "pages")).select("page_id", F.explode("links").alias("l"))
+    p = P.parsed(table(spark, sf_dir, "pages"), ["links"]).select("page_id", F.explode("links").alias("l"))
     return p.select("page_id", F.col("l.url").alias("url"), F.col("l.text").alias("text"))
 
 
 @query()
 def link_domain_counts(spark, sf_dir):
-    p = P.parsed(table(spark, sf_dir, "pages")).select("page_id", F.explode("links").alias("l"))
+    p = P.parsed(table(spark, sf_dir, "pages"), ["links"]).select("page_id", F.explode("links").alias("l"))
     return p.groupBy(U.domain(F.col("l.url")).alias("domain")).agg(F.count("*").alias("n"))
 
 
@@ -305,7 +284,7 @@ def semantic_shave(spark, sf_dir):
 
 @query()
 def section_extract(spark, sf_dir):
-    d = P.parsed(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("id"), F.col("markdown").alias("text"))
+    d = P.parsed(table(spark, sf_dir, "pages"), ["markdown"]).select(F.col("page_id").alias("id"), F.col("markdown").alias("text"))
     return R.section_extract(d, QUERY, least_words=20).select(F.col("id").alias("page_id"), F.md5("text").alias("text_md5"), "note")
 
 
@@ -321,19 +300,19 @@ def vector_topk(spark, sf_dir):
 
 
 def _memory(spark, sf_dir) -> DataFrame:
-    """Past searches: user turns, with the vector of a like number and a time by conversation."""
-    c = table(spark, sf_dir, "conversations").where("role = 'user' and turn <= 2")
+    """Past searches: the first user turn of each conversation, with the vector of a like number and a time by conversation."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
     one = c.groupBy("conv_id").agg(F.min_by("text", F.struct("turn", "text")).alias("query"))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector"))
     kind = F.when(F.col("conv_id") % 3 == 0, "scrape").otherwise("search")
-    return one.join(v, "conv_id").select(F.col("conv_id").alias("id"), kind.alias("entry_type"), "query", T.topic(F.col("query"), kind).alias("topic"), F.concat(F.lit("Search: "), F.substring("query", 1, 40)).alias("summary"), F.timestamp_seconds(1704067200 + F.col("conv_id") * 3600).alias("ts"), F.concat(F.lit("site"), (F.col("conv_id") % 9).cast("string")).alias("domain"), "vector")
+    return one.join(v, "conv_id").select(F.col("conv_id").alias("id"), kind.alias("entry_type"), "query", T.topic(F.col("query"), kind).alias("topic"), F.concat(F.lit("Search: "), F.col("query")).alias("summary"), F.timestamp_seconds(1704067200 + F.col("conv_id") * 3600).alias("ts"), F.concat(F.lit("site"), (F.col("conv_id") % 9).cast("string")).alias("domain"), "vector")
 
 
 _TOPIC = r"case when len(w) = 0 then 'general_' || entry_type else lower(array_to_string(w[1:5], ' ')) end"
-_MEMORY = rf"""select id, entry_type, query, {_TOPIC} as topic, 'Search: ' || left(query, 40) as summary, ts, domain, e from (
+_MEMORY = rf"""select id, entry_type, query, {_TOPIC} as topic, 'Search: ' || query as summary, ts, domain, e from (
   select conv_id as id, case when conv_id % 3 = 0 then 'scrape' else 'search' end as entry_type, query, list_filter(regexp_split_to_array(query, '\s+'), lambda x: strlen(x) > 3) as w,
     make_timestamp((1704067200 + conv_id * 3600) * 1000000) as ts, 'site' || (conv_id % 9) as domain, list_transform(embedding, lambda x: cast(x as double)) as e
-  from (select conv_id, arg_min(text, (turn, text)) as query from conversations where role = 'user' and turn <= 2 group by conv_id) join embeddings on vec_id = conv_id)"""
+  from (select conv_id, arg_min(text, (turn, text)) as query from conversations where role = 'user' group by conv_id) join embeddings on vec_id = conv_id)"""
 
 
 @query(f"select id, topic from ({_MEMORY})")
@@ -404,11 +383,11 @@ def extract_fields(spark, sf_dir):
 _GROUND = r"list_filter(regexp_split_to_array(v, '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 3)"
 
 
-@query(f"select item_id, count_if(strlen(v) < 4 or contains(s, v) or len(w) = 0 or len(list_filter(w, lambda x: contains(s, x))) / len(w) >= 0.7)::bigint as grounded from (select *, {_GROUND} as w from (select item_id, lower(trim(left(b.text, 60))) as v, lower(d.text) as s from benchmark b, documents d where item_id < 20 and doc_id < 200)) group by item_id")
+@query(f"select item_id, count_if(strlen(v) < 4 or contains(s, v) or len(w) = 0 or len(list_filter(w, lambda x: contains(s, x))) / len(w) >= 0.7)::bigint as grounded from (select item_id, v, s, {_GROUND} as w from (select item_id, lower(trim(text)) as v from benchmark), (select lower(text) as s from documents)) group by item_id")
 def grounding_rate(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").where("item_id < 20").select("item_id", F.substring("text", 1, 60).alias("v"))
-    d = table(spark, sf_dir, "documents").where("doc_id < 200").select(F.col("text").alias("s"))
-    return d.crossJoin(F.broadcast(b)).groupBy("item_id").agg(F.count_if(Q.is_grounded(F.col("v"), F.col("s"))).alias("grounded"))
+    """How many documents each benchmark item is grounded in."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("value"))
+    return E.grounded_counts(items, table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("id").alias("item_id"), "grounded")
 
 
 _HREFS = "select distinct page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) as href from pages"
@@ -416,13 +395,12 @@ _HREFS = "select distinct page_id, unnest(regexp_extract_all(html, '<a [^>]*href
 
 @query(f"with recursive l as ({_HREFS}), e as (select distinct x.page_id as src, y.page_id as dst from l x join l y on x.href = y.href and x.page_id <> y.page_id), b as (select 0::bigint as node, 0 as depth union select e.dst, b.depth + 1 from b join e on e.src = b.node where b.depth < 2) select node, min(depth) as depth from b group by node")
 def crawl_bfs(spark, sf_dir):
-    links = page_hrefs(spark, sf_dir)
-    return C.bfs(C.shared_link_edges(links), spark.range(1).select(F.col("id").alias("node")), 2, None)
+    return C.shared_links(page_hrefs(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")), 2)
 
 
 @query()
 def crawl_summary(spark, sf_dir):
-    p = P.parsed(table(spark, sf_dir, "pages")).select("url", "links")
+    p = P.parsed(table(spark, sf_dir, "pages"), ["links"]).select("url", "links")
     start = p.orderBy("url").first()["url"]
     c = C.summary(C.crawl(spark, p, start, 2, 40, same_domain=False))
     return c.select("crawled", "failed", "max_depth", F.size("domains").alias("domains"), F.size("sitemap").alias("sitemap"))
@@ -450,11 +428,6 @@ def engine_health_fold(spark, sf_dir):
     return h.select("engine", "blocked_streak", "timeout_streak", "failure_streak", status.alias("status"))
 
 
-@query("select n as streak, least(25 * power(2, least(greatest(n - 1, 0), 4)), 600)::bigint as seconds from generate_series(0, 9) t(n)")
-def exp_backoff(spark, sf_dir):
-    return spark.range(10).select(F.col("id").alias("streak"), Q.backoff_seconds(F.lit(25), F.col("id"), F.lit(600)).alias("seconds"))
-
-
 @query("with s as (select user_id, ts, event_id, sum(case when event_type = 'purchase' then -1 else 1 end) over w as s from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)), m as (select *, s - least(min(s) over (partition by user_id order by ts, event_id rows unbounded preceding), 0) as k from s) select cast(user_id as varchar) as bucket, arg_max(k, (ts, event_id))::bigint as streak from m group by user_id")
 def host_guard(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("bucket"), "ts", F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("ok"))
@@ -466,11 +439,6 @@ def _outcomes(spark, sf_dir) -> DataFrame:
     return e.select(F.concat(F.lit("http://10.0.0."), F.col("user_id").cast("string"), F.lit(":8080")).alias("url"), "ts", F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("success"), F.floor(F.abs("value")).cast("long").alias("latency_ms"))
 
 
-@query()
-def ema_latency(spark, sf_dir):
-    return ST.proxy_state(_outcomes(spark, sf_dir)).select("url", "latency_ms", "failure_count", "enabled")
-
-
 @query("select url from (select 'http://10.0.0.' || user_id || ':8080' as url, 4 * 1000 - cast(sum(floor(abs(value))) as bigint) % 997 - count_if(event_type = 'error') % 3 * 500 as score from events group by user_id) order by score desc, url desc limit 1")
 def best_proxy(spark, sf_dir):
     p = _outcomes(spark, sf_dir).groupBy("url").agg((F.sum("latency_ms") % 997).alias("latency_ms"), (F.count_if(~F.col("success")) % 3).alias("failure_count"))
@@ -478,14 +446,14 @@ def best_proxy(spark, sf_dir):
     return ST.best_proxy(p, F.lit(dt.datetime(2024, 2, 1))).select("url")
 
 
-def _user_queries(spark, sf_dir, whole: bool = False) -> DataFrame:
-    """Queries made of the users' turns: a developer's question, then the first 12 characters (as the oracles have it) or the whole text."""
+def _user_queries(spark, sf_dir) -> DataFrame:
+    """Queries made of the users' turns: a developer's question, then the turn's text."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     some = F.element_at(F.array(*[F.lit(s) for s in ("rust docs", "how to use tokio", "python error message", "coffee", "react tutorial")]), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
-    return c.select("conv_id", "turn", F.concat(some, F.lit(" "), F.col("text") if whole else F.substring("text", 1, 12)).alias("q"))
+    return c.select("conv_id", "turn", F.concat(some, F.lit(" "), F.col("text")).alias("q"))
 
 
-_UQ = "select conv_id, turn, ['rust docs', 'how to use tokio', 'python error message', 'coffee', 'react tutorial'][(conv_id + turn) % 5 + 1] || ' ' || left(text, 12) as q from conversations where role = 'user'"
+_UQ = "select conv_id, turn, ['rust docs', 'how to use tokio', 'python error message', 'coffee', 'react tutorial'][(conv_id + turn) % 5 + 1] || ' ' || text as q from conversations where role = 'user'"
 
 
 @query(f"select conv_id, turn, {_sql_any('lower(q)', tables.DEV_WORDS + tables.DEV_PATTERNS)} as dev, case when {_sql_any('lower(q)', tables.CODE_WORDS)} then 'code' when {_sql_any('lower(q)', tables.NEWS_WORDS)} then 'news' else 'general' end as topic, trim(regexp_replace(lower(q), '\\s+', ' ', 'g')) as normal from ({_UQ})")
@@ -494,12 +462,6 @@ def query_classes(spark, sf_dir):
     return q.select("conv_id", "turn", T.is_developer_query(F.col("q")).alias("dev"), T.query_topic(F.col("q")).alias("topic"), T.normalized_query(F.col("q")).alias("normal"))
 
 
-@query()
-def query_rewrite(spark, sf_dir):
-    q = F.col("q")
-    return _user_queries(spark, sf_dir, whole=True).select("conv_id", "turn", T.rewritten(q).alias("rewritten"), F.array_join(T.suggestions(q), " | ").alias("suggestions"), F.array_join(T.recovery_queries(q, F.coalesce(T.rewritten(q), q)), " | ").alias("recovery"))
-
-
 @query(f"select conv_id, turn, angle from (select conv_id, turn, unnest(list_distinct([trim(q), q || ' {tables.RESEARCH_ANGLES[0]}', q || ' {tables.RESEARCH_ANGLES[1]}', q || ' {tables.RESEARCH_ANGLES[2]}'])) as angle from ({_UQ}))")
 def research_angles(spark, sf_dir):
     return _user_queries(spark, sf_dir).select("conv_id", "turn", F.explode(T.research_queries(F.col("q"))).alias("angle"))
@@ -508,11 +470,17 @@ def research_angles(spark, sf_dir):
 _SIM_W = r"list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda w: w <> '')"
 
 
-@query(f"select conv_id, (lower(a) = lower(b) or len(list_filter(x, lambda w: not list_contains(y, w))) = 0 or len(list_filter(y, lambda w: not list_contains(x, w))) = 0 or len(x) >= 2 and len(y) >= 2 and len(list_filter(x, lambda w: list_contains(y, w))) / greatest(len(x), len(y)) > 0.7) as similar from (select conv_id, a, b, {_SIM_W.format('a')} as x, {_SIM_W.format('b')} as y from (select p.conv_id, p.q as a, n.q as b from ({_UQ}) p join ({_UQ}) n on n.conv_id = p.conv_id + 5 and n.turn = p.turn where p.turn = 0))")
+_NTH = f"select *, row_number() over (partition by conv_id order by turn, q) as nth from ({_UQ})"
+
+
+@query(f"select conv_id, nth, (lower(a) = lower(b) or len(list_filter(x, lambda w: not list_contains(y, w))) = 0 or len(list_filter(y, lambda w: not list_contains(x, w))) = 0 or len(x) >= 2 and len(y) >= 2 and len(list_filter(x, lambda w: list_contains(y, w))) / greatest(len(x), len(y)) > 0.7) as similar from (select conv_id, nth, a, b, {_SIM_W.format('a')} as x, {_SIM_W.format('b')} as y from (select p.conv_id, p.nth, p.q as a, n.q as b from ({_NTH}) p join ({_NTH}) n on n.conv_id = p.conv_id + 5 and n.nth = p.nth))")
 def similar_queries(spark, sf_dir):
-    q = _user_queries(spark, sf_dir).where("turn = 0")
-    n = q.select((F.col("conv_id") - 5).alias("conv_id"), F.col("q").alias("b"))
-    return q.join(n, "conv_id").select("conv_id", T.is_similar_query(F.col("q"), F.col("b")).alias("similar"))
+    """Each user turn of a conversation with the same one of the conversation five further on."""
+    from pyspark.sql import Window
+
+    q = _user_queries(spark, sf_dir).withColumn("nth", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "q")).cast("long"))
+    n = q.select((F.col("conv_id") - 5).alias("conv_id"), "nth", F.col("q").alias("b"))
+    return q.join(n, ["conv_id", "nth"]).select("conv_id", "nth", T.is_similar_query(F.col("q"), F.col("b")).alias("similar"))
 
 
 @query(f"select doc_id from documents where {_sql_any('lower(text)', tables.SPAM_MARKERS)}")
@@ -565,3 +533,6 @@ def star_rollup(spark, sf_dir):
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.rollup("c_mktsegment", "n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+__all__ = ["ORACLE", "QUERIES", "families"]

@@ -60,18 +60,14 @@ def relevance(query: list[str], title: Column, content: Column) -> Column:
     """Share of the query's tokens found, those in the title weighing double; 0.5 for a query without tokens."""
     if not query:
         return F.lit(0.5)
-    in_title, in_content = tokens(title), tokens(content)
-    q = F.array(*[F.lit(t) for t in query])
-    hits = F.aggregate(
-        q,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("m")),
-        lambda a, t: F.struct(
-            (a["s"] + F.when(F.array_contains(in_title, t), 0.4).when(F.array_contains(in_content, t), 0.2).otherwise(0.0)).alias("s"),
-            (a["m"] + F.when(F.array_contains(in_title, t) | F.array_contains(in_content, t), 1).otherwise(0)).alias("m"),
-        ),
-    )
-    n = len(query)
-    return F.round(F.least(F.lit(1.0), (F.least(hits["s"] / (0.4 * n), F.lit(1.0)) + hits["m"] / n) / 2), 6)
+    # a text is split once, and only the query's tokens are kept of it; a token that the query repeats counts again
+    n, times = len(query), {k: [t for t in dict.fromkeys(query) if query.count(t) > k] for k in range(len(query))}
+    parts = lambda text: F.split(F.lower(text), "[^\\p{IsAlphabetic}\\p{N}]+")
+    in_title, in_content = (F.array_intersect(F.array(*[F.lit(t) for t in times[0]]), parts(x)) for x in (title, content))
+    some = [(in_title, in_content)] + [(F.array_intersect(in_title, more), F.array_intersect(in_content, more)) for k in range(1, n) if times[k] for more in [F.array(*[F.lit(t) for t in times[k]])]]
+    titles = sum((F.size(t) for t, _ in some), F.lit(0))
+    all_ = sum((F.size(F.array_union(t, c)) for t, c in some), F.lit(0))
+    return F.round(F.least(F.lit(1.0), (F.least((titles * 0.4 + (all_ - titles) * 0.2) / (0.4 * n), F.lit(1.0)) + all_ / n) / 2), 6)
 
 
 def query_tokens(query: str) -> list[str]:

@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import url as U
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the cluster's shared folder and read back, so that a wave does not repeat those before it."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webloom-")
-    path = f"{where.rstrip('/')}/webloom/wave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .store import kept
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -26,12 +15,6 @@ def edges(pages: DataFrame) -> DataFrame:
     return e.select("src", U.crawl_key(F.col("link.url")).alias("dst")).where(F.col("src") != F.col("dst")).distinct()
 
 
-def shared_link_edges(links: DataFrame) -> DataFrame:
-    """src, dst: pages of links(page_id, href) that share a link, both ways."""
-    x, y = links.distinct().toDF("src", "href"), links.distinct().toDF("dst", "href")
-    return x.join(y, "href").where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
-
-
 def bfs(links: DataFrame, starts: DataFrame, max_depth: int = 3, max_nodes: int | None = 50) -> DataFrame:
     """node, depth: what is reached from starts(node) over links(src, dst), nearest first.
 
@@ -39,17 +22,39 @@ def bfs(links: DataFrame, starts: DataFrame, max_depth: int = 3, max_nodes: int
     stops at max_depth, or when a wave finds nothing.  With max_nodes, the
     first ones by (depth, node).
     """
-    seen = _kept(starts.select("node", F.lit(0).alias("depth")).dropDuplicates(["node"]))
+    seen = kept(starts.select("node", F.lit(0).alias("depth")).dropDuplicates(["node"]))
     wave = seen
     for depth in range(1, max_depth + 1):
         new = links.join(wave.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        wave = _kept(new.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth")))
+        wave = kept(new.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth")))
         if not wave.limit(1).count():
             break
         seen = seen.unionByName(wave)
     return seen if max_nodes is None else seen.orderBy("depth", "node").limit(max_nodes)
 
 
+def shared_links(links: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame:
+    """node, depth: pages reached from starts(node) by links(page_id, href) that pages share.
+
+    A wave goes from pages to their links and from those to all pages that have
+    them; a link is followed once, so one that n pages have costs n rows and
+    not their pairs.
+    """
+    links = kept(links.select("page_id", "href").distinct())
+    seen = wave = kept(starts.select("node", F.lit(0).alias("depth")).dropDuplicates(["node"]))
+    used = None
+    for depth in range(1, max_depth + 1):
+        new = links.join(wave.select(F.col("node").alias("page_id")), "page_id", "left_semi").select("href").distinct()
+        new = kept(new if used is None else new.join(used, "href", "left_anti"))
+        used = new if used is None else used.unionByName(new)
+        pages = links.join(new, "href", "left_semi").select(F.col("page_id").alias("node")).distinct()
+        wave = kept(pages.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth")))
+        if not wave.limit(1).count():
+            break
+        seen = seen.unionByName(wave)
+    return seen
+
+
 def summary(crawled: DataFrame) -> DataFrame:
     """crawled(url, depth, success) in one row."""
     ok = F.col("success")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields as X
 from ..functions import quality as Q
+from . import store
+
+#: Values with their words that a join may broadcast.
+NEAR = 100_000
 
 
 def extracted(pages: DataFrame, schema: list[X.Field], strict: bool = True, sparse_words: int = 10, empty_share: float = 0.9) -> DataFrame:
@@ -51,3 +55,35 @@ def auto(pages: DataFrame) -> DataFrame:
     """What can be told without a schema: title, description, e-mails, prices, dates, contents."""
     c = F.col("clean_content")
     return pages.select("page_id", "url", "title", F.coalesce(F.nullif("meta_description", F.lit("")), F.substring(c, 1, 200)).alias("description"), X.emails(c).alias("emails"), X.prices(c).alias("prices"), X.page_date(c).alias("date"), X.main_topics(F.col("headings")).alias("contents"))
+
+
+def grounded_counts(values: DataFrame, docs: DataFrame) -> DataFrame:
+    """values(id, value) as id, grounded: how many of docs(doc_id, text) each value stands in (quality.is_grounded).
+
+    A join by words instead of all pairs.  A word of a value stands in a text
+    within one of the text's words, so the distinct words of all texts tell, by
+    their parts of the lengths asked for, which value's words are where.  A
+    value needs 70 % of its words: one at least of its rarest ones, that are
+    more than 30 %, has to be there.  Only such pairs are read.
+    """
+    split = "[^\\p{IsAlphabetic}\\p{N}]+"
+    v = values.select("id", F.lower(F.trim("value")).alias("v"))
+    v = store.kept(v.withColumn("w", F.filter(F.split("v", split), lambda x: F.octet_length(x) >= 3)))
+    hint = F.broadcast if v.count() <= NEAR else (lambda df: df)
+    always = (F.octet_length("v") < 4) | (F.size("w") == 0)
+    each = v.where(~always).select("id", F.size("w").alias("n"), F.explode("w").alias("x")).groupBy("id", "n", "x").agg(F.count("*").alias("m"))
+    lengths = sorted(r["l"] for r in each.select(F.length("x").alias("l")).distinct().collect())  # of words: a few dozen at most
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), split))).alias("word")).where("word <> ''")
+    parts = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substr(F.col("word"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    known = words.groupBy("word").agg(F.count("*").alias("n"))
+    pieces = F.array_distinct(F.flatten(F.array(*map(parts, lengths)))) if lengths else F.array().cast("array<string>")
+    inside = store.kept(known.select("word", "n", F.explode(pieces).alias("x")).join(hint(each.select("x").distinct()), "x"))
+    rarity = inside.groupBy("x").agg(F.sum("n").alias("r"))
+    upto = F.sum("m").over(Window.partitionBy("id").orderBy("r", "x"))
+    prefix = each.join(rarity, "x", "left").withColumn("r", F.coalesce("r", F.lit(0))).withColumn("before", upto - F.col("m")).where(F.col("before") <= 0.3 * F.col("n"))
+    wanted = inside.join(hint(prefix.select("id", "x")), "x").select("word", "id").distinct()
+    pairs = words.join(wanted, "word").select(F.col("doc_id").alias("d"), "id").distinct()
+    met = pairs.join(docs.select("doc_id", "text"), F.col("d").eqNullSafe(F.col("doc_id"))).join(hint(v.select("id", "v")), "id")
+    some = met.where(Q.is_grounded(F.col("v"), F.col("text"))).groupBy("id").agg(F.count("*").alias("some"))
+    every = docs.agg(F.count("*").alias("every"))  # one row
+    return v.select("id", always.alias("always")).join(some, "id", "left").join(F.broadcast(every)).select("id", F.when(F.col("always"), F.col("every")).otherwise(F.coalesce("some", F.lit(0))).alias("grounded"))

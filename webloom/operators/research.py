@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import tables
 from ..functions import text as T
 from ..functions import url as U
+from . import store
 
 
 def is_spam(title: Column, content: Column, url: Column) -> Column:
@@ -17,8 +18,7 @@ def is_spam(title: Column, content: Column, url: Column) -> Column:
 
 def by_priority(results: DataFrame) -> DataFrame:
     """results(url, rank) with `place`: sites that research prefers first, else in rank."""
-    p = results.withColumn("priority", U.domain_priority(F.col("url")))
-    return p.withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "rank", "url")))
+    return store.placed(results.withColumn("priority", U.domain_priority(F.col("url"))), F.desc("priority"), "rank", "url")
 
 
 def logged_urls(logs: DataFrame, limit: int = 10) -> DataFrame:

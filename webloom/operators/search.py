@@ -15,11 +15,23 @@ def _first_filled(name: str, blank: bool = False) -> Column:
     return F.min_by(F.when(ok, F.col(name)), F.when(ok, F.col("ord")))
 
 
+#: What only some engines give: an answer of their own, facts beside a result, a corrected query.
+EXTRAS = ["rich_snippet", "top_answer", "query_rewrite"]
+
+
+def merged_extras(extras: DataFrame) -> DataFrame:
+    """extras(ord, related, suggestions, warnings, rewrite, answer) of each engine in one row: lists one after the other, the first rewrite and answer."""
+    lists = lambda n: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", n))), lambda x: F.coalesce(x[n], F.array().cast("array<string>")))).alias(n)
+    return extras.agg(*map(lists, ("related", "suggestions", "warnings")), *[_first_filled(n).alias(n) for n in ("rewrite", "answer")])
+
+
 def merged(results: DataFrame) -> DataFrame:
     """One row for each address.  results(ord, engine, url, title, content, published_at, domain, source_type, breadcrumbs), ord their order.
 
     A partial aggregation: rows of one address meet as sums, not as a group.
+    Columns of results named in EXTRAS keep the first value that there is.
     """
+    extras = [(n, _first_filled(n)) for n in EXTRAS if n in results.columns]
     r = results.withColumn("url_key", U.search_key(F.col("url")))
     m = r.groupBy("url_key").agg(
         F.min("ord").alias("ord"),
@@ -30,8 +42,11 @@ def merged(results: DataFrame) -> DataFrame:
         _first_filled("domain").alias("domain"),
         _first_filled("source_type").alias("source_type"),
         F.sort_array(F.collect_set("engine")).alias("engines"),
-        F.sort_array(F.collect_set(F.struct("ord", "breadcrumbs"))).alias("crumbs"),
+        *[c.alias(n) for n, c in extras],
     )
+    # each path of an address once, however many rows have it
+    paths = r.groupBy(F.col("url_key").alias("k"), "breadcrumbs").agg(F.min("ord").alias("ord"))
+    m = m.join(paths.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("ord", "breadcrumbs"))).alias("crumbs")), F.col("k") == F.col("url_key"), "left").drop("k")
     # an ordered union without regard to case
     union = F.aggregate(
         F.flatten(F.col("crumbs.breadcrumbs")),
@@ -68,8 +83,8 @@ def reranked(results: DataFrame, query: str, top: int = 50, threshold: float | N
 
 def distinct_by_signature(results: DataFrame, order: str, chars: int = 140) -> DataFrame:
     """The first of the rows, by `order`, that agree in title and beginning of the content."""
-    first = F.row_number().over(Window.partitionBy("signature").orderBy(order))
-    return results.withColumn("signature", T.signature(F.col("title"), F.col("content"), chars)).withColumn("nth", first).where(F.col("nth") == 1).drop("nth", "signature")
+    row = F.min_by(F.struct(*results.columns), order).alias("row")  # a partial aggregation: no signature's rows are gathered
+    return results.groupBy(T.signature(F.col("title"), F.col("content"), chars).alias("signature")).agg(row).select("row.*")
 
 
 def duplicates_removed(results: DataFrame, chars: int = 140) -> DataFrame:

@@ -22,52 +22,68 @@ clean_content string, markdown string"""
 NAMES = re.findall(r"(?:^|,\s)(\w+) (?=long|string|array)", PARSED)
 
 
-def read_page(url: str, html: str, line_aware: bool = False) -> dict:
-    """All that dom reads from one page; an empty page has empty lists and texts."""
-    root = dom.parse(html or "")
-    base = url or ""
-    og = {k: dom.meta(root, f"og:{k}") for k in ("title", "description", "image", "site_name")}
-    text = dom.linked_data(root) if dom.words(dom.main_text(root)) < 10 else None
-    text = text or dom.main_text(root)
+def _content(root, base: str, line_aware: bool, page_title: str, pictures: list) -> str:
+    """The page's clean text: main text, else linked data, else the state of an application, else the description."""
+    main = dom.main_text(root)
+    text = (dom.linked_data(root) if dom.words(main) < 10 else None) or main
     if dom.words(text) < 50:
         text = dom.state_text(root) or text
     clean = dom.post_cleaned(text, line_aware)
-    if dom.words(clean) < 50 and og["description"]:
-        clean = og["description"]
-    page_title = dom.title(root)
-    pictures = dom.images(root, base)
-    return {
-        "title": page_title,
-        "meta_description": dom.meta(root, "description") or "",
-        "meta_keywords": dom.meta(root, "keywords") or "",
-        "canonical_url": dom.canonical(root, base),
-        "site_name": og["site_name"],
-        "og_title": og["title"],
-        "og_description": og["description"],
-        "og_image": dom._absolute(base, og["image"]) if og["image"] else None,
-        "author": dom.meta(root, "author", "article:author"),
-        "published_at": dom.meta(root, "article:published_time"),
-        "language": dom.language(root),
-        "headings": dom.headings(root),
-        "links": dom.content_links(root, base),
-        "images": pictures,
-        "code_blocks": dom.code_blocks(root, base),
-        "embedded_sources": dom.embedded_sources(root),
-        "embedded_state_json": dom.state_json(root),
-        "clean_content": dom.with_image_context(clean, pictures, page_title),
-        "markdown": dom.to_markdown(root),
-    }
-
-
-def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [{"page_id": i, "url": u, **read_page(u or "", h or "")} for i, u, h in zip(b["page_id"], b["url"], b["html"], strict=True)]
-        yield pd.DataFrame(rows, columns=NAMES)
-
-
-def parsed(pages: DataFrame) -> DataFrame:
-    """One parse of each page, in Arrow batches, no shuffle."""
-    return pages.select("page_id", "url", "html").mapInPandas(_batches, PARSED)
+    description = dom.meta(root, "og:description") if dom.words(clean) < 50 else None
+    return dom.with_image_context(description or clean, pictures, page_title)
+
+
+def _image(root, base: str) -> str | None:
+    found = dom.meta(root, "og:image")
+    return dom._absolute(base, found) if found else None
+
+
+#: How each field is read from a parsed page and its address; clean_content has a function of its own.
+READERS = {
+    "title": lambda root, base: dom.title(root),
+    "meta_description": lambda root, base: dom.meta(root, "description") or "",
+    "meta_keywords": lambda root, base: dom.meta(root, "keywords") or "",
+    "canonical_url": dom.canonical,
+    "site_name": lambda root, base: dom.meta(root, "og:site_name"),
+    "og_title": lambda root, base: dom.meta(root, "og:title"),
+    "og_description": lambda root, base: dom.meta(root, "og:description"),
+    "og_image": _image,
+    "author": lambda root, base: dom.meta(root, "author", "article:author"),
+    "published_at": lambda root, base: dom.meta(root, "article:published_time"),
+    "language": lambda root, base: dom.language(root),
+    "headings": lambda root, base: dom.headings(root),
+    "links": dom.content_links,
+    "images": dom.images,
+    "code_blocks": dom.code_blocks,
+    "embedded_sources": lambda root, base: dom.embedded_sources(root),
+    "embedded_state_json": lambda root, base: dom.state_json(root),
+    "markdown": lambda root, base: dom.to_markdown(root),
+}
+
+
+def read_page(url: str, html: str, line_aware: bool = False, fields: list[str] | None = None) -> dict:
+    """What dom reads from one page, or the named fields of it; an empty page has empty lists and texts."""
+    root, base = dom.parse(html or ""), url or ""
+    wanted = NAMES[2:] if fields is None else fields
+    out = {f: READERS[f](root, base) for f in wanted if f in READERS}
+    if "clean_content" in wanted:
+        page_title = out["title"] if "title" in out else dom.title(root)
+        pictures = out["images"] if "images" in out else dom.images(root, base)
+        out["clean_content"] = _content(root, base, line_aware, page_title, pictures)
+    return out
+
+
+def parsed(pages: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """One parse of each page, in Arrow batches, no shuffle; with fields, only those are read."""
+    kinds = dict(re.findall(r"(?:^|,\s)(\w+) (long|string|array<(?:string|struct<.*?>)>)(?=,|$)", PARSED))
+    names = ["page_id", "url", *(f for f in NAMES[2:] if fields is None or f in fields)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [{"page_id": i, "url": u, **read_page(u or "", h or "", fields=names[2:])} for i, u, h in zip(b["page_id"], b["url"], b["html"], strict=True)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def scored(rows: DataFrame) -> DataFrame:
