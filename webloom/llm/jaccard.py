@@ -16,7 +16,7 @@ shared shingles allow; and if both were compared with it, only by shingles that
 it lacks, without which they can't link.  Sets are compared whole and exactly.
 
 Texts are read four times: for the sketch, for the prefixes, and twice for the
-sets of the classes that have a candidate, told by a bit table of fixed size.
+sets of the classes that have a candidate, told by a table of bits, 32 MB at most.
 
 Defined results: documents with fewer words than a shingle have their whole
 sequence as one; null and empty texts have the empty set and link with nothing;
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from . import common, hashing
 
-#: Cells of the rarity sketch, and bits of the tables of shared shingles and of candidates, as powers of two.
-SKETCH_BITS, TABLE_BITS = 22, 26
+#: Cells of the rarity sketch, as a power of two.
+SKETCH_BITS = 22
 #: Sketch cells that are sent and summed together, as a power of two.
 BLOCK_BITS = 16
 #: Matches asked of a prefix; the estimated candidates for which they are enough; the most matches.
@@ -81,6 +81,7 @@ def _cells(s: np.ndarray, bits: int) -> np.ndarray:
 def _sketched(n: int):
     """Counts of the shingles of a partition by sketch cell, in packed blocks."""
 
+    @common.tidy
     def run(batches):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         some = False
@@ -111,6 +112,7 @@ def _table(rows: list, bits: int) -> np.ndarray:
 def _prefixes(n: int, t100: int, sketch):
     names = ["doc_id", "text_hash", "set", "size", "matches", "prefix"]
 
+    @common.tidy
     def run(batches):
         cells = sketch.value
         usual = int(np.median(cells)) + 1
@@ -135,9 +137,10 @@ def _prefixes(n: int, t100: int, sketch):
     return run
 
 
-def _exploded(sent=None):
+def _exploded(sent=None, bits: int = 0):
     """Prefixes as rows; with a table, only the shingles that may be in it."""
 
+    @common.tidy
     def run(batches):
         table = None if sent is None else sent.value
         for batch in batches:
@@ -145,7 +148,7 @@ def _exploded(sent=None):
             for k in range(0, batch.num_rows, 512):
                 some, c = batch.slice(k, 512), sizes[k : k + 512]
                 flat = np.frombuffer(b"".join(x.as_py() for x in some.column("prefix")), np.int64)
-                keep = slice(None) if table is None else common.in_table(table, flat.view(np.uint64), TABLE_BITS)
+                keep = slice(None) if table is None else common.in_table(table, flat.view(np.uint64), bits)
                 at = pa.array(np.repeat(np.arange(len(c)), c)[keep])
                 place = (np.arange(len(flat)) - np.repeat(np.cumsum(c) - c, c))[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), some.column("set").take(at), some.column("size").take(at), some.column("matches").take(at), pa.array(place.astype(np.int32))], names=["shingle", "set", "size", "matches", "place"])
@@ -153,7 +156,8 @@ def _exploded(sent=None):
     return run
 
 
-def _wanted(n: int, sent):
+def _wanted(n: int, sent, bits: int):
+    @common.tidy
     def run(batches):
         table = sent.value
         for batch in batches:
@@ -161,7 +165,7 @@ def _wanted(n: int, sent):
                 at, sets, hashes = [], [], []
                 for i, s in enumerate(shingle_sets(part.column("text").to_pylist(), n)):
                     d = _digest(s)
-                    if common.in_table(table, np.frombuffer(d[:8], ">u8").astype(np.uint64), TABLE_BITS)[0]:
+                    if common.in_table(table, np.frombuffer(d[:8], ">u8").astype(np.uint64), bits)[0]:
                         at.append(i)
                         sets.append(d)
                         hashes.append(s.tobytes())
@@ -179,6 +183,7 @@ def _compared(t100: int):
     out k - m shingles share m of them.
     """
 
+    @common.tidy
     def run(batches):
         for batch in batches:
             both, linked, rest, matches = [], [], [], []
@@ -199,9 +204,10 @@ def _compared(t100: int):
     return run
 
 
-def _rests(sent=None):
+def _rests(sent=None, bits: int = 0):
     """What only the first of each pair has, as rows; with a table, only the shingles that may be in it."""
 
+    @common.tidy
     def run(batches):
         table = None if sent is None else sent.value
         for batch in batches:
@@ -209,7 +215,7 @@ def _rests(sent=None):
                 some = batch.slice(k, 512)
                 rest = [x.as_py() for x in some.column("rest")]
                 flat = np.frombuffer(b"".join(rest), np.int64)
-                keep = slice(None) if table is None else common.in_table(table, flat.view(np.uint64), TABLE_BITS)
+                keep = slice(None) if table is None else common.in_table(table, flat.view(np.uint64), bits)
                 at = pa.array(np.repeat(np.arange(len(rest)), [len(x) // 8 for x in rest])[keep])
                 yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), *(some.column(c).take(at) for c in ("set", "pivot", "both", "matches", "component", "out"))], names=["shingle", "set", "pivot", "o", "matches", "component", "out"])
 
@@ -225,13 +231,16 @@ def components(links: DataFrame) -> DataFrame:
     both = common.stored(links.union(links.select("b", "a")).toDF("a", "b").distinct(), "links")
     label = common.stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "set"), "labels")
     while True:
-        near = both.join(label.toDF("b", "other"), "b").groupBy("a").agg(F.min("other").alias("other"))
-        step = label.join(near, label["set"] == near["a"]).select("set", F.least("component", "other").alias("new"), "component")
-        jump = label.toDF("new", "far")
+        have = label.select("set", "component")
+        near = both.join(have.toDF("b", "other"), "b").groupBy("a").agg(F.min("other").alias("other"))
+        step = have.join(near, have["set"] == near["a"]).select("set", F.least("component", "other").alias("new"), "component")
+        jump = have.toDF("new", "far")
         new = common.stored(step.join(jump, "new").select("set", F.least("new", "far").alias("component"), (F.least("new", "far") != F.col("component")).alias("moved")), "labels")
+        common.spent(label)
+        label = new
         if not new.where("moved").limit(1).count():
+            common.spent(both)
             return new.select("set", "component")
-        label = new.select("set", "component")
 
 
 class Join:
@@ -247,7 +256,7 @@ class Join:
         rows = self.docs.mapInArrow(_prefixes(n, self.t100, sketch), self.docs.select("doc_id", "text_hash").schema.add("set", "binary").add("size", "integer").add("matches", "integer").add("prefix", "binary"))
         #: A row for each document and one for each class.
         stored = common.stored(rows, "prefixes", 500)
-        sketch.unpersist()  # executors need it no longer
+        sketch.destroy()
         self.members = stored.select("doc_id", "text_hash", "set", "size")
         # of each class, the row that stands for it; copies of that very row stand for it too, which only repeats its pairs
         first = self.members.where(F.col("size") > 0).groupBy(F.col("set").alias("s")).agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
@@ -262,29 +271,35 @@ class Join:
     def _shared(self) -> DataFrame:
         """Prefix shingles that several classes have: (shingle, set, size, matches, place), place from 0 in the prefix.
 
-        Those that only one class has are dropped by a table of fixed size before the classes are shuffled with them.
+        Those that only one class has are dropped by a table of bits before the classes are shuffled with them.
         """
         row = "shingle long, set binary, size int, matches int, place int"
         every = self.classes.mapInArrow(_exploded(), row)
         several = common.stored(every.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("shingle"), "several")
-        sent = self.spark.sparkContext.broadcast(common.bit_table(several.select(F.col("shingle").alias("key")), TABLE_BITS))
-        shared = common.stored(self.classes.mapInArrow(_exploded(sent), row).join(several, "shingle"), "shared")
-        sent.unpersist()
+        bits = common.bits_for(several.count())
+        sent = self.spark.sparkContext.broadcast(common.bit_table(several.select(F.col("shingle").alias("key")), bits))
+        shared = common.stored(self.classes.mapInArrow(_exploded(sent, bits), row).join(several, "shingle"), "shared")
+        sent.destroy()
+        common.spent(several)
         return shared
 
     def _compare(self, pairs: DataFrame) -> DataFrame:
         """pairs(a, b) with both, linked and rest, from whole sets; the texts of their classes are read for them."""
         wanted = common.stored(pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct(), "wanted")
         key = F.conv(F.hex(F.substring("w", 1, 8)), 16, -10).cast("long")
-        sent = self.spark.sparkContext.broadcast(common.bit_table(wanted.select(key.alias("key")), TABLE_BITS))
+        bits = common.bits_for(wanted.count())
+        sent = self.spark.sparkContext.broadcast(common.bit_table(wanted.select(key.alias("key")), bits))
         docs = self.docs.select("doc_id", "text_hash", "text")
-        found = docs.mapInArrow(_wanted(self.n, sent), docs.select("doc_id", "text_hash").schema.add("set", "binary").add("hashes", "binary"))
+        found = docs.mapInArrow(_wanted(self.n, sent, bits), docs.select("doc_id", "text_hash").schema.add("set", "binary").add("hashes", "binary"))
         sets = common.stored(found.join(common.near(wanted), F.col("w") == F.col("set"), "left_semi").join(self.first, self._stands()).select("set", "hashes"), "sets", 250)
-        sent.unpersist()
-        second = common.near(common.stored(pairs.select(F.col("b").alias("w")).distinct(), "wanted"))
+        sent.destroy()
+        second = common.stored(pairs.select(F.col("b").alias("w")).distinct(), "wanted")
         one = sets.toDF("a", "hashes_a").join(common.near(pairs), "a")
-        two = sets.join(second, F.col("w") == F.col("set"), "left_semi").toDF("b", "hashes_b")
-        return common.stored(one.join(two, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_compared(self.t100), "a binary, b binary, both int, linked boolean, rest binary, matches int"), "compared", 100)
+        two = sets.join(common.near(second), F.col("w") == F.col("set"), "left_semi").toDF("b", "hashes_b")
+        compared = common.stored(one.join(two, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_compared(self.t100), "a binary, b binary, both int, linked boolean, rest binary, matches int"), "compared", 100)
+        common.spent(wanted, sets, second)
+        common.relieve(self.spark)
+        return compared
 
     def _links(self) -> DataFrame:
         t = self.t100
@@ -292,19 +307,24 @@ class Join:
         # A class that shares a shingle has all its shingles before that one in its prefix.  So what another class has
         # of them before it, unshared, is not common to the two; that bounds what is common, and so the partner's size.
         nth = F.row_number().over(Window.partitionBy("set").orderBy("place"))
-        shared = self._shared().withColumns({"own": F.col("place") - nth + 1, "n": F.count("*").over(Window.partitionBy("set"))})
+        table = self._shared()
+        shared = table.withColumns({"own": F.col("place") - nth + 1, "n": F.count("*").over(Window.partitionBy("set"))})
         low, high = F.ceil(t * F.col("size") / 100), F.floor((F.col("size") - F.col("own")) * (100 + t) / t - F.col("size"))
         s = shared.withColumns({"low": low, "high": F.least(high, F.floor(100 * F.col("size") / t))})
         enough = F.least(F.lit(LEAST), "matches", F.ceil(t * low / 100))  # partners ask for as many at least
         s = s.where((F.col("low") <= F.col("high")) & (F.col("n") >= enough)).select("shingle", "set", "size", "matches", "low", "high", (F.col("own") / F.col("size")).alias("own"))
-        s = common.stored(s, "bounded")
+        s = bounded = common.stored(s, "bounded")
+        common.spent(table)
 
         # each class with the pivot of its shingles: the class that has the least of its own
         pivot = s.groupBy("shingle").agg(F.min(F.struct("own", "set", "size", "matches", "low", "high")).alias("p"))
         s = common.stored(s.join(pivot, "shingle").select(*s.columns, "p.set", *[F.col(f"p.{c}").alias(c + "_p") for c in ("size", "matches", "low", "high")]).toDF(*s.columns, "pivot", "size_p", "matches_p", "low_p", "high_p"), "pivots")
+        common.spent(bounded)
         star = s.where((F.col("set") != F.col("pivot")) & F.col("size_p").between(F.col("low"), F.col("high")) & F.col("size").between(F.col("low_p"), F.col("high_p")))
         near = star.groupBy("set", "pivot").agg(F.count("*").alias("n"), F.first(F.least("matches", "matches_p")).alias("need")).where(F.col("n") >= F.col("need"))
-        star = self._compare(common.stored(near.select(F.col("set").alias("a"), F.col("pivot").alias("b")), "star"))
+        pairs = common.stored(near.select(F.col("set").alias("a"), F.col("pivot").alias("b")), "star")
+        star = self._compare(pairs)
+        common.spent(pairs)
         links = star.where("linked").select("a", "b")
         label = components(links)
         near_label, near_star = common.near(label), common.near(common.stored(star.select(F.col("a").alias("set"), F.col("b").alias("pivot"), F.col("both").alias("o")), "star"))
@@ -323,6 +343,7 @@ class Join:
         kind = F.when(F.col("o").isNull(), 0).when(F.col("o") >= least(F.col("size"), F.col("s0")), 1).otherwise(2)
         over = over.join(group.where("some"), "shingle").where((F.col("s0") <= F.col("high")) & (F.col("s1") >= F.col("low")))
         over = common.stored(over.select("shingle", "set", "size", "matches", "low", "high", "o", "component", "out", kind.alias("kind")), "open")
+        common.spent(s)
         meets = F.when(F.col("kind") == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).when(F.col("kind") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         names = ["set", "size", "matches", "low", "high", "o", "component", "out"]
         x = over.where("out").select("shingle", F.explode(meets).alias("kind"), *[F.col(c).alias(c + "_x") for c in names])
@@ -338,12 +359,15 @@ class Join:
         sizes = common.near(common.stored(self.members.select("set", "size").distinct(), "sizes"))
         pairs = labelled(star.withColumnsRenamed({"a": "set", "b": "pivot"})).withColumn("out", F.col("component") != F.col("pivots"))
         row = "shingle long, set binary, pivot binary, o int, matches int, component binary, out boolean"
-        outer = pairs.where("out").mapInArrow(_rests(), row).select(F.col("shingle").alias("key")).distinct()
-        sent = self.spark.sparkContext.broadcast(common.bit_table(outer, TABLE_BITS))
-        own = common.stored(pairs.mapInArrow(_rests(sent), row), "rests")
-        sent.unpersist()
+        outer = common.stored(pairs.where("out").mapInArrow(_rests(), row).select(F.col("shingle").alias("key")).distinct(), "outer")
+        bits = common.bits_for(outer.count())
+        sent = self.spark.sparkContext.broadcast(common.bit_table(outer, bits))
+        own = rests = common.stored(pairs.mapInArrow(_rests(sent, bits), row), "rests")
+        sent.destroy()
+        common.spent(outer)
         several = own.groupBy("pivot", "shingle").agg(F.count("*").alias("n"), F.max("out").alias("some")).where("some and n > 1").select("pivot", "shingle")
         own = common.stored(own.join(several, ["pivot", "shingle"]).join(sizes, "set").select("pivot", "shingle", "set", "size", "o", "matches", "component", "out"), "rests")
+        common.spent(rests)
         names = ["set", "size", "o", "matches", "component", "out"]
         x = own.where("out").select("pivot", "shingle", *[F.col(n).alias(n + "_x") for n in names])
         y = own.select("pivot", "shingle", *[F.col(n).alias(n + "_y") for n in names])
@@ -351,6 +375,7 @@ class Join:
         both = x.join(y, ["pivot", "shingle"]).where(apart & fits)
         found = both.groupBy("pivot", c("set_x").alias("a"), c("set_y").alias("b")).agg(F.count("*").alias("n"), F.first(F.least("matches_x", "matches_y")).alias("need")).where("n >= need")
         rest = common.stored(rest.union(found.select("a", "b")).distinct(), "rest")
+        common.spent(over, own)
         if rest.limit(1).count():
             links = links.unionByName(self._compare(rest).where("linked").select("a", "b"))
         return links
@@ -363,7 +388,7 @@ class Join:
 
     def result(self) -> DataFrame:
         """Every row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-        m = common.stored(self.components(), "components")
+        m = common.stored(self.components(), "components", keep=True)
         least = m.where(F.col("component").isNotNull()).groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("least"))
         named = m.join(least, F.col("c") == F.col("component"), "left")
         return named.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).cast("long").alias("component_id"))
@@ -382,7 +407,7 @@ def one_of_each(docs: DataFrame, n: int = 4, threshold: float = 0.85) -> DataFra
     keyed = docs.select(F.struct(*docs.columns).alias("row"), key(F.xxhash64(F.coalesce("text", F.lit(""))).cast("string")).alias("k"))
     every = m.select(key(F.col("text_hash").cast("string")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     if not every.where("n > 1").limit(1).count():  # no row repeats: those that go are told by their keys
-        gone = common.stored(every.select("k").join(stay, "k", "left_anti"), "gone")
+        gone = common.stored(every.select("k").join(stay, "k", "left_anti"), "gone", keep=True)
         return keyed.join(common.near(gone), "k", "left_anti").select("row.*")
     nth = F.row_number().over(Window.partitionBy("k").orderBy("k"))
-    return keyed.join(stay, "k").withColumn("nth", nth).where(F.col("nth") == 1).select("row.*")
+    return keyed.join(common.stored(stay, "stay", keep=True), "k").withColumn("nth", nth).where(F.col("nth") == 1).select("row.*")

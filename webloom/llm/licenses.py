@@ -123,6 +123,7 @@ def searcher() -> Searcher:
 SCANNED = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:long,end:long,label:string,similarity:double>>"
 
 
+@common.tidy
 def _scanned(batches):
     s = searcher()
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]

@@ -70,7 +70,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
 
 def _near(sources: DataFrame) -> DataFrame:
     """A table of a row for each source, kept, and broadcast if there are at most SOURCES of them: a large source then stays where its rows are."""
-    kept = common.stored(sources, "sources")
+    kept = common.stored(sources, "sources", keep=True)
     return F.broadcast(kept) if kept.count() <= SOURCES else kept
 
 

@@ -33,11 +33,13 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.Repeats(_table(spark, sf_dir, "documents")).removed(texts=False)
+    with common.scratch(spark):
+        return repeats.Repeats(_table(spark, sf_dir, "documents")).removed(texts=False)
 
 
 def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover_tree.top_k(_table(spark, sf_dir, "embeddings"))
+    with common.scratch(spark):
+        return common.stored(cover_tree.top_k(_table(spark, sf_dir, "embeddings")), "top", keep=True)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +62,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    with common.scratch(spark):
+        return common.stored(decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")), "report", keep=True)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.Join(_table(spark, sf_dir, "documents")).result()
+    with common.scratch(spark):
+        return jaccard.Join(_table(spark, sf_dir, "documents"), n=4, threshold=0.85).result()
 
 
 QUERIES = {f.__name__: f for f in (op1_token_orc, op2_class_lm, op3_chat_windows, op4_repeats, op5_cover_tree, op6_mixing, op7_licenses, op8_language, op9_decontamination, op10_jaccard)}
@@ -102,7 +106,7 @@ from c join fmt on fmt.conv_id is not distinct from c.conv_id
 _OP5 = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e from embeddings
-  where vec_id is not null and embedding is not null and len(embedding) > 0
+  where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
   select q.vec_id as query_id, v.vec_id as vec_id, cast(list_dot_product(q.e, v.e) as bigint) as score
