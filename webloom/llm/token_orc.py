@@ -15,30 +15,35 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Words a Python worker remembers before it lets go of those not used lately.
-CACHE_WORDS = 150_000
+#: White space of any kind; a text can't be cut at a space or line end that follows one.
+SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Bytes of the texts that are encoded together: more have more words in common.
+BATCH = 4 << 20
+#: Pieces that the library encodes in one row.
+ROW = 2000
 STORED = "doc_id long, shard int, pos long, n_tokens int, ids array<int>"
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Encodes with the tokenizers library, remembering words.
+    """Encodes with the tokenizers library, equal words of a batch of texts once.
 
     A byte-level tokenizer splits text by a pattern that never carries a token
     from a non-space character over the space after it.  There the text can be
-    cut and the pieces encoded alone; equal pieces are encoded once.  For other
-    kinds of tokenizer whole texts are encoded.
+    cut and the pieces encoded alone; cutting, finding equal ones and putting
+    ids together is done on arrays.  For other kinds of tokenizer whole texts
+    are encoded.
     """
 
     def __init__(self, path: str):
@@ -61,59 +66,65 @@ class Encoder:
         self.opens = np.zeros(max(self.tokenizer.get_vocab(True).values(), default=0) + 1, bool)  # tokens that begin with a space or line end
         for token, i in self.tokenizer.get_vocab(False).items():
             self.opens[i] = token.startswith(("\u0120", "\u010a"))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.loose = re.compile(r"\s[ \n]")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece; one that does not begin with a line end has a space before it.
+    def _joined(self, pieces: pa.Array, between: str) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of all pieces, and how many each has; `between` stands before each, or they begin with a line end.
 
         Pieces are encoded in long rows, cut again before each token that begins with a space or line end.
         """
-        spaced = [p if p[:1] == "\n" else " " + p for p in pieces]
-        ids = np.concatenate([np.frombuffer(x, "<u4") for x in self._ids(["".join(spaced[k : k + 2000]) for k in range(0, len(spaced), 2000)])])
-        at = np.flatnonzero(self.opens[ids])
-        if len(at) != len(spaced):
-            return self._ids(spaced)
-        raw, at = ids.tobytes(), (at * 4).tolist()
-        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
-
-    def _learn(self, wanted: set[str]) -> None:
-        again = wanted & self.old.keys()
-        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        new = wanted - again
-        plain = [w for w in new if w and " " not in w and "\n" not in w[1:] and not w[-1].isspace()]
-        if plain:
-            self.young.update(zip(plain, self._pieces(plain), strict=True))
-        if len(plain) < len(new):
-            odd = list(new.difference(plain))
-            self.young.update(zip(odd, self._ids([w if w[:1] == "\n" else " " + w for w in odd]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        if not self.by_word:
-            return self._ids(texts)
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        split = [[t] if self.loose.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        first = self._ids([p[0] for p in split])
-        known, found, wanted = self.young.get, [], set()
-        for p in split:
-            del p[0]
-            ids = list(map(known, p))
-            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else ()
-            wanted.update([p[i] for i in gaps])
-            found.append((ids, gaps))
-        if wanted:
-            self._learn(wanted)
-            known = self.young.__getitem__
-            for p, (ids, gaps) in zip(split, found, strict=True):
-                for i in gaps:
-                    ids[i] = known(p[i])
-        return [f + b"".join(ids) for f, (ids, _) in zip(first, found, strict=True)]
+        cuts = np.append(np.arange(0, len(pieces), ROW), len(pieces)).astype(np.int32)
+        rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), pieces), between).to_pylist() if len(pieces) else []
+        ids, n = [], [np.zeros(0, np.int64)]
+        for k, row in enumerate(self._ids([between + r for r in rows])):
+            at = np.flatnonzero(self.opens[row])
+            if len(at) == cuts[k + 1] - cuts[k]:
+                n.append(np.diff(np.append(at, len(row))))
+            else:
+                each = self._ids([between + p for p in pieces.slice(cuts[k], cuts[k + 1] - cuts[k]).to_pylist()])
+                row = np.concatenate(each)
+                n.append(np.array([len(x) for x in each]))
+            ids.append(row)
+        return ids, np.concatenate(n)
+
+    def _pieces(self, pieces: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Ids of pieces in some order, and where those of each begin and how many they are; one that does not begin with a line end has a space before it."""
+        line = pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(pieces, f"^$|{SPACES}$").to_numpy(zero_copy_only=False)
+        some = [np.flatnonzero(m) for m in (~line & ~odd, line & ~odd, odd)]
+        ids, n = self._joined(pieces.take(pa.array(some[0])), " ")
+        more, m = self._joined(pieces.take(pa.array(some[1])), "")
+        rest = self._ids([w if w[:1] == "\n" else " " + w for w in pieces.take(pa.array(some[2])).to_pylist()])
+        order, sizes = np.concatenate(some), np.concatenate([n, m, [len(x) for x in rest]]).astype(np.int64)
+        count, begin = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        count[order], begin[order] = sizes, np.cumsum(sizes) - sizes
+        return ids + more + rest, begin, count
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        none = np.zeros(0, "<u4")
+        if not self.by_word or not len(texts):
+            ids = self._ids(texts.to_pylist())
+            return np.concatenate([none, *ids]), np.array([len(x) for x in ids], np.int64)
+        whole = pc.match_substring_regex(texts, f"{SPACES}[ \n]")
+        lists = pc.split_pattern(pc.if_else(whole, "", pc.replace_substring(texts, "\n", " \n")), " ")
+        at, words = lists.offsets.to_numpy()[:-1], lists.values.dictionary_encode()
+        take = words.indices.to_numpy().astype(np.int64)
+        # a first piece has nothing before it; a text that can't be cut is one
+        heads = words.dictionary.take(pa.array(take[at])).to_pylist()
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            heads[i] = texts[i].as_py()
+        first = self._ids(heads)
+        ids, begin, n = self._pieces(words.dictionary)
+        size = np.array([len(x) for x in first], np.int64)
+        take[at] = len(n) + np.arange(len(size))
+        begin, n = np.concatenate([begin, n.sum() + np.cumsum(size) - size]), np.concatenate([n, size])
+        each = n[take]
+        ends = np.cumsum(each)
+        return np.concatenate([none, *ids, *first])[np.repeat(begin[take] - (ends - each), each) + np.arange(ends[-1])], np.add.reduceat(each, at)
 
 
 def encoder(path: str) -> Encoder:
@@ -124,42 +135,47 @@ def encoder(path: str) -> Encoder:
 
 
 def _encoded(tokenizer: str, end_id: int):
+    @common.tidy
     def run(batches):
         from pyspark import TaskContext
 
-        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker held
         shard, pos, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("pos", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
         for batch in batches:
-            for some in common.sized_batches(batch, "text", 1 << 20):
-                ids = [x + end for x in coder.encode(some.column("text").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for some in common.sized_batches(batch, "text", BATCH):
+                flat, n = coder.encode(some.column("text"))
+                n = n + 1  # with the end
                 ends = np.cumsum(n)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), flat)
+                ids = np.full(int(ends[-1]), end_id, np.int32)
+                own = np.ones(len(ids), bool)
+                own[ends - 1] = False
+                ids[own] = flat
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(pos + ends - n), pa.array(n.astype(np.int32)), lists], schema=schema)
                 pos += int(ends[-1])
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_bytes: int = 8 << 20, bloom_fpp: float = 0.01) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_bytes: int = 16 << 20, stripe_bytes: int = 4 << 20, bloom_fpp: float = 0.01) -> None:
     """Encodes docs(doc_id, text) into ORC files at path.
 
     One range shuffle puts documents in order; rows with one doc_id
-    spread as well, so no single id makes a large shard.
+    spread as well, so no single id makes a large shard.  A shard's file has
+    several stripes of about `stripe_bytes`, which are read in parallel and
+    skipped by their statistics and Bloom filters.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = d.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(common.parts_for(docs.select("doc_id", "text"), shard_bytes), "doc_id", "nth")
     rows = ranged.sortWithinPartitions("doc_id", "nth").select("doc_id", "text").mapInArrow(_encoded(tokenizer, end_id), STORED)
-    with common.batches_of(docs.sparkSession, 250):
+    with common.batches_of(docs.sparkSession, 10_000, BATCH):
         (
             rows.write.option("orc.compress", "LZ4")
             .option("orc.bloom.filter.columns", "doc_id")
             .option("orc.bloom.filter.fpp", str(bloom_fpp))
             .option("orc.row.index.stride", "1000")
-            .option("orc.stripe.size", str(16 << 20))
+            .option("orc.stripe.size", str(stripe_bytes))
+            .option("orc.rows.between.memory.checks", "100")
             .orc(path)
         )
 
@@ -176,6 +192,7 @@ def read_tokens(spark: SparkSession, path: str, ids: list[int] | None = None, lo
     return rows
 
 
+@common.tidy
 def _digests(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("pos", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     for b in batches:
