@@ -15,11 +15,11 @@ LEAST_SCORE = 0.3
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told: with a letter, and a prediction that is not a guess."""
+    """Documents whose language is told: with a letter, and a prediction that is not a guess.  It becomes their `lang`."""
     model = langid.fit(docs, F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"), 4, 2))
-    found = langid.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
-    return common.stored(kept, "languages", 250)  # whole rows go to Python and back: in small batches
+    told = docs.select(F.struct(*docs.columns).alias("row"), langid.predicted(spark, F.col("text"), model).alias("told"))
+    kept = told.where((F.col("told.lang_pred") != "und") & (F.col("told.score") >= LEAST_SCORE))
+    return kept.select(F.col("row").withField("lang", F.col("told.lang_pred")).alias("row")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +27,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Linked: sets of five-word shingles with a similarity of 0.8 or more.
     """
-    return jaccard.one_of_each(docs, n=5, threshold=0.8)
+    with common.scratch(spark):
+        return jaccard.one_of_each(docs, n=5, threshold=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with common.scratch(spark):
+        return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.mixed(docs)
+    with common.scratch(spark):
+        return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; what a stage wrote goes once the next has written its own."""
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"), 250)
+        if hasattr(before, "stored_at"):
+            common.spent(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
