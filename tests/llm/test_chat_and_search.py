@@ -60,18 +60,26 @@ def test_no_conversations(spark):
     assert w.count() == 0 and W.digests(w).count() == 0
 
 
-def brute(vectors, k):
-    ok = {}
+def brute(vectors, k, kind=np.float32):
     rows = []
     for i, v in vectors:
-        if i is None or not v or any(x is None or not np.isfinite(x) for x in v):
+        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
-        rows.append((i, [int(np.floor(64.0 * x)) for x in np.array(v, np.float32).astype(float)]))
+        rows.append((i, [64 * top // bottom for top, bottom in (float(kind(x)).as_integer_ratio() for x in v)]))
+    least, most = -(1 << 63), (1 << 63) - 1
+    out = {}
     for qi, q in rows:
         if qi % 20 == 0:
-            s = sorted(((-sum(a * b for a, b in zip(q, v)), i) for i, v in rows if i != qi))[:k]
-            ok[qi] = [(i, -x) for x, i in s]
-    return ok
+            s = [(-min(max(sum(a * b for a, b in zip(q, v)), least), most), i) for i, v in rows if i != qi]  # the shorter ends the sum
+            out[qi] = [(i, -x) for x, i in sorted(out.get(qi, []) + sorted(s))[:k]]
+    return out
+
+
+def found(rows):
+    got = {}
+    for x in rows:
+        got.setdefault(x.query_id, {})[x["rank"]] = (x.vec_id, x.score)
+    return {q: [v[i + 1] for i in range(len(v))] for q, v in got.items()}
 
 
 def test_cover_tree_is_exact(spark):
@@ -81,11 +89,20 @@ def test_cover_tree_is_exact(spark):
     vectors += [(i, vectors[7][1]) for i in range(900, 960)]  # ties
     vectors += [(1000, None), (1020, [1.0, None] + [0.0] * 14), (1040, [float("nan")] * 16), (1060, [float("inf")] * 16), (1080, []), (None, vectors[1][1])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("q", F.lit("clash")).withColumn("score", F.lit(1))
-    got = {}
-    for x in T.top_k(df, 20, row_block=256, query_block=16).collect():
-        got.setdefault(x.query_id, {})[x["rank"]] = (x.vec_id, x.score)
-    want = brute(vectors, 20)
-    assert {q: [v[i + 1] for i in range(len(v))] for q, v in got.items()} == want
+    for block in (64, 4096):
+        assert found(T.top_k(df, 20, row_block=block, query_block=16).collect()) == brute(vectors, 20)
+
+
+def test_cover_tree_multiplies_large_numbers_exactly(spark):
+    r = np.random.default_rng(3)
+    vectors = [(i, (r.normal(size=8) * 10.0 ** r.integers(0, 13)).tolist()) for i in range(200)]
+    odd = float((1 << 25) - 1) / 64
+    vectors += [(300 + i, [odd] * 8) for i in range(30)]
+    vectors += [(400, [1e308] * 8), (401, [-1e308] * 8), (402, [1e300, -1e300] * 4), (403, [2.0**60] * 3), (404, [1.0]), (420, [])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert found(T.top_k(df, 20, row_block=64, query_block=4).collect()) == brute(vectors, 20, float)
+    some = spark.createDataFrame([(0, [1.0]), (1, [6e5]), (2, [5e5]), (3, [1e9])], "vec_id long, embedding array<double>")
+    assert [x[0] for x in found(T.top_k(some).collect())[0]] == [3, 1, 2]
 
 
 def test_cover_tree_small_and_empty(spark):

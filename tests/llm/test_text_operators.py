@@ -39,13 +39,42 @@ def test_tokens_equal_the_library(spark, tmp_path):
     assert token_orc.read_tokens(spark, out, low=10, high=12).count() == 3
 
 
+def test_readers_skip_stripes(spark, tmp_path):
+    from pyarrow import orc
+
+    r = random.Random(6)
+    df = spark.createDataFrame([(3 * i, " ".join(str(r.random()) for _ in range(30))) for i in range(6000)], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "docs"))
+    out = tmp_path / "tokens"
+    token_orc.write_tokens(spark.read.parquet(str(tmp_path / "docs")), str(out), public_tokenizers.path("byte_bpe_50k.json"), shard_bytes=1 << 30, stripe_bytes=256 << 10)
+    (file,) = out.glob("*.orc")
+    footer = orc.ORCFile(str(file))
+    assert footer.nstripes >= 4 and footer.nrows == 6000
+    assert b"\x00" in file.read_bytes() and footer.read(columns=["doc_id"])["doc_id"].to_pylist() == list(range(0, 18000, 3))
+
+    def read(**asked):
+        rows = token_orc.read_tokens(spark, str(out), **asked).select("doc_id")
+        found = [x.doc_id for x in rows.collect()]
+        plan = rows._jdf.queryExecution().executedPlan()
+        return found, plan.collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+    found, rows = read(ids=[9000])
+    assert found == [9000] and rows <= 1000  # one row group
+    assert read(ids=[9001]) == ([], 0)  # between the least and the largest: only the Bloom filter can tell
+    found, rows = read(low=17000)
+    assert len(found) == 333 and rows <= 1000
+
+
 def test_encoder_cuts_nowhere_else():
     r = random.Random(1)
     e = token_orc.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert e.by_word
     bits = ["a", "B", "foo", " ", "  ", "\n", "\t", "\n ", ".", "'s", " 're", "é", "日本", "\x1c", "\x85", "<|endoftext|>", "12", "!!", "\r\n", "_", "🙂", "Ġ"]
     texts = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(4000)]
-    assert e.encode(texts) == e._ids(texts)
+    flat, n = e.encode(texts)
+    want = e._ids(texts)
+    assert flat.tolist() == [i for x in want for i in x.tolist()] and n.tolist() == [len(x) for x in want]
+    assert e.encode([])[0].size == 0
     assert not token_orc.Encoder(public_tokenizers.path("word_bpe_49k.json")).by_word
 
 
@@ -117,35 +146,33 @@ def test_exchange_finds_classes():
     assert len({*of[1:5]}) == 1 and len({*of[5:]}) == 1 and of[1] != of[5] and of[0] == 2
 
 
-def test_words_are_placed_as_the_exchange_does():
+def test_words_are_placed_where_the_likelihood_is_best():
     import numpy as np
 
     r = np.random.default_rng(3)
     k, classes = 6, 5
-    table, words = r.integers(20, 400, (k, k)).astype(float), []
+    table, words = r.integers(0, 400, (k, k)).astype(float), []
     for i in range(300):
         after, before = r.poisson(0.4, k) * r.integers(1, 4), r.poisson(0.4, k)
-        words.append((int(r.integers(classes)), after, before, int(i % 5 == 0)))
-    home, after, before, own = (np.array(x) for x in zip(*words, strict=True))
-    got = class_lm.best_classes(table, home, after.astype(float), before.astype(float), own.astype(float), classes)
+        words.append((after, before, int(i % 5 == 0)))
+    words += [(np.eye(k)[a], np.eye(k)[b], 0) for a in range(k) for b in range(k)]
+    after, before, own = (np.array(x) for x in zip(*words, strict=True))
+    got = class_lm.best_classes(table, after.astype(float), before.astype(float), own.astype(float), classes)
 
     def likelihood(t):
         f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
         return f(t) - f(t.sum(0)) - f(t.sum(1))
 
-    for a, x, y, o, c in zip(home, after, before, own, got, strict=True):
-        rest = table.copy()
-        rest[a] -= x
-        rest[:, a] -= y
-        rest[a, a] -= o
+    for x, y, o, c in zip(after, before, own, got, strict=True):
         by_class = []
         for b in range(classes):
-            t = rest.copy()
+            t = table.copy()
             t[b] += x
             t[:, b] += y
             t[b, b] += o
             by_class.append(likelihood(t))
         assert by_class[c] >= max(by_class) - 1e-6
+    assert class_lm.once_seen(table, classes).T.ravel().tolist() == got[300:].tolist()
 
 
 def test_rare_words_have_classes_of_their_own_bigrams(spark):
@@ -237,9 +264,13 @@ def test_decontamination(spark):
     it = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
     want = sorted((-1 if i is None else i, *contained(t, items)) for i, t in docs)
     want = sorted((i, n, h, len(x.split(",")) if x else 0, hashlib.sha256(x.encode()).hexdigest(), h > 0) for i, n, h, x in want)
-    for small in (500_000, 0):
-        got = decontam.report(df, it, small=small).collect()
+    for block in (decontam.BLOCK, 7):  # with 7, the documents are read for many blocks of shingles
+        got = decontam.report(df, it, block=block).collect()
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
+    clash = df.withColumns({c: F.lit(1) for c in ("_d", "_h", "d", "h", "k", "row", "pos", "near")})
+    named = it.withColumn("item_id", F.concat(F.lit("i"), F.col("item_id").cast("string")))
+    assert sum(r.contaminated for r in decontam.report(clash, named).collect()) == sum(x[5] for x in want)
+    assert decontam.clean(clash, named).columns == clash.columns and decontam.clean(clash, named).count() == sum(not x[5] for x in want)
     left = decontam.clean(df, it)
     assert left.columns == df.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in left.collect()) == sorted(x[0] for x in want if not x[5])
     plain = spark.createDataFrame([], "item_id long, text string")
