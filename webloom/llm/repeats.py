@@ -2,15 +2,19 @@
 
 Every window of `size` bytes of a text has an anchor, the place of the smallest
 hash among its substrings of `GRAM` bytes (the first, if several are smallest).
-Equal windows have equal anchors, so the windows split into blocks by anchor:
-a block is a run of windows with one anchor, its context the bytes they span.
-A window can only repeat in a block whose anchor's gram repeats.
-
-1. Every block is written with the hashes of its context and gram, and these
-   are counted.
+It reaches further to the left of the anchor or further to the right; with half
+of what it has besides, on that side, the anchor's bytes make its gram.  Equal
+windows have equal anchors and grams, so the windows split into blocks: a block
+is a run of windows with one anchor and one gram, its context the bytes they
+span.  A window can only repeat in a block whose gram repeats, and a gram is two
+thirds of a window: phrases that a language repeats by chance are shorter.
+
+1. The grams of all blocks are counted by their hashes.  Blocks of grams that
+   repeat are written, with the hashes of their contexts.
 2. A context of several occurrences repeats as a whole.
 3. If a gram has different contexts, some of one occurrence, the bytes of its
-   contexts are read again, with the suffixes that begin their windows.  Of the
+   contexts are read again, of each from the one occurrence that stands for it,
+   with the suffixes that begin their windows.  Of the
    suffix array only the parts of `size` common bytes and more matter: those
    are found by the hash of so many bytes, and each is sorted.  A stack scan
    over the common prefixes of neighbours gives the tree of intervals; one of
@@ -20,11 +24,13 @@ A window can only repeat in a block whose anchor's gram repeats.
    overlap.
 
 A gram with more than `MOST` different contexts is too large for one suffix
-array; its windows are compared by their hashes, each on its own, which is
-exact as well and gathers no group.
+array; its windows are compared by their hashes, each on its own, which removes
+the same bytes and gathers no group.
 
-What is broadcast is a table of fixed size that tells the grams whose bytes are
-wanted; grams it names wrongly do no harm.
+Contexts are told apart by two hashes of 64 bits, their own and their gram's.
+What is broadcast are tables of bits, at most 32 MB each, that tell the grams
+that repeat and the occurrences whose bytes are wanted; what they name wrongly
+does no harm.
 
 Defined results: texts are UTF-8 bytes, null is empty; matches lie within one
 text; rows that repeat are texts each, so they repeat each other; texts shorter
@@ -43,11 +49,9 @@ from pyspark.sql import functions as F
 from . import common, hashing
 
 GRAM = 64
-#: Bits of the table of grams, as a power of two.
-TABLE_BITS = 26
 #: Different contexts of a gram in one suffix array, and bytes of contexts sorted together.
 MOST, SORTED = 2_000, 2 << 20
-KEY = ["text_hash", "n_bytes"]
+KEY, CONTEXT = ["text_hash", "n_bytes"], ["gram", "context"]
 _PLACE = 31
 _LOW = np.uint64((1 << _PLACE) - 1)
 
@@ -80,15 +84,30 @@ class Blocks:
         if not len(first):
             return
         new = np.ones(len(first), bool)
-        new[1:] = (anchor[first[1:]] != anchor[first[:-1]]) | (text[first[1:]] != text[first[:-1]])
+        half = (size - GRAM) // 2
+        ahead_of = first <= anchor[first] - half
+        new[1:] = (anchor[first[1:]] != anchor[first[:-1]]) | (text[first[1:]] != text[first[:-1]]) | (ahead_of[1:] != ahead_of[:-1])
         at = np.flatnonzero(new)
         self.start, self.text, self.anchor = first[at], text[first[at]], anchor[first[at]]
         self.count = np.diff(np.append(at, len(first)))
         self.end = self.start + self.count - 1 + size
-        self.gram = grams[self.anchor]
+        to_left = ahead_of[at]
+        self.gram = strings.of(self.anchor - half * to_left, self.anchor + GRAM + (size - GRAM - half + 1) * ~to_left)
         self.context = strings.of(self.start, self.end) ^ hashing.mixed((self.anchor - self.start).astype(np.uint64))
         self.place = self.start - begins[self.text]
 
+    def key(self, text_hash: np.ndarray) -> np.ndarray:
+        """Of each occurrence, as _key(); text_hash: of the texts."""
+        return (self.context.view(np.int64) ^ text_hash[self.text] ^ self.place << 32).view(np.uint64)
+
+
+def _key():
+    return F.col("context").bitwiseXOR(_carrier())
+
+
+def _carrier():
+    return F.col("text_hash").bitwiseXOR(F.shiftleft(F.col("place").cast("long"), 32))
+
 
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
@@ -103,37 +122,49 @@ def _parts(batches, column: str = "body"):
 OCCURRENCE = "text_hash long, n_bytes long, place int, count int, gram long, context long"
 
 
-def _occurrences(size: int):
+def _grams(size: int):
+    """How often each gram of a batch is in it."""
+
+    @common.tidy
     def run(batches):
-        for part, texts in _parts(batches):
-            x = Blocks(texts, size)
-            if len(x.gram):
-                at = pa.array(x.text)
-                sizes = np.array([len(t) for t in texts], np.int64)[x.text]
-                yield pa.RecordBatch.from_arrays([part.column("text_hash").take(at), pa.array(sizes), pa.array(x.place.astype(np.int32)), pa.array(x.count.astype(np.int32)), _longs(x.gram), _longs(x.context)], names=["text_hash", "n_bytes", "place", "count", "gram", "context"])
+        for _, texts in _parts(batches):
+            gram, n = np.unique(Blocks(texts, size).gram, return_counts=True)
+            yield pa.RecordBatch.from_arrays([_longs(gram), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
     return run
 
 
-#: Contexts a task remembers to have sent.
-SENT = 1_000_000
+def _occurrences(size: int, bits: int, sent):
+    """The blocks of the grams that the table tells."""
+
+    @common.tidy
+    def run(batches):
+        for part, texts in _parts(batches):
+            x = Blocks(texts, size)
+            keep = np.flatnonzero(common.in_table(sent.value, x.gram, bits))
+            if len(keep):
+                of = x.text[keep]
+                sizes = np.array([len(t) for t in texts], np.int64)[of]
+                yield pa.RecordBatch.from_arrays([part.column("text_hash").take(pa.array(of)), pa.array(sizes), pa.array(x.place[keep].astype(np.int32)), pa.array(x.count[keep].astype(np.int32)), _longs(x.gram[keep]), _longs(x.context[keep])], names=["text_hash", "n_bytes", "place", "count", "gram", "context"])
+
+    return run
 
 
-def _bodies(size: int, sent):
-    """Contexts with their bytes, of the grams that the table tells; mostly once from each task."""
+def _bodies(size: int, bits: int, sent):
+    """Contexts with their bytes, of the occurrences that the table tells; once from each task, if copies of a text tell them again."""
 
+    @common.tidy
     def run(batches):
         table, seen = sent.value, set()
-        for _, texts in _parts(batches):
+        for part, texts in _parts(batches):
             x = Blocks(texts, size)
             if not len(x.gram):
                 continue
-            keep = np.flatnonzero(common.in_table(table, x.gram, TABLE_BITS))
-            _, first = np.unique(x.context[keep], return_index=True)
-            some = [i for i, c in zip(keep[first].tolist(), x.context[keep[first]].tolist(), strict=True) if c not in seen]
+            key = x.key(part.column("text_hash").to_numpy())
+            some = [i for i in np.flatnonzero(common.in_table(table, key, bits)).tolist() if key[i] not in seen]
             if len(seen) > SENT:
                 seen.clear()
-            seen.update(x.context[some].tolist())
+            seen.update(key[some].tolist())
             raw = x.b.tobytes()
             bodies = [raw[s:e] for s, e in zip(x.start[some].tolist(), x.end[some].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([_longs(x.gram[some]), _longs(x.context[some]), pa.array(x.count[some].astype(np.int32)), pa.array(bodies, pa.binary())], names=["gram", "context", "count", "body"])
@@ -141,6 +172,10 @@ def _bodies(size: int, sent):
     return run
 
 
+#: Occurrences a task remembers to have sent.
+SENT = 1_000_000
+
+
 def maximal_repeats(contexts: list[bytes], counts: list[int], size: int) -> list[list]:
     """Groups [length, [(context, place)], parent] of the maximal repeats of `size` bytes or more.
 
@@ -258,6 +293,7 @@ def _repeated(size: int):
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(kinds)], names=["gram", "context", "length", "place", "repeat", "parent"])
 
+    @common.tidy
     def run(batches):
         rows, held = [], 0
         for batch in batches:
@@ -274,6 +310,7 @@ def _repeated(size: int):
 
 
 def _windows(size: int):
+    @common.tidy
     def run(batches):
         for part, bodies in _parts(batches):
             counts = np.array(part.column("count").to_pylist())
@@ -293,37 +330,52 @@ class Repeats:
 
     occurrences: the blocks that may repeat; groups: maximal repeats within
     contexts as a tree, each suffix with its longest one (REPEAT); covers: per context
-    the places [low, high) that repeats cover.
+    the places [low, high) that repeats cover.  All are tables that stay until
+    a common.scratch() around ends.
     """
 
     def __init__(self, docs: DataFrame, size: int = 200):
         self.size, spark = size, docs.sparkSession
         body = F.coalesce("text", F.lit(""))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
-        self.occurrences = common.stored(self.docs.select("text_hash", "body").mapInArrow(_occurrences(size), OCCURRENCE), "occurrences")
-        self.contexts = common.stored(self.occurrences.groupBy("context").agg(F.count("*").alias("n"), F.first("gram").alias("gram"), F.first("count").alias("count")), "contexts")
+        several = self.docs.select("body").mapInArrow(_grams(size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+        several = common.stored(several.select(F.col("gram").alias("key")), "several")
+        bits = common.bits_for(several.count())
+        sent = spark.sparkContext.broadcast(common.bit_table(several, bits))
+        self.occurrences = common.stored(self.docs.select("text_hash", "body").mapInArrow(_occurrences(size, bits, sent), OCCURRENCE), "occurrences")
+        sent.destroy()
+        common.spent(several)
+        kinds = self.occurrences.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min("count").alias("count"), F.min(_carrier()).alias("carrier"))
+        self.contexts = common.stored(kinds, "contexts")
         per = self.contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where((F.col("contexts") > 1) & (F.col("least") == 1))
         per = common.stored(per.select("gram", "contexts"), "grams")
-        sent = spark.sparkContext.broadcast(common.bit_table(per.select(F.col("gram").alias("key")), TABLE_BITS))
-        near = self.docs.select("body").mapInArrow(_bodies(size, sent), "gram long, context long, count int, body binary")
+        wanted = common.stored(self.contexts.join(common.near(per), "gram").select(F.col("context").bitwiseXOR(F.col("carrier")).alias("key")), "wanted")
+        bits = common.bits_for(wanted.count())
+        sent = spark.sparkContext.broadcast(common.bit_table(wanted, bits))
+        bodies = self.docs.select("text_hash", "body").mapInArrow(_bodies(size, bits, sent), "gram long, context long, count int, body binary")
+        near = held = common.stored(bodies, "bodies")
+        sent.destroy()
+        common.spent(wanted)
         hot = common.stored(per.where(F.col("contexts") > MOST).select("gram"), "hot")
         any_hot = bool(hot.limit(1).count())
         if any_hot:
             large = near.join(common.near(hot), "gram", "left_semi")
             near = near.join(common.near(hot), "gram", "left_anti")
         self.groups = common.stored(near.repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(_repeated(size), REPEAT), "repeats")
-        covers = self.groups.where(F.col("context").isNotNull()).select("context", F.col("place").alias("low"), (F.col("place") + F.col("length")).alias("high"))
+        covers = self.groups.where(F.col("context").isNotNull()).select(*CONTEXT, F.col("place").alias("low"), (F.col("place") + F.col("length")).alias("high"))
         if any_hot:
             each = common.stored(large.mapInArrow(_windows(size), "gram long, context long, place int, window long").distinct(), "windows")
-            twice = each.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("window")
-            covers = covers.unionByName(each.join(twice, "window").select("context", F.col("place").alias("low"), (F.col("place") + size).alias("high")))
-        whole = self.contexts.where(F.col("n") > 1).select("context", F.lit(0).alias("low"), (F.col("count") - 1 + size).alias("high"))
-        every = covers.unionByName(whole).groupBy("context").agg(F.sort_array(F.collect_set(_span(F.col("low"), F.col("high")))).alias("spans"))
-        self.covers = every.select("context", _joined(F.col("spans")).alias("spans"))
+            twice = each.groupBy("gram", "window").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("gram", "window")
+            covers = covers.unionByName(each.join(twice, ["gram", "window"]).select(*CONTEXT, F.col("place").alias("low"), (F.col("place") + size).alias("high")))
+        whole = self.contexts.where(F.col("n") > 1).select(*CONTEXT, F.lit(0).alias("low"), (F.col("count") - 1 + size).alias("high"))
+        every = covers.unionByName(whole).groupBy(*CONTEXT).agg(F.sort_array(F.collect_set(_span(F.col("low"), F.col("high")))).alias("spans"))
+        # as a table of its own, so that a join can split what one context has most of
+        self.covers = common.stored(every.select(*CONTEXT, _joined(F.col("spans")).alias("spans")), "covers")
+        common.spent(held)
 
     def spans(self) -> DataFrame:
         """text_hash, n_bytes, spans: the covered places of each text that has any, as low * 2**31 + high; they overlap."""
-        at = self.occurrences.select(*KEY, "place", "context").join(self.covers, "context")
+        at = self.occurrences.select(*KEY, "place", *CONTEXT).join(self.covers, CONTEXT)
         moved = F.transform("spans", lambda s: s + _span(F.col("place"), F.col("place")))
         return at.select(*KEY, F.explode(moved).alias("span")).groupBy(*KEY).agg(F.collect_list("span").alias("spans"))
 
@@ -335,7 +387,7 @@ class Repeats:
         packed = self.docs.mapInArrow(_packed, "doc_id long, text_hash long, n_bytes long, body binary")
         both = packed.join(self.spans(), KEY, "left").select("doc_id", "body", "spans")
         row = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-        return common.stored(both.mapInArrow(_cut(texts), row + ", kept binary" if texts else row), "removed", 250)
+        return common.stored(both.mapInArrow(_cut(texts), row + ", kept binary" if texts else row), "removed", 250, keep=True)
 
 
 def _span(low, high):
@@ -355,6 +407,7 @@ def _joined(spans):
     return F.aggregate(spans, F.array().cast("array<bigint>"), add)
 
 
+@common.tidy
 def _packed(batches):
     import zstandard
 
@@ -374,6 +427,7 @@ def _cut(texts: bool):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if texts else 5]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
+    @common.tidy
     def run(batches):
         import zstandard
 
