@@ -10,8 +10,10 @@ No document is moved for this: keys fall into buckets, one small sum for each
 bucket's documents are sorted.  The cut is then one key for each source.
 
 Defined results: null text has size 0; a null source is a source of its own,
-ordered last; rows that repeat (same id and text) share one decision; the
-document at the cut is taken if that brings the sum nearer to the target.
+ordered last; rows that repeat (same id and text) share one decision; of equal
+keys all are taken or none; the document at the cut is taken if that brings the
+sum nearer to the target; texts of any length count whole; without rows the mix
+has none.  Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -33,18 +35,33 @@ def size_of(text: Column) -> Column:
 
 
 def quality(text: Column) -> Column:
-    """Weight in [0.25, 1]: grows with the share of letters and spaces among the characters."""
+    """Weight in [0.05, 1] by a rule: falls by 4 with the share of characters that are neither letters nor spaces."""
     n = F.length(text)
     other = F.length(F.regexp_replace(text, "[\\p{L} ]+", ""))
-    return F.when(n > 0, 0.25 + 0.75 * (1 - other / n)).otherwise(F.lit(0.25))
+    return F.when(n > 0, F.greatest(1 - 4 * other / n, F.lit(0.05))).otherwise(F.lit(0.05))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with `key`, the exponential key, and its `bucket`; high keys have low buckets."""
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with `weight`: the rule's, a tenth of it if labels(doc_id, quality) call the document bad, half of it if they are silent.
+
+    Labels are broadcast if they take few bytes.  Of several labels the lowest counts.
+    """
+    said = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("d")).agg(F.min("quality").alias("q"))
+    known = docs.join(common.near(common.stored(said, "labels", keep=True)), F.col("d") == F.col("doc_id"), "left")
+    factor = F.when(F.col("q") > 0, 1.0).when(F.col("q") <= 0, 0.1).otherwise(0.5)
+    return known.withColumn("weight", quality(F.col("text")) * factor).drop("d", "q")
+
+
+def keyed(docs: DataFrame, weight: Column | None = None) -> DataFrame:
+    """docs with `key`, the exponential key, and its `bucket`; high keys have low buckets.
+
+    weight: a positive number for each document, from any scorer; a null one is the least, without it the rule's.
+    """
     text = F.coalesce("text", F.lit(""))
+    w = quality(text) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-6))
     draw = F.substring(F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))), 1, 12)
     u = (F.conv(draw, 16, 10).cast("double") + 0.5) / float(1 << 48)
-    d = docs.withColumn("key", F.pow(u, 1 / quality(text)))
+    d = docs.withColumn("key", F.pow(u, 1 / w))
     return d.withColumn("bucket", F.floor((1 - F.col("key")) * BUCKETS).cast("int"))
 
 
@@ -104,16 +121,17 @@ def copies(docs: DataFrame, goal: DataFrame) -> DataFrame:
     return docs.join(g, F.col("s").eqNullSafe(F.col("source"))).withColumn("copies", F.col("epochs") + extra).drop("s", "epochs", "part", "end_bucket", "end_key")
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     """doc_id, source, size, key, bucket of docs, kept in the shared folder: texts are read once for them."""
-    d = keyed(docs.select("doc_id", "source", "text", size_of(F.col("text")).alias("size")))
+    own = docs.select("doc_id", "source", "text", size_of(F.col("text")).alias("size"), *([] if weight is None else [weight.alias("weight")]))
+    d = keyed(own, None if weight is None else F.col("weight"))
     return common.stored(d.select("doc_id", "source", "size", "key", "bucket"), "mix")
 
 
-def mixed(docs: DataFrame, **mix) -> DataFrame:
+def mixed(docs: DataFrame, weight: Column | None = None, **mix) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken."""
-    goal = plan(measured(docs), **mix)
-    names = docs.columns
-    packed = keyed(docs.select(F.struct(*names).alias("row"), "doc_id", "source", "text"))
+    goal = plan(measured(docs, weight), **mix)
+    own = [] if weight is None else [weight.alias("weight")]
+    packed = keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text", *own), None if weight is None else F.col("weight"))
     taken = copies(packed, goal).where(F.col("copies") > 0)
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
