@@ -1,12 +1,14 @@
 """Chat formatting in budgeted, turn-aligned windows; DataFrame functions only.
 
-Prefix sums of turn tokens place each conversation's turns on a line cut every
-`fresh` tokens.  The turns that lie between two cuts make a window; a turn that
-crosses a cut makes one of its own, so that a window's fresh turns stay within
-the budget unless a single turn exceeds it.  A window repeats the system turn
-and, up to a limit of turns and tokens, the turns before it.  Repeated turns
-are marked as such and are outside the loss mask: each assistant turn is under
-the mask in exactly one window.
+Prefix sums of turn tokens place each conversation's turns on a line that is
+cut at equal lengths: the budget less what a window may repeat, its history and
+the system turn, but a quarter of the budget at least.  The turns that lie
+between two cuts make a window; a turn that crosses a cut makes one of its own.
+A window repeats the system turn, if both fit into the budget, and then of the
+turns before it as many as fit, up to a limit of turns and of tokens.  So none
+is above the budget, but for one of a single turn that is, which repeats
+nothing.  Repeated turns are marked as such and are outside the loss mask: each
+assistant turn is under the mask in exactly one window.
 
 A turn is written `<|role|>text<|end|>`, a repeated one `<|=role|>text<|end|>`.
 In texts and roles `%` becomes `%25` and `<` becomes `%3C`, in roles also `|`
@@ -14,7 +16,10 @@ becomes `%7C` and `=` becomes `%3D`, so nothing a text says can be read as a mar
 
 Defined results: null texts and roles are empty ones; turns are ordered by
 (turn, role, text), null turns first; rows that repeat are turns each; a null
-conv_id is a conversation of its own; an empty table gives no windows.
+conv_id is a conversation of its own; texts of any length are whole; of several
+system turns the first is repeated; an empty table gives no windows.  Other
+columns of turns may have any names.  A conversation is put together in one
+task, as its windows are its own text; the longest has to fit there.
 """
 
 from __future__ import annotations
@@ -46,33 +51,39 @@ def tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4) + 4
 
 
-def windows(turns: DataFrame, budget: int = 512, history_tokens: int = 128, history_turns: int = 4) -> DataFrame:
-    """conv_id, window (its first turn's place), formatted, loss_spans (start and length in characters of formatted).
+def windows(turns: DataFrame, budget: int = 512, history_tokens: int = 128, history_turns: int = 4, counted: str | None = None) -> DataFrame:
+    """conv_id, window (its first turn's place), tokens, formatted, loss_spans (start and length in characters of formatted).
 
-    turns(conv_id, turn, role, text).  One shuffle, on conv_id.
+    turns(conv_id, turn, role, text).  counted: a column with each turn's
+    tokens, marks included; without it they are estimated, and so is the
+    result's `tokens`.  One shuffle, on conv_id.
     """
-    fresh = budget - history_tokens
     empty = F.lit("")
-    t = turns.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    size = tokens(F.coalesce("text", empty)) if counted is None else F.coalesce(F.greatest(F.col(counted).cast("long"), F.lit(1)), F.lit(1))
+    t = turns.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"), size.alias("n"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("n", tokens(F.col("text"))).select("conv_id", "role", "text", F.row_number().over(order).alias("at"), (F.sum("n").over(so_far) - F.col("n")).alias("start"), F.sum("n").over(so_far).alias("stop"))
-    first, last = F.floor(F.col("start") / fresh), F.floor((F.col("stop") - 1) / fresh)
-    one = F.struct("at", "start", "role", "text")
+    t = t.select("conv_id", "role", "text", "n", F.row_number().over(order).alias("at"), (F.sum("n").over(so_far) - F.col("n")).alias("start"), F.sum("n").over(so_far).alias("stop"))
+    one, by_place = F.struct("at", "start", "n", "role", "text"), Window.partitionBy("conv_id").orderBy("at")
     t = t.withColumns(
         {
-            "span": 2 * first + F.when(first == last, 0).otherwise(1),
             "one": one,
-            "before": F.collect_list(one).over(Window.partitionBy("conv_id").orderBy("at").rowsBetween(-history_turns, -1)),
-            "system": F.first(F.when(F.col("role") == "system", one), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+            "before": F.collect_list(one).over(by_place.rowsBetween(-history_turns, -1)),
+            "system": F.first(F.when(F.col("role") == "system", one), ignorenulls=True).over(by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         }
     )
-    w = t.groupBy("conv_id", "span").agg(F.sort_array(F.collect_list("one")).alias("new"), F.min_by("before", "at").alias("before"), F.first("system").alias("system"))
+    fresh = F.greatest(budget - history_tokens - F.coalesce("system.n", F.lit(0)), F.lit(max(1, budget // 4)))
+    first, last = F.floor(F.col("start") / fresh), F.floor((F.col("stop") - 1) / fresh)
+    t = t.withColumn("span", 2 * first + F.when(first == last, 0).otherwise(1))
+    w = t.groupBy("conv_id", "span").agg(F.sort_array(F.collect_list("one")).alias("new"), F.min_by("before", "at").alias("before"), F.first("system").alias("system"), F.sum("n").alias("n"))
     opens = F.col("new")[0]
-    near = F.filter("before", lambda x: (x["start"] >= opens["start"] - history_tokens) & ~F.coalesce(x["at"] == F.col("system.at"), F.lit(False)))
-    kept = F.when(F.col("system.at") < opens["at"], F.array("system")).otherwise(F.slice("before", 1, 0))
+    again = F.coalesce((F.col("system.at") < opens["at"]) & (F.col("system.n") + F.col("n") <= budget), F.lit(False))
+    w = w.withColumn("room", budget - F.col("n") - F.when(again, F.col("system.n")).otherwise(0))
+    near = F.filter("before", lambda x: (opens["start"] - x["start"] <= F.least(F.lit(history_tokens), F.col("room"))) & ~F.coalesce(x["at"] == F.col("system.at"), F.lit(False)))
+    kept = F.when(again, F.array("system")).otherwise(F.slice("before", 1, 0))
     seg = lambda repeated: lambda x: F.struct(x["role"].alias("role"), F.lit(repeated).alias("repeated"), F.concat(F.lit("<|=" if repeated else "<|"), escaped_role(x["role"]), F.lit("|>")).alias("head"), escaped(x["text"]).alias("body"))
-    w = w.select("conv_id", opens["at"].alias("window"), F.concat(F.transform(kept, seg(True)), F.transform(near, seg(True)), F.transform("new", seg(False))).alias("segs"))
+    total = budget - F.col("room") + F.aggregate(near, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    w = w.select("conv_id", opens["at"].alias("window"), total.alias("tokens"), F.concat(F.transform(kept, seg(True)), F.transform(near, seg(True)), F.transform("new", seg(False))).alias("segs"))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
     def add(state: Column, s: Column) -> Column:
@@ -84,6 +95,7 @@ def windows(turns: DataFrame, budget: int = 512, history_tokens: int = 128, hist
     return w.select(
         "conv_id",
         "window",
+        "tokens",
         F.concat_ws("", F.transform("segs", lambda s: F.concat(s["head"], s["body"], F.lit(END)))).alias("formatted"),
         F.aggregate("segs", begin, add, lambda state: state["spans"]).alias("loss_spans"),
     )

@@ -43,9 +43,11 @@ def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = mixing.measured(_table(spark, sf_dir, "documents"))
-    taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
-    return mixing.copies(d, mixing.plan(d)).select("doc_id", "size", "source_size", "target", taken)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    with common.scratch(spark):
+        d = mixing.measured(mixing.judged(docs, _table(spark, sf_dir, "labels")), F.col("weight"))
+        taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
+        return common.stored(mixing.copies(d, mixing.plan(d)).select("doc_id", "size", "source_size", "target", taken), "taken", keep=True)
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,18 +83,22 @@ with t as (
   select *, row_number() over w as nth, sum(cast(ceil(length(text) / 4.0) as bigint) + 4) over w as stop,
     cast(ceil(length(text) / 4.0) as bigint) + 4 as n
   from t window w as (partition by conv_id order by turn nulls first, role, text rows unbounded preceding)
+), sys as (
+  select conv_id, min(nth) as sys_nth, arg_min(n, nth) as sys_n from n where role = 'system' group by conv_id
+), g as (
+  select n.*, sys_nth, sys_n, stop - n as start, greatest(384 - coalesce(sys_n, 0), 128) as fresh from n left join sys s on s.conv_id is not distinct from n.conv_id
 ), p as (
-  select *, stop - n as start, 2 * ((stop - n) // 384) + case when (stop - n) // 384 = (stop - 1) // 384 then 0 else 1 end as span,
+  select *, 2 * (start // fresh) + case when start // fresh = (stop - 1) // fresh then 0 else 1 end as span,
     length(replace(replace(text, '%', '%25'), '<', '%3C')) + length(replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '|', '%7C'), '=', '%3D')) + 11 as chars
-  from n
+  from g
 ), opens as (
-  select conv_id, span, min(nth) as nth0, min(start) as start0 from p group by conv_id, span
-), sys as (select conv_id, min(nth) as sys_nth from p where role = 'system' group by conv_id
+  select *, coalesce(sys_nth < nth0 and sys_n + f <= 512, false) as again
+  from (select conv_id, span, min(nth) as nth0, min(start) as start0, sum(n) as f, min(sys_nth) as sys_nth, min(sys_n) as sys_n from p group by conv_id, span)
 ), fmt as (
   select o.conv_id, sum(case when p.span = o.span then p.chars else p.chars + 1 end) as formatted_chars
-  from opens o left join sys s on s.conv_id is not distinct from o.conv_id
-  join p on p.conv_id is not distinct from o.conv_id and (p.span = o.span
-    or p.nth < o.nth0 and (p.nth = coalesce(s.sys_nth, -1) or p.nth >= o.nth0 - 4 and p.start >= o.start0 - 128))
+  from opens o join p on p.conv_id is not distinct from o.conv_id and (p.span = o.span
+    or p.nth < o.nth0 and (o.again and p.nth = o.sys_nth
+      or p.nth is distinct from o.sys_nth and p.nth >= o.nth0 - 4 and o.start0 - p.start <= least(128, 512 - o.f - case when o.again then o.sys_n else 0 end)))
   group by o.conv_id
 ), c as (
   select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by nth)) as turns_sha256,
@@ -117,11 +123,12 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 
 _OP6 = r"""
 with d as (
-  select doc_id, source, coalesce(text, '') as text,
+  select doc_id, source, coalesce(text, '') as text, q,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents
+  left join (select doc_id as d, min(quality) as q from labels group by doc_id) on d = doc_id
 ), k as (
   select doc_id, source, size, pow((cast('0x' || substr(md5('mix-1|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(text)), 1, 12) as bigint) + 0.5) / 281474976710656.0,
-    1 / (case when length(text) > 0 then 0.25 + 0.75 * (1 - length(regexp_replace(text, '[\p{L} ]+', '', 'g')) / length(text)) else 0.25 end)) as key
+    1 / (case when length(text) > 0 then greatest(1 - 4 * length(regexp_replace(text, '[\p{L} ]+', '', 'g')) / length(text), 0.05) else 0.05 end * case when q > 0 then 1.0 when q <= 0 then 0.1 else 0.5 end)) as key
   from d
 ), s as (
   select source, sum(size) as source_size, (array[3.0, 1.0, 2.0])[(row_number() over (order by source nulls last) - 1) % 3 + 1] as w
