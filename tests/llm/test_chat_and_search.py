@@ -44,15 +44,30 @@ def test_round_trip_and_mask(spark):
 
 def test_budget_history_and_system(spark):
     rows = [(1, 0, "system", "be brief")] + [(1, t, "user" if t % 2 else "assistant", "x" * 200) for t in range(1, 40)]
-    w = sorted(W.windows(spark.createDataFrame(rows, TURN), budget=256, history_tokens=64).collect(), key=lambda r: r.window)
-    assert len(w) > 5
-    parsed = W.windows(spark.createDataFrame(rows, TURN), budget=256, history_tokens=64).select("window", W.parsed(F.col("formatted")).alias("p")).collect()
-    for r in parsed:
+    rows += [(2, 0, "system", "s" * 400)] + [(2, t, "user" if t % 2 else "assistant", "y" * 150) for t in range(1, 30)]
+    rows += [(3, 0, "system", "s" * 4000)] + [(3, t, "user" if t % 2 else "assistant", "z" * (100 + 1500 * (t == 5))) for t in range(1, 12)]
+    cost = lambda x: -(-len(x.text) // 4) + 4
+    got = W.windows(spark.createDataFrame(rows, TURN), budget=256, history_tokens=64).select("conv_id", "window", "tokens", W.parsed(F.col("formatted")).alias("p")).collect()
+    assert {c: sum(r.conv_id == c for r in got) > 3 for c in (1, 2, 3)} == {1: True, 2: True, 3: True}
+    for r in got:
         fresh = [x for x in r.p if not x.repeated]
-        assert sum(-(-len(x.text) // 4) + 4 for x in fresh) <= 192 or len(fresh) == 1
-        if r.window > 1:
+        assert r.tokens == sum(map(cost, r.p))
+        assert r.tokens <= 256 or len(r.p) == 1 and cost(fresh[0]) > 256
+        if r.window > 1 and r.conv_id < 3:
             assert r.p[0].repeated and r.p[0].role == "system"
-            assert sum(x.repeated for x in r.p) <= 5
+        assert sum(x.repeated and x.role != "system" for x in r.p) <= 4 and sum(cost(x) for x in r.p if x.repeated and x.role != "system") <= 64
+    assert any(x.repeated and x.role != "system" for r in got for x in r.p)
+    counts = spark.createDataFrame([(1, t, "user", "long " * 50, 10) for t in range(20)], TURN + ", tokens long").withColumns({"n": F.lit(1), "start": F.lit(1), "window": F.lit(1)})
+    sizes = W.windows(counts, budget=100, history_tokens=20, counted="tokens").collect()
+    assert max(r.tokens for r in sizes) <= 100 and sum(r.tokens for r in sizes) > 200
+
+
+def test_long_texts_and_other_columns(spark):
+    rows = [(1, 0, "user", "<|end|>" * 40_000), (1, 1, "assistant", "%<" * 50_000), (2, 0, "assistant", None)]
+    df = spark.createDataFrame(rows, TURN).withColumns({c: F.lit("clash") for c in ("at", "stop", "one", "before", "system", "span", "n", "room", "formatted", "chars")})
+    got = {r.conv_id: r for r in W.digests(W.windows(df)).collect()}
+    assert got[1].loss_chars == 100_000 and got[1].loss_sha256 == hashlib.sha256(b"%<" * 50_000).hexdigest() and got[1].n_turns == 2
+    assert got[2].loss_chars == 0 and got[2].n_turns == 1
 
 
 def test_no_conversations(spark):

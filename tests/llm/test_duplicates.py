@@ -152,6 +152,11 @@ def test_maximal_repeats():
     assert covered == want
 
 
+def written(df, path):
+    df.write.parquet(str(path))
+    return df.sparkSession.read.parquet(str(path))
+
+
 def test_pipeline(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -211,15 +216,15 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     df = spark.createDataFrame([(d, t, "en", s) for d, t, s in docs], "doc_id long, text string, lang string, source string")
     of = {d: (t, s) for d, t, s in docs}
 
-    unlike = corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).localCheckpoint()
+    unlike = written(corpus_pipeline.near_duplicates(spark, df, str(tmp_path)), tmp_path / "unlike")
     want = kept_by_brute_force([(d, t) for d, t, _ in docs], 5, 80)
     assert sorted(x.doc_id for x in unlike.collect()) == want and len(want) < len(docs)
 
-    clean = corpus_pipeline.decontaminated(spark, unlike, str(tmp_path)).localCheckpoint()
+    clean = written(corpus_pipeline.decontaminated(spark, unlike, str(tmp_path)), tmp_path / "clean")
     left = [d for d in want if not contained(of[d][0], items)[1]]
     assert sorted(x.doc_id for x in clean.collect()) == left and len(left) < len(want)
 
-    mix = corpus_pipeline.mixture(spark, clean, str(tmp_path)).localCheckpoint()
+    mix = written(corpus_pipeline.mixture(spark, clean, str(tmp_path)), tmp_path / "mix")
     size = {s: sum(len(of[d][0].split()) for d in left if of[d][1] == s) for s in "ab"}
     goal = {s: 1.5 * sum(size.values()) * w / 4 for s, w in (("a", 3), ("b", 1))}  # weights 3 and 1, two epochs at most
     for s, other in ("ab", "ba"):

@@ -69,7 +69,7 @@ def test_encoder_cuts_nowhere_else():
     r = random.Random(1)
     e = token_orc.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert e.by_word
-    bits = ["a", "B", "foo", " ", "  ", "\n", "\t", "\n ", ".", "'s", " 're", "é", "日本", "\x1c", "\x85", "<|endoftext|>", "12", "!!", "\r\n", "_", "🙂", "Ġ"]
+    bits = ["a", "B", "foo", " ", "  ", "\n", "\t", "\n ", ".", "'s", " 're", "é", "日本", "\x1c", "\x85", "<|endoftext|>", "12", "!!", "\r\n", "_", "🙂", "Ġ", "word,", "x.!?", "don't,", "€.", "'", "Ünö%%%", "7$", "\u0301.", "ª,", "(a)."]
     texts = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(4000)]
     flat, n = e.encode(texts)
     want = e._ids(texts)
@@ -227,10 +227,10 @@ def test_fuzzy_notices_equal_a_scan_of_everything():
     s = licenses.Searcher()
     for notice, label in licenses.NOTICES.items():
         k = min(licenses.MOST_ERRORS, max(1, len(notice) // licenses.PER_ERROR))
-        for errors in range(k + 3):
+        for errors in [*range(k + 3)] * 6:
             t = list(notice)
-            for at in r.sample(range(1, len(t) - 1), min(errors, len(t) - 2)):
-                t[at] = r.choice("qzx")
+            for at in sorted(r.sample(range(1, len(t) - 1), min(errors, len(t) - 2)), reverse=True):
+                t[at : at + 1] = r.choice([["q"], ["z"], ["x"], [], [t[at], "q"]])  # another character, none, one more
             text = "aa bb " + "".join(t) + " cc"
             want = bool(regex.search(f"(?:{regex.escape(notice)}){{e<={k}}}", text))
             assert (label in {x[2] for x in s.fuzzy(text)}) >= want
@@ -304,6 +304,12 @@ def test_mixing(spark):
     for s in weights:
         got = sum(x.copies * x.size for x in taken if x.source == s)
         assert abs(got - want[s]) <= 3 * 40
+    # weights tell which documents the fraction of an epoch is made of
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(3000)] + [(7, 0), (None, 1)], "doc_id long, quality int")
+    half = mixing.measured(mixing.judged(df, labels), F.col("weight"))
+    some = mixing.copies(half, mixing.plan(half, share=0.5)).where("size > 0 and doc_id < 3000").groupBy((F.col("doc_id") % 2).alias("good")).agg(F.avg("copies").alias("n")).collect()
+    n = {r.good: r.n for r in some}
+    assert n[1] > 2 * n[0] > 0
     mixed = mixing.mixed(df)
     assert mixed.columns == df.columns and mixed.count() == sum(x.copies for x in taken)
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mixed(df).collect()))
