@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -29,6 +30,8 @@ from . import common
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Bytes of the texts that are encoded together: more have more words in common.
 BATCH = 4 << 20
+#: Marks that stand at the ends of words.
+TAILS = ".,;:!?%#&*$)\"'"
 #: Pieces that the library encodes in one row.
 ROW = 2000
 STORED = "doc_id long, shard int, pos long, n_tokens int, ids array<int>"
@@ -62,6 +65,8 @@ class Encoder:
             and not any(" " in s for s in special)
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in kind.get("added_tokens", []))
         )
+        self.by_tail = not any(set(TAILS) & set(s) for s in special)
+        self.known: dict[str, np.ndarray] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.opens = np.zeros(max(self.tokenizer.get_vocab(True).values(), default=0) + 1, bool)  # tokens that begin with a space or line end
         for token, i in self.tokenizer.get_vocab(False).items():
@@ -89,6 +94,20 @@ class Encoder:
             ids.append(row)
         return ids, np.concatenate(n)
 
+    def _cut(self, pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Pieces without the marks at their ends, and those marks: no token goes over from a letter or digit to a mark."""
+        stems = pc.utf8_rtrim(pieces, TAILS)
+        cut = pc.match_substring_regex(stems, "[A-Za-z0-9À-ÖØ-öø-ÿ]$") if self.by_tail else pa.array(np.zeros(len(pieces), bool))
+        tails = pc.if_else(cut, pc.replace_substring_regex(pieces, f"^(?s:.*)[^{re.escape(TAILS)}]", ""), "")
+        return pc.if_else(cut, stems, pieces), tails
+
+    def _tail(self, marks: str) -> np.ndarray:
+        if len(self.known) > 100_000:
+            self.known.clear()
+        if marks not in self.known:
+            self.known[marks] = self._ids([marks])[0]
+        return self.known[marks]
+
     def _pieces(self, pieces: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Ids of pieces in some order, and where those of each begin and how many they are; one that does not begin with a line end has a space before it."""
         line = pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False)
@@ -117,14 +136,19 @@ class Encoder:
         heads = words.dictionary.take(pa.array(take[at])).to_pylist()
         for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
             heads[i] = texts[i].as_py()
-        first = self._ids(heads)
-        ids, begin, n = self._pieces(words.dictionary)
-        size = np.array([len(x) for x in first], np.int64)
-        take[at] = len(n) + np.arange(len(size))
-        begin, n = np.concatenate([begin, n.sum() + np.cumsum(size) - size]), np.concatenate([n, size])
-        each = n[take]
+        stems, tails = (x.dictionary_encode() for x in self._cut(words.dictionary))
+        ids, begin, n = self._pieces(stems.dictionary)
+        rest = [none, *map(self._tail, tails.dictionary.to_pylist()), *self._ids(heads)]
+        size = np.array([len(x) for x in rest], np.int64)
+        begin, n, base = np.concatenate([begin, n.sum() + np.cumsum(size) - size]), np.concatenate([n, size]), len(n)
+        # a word is a stem and a tail; the first piece of a text is followed by nothing
+        parts = np.empty((len(take), 2), np.int64)
+        parts[:, 0], parts[:, 1] = stems.indices.to_numpy()[take], base + 1 + tails.indices.to_numpy()[take]
+        parts[at, 0], parts[at, 1] = len(n) - len(heads) + np.arange(len(heads)), base
+        parts = parts.ravel()
+        each = n[parts]
         ends = np.cumsum(each)
-        return np.concatenate([none, *ids, *first])[np.repeat(begin[take] - (ends - each), each) + np.arange(ends[-1])], np.add.reduceat(each, at)
+        return np.concatenate([none, *ids, *rest])[np.repeat(begin[parts] - (ends - each), each) + np.arange(ends[-1])], np.add.reduceat(each, 2 * at)
 
 
 def encoder(path: str) -> Encoder:
