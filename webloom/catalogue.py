@@ -134,6 +134,12 @@ def _engine_rows(spark, sf_dir) -> DataFrame:
 _MERGED = f"select url_key, min(page_id) as page_id, case when bool_or(page_id % 3 = 0) then 'multi:alpha,beta' else 'alpha' end as engine, case when bool_or(page_id % 3 = 0) then 2 else 1 end as n_engines from (select page_id, {_SEARCH_KEY} as url_key from pages) group by url_key"
 
 
+_TEXT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style|noscript|svg|canvas|iframe)[^>]*?>.*?</(?:script|style|noscript|svg|canvas|iframe)>', ' ', 'g'), '(?is)<(?:nav|header|footer|aside)[^>]*?>.*?</(?:nav|header|footer|aside)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+for _name, _code in (("&nbsp;", 32), ("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#39;", 39), ("&amp;", 38)):
+    _TEXT = f"replace({_TEXT}, '{_name}', chr({_code}))"
+_TEXT = rf"trim(regexp_replace({_TEXT}, '\s+', ' ', 'g'))"
+
+
 @query(_MERGED)
 def merge_dedup(spark, sf_dir):
     m = S.merged(_engine_rows(spark, sf_dir))
@@ -145,7 +151,17 @@ def multi_engine_corroboration(spark, sf_dir):
     return S.merged(_engine_rows(spark, sf_dir)).groupBy("engine").agg(F.count("*").alias("n"))
 
 
-@query()
+_CRUMB = _sql_any("lower(" + _HOST.format("url") + " || array_to_string(list_filter(string_split(" + _PATH.format("url") + ", chr(47)), lambda p: trim(p) <> '')[1:3], chr(10)))", tables.HIGH_VALUE_CRUMBS)
+_TRUST = f"least(greatest(cast(case {_KIND} " + " ".join(f"when '{k}' then {v}" for k, v in tables.TYPE_WEIGHTS.items()) + f" else 1.0 end as double) * case when regexp_matches({_H}, '\\.(gov|edu)$') then 1.5 else 1.0 end * case when contains({_H}, 'wikipedia.org') then 1.3 else 1.0 end, 0.1), 3.0)"
+_FOUND = f"""select url_key, min(page_id) as ord, case when bool_or(page_id % 3 = 0) then 'multi:alpha,beta' else 'alpha' end as engine, coalesce(arg_min(title, page_id) filter (trim(title) <> ''), '') as title, coalesce(arg_min(content, page_id) filter (trim(content) <> ''), '') as content,
+  round(arg_min(trust, page_id) * case when bool_or(crumb) then 1.2 else 1.0 end + 0.35 * case when bool_or(page_id % 3 = 0) then 1 else 0 end, 6) as score
+  from (select *, {_SEARCH_KEY} as url_key, {_TRUST} as trust, {_CRUMB} as crumb, {_TEXT} as content, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) as title from pages) group by url_key"""
+_EARLY_IN = " + ".join(f"cast(contains(lower(left(content, 200)), '{t}') as int)" for t in T.query_tokens(QUERY))
+_RANKED = f"""select *, row_number() over (order by relevance desc, early desc, url_key) as rank from (select *, round(score * (1 + 0.2 * ({_EARLY_IN})), 6) as early, {_DOC_SCORE} as relevance
+  from (select *, {_TOKENS.format('title')} as tt, {_TOKENS.format('content')} as ct from ({_FOUND})))"""
+
+
+@query(rf"select rank::integer as rank, url_key, engine, title, score, relevance from (select *, row_number() over (partition by trim(lower(title)) || '|' || trim(regexp_replace(lower(left(content, 140)), '\s+', ' ', 'g')) order by rank) as nth from ({_RANKED}) where rank <= 50) where nth = 1 order by rank limit 10")
 def web_search(spark, sf_dir):
     r = api.web_search(_engine_rows(spark, sf_dir), QUERY, F.lit(AS_OF))
     return r.select("rank", "url_key", "engine", "title", "score", "relevance")
@@ -170,13 +186,18 @@ def page_h1(spark, sf_dir):
     return P.parsed(table(spark, sf_dir, "pages"), ["headings"]).select("page_id", F.explode("headings").alias("h")).where(F.col("h.level") == "h1").select("page_id", F.col("h.text").alias("h1"))
 
 
-@query()
+_ANCHORS = """select page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) as href, unnest(regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>(.*?)</a>', 1)) as said, unnest(range(1000)) as pos from pages"""
+_PAGE_LINKS = f"""select page_id, page_url, url, text from (select page_id, url as page_url, regexp_extract(url, '^https?://[^/?#]+') || replace(href, '&amp;', '&') as url, replace(trim(said), '&amp;', '&') as text,
+  row_number() over (partition by page_id, regexp_extract(url, '^https?://[^/?#]+') || replace(href, '&amp;', '&') order by pos) as nth from ({_ANCHORS}) where href is not null) where nth = 1"""
+
+
+@query(f"select page_id, url, text from ({_PAGE_LINKS})")
 def page_links(spark, sf_dir):
     p = P.parsed(table(spark, sf_dir, "pages"), ["links"]).select("page_id", F.explode("links").alias("l"))
     return p.select("page_id", F.col("l.url").alias("url"), F.col("l.text").alias("text"))
 
 
-@query()
+@query(f"select {_HOST.format('lower(url)')} as domain, count(*) as n from ({_PAGE_LINKS}) group by domain")
 def link_domain_counts(spark, sf_dir):
     p = P.parsed(table(spark, sf_dir, "pages"), ["links"]).select("page_id", F.explode("links").alias("l"))
     return p.groupBy(U.domain(F.col("l.url")).alias("domain")).agg(F.count("*").alias("n"))
@@ -237,7 +258,27 @@ def auth_wall_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", Q.is_auth_wall(F.col("text")).alias("wall"))
 
 
-@query()
+_PAIR = f"w < 80 and ({' or '.join(f'contains(c, {chr(39)}{a}{chr(39)}) and contains(c, {chr(39)}{b}{chr(39)})' for a, b in tables.AUTH_PAIRS)})"
+_QUOTE = "[\"'']"
+_ELEMENT = " or ".join(rf"""regexp_matches(html, '(?i)<[^>]*\s{n}\s*=\s*{_QUOTE}?([^"'' >]*\s)?{v}(\s[^"'' >]*)?["'' \s>]')""".replace("'' ", "''") for n, v in tables.AUTH_ELEMENTS.values())
+_ACTION = rf"""regexp_matches(h, '<form[^>]*\saction\s*=\s*{_QUOTE}?[^"'' \s>]*({'|'.join(tables.AUTH_ACTIONS)})')""".replace("'' ", "''")
+_FACTORS = {
+    "high_confidence_auth_keyword": ("phrase", "0.55"),
+    "short_content_with_auth_signals": ("pair", "0.25"),
+    "very_short_content": ("not pair and w < 80 and not phrase", "0.05"),
+    "dom_login_selector": ("element", "0.50"),
+    "dom_auth_form_action": ("action", "case when case when phrase then 0.55 else 0.0 end + case when pair then 0.25 when w < 80 and not phrase then 0.05 else 0.0 end + case when element then 0.5 else 0.0 end < 0.5 then 0.4 else 0.0 end"),
+    "auth_page_title": ("title", "0.35"),
+    "high_nav_density": ("navs > 1 and w < 100", "0.12"),
+    "auth_url_pattern": ("url_sign", "0.20"),
+}
+
+
+@query(
+    "select page_id, round(least(1.0, " + " + ".join(f"case when {c} then {w} else 0.0 end" for c, w in _FACTORS.values()) + "), 6)::double as risk, array_to_string(list_filter([" + ", ".join(f"case when {c} then '{n}' end" for n, (c, _) in _FACTORS.items()) + "], lambda x: x is not null), ',') as factors"
+    + rf""" from (select *, {_sql_any('c', tables.AUTH_PHRASES)} as phrase, {_PAIR} as pair, looks and ({_ELEMENT}) as element, looks and {_ACTION} as action, looks and regexp_matches(lower(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))), '{tables.AUTH_TITLE}') as title,
+  len(regexp_extract_all(left(h, 30000), '<nav|role="navigation"')) as navs, {_sql_any('lower(url)', tables.AUTH_URLS)} as url_sign from (select *, {_sql_any('left(h, 60000)', ['password', 'sign in', 'login'])} as looks, len(list_filter(regexp_split_to_array(c, '\s+'), lambda x: x <> '')) as w from (select page_id, url, html, lower(html) as h, lower({_TEXT}) as c from pages)))"""
+)
 def auth_risk(spark, sf_dir):
     f = Q.auth_factors(F.col("html"), T.html_text(F.col("html")), F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", f.alias("f")).select("page_id", Q.auth_risk(F.col("f")).alias("risk"), F.array_join("f.factor", ",").alias("factors"))
@@ -259,7 +300,7 @@ def quality_vs_label(spark, sf_dir):
     return d.groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"))
 
 
-@query()
+@query("select total, found as successful, total - found as failed from (select count(distinct url) + count_if(page_id % 5 = 0)::bigint as total, count(distinct url) as found from pages)")
 def batch_summary(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     urls = p.select("url").distinct().unionByName(p.where(F.col("page_id") % 5 == 0).select(F.concat("url", F.lit("-missing")).alias("url")))
@@ -398,7 +439,15 @@ def crawl_bfs(spark, sf_dir):
     return C.shared_links(page_hrefs(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")), 2)
 
 
-@query()
+_LINK_KEY = f"select distinct {_CRAWL_KEY.format('page_url')} as src, {_CRAWL_KEY.format('url')} as dst from ({_PAGE_LINKS})"
+
+
+@query(
+    f"""with e as ({_LINK_KEY}), have as (select distinct {_CRAWL_KEY.format('url')} as node from pages), l0 as (select {_CRAWL_KEY.format('min(url)')} as node from pages),
+l1 as (select distinct dst as node from e where src in (select node from l0) except select node from l0), l2 as (select distinct dst as node from e where src in (select node from l1) except select node from l0 except select node from l1),
+w as (select * from (select node, 0 as depth from l0 union all select node, 1 from l1 union all select node, 2 from l2) order by depth, node limit 40)
+select count_if(ok)::bigint as crawled, count_if(not ok)::bigint as failed, max(depth)::integer as max_depth, count(distinct case when ok then {_HOST.format('node')} end)::integer as domains, count_if(ok)::integer as sitemap from (select *, node in (select node from have) as ok from w)"""
+)
 def crawl_summary(spark, sf_dir):
     p = P.parsed(table(spark, sf_dir, "pages"), ["links"]).select("url", "links")
     start = p.orderBy("url").first()["url"]
@@ -504,7 +553,18 @@ def report_buckets(spark, sf_dir):
     return D.bucket_hits(d).select("no", F.col("url").cast("long").alias("doc_id"), F.col("nth").cast("long").alias("nth"))
 
 
-@query()
+_REPORT_TEXT = "lower(left(text, 40)) || ' https://a.example/' || doc_id || ' ' || lower(text)"
+_NO_SOURCE = "- _(no relevant sources found)_"
+_SECTION = " || ".join(
+    f"chr(10) || '## {name}' || chr(10) || coalesce((select string_agg(line, chr(10) order by doc_id) from (select * from f where {_sql_any('said', words)} order by doc_id limit 3)), '{_NO_SOURCE}') || chr(10)" for name, words in tables.REPORT_SECTIONS.items()
+)
+
+
+@query(
+    rf"""with f as (select doc_id, {_REPORT_TEXT} as said, '- [' || left(text, 40) || '](https://a.example/' || doc_id || ')' as line, {_WORDS.format('text')} as words from documents)
+select '# Fact-Sheet (heuristic_v1)' || chr(10) || chr(10) || '**Query:** {QUERY}' || chr(10) || '**Sources scraped:** ' || (select count(*) from f) || chr(10) || {_SECTION} || chr(10) || '## Top Sources' || chr(10)
+  || (select string_agg(line || ' (depth=1, ~' || words || ' words)', chr(10) order by doc_id) from (select * from f order by doc_id limit 5)) || chr(10) as report"""
+)
 def research_report(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     f = d.select(F.col("doc_id").alias("ord"), F.concat(F.lit("https://a.example/"), F.col("doc_id").cast("string")).alias("url"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("content"), F.lit(1).alias("depth"), T.word_count(F.col("text")).alias("word_count"))

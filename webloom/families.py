@@ -638,6 +638,61 @@ def page_parts(spark, sf_dir):
     return p.select("page_id", img["src"].alias("src"), img["alt"].alias("alt"), last(F.col("code_blocks"))["language"].alias("language"), F.trim(last(F.col("code_blocks"))["code"]).alias("code"), last(level("h2"))["text"].alias("h2"), last(level("h3"))["text"].alias("h3"))
 
 
+_LINKED = '<html><head><title>T</title><script type="application/ld+json">{{"@type":"Product","name":"N{}","description":"D","offers":{{"@type":"Offer","price":{} }},"brand":{{"name":"B{}"}} }}</script><script type="application/ld+json">[{{"@type":"NewsArticle","headline":"H{}","author":[{{"name":"A"}},{{"name":"C{}"}}],"datePublished":"2024-01-01"}},{{"@graph":[{{"@type":"RealEstateListing","name":"L{}","address":{{"streetAddress":"S {}","addressLocality":"X"}},"offers":[{{"lowPrice":{} }}]}}]}},{{"@type":"Person","name":"P{}"}}]</script></head><body><p>few words</p></body></html>'
+_STATE = '<html><head><title>T</title><script id="__NEXT_DATA__" type="application/json">{{"props":{{"title":"T {}","items":["a","b{}"],"count":{},"id":"x","deep":[{{"k":"v{}"}}]}},"pad":"' + " ".join(f"w{i}" for i in range(60)) + '"}}</script></head><body><p>few words</p></body></html>'
+_REPEATED = "<html><body><article><p>intro{} " + "p q r s " * 9 + "x y z " * 9 + "tail{}</p></article></body></html>"
+
+
+def _made_pages(spark, sf_dir, html: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.concat(_filled(html + "{}"), F.lit("")).alias("html"))
+
+
+@query(
+    "select page_id, 'Product: N' || page_id || ' Description: D Price: ' || page_id || ' Brand: B' || page_id || ' --- Title: H' || page_id || ' Author: A, C' || page_id || ' Published: 2024-01-01 --- Listing: L' || page_id || ' Address: S ' || page_id || ', X Price: ' || page_id || ' --- Person: P' || page_id as text, 2::bigint as sources from pages"
+)
+def page_linked_data(spark, sf_dir):
+    """Pages that say little besides their linked data."""
+    p = P.parsed(_made_pages(spark, sf_dir, _LINKED), ["clean_content", "embedded_sources"])
+    return p.select("page_id", F.col("clean_content").alias("text"), F.size("embedded_sources").cast("long").alias("sources"))
+
+
+@query(f"select page_id, 'pad: {' '.join(f'w{i}' for i in range(60))} props.count: ' || page_id || ' props.deep.0.k: v' || page_id || ' props.items: a, b' || page_id || ' props.title: T ' || page_id as text, page_id as n from pages")
+def page_state(spark, sf_dir):
+    """Pages that keep their content in the state of an application."""
+    p = P.parsed(_made_pages(spark, sf_dir, _STATE), ["clean_content", "embedded_state_json"])
+    return p.select("page_id", F.col("clean_content").alias("text"), F.get_json_object("embedded_state_json", "$.props.count").cast("long").alias("n"))
+
+
+@query("select page_id, 'intro' || page_id || ' p q r s x y z tail' || page_id as text from pages")
+def page_repeats(spark, sf_dir):
+    """Word runs that repeat, once."""
+    return P.parsed(_made_pages(spark, sf_dir, _REPEATED), ["clean_content"]).select("page_id", F.col("clean_content").alias("text"))
+
+
+_PARAGRAPHS = "list_filter(string_split(c, chr(10) || chr(10)), lambda p: " + sql_words("p") + " >= case when w < 200 then 3 else 8 end and not " + sql_any("lower(p)", tables.BOILERPLATE) + ")"
+
+
+@query(
+    rf"""select doc_id, md5(array_to_string(list_filter(ps, lambda x, i: coalesce(list_sum(list_transform(ps[1:i - 1], lambda y: strlen(y) + 4)), 0) < 8000), '|')) as paragraphs,
+  md5(array_to_string(list_filter(list_transform(ps, lambda p: regexp_extract(p, '^(.+?[.!?])(?:\s|$)', 1)), lambda x: {sql_words('x')} >= 4), '|')) as key_points
+from (select *, {_PARAGRAPHS} as ps from (select doc_id, replace(text, chr(10), chr(10) || chr(10)) as c, {sql_words('text')} as w from documents))"""
+)
+def clean_json(spark, sf_dir):
+    """Documents as fetched pages, their lines as paragraphs."""
+    from .plans import api
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), F.lit("t").alias("title"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("clean_content"), T.word_count(F.col("text")).alias("word_count"))
+    return api.clean_json(d).select(F.col("url").cast("long").alias("doc_id"), F.md5(F.array_join("paragraphs", "|")).alias("paragraphs"), F.md5(F.array_join("key_points", "|")).alias("key_points"))
+
+
+@query("select md5(string_agg(url, ',' order by page_id)) as related, md5(string_agg(case when page_id % 3 = 0 then 's' || page_id || ',t' end, ',' order by page_id)) as suggestions, 0::bigint as warnings, arg_min('r' || page_id, page_id) filter (page_id % 5 = 2) as rewrite, arg_min('a' || page_id, page_id) filter (page_id % 7 = 4) as answer from pages")
+def engine_extras(spark, sf_dir):
+    n = F.col("page_id").cast("string")
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.array("url").alias("related"), F.when(F.col("page_id") % 3 == 0, F.array(F.concat(F.lit("s"), n), F.lit("t"))).alias("suggestions"), F.array().cast("array<string>").alias("warnings"), F.when(F.col("page_id") % 5 == 2, F.concat(F.lit("r"), n)).alias("rewrite"), F.when(F.col("page_id") % 7 == 4, F.concat(F.lit("a"), n)).alias("answer"))
+    x = S.merged_extras(p)
+    return x.select(F.md5(F.array_join("related", ",")).alias("related"), F.md5(F.array_join("suggestions", ",")).alias("suggestions"), F.size("warnings").cast("long").alias("warnings"), "rewrite", "answer")
+
+
 # -- streams
 
 
