@@ -3,9 +3,9 @@
 The most frequent words are items of their own, all others share bundles by
 their last three bytes.  The exchange algorithm moves items between classes as
 long as the likelihood of class bigrams grows.  Then every other training word
-leaves its bundle for the class that the exchange would move it to, by the
-counts of the classes beside all of its occurrences; bundles remain for unseen
-words only, which count as one event of their bundle.  A text's probability is
+is put into the class that the likelihood of the items' class bigrams grows most
+with, by the counts of the classes beside all of its occurrences; bundles
+remain for unseen words only, which count as one event of their bundle.  A text's probability is
 the product of class transitions, and of each word within its class, which
 leaves a discounted share to the unseen.  Transitions are counted with the
 words' own classes and smoothed by the class frequencies.
@@ -23,10 +23,10 @@ nothing to learn from every word is unseen.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +42,18 @@ _WORDS = bytes(32 if c in b"\x20\x09\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <=
 STRENGTH = 5.0
 
 
-def split(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").translate(_WORDS).split()
+def tokenized(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of texts, the END among them, the word of each token, and where each text's tokens end."""
+    raw = b"".join(t.translate(_WORDS) + b" \n " for t in texts.cast(pa.binary()).to_pylist())
+    every = pc.split_pattern(pa.array([raw], pa.binary()), b" ").values
+    tokens = every.filter(pc.greater(pc.binary_length(every), 0)).dictionary_encode()
+    words, at = tokens.dictionary, tokens.indices.to_numpy()
+    end = pc.index(words, pa.scalar(END, pa.binary())).as_py() if len(words) else 0
+    return words, at, np.flatnonzero(at == end) + 1
+
+
+def _codes(words: pa.Array, of) -> np.ndarray:
+    return np.fromiter(map(of, words.to_pylist()), np.int64, len(words))
 
 
 def bundle_of(word: bytes, bundles: int) -> int:
@@ -53,22 +63,25 @@ def bundle_of(word: bytes, bundles: int) -> int:
 def _counted(limit: int):
     """Counts of a partition's tokens, in parts of about `limit` words."""
 
-    def batch_of(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+    def merged(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        words = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
+        return words.dictionary, np.bincount(words.indices.to_numpy(), np.concatenate([n for _, n in parts]), len(words.dictionary)).astype(np.int64)
 
+    @common.tidy
     def run(batches):
-        seen: Counter = Counter()
+        parts: list[tuple[pa.Array, np.ndarray]] = []
         for batch in batches:
-            for some in common.sized_batches(batch, "text"):
-                texts = some.column("text").to_pylist()
-                for t in texts:
-                    seen.update(split(t))
-                seen[END] += len(texts)
-                if len(seen) > limit:
-                    yield batch_of(seen)
-                    seen = Counter()
-        if seen:
-            yield batch_of(seen)
+            for some in common.sized_batches(batch, "text", 2 << 20):
+                words, at, _ = tokenized(some.column("text"))
+                parts.append((words, np.bincount(at, minlength=len(words))))
+                if sum(len(w) for w, _ in parts) > 2 * limit:
+                    parts = [merged(parts)]
+                    if len(parts[0][0]) > limit:
+                        yield pa.RecordBatch.from_arrays([parts[0][0], pa.array(parts[0][1])], names=["word", "n"])
+                        parts = []
+        if parts:
+            words, n = merged(parts)
+            yield pa.RecordBatch.from_arrays([words, pa.array(n)], names=["word", "n"])
 
     return run
 
@@ -86,41 +99,38 @@ def _gains(table: np.ndarray, after: np.ndarray, before: np.ndarray, own: float)
     return gain - (_f(rows + after.sum() + own) - _f(rows) + _f(columns + before.sum() + own) - _f(columns))
 
 
-def best_classes(table: np.ndarray, home: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, classes: int) -> np.ndarray:
-    """The class of the first `classes` that the exchange would move each word to, from its class in `home`.
+def best_classes(table: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, classes: int) -> np.ndarray:
+    """The class of the first `classes` that each word is best put into, the first of several.
 
-    table: class bigrams with the words at home; after, before: a row for each
-    word, how often it stands before and after each class, without itself.
+    table: class bigrams without these words; after, before: a row for each
+    word, how often it stands before and after each class, without itself; own:
+    how often it follows itself.
     """
-    k, w = len(table), np.arange(len(home))
-    n_right, n_left = after.sum(1), before.sum(1)
+    k, n_right, n_left = len(table), after.sum(1), before.sum(1)
     gain = np.zeros(after.shape)
     for side, t in ((after, table.T), (before, table)):  # t[c]: the cells that a neighbour of class c counts in
         one = _f(t + 1) - _f(t)
         for c in range(k):
             at = np.flatnonzero(side[:, c])
-            n, h = side[at, c], home[at]
-            add = np.where((n == 1)[:, None], one[c], 0.0)
+            n = side[at, c]
+            add = one[np.full(len(at), c)]
             more = np.flatnonzero(n > 1)
             add[more] = _f(t[c] + n[more, None]) - _f(t[c])
-            add[np.arange(len(at)), h] = _f(t[c, h]) - _f(np.maximum(t[c, h] - n, 0))
             gain[at] += add
-    i, c = np.nonzero((after > 0) & (before > 0))
+    # a class that the word stands beside on both sides, or that it brings itself into, has one cell for all of them
+    i, c = np.nonzero((after > 0) & (before > 0) | (own > 0)[:, None])
     d, x, y = table[c, c], after[i, c], before[i, c]
-    gain[i, c] += _f(d + x + y) + _f(d) - _f(d + x) - _f(d + y)
-    rows, columns = (np.tile(table.sum(i), (len(w), 1)) for i in (1, 0))
-    rows[w, home] -= n_right
-    columns[w, home] -= n_left
-    gain -= _f(rows + n_right[:, None]) - _f(rows) + _f(columns + n_left[:, None]) - _f(columns)
-    # next to itself or its own class a word changes the cells by which it is judged
-    for j in np.flatnonzero((after[w, home] > 0) | (before[w, home] > 0) | (own > 0)).tolist():
-        a, rest = home[j], table.copy()
-        rest[a] -= after[j]
-        rest[:, a] -= before[j]
-        rest[a, a] -= own[j]
-        gain[j] = _gains(rest, after[j], before[j], own[j])
-    best = gain[:, :classes].argmax(1)
-    return np.where(gain[w, best] <= gain[w, home] + 1e-9, home, best)
+    gain[i, c] += _f(d + x + y + own[i]) + _f(d) - _f(d + x) - _f(d + y)
+    rows, columns = table.sum(1) + before, table.sum(0) + after  # tokens of a class stand beside the word too
+    gain -= _f(rows + (n_right + own)[:, None]) - _f(rows) + _f(columns + (n_left + own)[:, None]) - _f(columns)
+    return gain[:, :classes].argmax(1)
+
+
+def once_seen(table: np.ndarray, classes: int) -> np.ndarray:
+    """best_classes of the words that stand in one place, by the classes before and after them."""
+    k = len(table)
+    one = np.eye(k)
+    return best_classes(table, np.tile(one, (k, 1)), np.repeat(one, k, 0), np.zeros(k * k), classes).reshape(k, k)
 
 
 def exchange(n_items: int, fixed: int, pairs: np.ndarray, counts: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
@@ -236,36 +246,29 @@ class Model:
 
 
 def _paired(sent):
+    """Counts of the bigrams of items and bundles."""
+
+    @common.tidy
     def run(batches):
         model = sent.value
         items = model.items_of()
         n = model.items + model.bundles
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged():
-            codes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            found, at = np.unique(codes, return_inverse=True)
-            return found, np.bincount(at, counts).astype(np.int64)
-
+        total = np.zeros(n * n, np.int32)  # of one task's tokens
         for batch in batches:
-            for some in common.sized_batches(batch, "text"):
-                line = [0]
-                for t in some.column("text").to_pylist():
-                    line.extend(map(items.__getitem__, split(t)))
-                    line.append(0)
-                x = np.array(line, np.int64)
-                held.append(np.unique(x[:-1] * n + x[1:], return_counts=True))
-                if len(held) == 16:
-                    held = [merged()]
-        if held:
-            codes, counts = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["pair", "n"])
+            for some in common.sized_batches(batch, "text", 2 << 20):
+                words, at, _ = tokenized(some.column("text"))
+                x = np.append(0, _codes(words, items.__getitem__)[at])  # the end stands before the first text as well
+                total += np.bincount(x[:-1] * n + x[1:], minlength=n * n).astype(np.int32)
+        codes = np.flatnonzero(total)
+        for low in range(0, len(codes), 100_000):
+            part = codes[low : low + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], names=["pair", "n"])
 
     return run
 
 
 #: Words a task counts the neighbours of before it sends them on; words placed together.
-HELD, PLACED = 200_000, 4096
+HELD, PLACED = 150_000, 4096
 
 
 def _binaries(x: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -286,87 +289,96 @@ def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
 def _neighbours(sent, k: int):
     """Of each word that is no item: how often each class stands before (code c) and after it (k + c), and itself after it (2 k)."""
 
+    @common.tidy
     def run(batches):
         model = sent.value
         items, of, end = model.items_of(), model.of, model.items
         ids: dict[bytes, int] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []  # codes of a word and of what stands beside it, above the 32 bits of their counts
 
-        def merged():
-            codes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            found, at = np.unique(codes, return_inverse=True)
-            return found, np.bincount(at, counts).astype(np.int64)
+        def merged() -> np.ndarray:
+            x = np.concatenate(held)
+            held.clear()
+            x.sort()
+            heads = np.flatnonzero(np.append(True, x[1:] >> 32 != x[:-1] >> 32))
+            return (x[heads] >> 32 << 32) | np.add.reduceat(x & 0xFFFFFFFF, heads)
 
         def packed():
-            codes, counts = merged()
-            word, code = np.divmod(codes, 2 * k + 1)
+            x = merged()
+            word, code = np.divmod(x >> 32, 2 * k + 1)
             ends = np.cumsum(np.bincount(word, minlength=len(ids)))
-            return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()), _binaries(code.astype(np.int32), ends), _binaries(counts.astype(np.int64), ends)], names=["word", "codes", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()), _binaries(code.astype(np.uint8), ends), _binaries((x & 0xFFFFFFFF).astype(np.int32), ends)], names=["word", "codes", "counts"])
 
         for batch in batches:
-            for some in common.sized_batches(batch, "text"):
-                words = [END]
-                for t in some.column("text").to_pylist():
-                    words += split(t)
-                    words.append(END)
-                line = np.array(list(map(items.__getitem__, words)), np.int64)
-                at = np.flatnonzero(line >= end)
+            for some in common.sized_batches(batch, "text", 2 << 20):
+                words, which, _ = tokenized(some.column("text"))
+                item = _codes(words, items.__getitem__)
+                far = np.flatnonzero(item >= end)
+                own = np.full(len(words), -1)
+                own[far] = [ids.setdefault(w, len(ids)) for w in words.take(pa.array(far)).to_pylist()]
+                line, word = np.append(0, item[which]), np.append(-1, own[which])
+                at = np.flatnonzero(word >= 0)  # never the last, which is an end
                 if not len(at):
                     continue
-                word = np.full(len(line), -1)
-                word[at] = [ids.setdefault(words[i], len(ids)) for i in at.tolist()]
                 w, before, after = word[at], word[at - 1], word[at + 1]
                 base = w * (2 * k + 1)
                 codes = np.concatenate([(base + of[line[at - 1]])[before != w], (base + k + of[line[at + 1]])[after != w], (base + 2 * k)[after == w]])
-                held.append(np.unique(codes, return_counts=True))
-                if len(held) == 8:
-                    held = [merged()]
+                held.append(codes << 32 | 1)
+                held.append(merged())
                 if len(ids) > HELD:
                     yield packed()
-                    ids, held = {}, []
+                    ids = {}
         if held:
             yield packed()
 
     return run
 
 
-def _placed(sent, table: np.ndarray, classes: int):
+def _placed(table: np.ndarray, classes: int):
     """Count and class of words that come sorted, with the counts of their neighbours."""
-    k = classes + 1
-
-    def place(rows: pa.Table, model):
-        words = rows.column("word").to_pylist()
-        new = np.array([True] + [x != y for x, y in zip(words, words[1:], strict=False)])
-        first = np.flatnonzero(new)
-        code, sizes = _flat(rows.column("codes"), np.int32)
-        count, _ = _flat(rows.column("counts"), np.int64)
+    k, single = classes + 1, once_seen(table, classes)
+
+    def place(rows: pa.Table):
+        words = rows.column("word").combine_chunks()
+        new = np.ones(len(words), bool)
+        new[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+        code, sizes = _flat(rows.column("codes"), np.uint8)
+        count, _ = _flat(rows.column("counts"), np.int32)
         word = np.repeat(np.cumsum(new) - 1, sizes)
-        names = [words[i] for i in first.tolist()]
-        home = model.of[[model.items + bundle_of(w, model.bundles) for w in names]]
-        found, n = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
-        for low in range(0, len(names), PLACED):
-            high = min(low + PLACED, len(names))
+        n_words = int(new.sum())
+        total = np.bincount(word, count, n_words)
+        found, n = np.empty(n_words, np.int64), np.ones(n_words, np.int64)
+        # of one occurrence there are two codes, the class before it and the one after it
+        lone = (total == 2) & (np.bincount(word, code == 2 * k, n_words) == 0)
+        at = np.flatnonzero(lone[word])
+        found[lone] = single[code[at[::2]], code[at[1::2]] - k]
+        some = np.flatnonzero(~lone)
+        rest = np.flatnonzero(~lone[word])
+        word, code, count = np.searchsorted(some, word[rest]), code[rest], count[rest]
+        for low in range(0, len(some), PLACED):
+            high = min(low + PLACED, len(some))
             a, b = np.searchsorted(word, [low, high])
             dense = np.bincount((word[a:b] - low) * (2 * k + 1) + code[a:b], count[a:b], (high - low) * (2 * k + 1)).reshape(-1, 2 * k + 1)
             before, after, own = dense[:, :k], dense[:, k : 2 * k], dense[:, 2 * k]
-            found[low:high] = best_classes(table, home[low:high], after, before, own, classes)
-            n[low:high] = before.sum(1) + own
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n), pa.array(found.astype(np.int32))], names=["word", "n", "class"])
+            found[some[low:high]] = best_classes(table, after, before, own, classes)
+            n[some[low:high]] = before.sum(1) + own
+        return pa.RecordBatch.from_arrays([words.filter(pa.array(new)), pa.array(n), pa.array(found.astype(np.int32))], names=["word", "n", "class"])
 
+    @common.tidy
     def run(batches):
-        model, rest = sent.value, None
+        rest = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if rest is None else pa.concat_tables([rest, rows])
-            words = rows.column("word").to_pylist()
-            cut = len(words)
-            while cut and words[cut - 1] == words[-1]:  # the last word may go on
+            words, cut = rows.column("word"), rows.num_rows
+            last = words[cut - 1] if cut else None
+            while cut and words[cut - 1] == last:  # the last word may go on
                 cut -= 1
             rest = rows.slice(cut)
             if cut:
-                yield place(rows.slice(0, cut), model)
+                yield place(rows.slice(0, cut).combine_chunks())
         if rest is not None and rest.num_rows:
-            yield place(rest, model)
+            yield place(rest.combine_chunks())
 
     return run
 
@@ -378,55 +390,80 @@ _NONE = 65535
 def _local(sent):
     """What the head words tell of each text; the classes of its tokens, _NONE where the word is not of the head, and those words with their places."""
 
+    @common.tidy
     def run(batches):
         from pyspark import TaskContext
 
         m = sent.value
-        at = {w: i for i, w in enumerate(m.words)}
+        place = {w: i for i, w in enumerate(m.words)}
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for some in common.sized_batches(batch, "text"):
-                rows = []
-                for doc_id, learn, t in zip(*(some.column(c).to_pylist() for c in ("doc_id", "learn", "text")), strict=True):
-                    words = split(t)
-                    head = np.array([at.get(w, -1) for w in words] + [0], np.int64)
-                    far: dict[bytes, list[int]] = {}
-                    for i in np.flatnonzero(head < 0).tolist():
-                        far.setdefault(words[i], []).append(i)
-                    known = head[head >= 0]
-                    line = np.where(head >= 0, m.classed[np.maximum(head, 0)], _NONE).astype(np.uint16)
-                    places = [np.array(x, np.int32).tobytes() for x in far.values()]
-                    rows.append((doc_id, learn, rid, len(head), int((m.count[known] > 0).sum()), float(m.log_count[known].sum()), float(m.emits[known].sum()), line.tobytes(), list(far), places, [bundle_of(w, m.bundles) for w in far]))
-                    rid += 1
-                kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate(kinds)], names=["doc_id", "learn", "rid", "n_tokens", "n_known", "base", "score", "line", "words", "places", "bundles"])
+            for some in common.sized_batches(batch, "text", 2 << 20):
+                words, at, ends = tokenized(some.column("text"))
+                if not len(ends):
+                    continue
+                starts = np.append(0, ends[:-1])
+                head = _codes(words, lambda w: place.get(w, -1))
+                known, safe = head >= 0, np.maximum(head, 0)
+                sums = [np.add.reduceat(x[at], starts) for x in (known & (m.count[safe] > 0), np.where(known, m.log_count[safe], 0.0), np.where(known, m.emits[safe], 0.0))]
+                line = np.where(known, m.classed[safe], _NONE).astype(np.uint16)[at]
+                # the other words of each text, once each, with all their places in it
+                far = np.flatnonzero(head[at] < 0)
+                doc = np.searchsorted(ends, far, side="right")
+                order = np.lexsort((far, at[far], doc))
+                far, doc = far[order], doc[order]
+                word = at[far]
+                new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1]))) if len(far) else np.zeros(0, int)
+                names = words.take(pa.array(word[new]))
+                offsets = pa.array(np.append(0, np.cumsum(np.bincount(doc[new], minlength=len(ends)))).astype(np.int32))
+                lists = [names, _binaries((far - starts[doc]).astype(np.int32), np.append(new[1:], len(far)) if len(far) else new), pa.array(_codes(names, lambda w: bundle_of(w, m.bundles)).astype(np.int32))]
+                n = len(ends)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id"), some.column("learn"), pa.array(np.arange(rid, rid + n)), pa.array(ends - starts), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), _binaries(line, ends), *(pa.ListArray.from_arrays(offsets, x) for x in lists)],
+                    names=["doc_id", "learn", "rid", "n_tokens", "n_known", "base", "score", "line", "words", "places", "bundles"],
+                )
+                rid += n
 
     return run
 
 
+@common.tidy
 def _filled(batches):
     """Lines with the classes of the words that are not of the head."""
     for batch in batches:
-        lines = []
-        for line, far in zip(batch.column("line").to_pylist(), batch.column("far").to_pylist(), strict=True):
-            x = np.frombuffer(line, np.uint16).copy()
-            for f in far or []:
-                x[np.frombuffer(f["places"], np.int32)] = f["class"]
-            lines.append(x.tobytes())
+        line, sizes = _flat(batch.column("line"), np.uint16)
+        ends = np.cumsum(sizes)
+        far = batch.column("far")
+        at, each = far.offsets.to_numpy(), far.flatten()
+        if len(each):
+            place, n = _flat(each.field("places"), np.int32)
+            begin = np.repeat(ends - sizes, np.diff(at) if not far.null_count else np.where(far.is_valid().to_numpy(zero_copy_only=False), np.diff(at), 0))
+            line[np.repeat(begin, n) + place] = np.repeat(each.field("class").to_numpy().astype(np.uint16), n)
         columns = {n: batch.column(n) for n in batch.schema.names if n not in ("line", "far")}
-        yield pa.RecordBatch.from_pydict(columns | {"line": pa.array(lines, pa.binary())})
+        yield pa.RecordBatch.from_pydict(columns | {"line": _binaries(line, ends)})
+
+
+def _stepped_from(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class before each token of lines, its own, and where the lines begin: after an end."""
+    line, sizes = _flat(column, np.uint16)
+    x = line.astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    before = np.append(end, x[:-1])[: len(x)]
+    before[starts] = end
+    return before, x, starts
 
 
 def _followed(end: int):
     """Counts of the class bigrams of lines."""
 
+    @common.tidy
     def run(batches):
         k = end + 1
         total = np.zeros(k * k, np.int64)
         for batch in batches:
-            for line in batch.column("line").to_pylist():
-                x = np.append(end, np.frombuffer(line, np.uint16)).astype(np.int64)
-                total += np.bincount(x[:-1] * k + x[1:], minlength=k * k)
+            if batch.num_rows:
+                before, x, _ = _stepped_from(batch.column("line"), end)
+                total += np.bincount(before * k + x, minlength=k * k)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
@@ -434,15 +471,14 @@ def _followed(end: int):
 
 
 def _stepped(step: np.ndarray):
+    @common.tidy
     def run(batches):
-        end = len(step) - 1
         for batch in batches:
-            sums = []
-            for line in batch.column("line").to_pylist():
-                x = np.append(end, np.frombuffer(line, np.uint16)).astype(np.int64)
-                sums.append(float(step[x[:-1], x[1:]].sum()))
+            if not batch.num_rows:
+                continue
+            before, x, starts = _stepped_from(batch.column("line"), len(step) - 1)
             columns = {n: batch.column(n) for n in batch.schema.names if n != "line"}
-            yield pa.RecordBatch.from_pydict(columns | {"steps": pa.array(sums, pa.float64())})
+            yield pa.RecordBatch.from_pydict(columns | {"steps": pa.array(np.add.reduceat(step[before, x], starts))})
 
     return run
 
@@ -465,24 +501,27 @@ def score(docs: DataFrame, learn: Column, head: int = 1 << 18, items: int = 2048
     least = F.lit(least if least is not None else 1 << 62)
     model = Model(counts.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).toArrow(), total, distinct, items, bundles)
     sent = spark.sparkContext.broadcast(model)
-    pairs = training.mapInArrow(_paired(sent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    sent.unpersist()
+    with common.batches_of(spark, 2000):
+        pairs = training.mapInArrow(_paired(sent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
     discount = min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.5))
     codes = pairs["pair"].to_numpy()
     order = np.argsort(codes, kind="stable")  # the order in which sums arrive changes nothing
     codes, n = codes[order], pairs["n"].to_numpy()[order]
     model.finish(codes, n, np.zeros(bundles), np.zeros(bundles), discount, classes)
     k, n_items = classes + 1, model.items + bundles
-    table = np.bincount(model.of[codes // n_items] * k + model.of[codes % n_items], n, k * k).reshape(k, k)
+    first, second = codes // n_items, codes % n_items
+    own = (first < model.items) & (second < model.items)  # pairs of items: the others are still to be placed
+    table = np.bincount(model.of[first[own]] * k + model.of[second[own]], n[own], k * k).reshape(k, k).astype(float)
     sent = spark.sparkContext.broadcast(model)
     beside = training.mapInArrow(_neighbours(sent, k), "word binary, codes binary, counts binary").repartition("word").sortWithinPartitions("word")
-    placed = common.stored(beside.mapInArrow(_placed(sent, table, classes), "word binary, n long, class int"), "placed")
-    sent.unpersist()
+    placed = common.stored(beside.mapInArrow(_placed(table, classes), "word binary, n long, class int"), "placed")
+    sent.destroy()
     per = placed.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
     model.place(placed.where(F.col("n") >= least).toArrow(), [(r["class"], r["n"], r["types"]) for r in per])
     sent = spark.sparkContext.broadcast(model)
-    local = common.stored(d.select("doc_id", "learn", "text").mapInArrow(_local(sent), LOCAL), "local", 250)
-    sent.unpersist()
+    local = common.stored(d.select("doc_id", "learn", "text").mapInArrow(_local(sent), LOCAL), "local", 2000)
+    sent.destroy()
     rare = local.select("rid", F.explode(F.arrays_zip("words", "places", "bundles")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.places").alias("places"), F.col("x.bundles").alias("b"))
     at = lambda x: F.element_at(F.array(*[F.lit(v) for v in x.tolist()]), F.col("b") + 1)
     mass = F.element_at(F.array(*[F.lit(v) for v in model.mass.tolist()]), F.col("class") + 1)
@@ -508,8 +547,11 @@ def score(docs: DataFrame, learn: Column, head: int = 1 << 18, items: int = 2048
         "far",
     )
     row = "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double"
-    lines = common.stored(both.mapInArrow(_filled, row + ", line binary"), "lines", 250)
-    pairs = _totals(lines.where("learn").select("line").mapInArrow(_followed(classes), "pair long, n long"), k * k).reshape(k, k)
+    lines = common.stored(both.mapInArrow(_filled, row + ", line binary"), "lines")
+    common.spent(counts, placed, local)
+    with common.batches_of(spark, 2000):
+        pairs = _totals(lines.where("learn").select("line").mapInArrow(_followed(classes), "pair long, n long"), k * k).reshape(k, k)
     seen = pairs.sum(0) + 0.5
     step = np.log10((pairs + STRENGTH * seen / seen.sum()) / (pairs.sum(1, keepdims=True) + STRENGTH))
-    return lines.mapInArrow(_stepped(step), row + ", steps double").select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.col("steps")).alias("score"))
+    scored = lines.mapInArrow(_stepped(step), row + ", steps double").select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.col("steps")).alias("score"))
+    return common.stored(scored, "scores", keep=True)
