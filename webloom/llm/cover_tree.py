@@ -11,8 +11,8 @@ with centres q and r and covering radii s and t holds no product above
 and is pruned when that is below the worst k-th score of the query node's
 queries.  The same bound, with s = 0, prunes whole cells before anything moves:
 
-1. Every query meets one part of the cell that promises most: its k-th best
-   score there is what any other row has to reach.
+1. Every query meets one part each of the few cells that promise most: its k-th
+   best score there is what any other row has to reach.
 2. It meets the parts of all other cells whose bound reaches that.
 
 The net is fitted to a bounded sample (`sample` rows, those of smallest hash);
@@ -44,8 +44,8 @@ BASE, LEAF, SHARE = 1.3, 64, 32
 #: Norm from which a vector's products are computed as integers.
 WIDE = float(1 << 26)
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
-#: Centres of the net at most.
-CELLS = 4096
+#: Centres of the net at most, and cells that a query meets first.
+CELLS, FIRST = 4096, 4
 
 
 def farthest_first(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -250,42 +250,47 @@ def _aimed(cells: list[tuple[int, int, float, int]], net: np.ndarray, scale: int
     """A row for each part of a cell that a query goes to.
 
     cells: number, parts, radius (of the wide cell -1, its largest norm), rows.
-    On the first way it goes to one part of the cell whose centre is best, of
-    those with rows enough; on the second to all others whose bound reaches `least`.
+    On the first way it goes to one part of each of the FIRST cells whose centres
+    are best, of those with rows enough; on the second to all others whose bound
+    reaches `least`.
     """
     number, parts, radius, size = (np.array(c) for c in zip(*cells, strict=True))
     enough = (number >= 0) & (size >= min(4 * k, size.max()))
 
     @common.tidy
     def run(batches):
-        for b in batches:
-            x = _scaled(_matrix(b.column("v")), scale)
-            ids, home = b.column("vec_id").to_numpy(zero_copy_only=False), b.column("part").to_numpy(zero_copy_only=False)
-            both = max(x.shape[1], net.shape[1])
-            y, c = np.pad(x, ((0, 0), (0, both - x.shape[1]))), np.pad(net, ((0, 0), (0, both - net.shape[1])))
-            c = np.concatenate([c, np.zeros((1, both))])[number]  # -1: the wide cell lies around the origin
-            norm = np.sqrt((y * y).sum(1))
-            with np.errstate(all="ignore"):
-                inner = y @ c.T
-                top = inner + norm[:, None] * radius[None]
-                top = top + 1e-9 * (1 + norm[:, None] * (radius + np.sqrt((c * c).sum(1)))[None])
-            top = np.where(np.isnan(top), np.inf, top)
-            best = np.where(enough, inner, -np.inf).argmax(1)  # the cell that the query points to
-            way = home % parts[best]
-            if first:
-                row, cell, part = np.arange(len(ids)), number[best], way
-                least = np.full(len(ids), -np.inf)
-            else:
-                least = b.column("least").to_numpy(zero_copy_only=False)
-                row, at = np.nonzero(top >= least[:, None])
-                n = parts[at]
-                row, at = np.repeat(row, n), np.repeat(at, n)
-                part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                new = (at != best[row]) | (part != way[row])
-                row, cell, part = row[new], number[at[new]], part[new]
-                least = least[row]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.ones(len(row), bool)), pa.array(ids[row]), b.column("v").take(take), pa.array(least)], names=["cell", "part", "asks", "vec_id", "v", "least"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):
+                b = whole.slice(low, 512)
+                x = _scaled(_matrix(b.column("v")), scale)
+                ids, home = b.column("vec_id").to_numpy(zero_copy_only=False), b.column("part").to_numpy(zero_copy_only=False)
+                both = max(x.shape[1], net.shape[1])
+                y, c = np.pad(x, ((0, 0), (0, both - x.shape[1]))), np.pad(net, ((0, 0), (0, both - net.shape[1])))
+                c = np.concatenate([c, np.zeros((1, both))])[number]  # -1: the wide cell lies around the origin
+                norm = np.sqrt((y * y).sum(1))
+                with np.errstate(all="ignore"):
+                    inner = y @ c.T
+                    top = inner + norm[:, None] * radius[None]
+                    top = top + 1e-9 * (1 + norm[:, None] * (radius + np.sqrt((c * c).sum(1)))[None])
+                top = np.where(np.isnan(top), np.inf, top)
+                way = home[:, None] % parts[None]
+                best = np.argsort(np.where(enough, -inner, np.inf), axis=1, kind="stable")[:, : max(1, min(FIRST, int(enough.sum())))]
+                if first:
+                    row, at = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
+                    part, least = way[row, at], np.full(len(row), -np.inf)
+                else:
+                    met = np.full(top.shape, -1)
+                    np.put_along_axis(met, best, np.take_along_axis(way, best, 1), 1)
+                    own = b.column("least").to_numpy(zero_copy_only=False)
+                    row, at = np.nonzero(top >= own[:, None])
+                    n = parts[at]
+                    row, at = np.repeat(row, n), np.repeat(at, n)
+                    part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    new = met[row, at] != part
+                    row, at, part = row[new], at[new], part[new]
+                    least = own[row]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(number[at].astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.ones(len(row), bool)), pa.array(ids[row]), b.column("v").take(take), pa.array(least)], names=["cell", "part", "asks", "vec_id", "v", "least"])
 
     return run
 
@@ -295,7 +300,7 @@ PART = "cell int, part int, asks boolean, vec_id long, v array<double>, least do
 
 def _met(k: int, scale: int, batch: int):
     """The k best rows of queries within each part; rows come sorted by part, the part's rows before its queries."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("nth", pa.int32())])
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def answers(rows: list, tree: Tree | None, asked: list):
         ids, q_ids, least = np.concatenate([r[0] for r in rows]), np.concatenate([a[0] for a in asked]), np.concatenate([a[2] for a in asked])
@@ -310,8 +315,7 @@ def _met(k: int, scale: int, batch: int):
         found = meet(asks, q_ids, tree, ids, k, least, whole)
         some = (found.score > -np.inf).astype(bool)
         scores = [int(s) for s in found.score[some]]
-        nth = np.broadcast_to(np.arange(k), some.shape)[some]
-        return tree, pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, some.sum(1))), pa.array(found.ids[some]), pa.array(scores, pa.int64()), pa.array(nth.astype(np.int32))], schema=schema)
+        return tree, pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, some.sum(1))), pa.array(found.ids[some]), pa.array(scores, pa.int64())], schema=schema)
 
     @common.tidy
     def run(batches):
@@ -371,13 +375,13 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, row
 
     def met(aimed: DataFrame) -> DataFrame:
         both = own.unionByName(aimed).repartition("cell", "part").sortWithinPartitions("cell", "part", "asks")
-        return common.stored(both.mapInArrow(_met(k, scale, query_block), "query_id long, vec_id long, score long, nth int"), "met")
+        return common.stored(both.mapInArrow(_met(k, scale, query_block), "query_id long, vec_id long, score long"), "met")
 
     one = met(asks.mapInArrow(_aimed(cells, net, scale, True, k), PART))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     # the k-th best score so far of each query id, where a double holds it
-    worst = one.where(F.col("nth") == k - 1).groupBy(F.col("query_id").alias("q")).agg(F.min("score").cast("double").alias("s"))
+    worst = one.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").cast("double").alias("s"))
     least = F.when(F.col("s").isNull(), float("-inf")).when(F.abs("s") < float(1 << 53), F.col("s")).otherwise(float("-inf"))
     asks = asks.join(worst, F.col("q") == F.col("vec_id"), "left").select("vec_id", "v", "part", least.alias("least"))
     two = met(asks.mapInArrow(_aimed(cells, net, scale, False, k), PART))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return one.unionByName(two).select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
