@@ -417,7 +417,7 @@ def extract_dates(spark, sf_dir):
 @query()
 def extract_fields(spark, sf_dir):
     schema = [X.Field("page_title"), X.Field("page_type"), X.Field("summary"), X.Field("main_topics", "array of strings"), X.Field("emails"), X.Field("price", kind="number")]
-    e = E.extracted(P.scored(P.parsed(table(spark, sf_dir, "pages"))), schema)
+    e = E.extracted(P.scored(P.parsed(table(spark, sf_dir, "pages"), P.SCORED)), schema)
     return e.select("page_id", F.to_json("data").alias("data"), "confidence", F.array_join("warnings", ",").alias("warnings"))
 
 

@@ -165,9 +165,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0) | (n == 0), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / n)))
 
 
-def is_grounded(value: Column, source: Column) -> Column:
-    """Whether a value stands in its source: as it is, or 70 % of its words of three bytes and more."""
-    v, s = F.lower(F.trim(value)), F.lower(source)
+def is_grounded(value: Column, source: Column, lowered: bool = False) -> Column:
+    """Whether a value stands in its source: as it is, or 70 % of its words of three bytes and more.
+
+    lowered: the source is in small letters; a long one is better lowered once, in a column of its own.
+    """
+    v, s = F.lower(F.trim(value)), source if lowered else F.lower(source)
     w = F.filter(F.split(v, "[^\\p{IsAlphabetic}\\p{N}]+"), lambda x: F.octet_length(x) >= 3)
     part = F.size(F.filter(w, lambda x: F.contains(s, x))) / F.greatest(F.size(w), F.lit(1))
     return (F.octet_length(v) < 4) | F.contains(s, v) | (F.size(w) == 0) | (part >= 0.70)

@@ -16,8 +16,14 @@ from .. import tables
 SPACE = "(?U)\\s+"
 
 
+#: Needles that are looked for one after the other; more are one pattern, as code for them would grow too large to be compiled.
+FEW = 24
+
+
 def has_any(text: Column, needles: list[str]) -> Column:
     """Whether any of the needles is in text, as it is written."""
+    if len(needles) <= FEW:
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
     return text.rlike("|".join(re.sub(r"([\\.^$|?*+(){}\[\]])", r"\\\1", n) for n in needles))
 
 
@@ -48,7 +54,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(F.coalesce(text, F.lit("")))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit("(?U)\\S+")), F.lit(0)).cast("long")
 
 
 def tokens(text: Column) -> Column:

@@ -19,7 +19,7 @@ def extracted(pages: DataFrame, schema: list[X.Field], strict: bool = True, spar
     Wholly column expressions over each row: one pass, no shuffle.
     """
     page = {"url": F.col("url"), "title": F.col("title"), "description": F.col("meta_description"), "content": F.col("clean_content"), "headings": F.col("headings"), "page_type": F.col("page_type")}
-    source = F.concat_ws("\n", "clean_content", "title", "meta_description", "author", "published_at")
+    source = F.lower(F.concat_ws("\n", "clean_content", "title", "meta_description", "author", "published_at"))
     none = F.array().cast("array<string>")
     p = pages.withColumn("_source", source)
     for i, f in enumerate(schema):
@@ -35,7 +35,7 @@ def extracted(pages: DataFrame, schema: list[X.Field], strict: bool = True, spar
         if f.is_exempt:
             grounded.append(have[i])  # counts above the line only
         else:
-            grounded.append(have[i] & F.forall(F.col(f"_v{i}"), lambda v: Q.is_grounded(v, F.col("_source"))))
+            grounded.append(have[i] & F.forall(F.col(f"_v{i}"), lambda v: Q.is_grounded(v, F.col("_source"), lowered=True)))
             counted.append(have[i])
     denominator = total(counted)
     ground = F.when(denominator > 0, total(grounded) / denominator).otherwise(1.0)
@@ -83,7 +83,7 @@ def grounded_counts(values: DataFrame, docs: DataFrame) -> DataFrame:
     prefix = each.join(rarity, "x", "left").withColumn("r", F.coalesce("r", F.lit(0))).withColumn("before", upto - F.col("m")).where(F.col("before") <= 0.3 * F.col("n"))
     wanted = inside.join(hint(prefix.select("id", "x")), "x").select("word", "id").distinct()
     pairs = words.join(wanted, "word").select(F.col("doc_id").alias("d"), "id").distinct()
-    met = pairs.join(docs.select("doc_id", "text"), F.col("d").eqNullSafe(F.col("doc_id"))).join(hint(v.select("id", "v")), "id")
-    some = met.where(Q.is_grounded(F.col("v"), F.col("text"))).groupBy("id").agg(F.count("*").alias("some"))
+    met = pairs.join(docs.select("doc_id", F.lower("text").alias("text")), F.col("d").eqNullSafe(F.col("doc_id"))).join(hint(v.select("id", "v")), "id")
+    some = met.where(Q.is_grounded(F.col("v"), F.col("text"), lowered=True)).groupBy("id").agg(F.count("*").alias("some"))
     every = docs.agg(F.count("*").alias("every"))  # one row
     return v.select("id", always.alias("always")).join(some, "id", "left").join(F.broadcast(every)).select("id", F.when(F.col("always"), F.col("every")).otherwise(F.coalesce("some", F.lit(0))).alias("grounded"))

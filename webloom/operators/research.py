@@ -39,8 +39,9 @@ def unseen(candidates: DataFrame, seen: DataFrame, limit: int) -> DataFrame:
 
 def bucket_hits(findings: DataFrame, most: int = 3) -> DataFrame:
     """section, nth, url, title: the first findings(ord, url, title, content) of each section of a report."""
-    text = F.concat_ws(" ", F.lower("title"), F.lower("url"), F.lower("content"))
-    hit = F.array(*[F.when(T.has_any(text, w), F.struct(F.lit(i).alias("no"), F.lit(s).alias("section"))) for i, (s, w) in enumerate(tables.REPORT_SECTIONS.items())])
+    said = F.concat_ws(" ", F.lower("title"), F.lower("url"), F.lower("content"))
+    findings = findings.select("ord", "url", "title", said.alias("said"))  # once, not for each word looked for
+    hit = F.array(*[F.when(T.has_any(F.col("said"), w), F.struct(F.lit(i).alias("no"), F.lit(s).alias("section"))) for i, (s, w) in enumerate(tables.REPORT_SECTIONS.items())])
     each = findings.select("ord", "url", "title", F.explode(F.filter(hit, lambda h: h.isNotNull())).alias("h"))
     rank = F.row_number().over(Window.partitionBy("h.no").orderBy("ord"))
     return each.withColumn("nth", rank).where(F.col("nth") <= most).select("h.no", "h.section", "nth", "url", "title")

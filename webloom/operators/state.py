@@ -124,12 +124,15 @@ def rescue_engine(engines: DataFrame, attempted: DataFrame, as_of: Column) -> Da
 def host_guard(events: DataFrame, base: int = 5, cap: int = 120) -> DataFrame:
     """events(bucket, ts, id, ok) as bucket, streak, penalty_seconds: a failure adds one, a success takes one, never below none.
 
-    The floor makes it a running minimum: the streak is the sum less the lowest sum so far.
+    The floor makes it a running minimum: the streak is the sum less the lowest
+    sum so far, if that is below none.  Sums and minima are of one hour each,
+    then put together, so no bucket's events come to one task.
     """
-    w = Window.partitionBy("bucket").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    s = events.withColumn("sum", F.sum(F.when(F.col("ok"), -1).otherwise(1)).over(w))
-    s = s.withColumn("streak", F.col("sum") - F.least(F.min("sum").over(w), F.lit(0)))
-    last = s.groupBy("bucket").agg(F.max_by("streak", F.struct("ts", "id")).alias("streak"))
+    e = events.select("bucket", F.floor(F.unix_timestamp("ts") / 3600).alias("hour"), "ts", "id", F.when(F.col("ok"), -1).otherwise(1).alias("v"))
+    w = Window.partitionBy("bucket", "hour").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    hours = e.withColumn("sum", F.sum("v").over(w)).groupBy("bucket", "hour").agg(F.sum("v").alias("total"), F.min("sum").alias("low"))
+    before = F.sum("total").over(Window.partitionBy("bucket").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")
+    last = hours.withColumn("low", before + F.col("low")).groupBy("bucket").agg((F.sum("total") - F.least(F.min("low"), F.lit(0))).alias("streak"))
     return last.select("bucket", F.col("streak").cast("long").alias("streak"), F.when(F.col("streak") > 0, Q.backoff_seconds(F.lit(base), F.col("streak"), F.lit(cap))).otherwise(0).alias("penalty_seconds"))
 
 

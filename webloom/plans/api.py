@@ -26,7 +26,7 @@ def web_search(results: DataFrame, query: str, as_of: Column, max_results: int =
 def search_structured(results: DataFrame, pages: DataFrame, query: str, as_of: Column, max_results: int = 10, top_n: int = 3) -> DataFrame:
     """web_search with the content of the first top_n pages."""
     found = web_search(results, query, as_of, max_results)
-    content = P.scored(P.parsed(pages.join(found.where(F.col("rank") <= top_n).select("url"), "url", "left_semi"))).select("url", "clean_content")
+    content = P.scored(P.parsed(pages.join(found.where(F.col("rank") <= top_n).select("url"), "url", "left_semi"), P.SCORED)).select("url", "clean_content")
     return found.join(content, "url", "left")
 
 
@@ -44,13 +44,13 @@ def batch_summary(fetched: DataFrame) -> DataFrame:
 
 
 def crawl_website(spark: SparkSession, pages: DataFrame, start: str, **limits) -> DataFrame:
-    return C.crawl(spark, P.parsed(pages).select("url", "links"), start, **limits)
+    return C.crawl(spark, P.parsed(pages, ["links"]).select("url", "links"), start, **limits)
 
 
 def extract_fields(pages: DataFrame, schema: list[X.Field] | str, strict: bool = True) -> DataFrame:
     """Fields named by a schema, or by a request in words."""
     fields = X.schema_from_prompt(schema) if isinstance(schema, str) else schema
-    rows = P.scored(P.parsed(pages))
+    rows = P.scored(P.parsed(pages, P.SCORED))
     return E.extracted(rows, fields, strict) if fields else E.auto(rows)
 
 
@@ -72,7 +72,7 @@ def deep_research(results: DataFrame, pages: DataFrame, query: str, as_of: Colum
     via = M.first_via(results.select("url", "query", "ord"))
     hops, seen = [], wave.select("url")
     for hop in range(1, depth + 1):
-        got = P.scored(P.parsed(pages.join(wave.select("url"), "url", "left_semi"))).join(wave, "url")
+        got = P.scored(P.parsed(pages.join(wave.select("url"), "url", "left_semi"), [*P.SCORED, "links"])).join(wave, "url")
         hops.append(got.select("ord", "url", "title", F.substring("clean_content", 1, max_chars).alias("content"), F.lit(hop).alias("depth"), "word_count"))
         if hop < depth:
             links = got.select("ord", F.posexplode("links").alias("at", "l")).select(F.col("l.url").alias("url"), (F.col("ord") * 1000 + F.col("at")).alias("ord"))

@@ -86,6 +86,10 @@ def parsed(pages: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
+#: Fields that scored() and extraction read.
+SCORED = ["title", "meta_description", "author", "published_at", "headings", "code_blocks", "clean_content", "markdown"]
+
+
 def scored(rows: DataFrame) -> DataFrame:
     """Parsed pages with counts, quality, reading time and domain; column expressions only.
 
@@ -109,7 +113,7 @@ def scored(rows: DataFrame) -> DataFrame:
 
 def fetched(urls: DataFrame, pages: DataFrame, max_chars: int = 10_000) -> DataFrame:
     """Pages of a list of urls(url), as one batch: every URL has a row, with success and why not."""
-    got = scored(parsed(pages.join(urls.select("url").distinct(), "url", "left_semi")))
+    got = scored(parsed(pages.join(urls.select("url").distinct(), "url", "left_semi"), SCORED))
     body = F.col("word_count") <= 3
     bare = (F.size("code_blocks") == 0) & (F.size("headings") == 0)
     both = urls.select("url").join(got, "url", "left")
