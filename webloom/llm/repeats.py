@@ -25,7 +25,11 @@ thirds of a window: phrases that a language repeats by chance are shorter.
 
 A gram with more than `MOST` different contexts is too large for one suffix
 array; its windows are compared by their hashes, each on its own, which removes
-the same bytes and gathers no group.
+the same bytes.
+
+`Repeats.groups` ends where contexts end.  `Repeats.maximal` joins what repeats
+whole (2), in the tree (3) and by windows to maximal repeats of any length, with
+all occurrences, and gathers none of them in one place.
 
 Contexts are told apart by two hashes of 64 bits, their own and their gram's.
 What is broadcast are tables of bits, at most 32 MB each, that tell the grams
@@ -362,11 +366,14 @@ class Repeats:
             large = near.join(common.near(hot), "gram", "left_semi")
             near = near.join(common.near(hot), "gram", "left_anti")
         self.groups = common.stored(near.repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(_repeated(size), REPEAT), "repeats")
-        covers = self.groups.where(F.col("context").isNotNull()).select(*CONTEXT, F.col("place").alias("low"), (F.col("place") + F.col("length")).alias("high"))
+        own = F.col("context").isNotNull()
+        self.windows = None
+        covers = self.groups.where(own).select(*CONTEXT, F.col("place").alias("low"), (F.col("place") + F.col("length")).alias("high"))
         if any_hot:
             each = common.stored(large.mapInArrow(_windows(size), "gram long, context long, place int, window long").distinct(), "windows")
             twice = each.groupBy("gram", "window").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("gram", "window")
-            covers = covers.unionByName(each.join(twice, ["gram", "window"]).select(*CONTEXT, F.col("place").alias("low"), (F.col("place") + size).alias("high")))
+            self.windows = each.join(twice, ["gram", "window"])
+            covers = covers.unionByName(self.windows.select(*CONTEXT, F.col("place").alias("low"), (F.col("place") + size).alias("high")))
         whole = self.contexts.where(F.col("n") > 1).select(*CONTEXT, F.lit(0).alias("low"), (F.col("count") - 1 + size).alias("high"))
         every = covers.unionByName(whole).groupBy(*CONTEXT).agg(F.sort_array(F.collect_set(_span(F.col("low"), F.col("high")))).alias("spans"))
         # as a table of its own, so that a join can split what one context has most of
@@ -379,6 +386,58 @@ class Repeats:
         moved = F.transform("spans", lambda s: s + _span(F.col("place"), F.col("place")))
         return at.select(*KEY, F.explode(moved).alias("span")).groupBy(*KEY).agg(F.collect_list("span").alias("spans"))
 
+    def _parts(self) -> DataFrame:
+        """What repeats within contexts: gram, repeat, length, context, place; with all its places, those below it in a tree too."""
+        name, row = ["gram", "repeat", "length"], ["gram", "repeat", "length", "context", "place"]
+        tree = self.groups.select(*name, "parent").distinct()
+        above = tree.select("gram", F.col("repeat").alias("parent"), F.col("length").alias("above"))
+        up = tree.where(F.col("parent").isNotNull()).join(above, ["gram", "parent"])
+        level = self.groups.where(F.col("context").isNotNull()).select(*row)
+        parts = level
+        while level.limit(1).count():
+            level = common.stored(level.join(up, name).select("gram", F.col("parent").alias("repeat"), F.col("above").alias("length"), "context", "place"), "level")
+            parts = parts.unionByName(level)
+        whole = self.contexts.where(F.col("n") > 1).select("gram", F.col("context").alias("repeat"), (F.col("count") - 1 + self.size).alias("length"), "context", F.lit(0).alias("place"))
+        parts = parts.unionByName(whole)
+        if self.windows is not None:
+            parts = parts.unionByName(self.windows.select("gram", F.col("window").alias("repeat"), F.lit(self.size).alias("length"), "context", "place"))
+        return parts
+
+    def maximal(self, reach: int = 1024) -> DataFrame:
+        """Maximal repeats with all of their occurrences: repeat, length, n (occurrences), text_hash, n_bytes, place, copies (rows of that text).
+
+        What repeats within contexts is extended, to the left and to the right,
+        as far as all of its occurrences agree: that is the common beginning of
+        the least and of the largest of the strings that follow them, so none
+        are gathered.  Strings of `reach` bytes are compared, then ever longer
+        ones of those that agree in all.  What becomes the same is one repeat.
+        Not told are repeats of which each part within a context occurs
+        elsewhere as well.
+        """
+        group, at = ["gram", "repeat", "length"], [*KEY, "pos"]
+        o = self._parts().join(self.occurrences.select(*CONTEXT, *KEY, F.col("place").alias("block")), CONTEXT)
+        o = o.select(*group, *KEY, (F.col("block") + F.col("place")).alias("pos")).groupBy(*group, *at).agg(F.count("*").alias("copies"))
+        o = common.stored(o, "places")
+        texts = self.docs.select(*[F.col("text_hash"), F.octet_length("body").cast("long").alias("n_bytes"), "body"]).join(o.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
+        texts = common.stored(texts, "texts", 250)
+        grown = common.stored(o.groupBy(*group).agg(F.sum("copies").alias("n"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(True).alias("open_left"), F.lit(True).alias("open_right")).where("n > 1"), "grown")
+        sides = "gram long, repeat long, length int, before binary, after binary"
+        while grown.where("open_left or open_right").limit(1).count():
+            some = o.join(grown.where("open_left or open_right").select(*group, "left", "right"), group).join(texts, KEY)
+            beside = some.select(*group, "pos", "left", "right", "body").mapInArrow(_beside(reach), sides)
+            ends = beside.groupBy(*group).agg(*[f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("least", F.min), ("most", F.max))])
+            more = ends.mapInArrow(_agreed, "gram long, repeat long, length int, add_left int, add_right int")
+            j = grown.join(more, group, "left")
+            add = lambda side: F.when(F.col(f"open_{side}"), F.coalesce(f"add_{side}", F.lit(0))).otherwise(0)
+            grown = common.stored(j.select(*group, "n", (F.col("left") + add("left")).alias("left"), (F.col("right") + add("right")).alias("right"), (F.col("open_left") & (add("left") == reach)).alias("open_left"), (F.col("open_right") & (add("right") == reach)).alias("open_right")), "grown")
+            reach = min(4 * reach, 1 << 20)
+        wide = o.join(grown.select(*group, "n", "left", "right"), group).select(*group, "n", *KEY, (F.col("pos") - F.col("left")).alias("place"), "copies", (F.col("length") + F.col("left") + F.col("right")).alias("bytes"))
+        first = wide.groupBy(*group, "n", "bytes").agg(F.min(F.struct(*KEY, "place")).alias("first"))
+        # one of those that are the same string
+        name = F.xxhash64("first", "bytes").alias("name")
+        one = first.groupBy("first", "bytes", name).agg(F.min(F.struct(*group)).alias("g")).select("name", "g.*")
+        return common.stored(wide.join(one, group).select(F.col("name").alias("repeat"), F.col("bytes").alias("length"), "n", *KEY, "place", "copies"), "maximal", keep=True)
+
     def removed(self, texts: bool = True) -> DataFrame:
         """Every row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept (the bytes that remain).
 
@@ -390,6 +449,27 @@ class Repeats:
         return common.stored(both.mapInArrow(_cut(texts), row + ", kept binary" if texts else row), "removed", 250, keep=True)
 
 
+def _beside(reach: int):
+    """The bytes before (turned round) and after each place of a repeat, as far as it has grown."""
+
+    @common.tidy
+    def run(batches):
+        for part, bodies in _parts(batches):
+            rows = zip(bodies, *(part.column(c).to_pylist() for c in ("pos", "length", "left", "right")), strict=True)
+            both = [(b[max(0, p - low - reach) : p - low][::-1], b[p + n + high : p + n + high + reach]) for b, p, n, low, high in rows]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("gram", "repeat", "length")), *(pa.array([x[i] for x in both], pa.binary()) for i in (0, 1))], names=["gram", "repeat", "length", "before", "after"])
+
+    return run
+
+
+@common.tidy
+def _agreed(batches):
+    """How far the least and the largest of strings agree, and so all between them."""
+    for b in batches:
+        add = [[_common(x, y) for x, y in zip(b.column(f"least_{side}").to_pylist(), b.column(f"most_{side}").to_pylist(), strict=True)] for side in ("before", "after")]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("gram", "repeat", "length")), *(pa.array(x, pa.int32()) for x in add)], names=["gram", "repeat", "length", "add_left", "add_right"])
+
+
 def _span(low, high):
     return F.shiftleft(low.cast("long"), 31) + high
 
