@@ -127,6 +127,44 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch):
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(docs, 200)
 
 
+def test_joined_repeats_are_maximal_with_all_occurrences(spark, monkeypatch):
+    r = random.Random(15)
+    letters = "abcdefgh"
+    text = lambda n: "".join(r.choice(letters) for _ in range(n))
+    long_, tail = text(1200), text(300)
+    docs = [(1, "X" + long_ + "p" + text(30)), (2, text(50) + "Y" + long_ + tail + "q"), (3, "Z" * 3 + long_ + tail + "r" + text(400)), (4, text(900))]
+    docs += [(5, docs[3][1]), (6, None), (7, "x" * 150), (8, text(60) + tail + text(20)), (9, text(260) + long_[300:700] + text(90)), (10, "k" + docs[3][1][100:600])]
+    bytes_of = {d: (t or "").encode() for d, t in docs}
+    places = lambda x: sorted((d, i) for d, b in bytes_of.items() for i in range(len(b) - len(x) + 1) if b[i : i + len(x)] == x)
+    for most, reach in ((repeats.MOST, 1024), (1, 16)):  # with 1, all grams are compared by single windows
+        monkeypatch.setattr(repeats, "MOST", most)
+        df = spark.createDataFrame(docs, DOC)
+        keys = {}
+        for x in df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect():
+            keys.setdefault(x.h, []).append(x.doc_id)
+        found = {}
+        for x in repeats.Repeats(df).maximal(reach).collect():
+            assert x.copies == len(keys[x.text_hash])
+            b = bytes_of[keys[x.text_hash][0]][x.place : x.place + x.length]
+            assert len(b) == x.length >= 200
+            found.setdefault(x.repeat, (b, x.n, []))[2].extend((d, x.place) for d in keys[x.text_hash])
+        assert len({b for b, _, _ in found.values()}) == len(found)  # none twice
+        for b, n, at in found.values():
+            assert sorted(at) == places(b) and n == len(at) > 1
+            for side in (lambda d, i, b=b: bytes_of[d][i - 1 : i] if i else d, lambda d, i, b=b: bytes_of[d][i + len(b) : i + len(b) + 1] or d):
+                assert len({side(d, i) for d, i in at}) > 1
+        strings = {b: at for b, _, at in found.values()}
+        assert len(strings[long_.encode()]) == 3 and len(strings[(long_ + tail).encode()]) == 2
+        # each window that repeats has a repeat that occurs as often
+        whole = [set(places(b)) for b in strings]
+        for d, b in bytes_of.items():
+            for i in range(len(b) - 199):
+                w = places(b[i : i + 200])
+                if len(w) > 1:
+                    assert any({(e, j + k) for e, j in at} == set(w) for x, at in strings.items() for k in [x.find(b[i : i + 200])] if k >= 0)
+        assert whole
+
+
 def test_maximal_repeats():
     r = random.Random(14)
     size = 20
