@@ -566,12 +566,15 @@ def is_json_noise(line: str) -> bool:
     return line[0] in "{[" and n > 40 or sum(c in '{}[]":,' for c in line) / n >= 0.55
 
 
+GARBAGE = re.compile("|".join(tables.GARBAGE_LINES), re.IGNORECASE)
+
+
 def post_cleaned(text: str, line_aware: bool = False) -> str:
     """Without garbage, JSON and repeated lines.  Unless line_aware, the text is one line first, as clean_text makes it."""
     lines = text.split("\n") if line_aware else [text]
     kept: list[str] = []
     for line in (" ".join(x.split()) for x in lines):
-        if len(line.encode()) >= 2 and not re.search(tables.GARBAGE_LINES, line) and not is_json_noise(line) and (not kept or kept[-1] != line):
+        if len(line.encode()) >= 2 and not GARBAGE.search(line) and not is_json_noise(line) and (not kept or kept[-1] != line):
             kept.append(line)
     return re.sub(r"\n{3,}", "\n\n", without_noise("\n".join(kept)))
 

@@ -59,13 +59,14 @@ RESEARCH_ANGLES = [
 ]
 
 # Words of developer queries.
-DEV_WORDS = (
-    "rust python javascript typescript go java c++ cpp ruby php swift kotlin scala haskell elixir clojure "
-    "react vue angular svelte next nuxt django flask fastapi express koa tokio actix axum rocket warp spring laravel rails phoenix "
-    "async await promise future mutex arc thread concurrency api rest graphql grpc websocket http tcp udp database sql nosql postgres mongodb redis sqlite kubernetes "
-    "ci cd git github gitlab npm cargo pip maven gradle "
-    "tutorial docs documentation guide example code install setup configure error bug fix deploy test testing debug benchmark performance optimize"
-).split()
+DEV_WORDS = [
+    "rust", "python", "javascript", "typescript", "go", "java", "c++", "cpp", "ruby", "php", "swift", "kotlin", "scala", "haskell", "elixir",
+    "clojure", "react", "vue", "angular", "svelte", "next", "nuxt", "django", "flask", "fastapi", "express", "koa", "tokio", "actix", "axum",
+    "rocket", "warp", "spring", "laravel", "rails", "phoenix", "async", "await", "promise", "future", "mutex", "arc", "thread", "concurrency", "api",
+    "rest", "graphql", "grpc", "websocket", "http", "tcp", "udp", "database", "sql", "nosql", "postgres", "mongodb", "redis", "sqlite", "kubernetes",
+    "ci", "cd", "git", "github", "gitlab", "npm", "cargo", "pip", "maven", "gradle", "tutorial", "docs", "documentation", "guide", "example", "code",
+    "install", "setup", "configure", "error", "bug", "fix", "deploy", "test", "testing", "debug", "benchmark", "performance", "optimize",
+]
 DEV_PATTERNS = ["how to", "tutorial", "docs", "api", "install", "error", "example"]
 # Sites that belong to a word.
 SITES = {
@@ -170,14 +171,31 @@ ARTICLE_SIGNS = [
 ]
 
 # Lines that are no content.
-GARBAGE_LINES = (
-    r"(?i)^subscribe$|^sign up$|^cookie|^accept all$|^advert|^sponsor|^newsletter$|^related articles|^comments?$|^read more$|"
-    r"^continue reading$|^select categories$|^close$|^open$|^menu$|^skip to content$|^filters?$|^sort$"
-)
-NOISE_IDENTIFIERS = (
-    "ads advert adsense adunit ad-slot ad_container adbox sponsor promo cookie consent banner modal subscribe newsletter "
-    "share social sidebar comments related breadcrumb pagination nav footer header hero toolbar"
-).split()
+GARBAGE_LINES = [
+    r"^subscribe$",
+    r"^sign up$",
+    r"^cookie",
+    r"^accept all$",
+    r"^advert",
+    r"^sponsor",
+    r"^newsletter$",
+    r"^related articles",
+    r"^comments?$",
+    r"^read more$",
+    r"^continue reading$",
+    r"^select categories$",
+    r"^close$",
+    r"^open$",
+    r"^menu$",
+    r"^skip to content$",
+    r"^filters?$",
+    r"^sort$",
+]
+NOISE_IDENTIFIERS = [
+    "ads", "advert", "adsense", "adunit", "ad-slot", "ad_container", "adbox", "sponsor", "promo", "cookie", "consent", "banner", "modal",
+    "subscribe", "newsletter", "share", "social", "sidebar", "comments", "related", "breadcrumb", "pagination", "nav", "footer", "header", "hero",
+    "toolbar",
+]
 NOISE_EDGES = ["-ad", "ad-", "_ad", "ad_"]
 
 # Blocks of HTML that are no content, in order.
