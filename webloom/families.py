@@ -693,6 +693,106 @@ def engine_extras(spark, sf_dir):
     return x.select(F.md5(F.array_join("related", ",")).alias("related"), F.md5(F.array_join("suggestions", ",")).alias("suggestions"), F.size("warnings").cast("long").alias("warnings"), "rewrite", "answer")
 
 
+_ARTICLE = (
+    '<html><head><meta property="og:description" content="OD {}"></head><body><article><h2>A {}</h2><p>See <a href="/x">link</a> and <b>bold</b> &amp; more.</p><ul><li>one</li><li>two {}</li></ul><pre><code class="language-python">import os\nimport sys\nimport re\nimport json\nimport math\n'
+    + "\n".join(f"a{i} = {i}" for i in range(12))
+    + "\n# TODO {}</code></pre></article></body></html>"
+)
+_CODE = "'" + "".join(f"a{i} = {i}\n" for i in range(12)) + "# TODO ' || page_id"
+
+
+@query(
+    f"""select page_id, md5('## A ' || page_id || '\n\nSee [link](/x) and **bold** & more.\n\n- one\n\n- two ' || page_id || '\n\n```python\nimport os\nimport sys\nimport re\nimport json\nimport math\n' || {_CODE} || '\n```') as markdown, {_CODE} as code, 'OD ' || page_id as short from pages"""
+)
+def page_markdown(spark, sf_dir):
+    """Markdown of made pages, code without its block of imports, and what stands for pages that say nothing themselves."""
+    p = P.parsed(_made_pages(spark, sf_dir, _ARTICLE), ["markdown", "code_blocks"]).select("page_id", F.md5("markdown").alias("markdown"), F.col("code_blocks")[0]["code"].alias("code"))
+    bare = '<html><head><meta property="og:description" content="OD {}"></head><body><p>few words</p></body></html>'
+    short = P.parsed(_made_pages(spark, sf_dir, bare), ["clean_content"]).select("page_id", F.col("clean_content").alias("short"))
+    return p.join(short, "page_id")
+
+
+_RAW = '<div class="c" role="x" id="i"><details open><summary> More {} </summary><p style="a">b {}</p></details><nav>n</nav><form>f</form><p data-k="1" tabindex="2" onclick="f()">c</p></div><div class="cookie-bar">accept</div><p aria-hidden="true">gone</p>'
+
+
+@query("select page_id, '<div role=\"x\"><section><h3>More ' || page_id || '</h3><p>b ' || page_id || '</p></section> <p data-k=\"1\" tabindex=\"2\">c</p></div> ' || page_id as balanced, '<div><section><h3>More ' || page_id || '</h3><p>b ' || page_id || '</p></section> <p>c</p></div> ' || page_id as aggressive from pages")
+def html_preprocess(spark, sf_dir):
+    p = _made_pages(spark, sf_dir, _RAW)
+    return p.select("page_id", T.preprocess_html(F.col("html")).alias("balanced"), T.preprocess_html(F.col("html"), aggressive=True).alias("aggressive"))
+
+
+def _encoded(url):
+    return F.url_encode(url)
+
+
+@query(
+    """select page_id, engine, rank::integer as rank, case when rank = 0 then url else 'https://other.example/' || page_id end as url, 'T' || rank || ' ' || page_id as title, 'About ' || page_id as content, case when rank = 0 then '2024-01-10' end as published_at
+from pages, (values ('bing'), ('brave'), ('duckduckgo'), ('google')) e(engine), (values (0), (1)) r(rank)"""
+)
+def serp_results(spark, sf_dir):
+    """Result pages of four engines made of the pages' addresses: two results, one of the engine's own or no page, and one more than is asked for."""
+    from .sources import serp
+
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    n = F.col("page_id").cast("string")
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    other = text("https://other.example/", n)
+    packed = lambda u: F.translate(F.regexp_replace(F.base64(u.cast("binary")), "[=\\r\\n]", ""), "+/", "-_")
+    said = lambda k: text("2024-01-10 - About " if k == 0 else "About ", n)
+
+    def page(open_, row, close, skipped):
+        return text(open_, row(F.col("url"), 0), row(other, 1), skipped, row(other, 2), close)
+
+    google = page('<div id="search">', lambda u, k: text('<div class="MjjYud"><a href="/url?q=', _encoded(u), f'&amp;sa=U"><h3>T{k} ', n, '</h3></a><div class="VwiC3b">', said(k), "</div></div>"), "</div>", '<div class="MjjYud"><a href="/url?q=https%3A%2F%2Fmaps.google.com%2Fx"><h3>own</h3></a></div>')
+    bing = page("<ol>", lambda u, k: text('<li class="b_algo"><h2><a href="https://www.bing.com/ck/a?!&amp;u=a1', packed(u), f'&amp;ntb=1">T{k} ', n, '</a></h2><div class="b_caption"><p>', said(k), "</p></div></li>"), "</ol>", '<li class="b_algo"><p>no link</p></li>')
+    duck = page("<div>", lambda u, k: text('<div class="results_links"><a class="result__a" href="//duckduckgo.com/l/?uddg=', _encoded(u), f'&amp;rut=1">T{k} ', n, '</a><a class="result__snippet">', said(k), "</a></div>"), "</div>", '<div class="results_links"><a href="/none">none</a></div>')
+    brave = page("<main>", lambda u, k: text('<div><a href="', F.replace(u, F.lit("&"), F.lit("&amp;")), f'"><h3>T{k} ', n, '</h3></a><div class="snippet-description">', said(k), "</div></div>"), "</main>", '<div><a href="/settings">none</a></div>')
+    made = p.select(F.col("page_id").alias("serp_id"), F.explode(F.map_from_arrays(F.array(*map(F.lit, ("google", "bing", "duckduckgo", "brave"))), F.array(google, bing, duck, brave))).alias("engine", "html"))
+    r = serp.parsed(made, per_engine=2)
+    return r.select(F.col("serp_id").alias("page_id"), "engine", "rank", "url", "title", "content", "published_at")
+
+
+_MAIL = tables.EMAIL.replace("'", "''")
+
+
+@query(
+    rf"""select doc_id, to_json(map_from_entries([('page_title', [t]), ('page_type', ['documentation']), ('summary', [d]), ('emails', regexp_extract_all(c, '{_MAIL}')), ('price', case when p <> '' then [p] else [] end)])) as data,
+  round(least(0.4 * (3 + e + case when p <> '' then 1 else 0 end) / 5.0 + 0.4 * (3 + e + case when p <> '' then 1 else 0 end) / (2.0 + e + case when p <> '' then 1 else 0 end) + 0.2 * case when p = '' then 1.0 when try_cast(p as double) is not null then 1.0 else 0.0 end, 1.0), 6)::double as confidence
+from (select *, case when len(regexp_extract_all(c, '{_MAIL}')) > 0 then 1 else 0 end as e, coalesce(nullif(regexp_extract(case when strpos(lower(c), 'price') > 0 then substr(c, strpos(lower(c), 'price') + 5, 500) else '' end, '{_PRICE}'), ''), regexp_extract(c, '{_PRICE}')) as p
+  from (select doc_id, text as c, 'Guide ' || doc_id as t, 'All of ' || doc_id as d from documents))"""
+)
+def field_confidence(spark, sf_dir):
+    """Fields of documents as pages, and how far they can be trusted."""
+    from .operators import extract as E
+
+    n = F.col("doc_id").cast("string")
+    none = F.lit(None).cast("string")
+    d = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("page_id"), F.concat(F.lit("https://a.example/docs/"), n).alias("url"), F.concat(F.lit("Guide "), n).alias("title"), F.concat(F.lit("All of "), n).alias("meta_description"), F.col("text").alias("clean_content"),
+        F.array().cast("array<struct<level:string,text:string>>").alias("headings"), F.lit("documentation").alias("page_type"), none.alias("author"), none.alias("published_at"), T.word_count(F.col("text")).alias("word_count"), F.array().cast("array<string>").alias("warnings"),
+    )
+    schema = [X.Field("page_title"), X.Field("page_type"), X.Field("summary"), X.Field("emails"), X.Field("price", kind="number")]
+    return E.extracted(d, schema).select(F.col("page_id").alias("doc_id"), F.to_json("data").alias("data"), "confidence")
+
+
+@query(
+    "select lang, count_if(ts > timestamp '2024-01-02 00:00:00' - interval 5 minutes) >= 2 as rapid from (select *, row_number() over (partition by lang order by sim desc, conv_id) as nth from (select conv_id, lang, timestamp '2024-01-01 23:56:00' + conv_id * interval 1 second as ts, round(greatest(list_dot_product(v, q) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)), 0), 0.0), 6) as sim"
+    " from (select vec_id as conv_id, label as lang, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), (select list_transform(embedding, lambda x: cast(x as double)) as q from embeddings where vec_id = 3))) where nth <= 3 and sim >= 0.95 group by lang"
+)
+def rapid_testing(spark, sf_dir):
+    """Whether like pages were fetched shortly before, for the vectors of each label."""
+    e = table(spark, sf_dir, "embeddings")
+    probe = F.array(*[F.lit(x) for x in e.where("vec_id = 3").first()["embedding"]])
+    rows = e.select(F.col("vec_id").alias("id"), F.lit("scrape").alias("entry_type"), (F.lit(dt.datetime(2024, 1, 1, 23, 56)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("vec_id"))).alias("ts"), F.col("embedding").alias("vector"), "label")
+    out = None
+    for label in sorted(r["label"] for r in e.select("label").distinct().collect()):
+        of = rows.where(F.col("label") == label)
+        some = M.nearest(of, probe, 3).where(F.col("sim") >= 0.95).limit(1).count()
+        one = M.is_rapid_testing(of, probe, F.lit(dt.datetime(2024, 1, 2))).select(F.lit(label).alias("lang"), "rapid") if some else None
+        out = one if out is None else out if one is None else out.unionByName(one)
+    return out
+
+
 # -- streams
 
 
@@ -714,3 +814,12 @@ _CLOSED = "select time_bucket(interval 1 day, ts) as start, event_type, count(*)
 @query(_CLOSED)
 def streamed_windows(spark, sf_dir):
     return _streamed(spark, sf_dir, [table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")], "stream")
+
+
+@query("with b as (select *, time_bucket(interval 1 day, ts) as day from events), m as (select max(day) as last from b) select day as start, event_type, count(*) as n, round(sum(value), 6) as total from b, m where day >= last - interval 3 days and day < last group by day, event_type")
+def late_events(spark, sf_dir):
+    """The last days come first; what is older than the watermark of two parts before is late, and dropped."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    last = e.agg(F.date_trunc("day", F.max("ts"))).first()[0]
+    first = F.col("ts") >= F.lit(last) - F.expr("interval 3 days")
+    return _streamed(spark, sf_dir, [e.where(first & (F.col("ts") < F.lit(last))), e.where(F.col("ts") >= F.lit(last)), e.where(~first)], "late")
