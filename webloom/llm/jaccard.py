@@ -86,7 +86,7 @@ def _sketched(n: int):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         some = False
         for batch in batches:
-            for part in common.sized_batches(batch, "text", 2 << 20):
+            for part in common.sized_batches(batch, "text", 1 << 20):
                 sets = shingle_sets(part.column("text").to_pylist(), n)
                 total += np.bincount(_cells(np.concatenate(sets), SKETCH_BITS), minlength=len(total)).astype(np.uint32)
                 some = True
@@ -117,7 +117,7 @@ def _prefixes(n: int, t100: int, sketch):
         cells = sketch.value
         usual = int(np.median(cells)) + 1
         for batch in batches:
-            for part in common.sized_batches(batch, "text", 2 << 20):
+            for part in common.sized_batches(batch, "text", 1 << 20):
                 rows = []
                 for s in shingle_sets(part.column("text").to_pylist(), n):
                     need = -(-t100 * len(s) // 100)
@@ -161,7 +161,7 @@ def _wanted(n: int, sent, bits: int):
     def run(batches):
         table = sent.value
         for batch in batches:
-            for part in common.sized_batches(batch, "text", 2 << 20):
+            for part in common.sized_batches(batch, "text", 1 << 20):
                 at, sets, hashes = [], [], []
                 for i, s in enumerate(shingle_sets(part.column("text").to_pylist(), n)):
                     d = _digest(s)
@@ -252,7 +252,8 @@ class Join:
         self.docs = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
         texts = self.docs.select("text")
         blocks = texts.mapInArrow(_sketched(n), "block int, counts binary").groupBy("block").applyInArrow(_added, "block int, counts binary")
-        sketch = self.spark.sparkContext.broadcast(_table(blocks.collect(), SKETCH_BITS))
+        with common.batches_of(self.spark, 2000, 4 << 20):
+            sketch = self.spark.sparkContext.broadcast(_table(blocks.collect(), SKETCH_BITS))
         rows = self.docs.mapInArrow(_prefixes(n, self.t100, sketch), self.docs.select("doc_id", "text_hash").schema.add("set", "binary").add("size", "integer").add("matches", "integer").add("prefix", "binary"))
         #: A row for each document and one for each class.
         stored = common.stored(rows, "prefixes", 500)
