@@ -22,6 +22,7 @@ nothing to learn from every word is unseen.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -268,7 +269,7 @@ def _paired(sent):
 
 
 #: Words a task counts the neighbours of before it sends them on; words placed together.
-HELD, PLACED = 150_000, 4096
+HELD, PLACED = 250_000, 4096
 
 
 def _binaries(x: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -324,7 +325,8 @@ def _neighbours(sent, k: int):
                 base = w * (2 * k + 1)
                 codes = np.concatenate([(base + of[line[at - 1]])[before != w], (base + k + of[line[at + 1]])[after != w], (base + 2 * k)[after == w]])
                 held.append(codes << 32 | 1)
-                held.append(merged())
+                if sum(map(len, held[1:])) > max(1 << 20, len(held[0])):
+                    held.append(merged())
                 if len(ids) > HELD:
                     yield packed()
                     ids = {}
@@ -403,7 +405,7 @@ def _local(sent):
                 if not len(ends):
                     continue
                 starts = np.append(0, ends[:-1])
-                head = _codes(words, lambda w: place.get(w, -1))
+                head = np.fromiter(map(place.get, words.to_pylist(), itertools.repeat(-1)), np.int64, len(words))
                 known, safe = head >= 0, np.maximum(head, 0)
                 sums = [np.add.reduceat(x[at], starts) for x in (known & (m.count[safe] > 0), np.where(known, m.log_count[safe], 0.0), np.where(known, m.emits[safe], 0.0))]
                 line = np.where(known, m.classed[safe], _NONE).astype(np.uint16)[at]
