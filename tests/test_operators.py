@@ -242,3 +242,17 @@ def test_extras_of_engines(spark):
     found = spark.createDataFrame([(1, "a", "https://h.example/", "", "c", None, "h", "other", ["h"], None), (2, "b", "https://h.example/", "t", "", None, "h", "other", ["H", "x"], "yes")], base)
     (m,) = search.merged(found).collect()
     assert m.top_answer == "yes" and m.breadcrumbs == ["h", "x"] and m.title == "t" and m.content == "c"
+
+
+def test_shave_gate_with_a_model(spark):
+    from webloom.operators import relevance as R
+
+    long_ = " ".join(["apple"] * 300 + ["stone"] * 300)
+    rows = [("a", long_, 600, None), ("b", "short text", 2, ["short_content"]), ("c", None, None, None)]
+    df = spark.createDataFrame(rows, "url string, clean_content string, word_count long, warnings array<string>")
+    embed = lambda c: F.array(F.when(F.contains(c, F.lit("apple")), 1.0).otherwise(0.0), F.when(F.contains(c, F.lit("stone")), 1.0).otherwise(0.0))
+    got = {r.url: r for r in R.gated(df, "apple", threshold=0.9, embed=embed).collect()}
+    assert got["a"].warnings == ["semantic_shave: kept 2/5 chunks (600 → 400 words)"] and "stone" not in got["a"].clean_content and got["a"].word_count == 400
+    assert got["b"].warnings == ["short_content", "semantic_shave: bypassed (word_count < 200)"] and got["b"].clean_content == "short text"
+    assert got["c"].warnings is None and got["c"].clean_content is None
+    assert {r.url: r.warnings for r in R.gated(df, None).collect()}["a"] == ["semantic_shave_missing_query"]

@@ -387,6 +387,19 @@ def recent_duplicate(spark, sf_dir):
     return M.recent_duplicate(_memory(spark, sf_dir), probe, F.lit(dt.datetime(2024, 1, 1, 6))).select("id", "sim")
 
 
+@query()
+def memory_search(spark, sf_dir):
+    """Past searches like a query, by hashed vectors."""
+    m = _memory(spark, sf_dir).withColumn("vector", R.embedded(F.col("query")))
+    return api.memory_search(m, QUERY, 20, 0.2).select("id", "score", "band")
+
+
+@query()
+def search_structured(spark, sf_dir):
+    r = api.search_structured(_engine_rows(spark, sf_dir), table(spark, sf_dir, "pages"), QUERY, F.lit(AS_OF))
+    return r.select("rank", "url_key", "title", F.md5("clean_content").alias("content_md5"))
+
+
 def _all(pattern: str) -> str:
     return pattern.replace("'", "''")
 

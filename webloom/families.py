@@ -243,6 +243,19 @@ def text_cuts(spark, sf_dir):
     return d.select("doc_id", F.md5(cut["text"]).alias("cut_md5"), cut["cut"].alias("cut"), F.octet_length(t).cast("long").alias("bytes"), warnings.alias("warnings"), F.md5(T.byte_prefix(t, 101)).alias("prefix_md5"), T.is_blob(t).alias("blob"), (T.clean_text(t) == t).alias("clean"))
 
 
+@query(
+    rf"""select doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) as clean, {sql_words('text')} as words, len(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: strlen(w) > 2)) as tokens,
+  'h' || doc_id || '.example' as domain, case when doc_id % 10 >= 9 then 'Exact' when doc_id % 10 >= 7 then 'High' when doc_id % 10 >= 5 then 'Partial' else 'Low' end as band from documents"""
+)
+def sql_functions(spark, sf_dir):
+    """The engine's functions in SQL."""
+    from .plans import sql_functions as registered
+
+    registered.register(spark)
+    d = table(spark, sf_dir, "documents")
+    return d.selectExpr("doc_id", "md5(web_clean_text(text)) as clean", "web_words(text) as words", "cast(size(web_tokens(text)) as bigint) as tokens", "web_domain(concat('https://H', doc_id, '.example/x')) as domain", "web_band((doc_id % 10) / 10) as band")
+
+
 _MONTHS = tables.MONTHS
 _DATED = ["'Jan 10, 2024 - ' || text", "'2023-11-05 | ' || text", "'September 3, 2021 · ' || text", "'2023-11-05 ' || text", "text || ' on 2022-02-03'"]
 _DATE_PREFIX = rf"(?s)^(20\d{{2}}-\d{{2}}-\d{{2}}|{_MONTHS}\s+\d{{1,2}},\s+20\d{{2}})\s*[-—·|]\s+(.+)$"
@@ -473,6 +486,11 @@ def alive_rows(spark, sf_dir):
     return ST.alive(e, "ts", F.lit(NOW), 20 * 86_400).select("event_id", (F.col("ts") > F.lit(NOW) - F.expr("interval 9 days")).alias("young"))
 
 
+@query(f"select user_id, max(ts) as ts from events where ts >= {_NOW} - interval 40 days group by user_id order by ts desc, user_id limit 100")
+def pruned_cache(spark, sf_dir):
+    return ST.pruned(table(spark, sf_dir, "events"), "user_id", "ts", F.lit(NOW), 40 * 86_400, 100)
+
+
 # -- sessions
 
 _SESSION_KEYS = f"(select distinct case when i = 0 then replace(h, '.', '_') else replace(regexp_replace(h, '^[^.]+\\.', ''), '.', '_') end as key, i from (select {sql_host('url')} as h, case when contains(url, '/en/') then 0 else 1 end as i from pages))"
@@ -793,6 +811,20 @@ def rapid_testing(spark, sf_dir):
     return out
 
 
+@query(f"select doc_id, asked, case when w < 200 then 'semantic_shave: bypassed (word_count < 200)' when asked then 'semantic_shave: kept' else 'semantic_shave_missing_query' end as warning, w < 200 or not asked as whole from (select doc_id, {sql_words('text')} as w from documents), (values (true), (false)) a(asked)")
+def shave_gate(spark, sf_dir):
+    """What becomes of documents as fetched pages, with a query that nothing is like and without one."""
+    from .operators import relevance as R
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("clean_content"), T.word_count(F.col("text")).alias("word_count"), F.array().cast("array<string>").alias("warnings"))
+    out = None
+    for asked, q in ((True, "zzzq qqqz"), (False, " ")):
+        g = R.gated(d.withColumn("before", F.md5("clean_content")), q)
+        one = g.select(F.col("url").cast("long").alias("doc_id"), F.lit(asked).alias("asked"), F.regexp_replace(F.col("warnings")[0], "kept .*$", "kept").alias("warning"), ((F.md5("clean_content") == F.col("before")) | (F.lit(asked) & (F.col("word_count") < 200) & F.startswith(F.col("warnings")[0], F.lit("semantic_shave: bypassed")))).alias("whole"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # -- streams
 
 

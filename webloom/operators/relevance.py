@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import quality as Q
 from ..functions import text as T
 
 DIMENSIONS = 64
@@ -22,11 +25,18 @@ def chunked(docs: DataFrame, window: int = 200, stride: int = 100) -> DataFrame:
     return d.select("id", F.posexplode(T.chunks(F.col("text"), window, stride, F.col("w"))).alias("chunk", "text"))
 
 
-def near(parts: DataFrame, query: str) -> DataFrame:
-    """parts(id, at, text) with `sim`, the cosine of embedded(text) and embedded(query).
+#: A model: from a column of texts to their vectors (a pandas UDF, say).
+Embed = Callable[[Column], Column]
+
+
+def near(parts: DataFrame, query: str, embed: Embed | None = None) -> DataFrame:
+    """parts(id, at, text) with `sim`, the cosine of a text's vector and the query's.
 
-    Counted by token hash, so that a long text costs its tokens once.
+    Vectors are embed's, or else those of embedded(): these are counted by token
+    hash, so that a long text costs its tokens once.
     """
+    if embed is not None:
+        return parts.withColumn("sim", F.round(Q.cosine(embed(F.col("text")), embed(F.lit(query))), 6))
     q = embedded(F.lit(query))
     norm = F.sqrt(F.aggregate(q, F.lit(0.0), lambda s, x: s + x * x))
     dim = F.explode_outer(F.transform(T.tokens(F.col("text")), lambda t: F.pmod(F.xxhash64(t), F.lit(DIMENSIONS)).cast("int")))
@@ -37,13 +47,13 @@ def near(parts: DataFrame, query: str) -> DataFrame:
     return parts.join(sim.select(F.col("id").alias("_i"), F.col("at").alias("_a"), F.round("sim", 6).alias("sim")), F.col("_i").eqNullSafe(F.col("id")) & (F.col("_a") == F.col("at"))).drop("_i", "_a")
 
 
-def shaved(docs: DataFrame, query: str, threshold: float = 0.35) -> DataFrame:
+def shaved(docs: DataFrame, query: str, threshold: float = 0.35, embed: Embed | None = None) -> DataFrame:
     """docs(id, text) with the chunks near the query: id, text, kept, total.
 
     Chunks of at least the threshold stay, in order; if there are none, the best
     one; the text stays as it is where the result would be no shorter.
     """
-    each = near(chunked(docs).withColumnRenamed("chunk", "at"), query).withColumnRenamed("at", "chunk")
+    each = near(chunked(docs).withColumnRenamed("chunk", "at"), query, embed).withColumnRenamed("at", "chunk")
     by = each.groupBy("id").agg(
         F.sort_array(F.collect_list(F.when(F.col("sim") >= threshold, F.struct("chunk", "text")))).alias("near"),
         F.max_by("text", F.struct("sim", "chunk")).alias("best"),
@@ -56,7 +66,28 @@ def shaved(docs: DataFrame, query: str, threshold: float = 0.35) -> DataFrame:
     return both.select("id", F.when(use, F.col("short")).otherwise(F.col("text")).alias("text"), F.when(use, F.col("near_n")).otherwise(F.col("total")).cast("long").alias("kept"), F.col("total").cast("long").alias("total"))
 
 
-def section_extract(docs: DataFrame, query: str, limit: int = 5, threshold: float = 0.45, least_words: int = 200) -> DataFrame:
+def gated(fetched: DataFrame, query: str | None, threshold: float = 0.35, least_words: int = 200, embed: Embed | None = None) -> DataFrame:
+    """fetched(url, clean_content, word_count, warnings, ...) shaved to the query, with a warning that tells what was done.
+
+    Short pages stay as they are, as do all without a query; pages that were not found have no words and no warning.
+    """
+    words = F.col("word_count")
+    told = lambda w: F.array_union(F.coalesce("warnings", F.array().cast("array<string>")), F.array(w if isinstance(w, Column) else F.lit(w)))
+    bypassed = told(f"semantic_shave: bypassed (word_count < {least_words})")
+    if not (query or "").strip():
+        return fetched.withColumn("warnings", F.when(words < least_words, bypassed).when(words >= least_words, told("semantic_shave_missing_query")).otherwise(F.col("warnings")))
+    cut = shaved(fetched.where(words >= least_words).select(F.col("url").alias("id"), F.col("clean_content").alias("text")).distinct(), query, threshold, embed)
+    both = fetched.join(cut.select(F.col("id").alias("_url"), F.col("text").alias("_text"), "kept", "total"), F.col("_url") == F.col("url"), "left")
+    n = lambda c: c.cast("string")
+    after = T.word_count(F.col("_text"))
+    said = F.concat(F.lit("semantic_shave: kept "), n(F.col("kept")), F.lit("/"), n(F.col("total")), F.lit(" chunks ("), n(words), F.lit(" → "), n(after), F.lit(" words)"))
+    hit = F.col("_url").isNotNull()
+    warnings = F.when(words < least_words, bypassed).when(hit, told(said)).otherwise(F.col("warnings"))
+    new = {"warnings": warnings, "clean_content": F.when(hit, F.col("_text")).otherwise(F.col("clean_content")), "word_count": F.when(hit, after).otherwise(words)}
+    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in fetched.columns])
+
+
+def section_extract(docs: DataFrame, query: str, limit: int = 5, threshold: float = 0.45, least_words: int = 200, embed: Embed | None = None) -> DataFrame:
     """docs(id, text) cut to the sections near the query, in their order: id, text, note.
 
     Short texts stay; a section that holds a query word counts as 1; if none
@@ -68,7 +99,7 @@ def section_extract(docs: DataFrame, query: str, limit: int = 5, threshold: floa
     words = T.query_tokens(query)
     each = long_.select("id", F.posexplode(T.sections(F.col("text"))).alias("at", "part"))
     keyword = T.has_any(F.lower("part"), words) if words else F.lit(False)
-    each = near(each.withColumnRenamed("part", "text"), query).withColumnRenamed("text", "part")
+    each = near(each.withColumnRenamed("part", "text"), query, embed).withColumnRenamed("text", "part")
     each = each.withColumn("sim", F.greatest("sim", keyword.cast("double")))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "at"))
     kept = each.withColumn("rank", rank).where((F.col("rank") == 1) | (F.col("sim") >= threshold) & (F.col("rank") <= limit))

@@ -141,6 +141,12 @@ def alive(rows: DataFrame, ts: str, as_of: Column, seconds: int) -> DataFrame:
     return rows.where(F.col(ts) >= F.timestamp_seconds(F.unix_timestamp(as_of) - seconds))
 
 
+def pruned(rows: DataFrame, key: str, ts: str, as_of: Column, seconds: int, capacity: int) -> DataFrame:
+    """What a cache of limited size keeps of rows: key and time of the last use of each, not too old, the latest `capacity`."""
+    last = alive(rows, ts, as_of, seconds).groupBy(key).agg(F.max(ts).alias(ts))
+    return last.orderBy(F.desc(ts), key).limit(capacity)
+
+
 def session_expiry(cookies: Column, now: Column) -> Column:
     """The earliest expiry of cookies (array of struct(expires)); a day from now if none says, null without cookies."""
     first = F.array_min(F.filter(F.transform(cookies, lambda c: c["expires"].cast("double")), lambda e: e > 0))

@@ -30,13 +30,11 @@ def search_structured(results: DataFrame, pages: DataFrame, query: str, as_of: C
     return found.join(content, "url", "left")
 
 
-def web_fetch(pages: DataFrame, urls: DataFrame, query: str | None = None, max_chars: int = 10_000) -> DataFrame:
-    """Pages of urls(url), shaved to the query if there is one."""
+def web_fetch(pages: DataFrame, urls: DataFrame, query: str | None = None, max_chars: int = 10_000, strict: bool | None = None, threshold: float = 0.35, embed: R.Embed | None = None) -> DataFrame:
+    """Pages of urls(url); strict, as it is with a query unless told otherwise, shaves long ones to the query."""
     got = P.fetched(urls, pages, max_chars)
-    if not query:
-        return got
-    short = R.shaved(got.select(F.col("url").alias("id"), F.col("clean_content").alias("text")).where(F.col("text").isNotNull()), query)
-    return got.drop("clean_content").join(short.select(F.col("id").alias("url"), F.col("text").alias("clean_content")), "url", "left")
+    strict = bool(query) if strict is None else strict
+    return R.gated(got, query, threshold, embed=embed) if strict else got
 
 
 def batch_summary(fetched: DataFrame) -> DataFrame:
