@@ -313,3 +313,64 @@ def test_mixing(spark):
     mixed = mixing.mixed(df)
     assert mixed.columns == df.columns and mixed.count() == sum(x.copies for x in taken)
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mixed(df).collect()))
+
+
+def test_score_equals_brute_force(spark, monkeypatch):
+    """The score from the classes that training chose, token by token; transitions and masses are counted anew."""
+    import math
+    from collections import Counter
+
+    seen = {}
+    place, stored, stepped = class_lm.Model.place, class_lm.common.stored, class_lm._stepped
+
+    def placing(self, words, per):
+        place(self, words, per)
+        seen["model"] = self
+
+    def storing(df, name, *args, **kinds):
+        out = stored(df, name, *args, **kinds)
+        if name == "placed":
+            seen["placed"] = {bytes(r.word): (r.n, r["class"]) for r in out.collect()}
+        return out
+
+    def stepping(step):
+        seen["step"] = step
+        return stepped(step)
+
+    monkeypatch.setattr(class_lm.Model, "place", placing)
+    monkeypatch.setattr(class_lm.common, "stored", storing)
+    monkeypatch.setattr(class_lm, "_stepped", stepping)
+    rows, df = odd_docs(spark, 150)
+    learned = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 != 2
+    classes = 3
+    got = class_lm.score(df, F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"), 7, 2), head=8, items=4, bundles=8, classes=classes).collect()
+    m, placed, step = seen["model"], seen["placed"], seen["step"]
+    tokens = lambda t: [class_lm.END if w is None else w.encode() for w in lm_tokens(t)]
+    items = {w: i for i, w in enumerate(m.words[: m.items])}
+    counts = Counter(w for i, t, *_ in rows if learned(i) for w in tokens(t))
+    assert {w: n for w, (n, _) in placed.items()} == {w: n for w, n in counts.items() if w not in items}
+    of = lambda w: int(m.of[items[w]]) if w in items else placed[w][1] if w in placed else int(m.of[m.items + class_lm.bundle_of(w, m.bundles)])
+    mass, pairs = Counter(), Counter()
+    for w, n in counts.items():
+        mass[of(w)] += n
+    for i, t, *_ in rows:
+        if learned(i):
+            line = [classes, *(of(w) for w in tokens(t))]
+            pairs.update(zip(line, line[1:], strict=False))
+    total = {b: sum(n for (_, y), n in pairs.items() if y == b) + 0.5 for b in range(classes + 1)}
+    for a in range(classes + 1):
+        after = sum(n for (x, _), n in pairs.items() if x == a)
+        for b in range(classes + 1):
+            want = (pairs[a, b] + class_lm.STRENGTH * total[b] / sum(total.values())) / (after + class_lm.STRENGTH)
+            assert abs(step[a, b] - math.log10(want)) < 1e-9
+
+    def score(t):
+        at, sum_ = classes, 0.0
+        for w in tokens(t):
+            c, n = of(w), counts[w]
+            sum_ += step[at, c] + (math.log10((n - m.off[c]) / mass[c]) if n else m.unplaced[class_lm.bundle_of(w, m.bundles)])
+            at = c
+        return sum_
+
+    want = sorted((-1 if i is None else i, round(score(t), 6)) for i, t, *_ in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 6)) for r in got) == want

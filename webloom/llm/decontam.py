@@ -112,7 +112,7 @@ def _met(docs: DataFrame, prefix: DataFrame, shingled, size: int, block: int, ma
     """doc_id, text_hash, n (pos of END) of every document, if marks; places where prefixes stand, with the words around."""
     keys = prefix.select("key").distinct()
     if marks:
-        keys = keys.unionByName(docs.sparkSession.createDataFrame([(END,)], "key long"))
+        keys = keys.unionByName(docs.sparkSession.range(END, END + 1).toDF("key"))
     reach = max(size - 1, 1)
     left = F.least(F.col("pos"), F.lit(reach - 1))
     around = F.when(F.col("key") != END, F.slice("w", F.col("pos") - left + 1, left + 1 + reach))
