@@ -21,17 +21,21 @@ BLOCK = {"p", "div", "section", "article", "main", "li", "ul", "ol", "tr", "tabl
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "children", "nodes", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-
-    def walk(self) -> Iterator[Node]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        self.nodes: list[Node] | None = None
+
+    def walk(self) -> list[Node]:
+        """This node and those below it, in order; listed once, as trees do not change when they are read."""
+        if self.nodes is None:
+            self.nodes, stack = [], [self]
+            while stack:
+                node = stack.pop()
+                self.nodes.append(node)
+                stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+        return self.nodes
 
     def all(self, *tags: str) -> list[Node]:
         return [n for n in self.walk() if n.tag in tags]
@@ -535,6 +539,9 @@ def collapsed_runs(text: str, n: int, most: int) -> str:
     t = text.split()
     if n <= 0 or len(t) < n * (most + 1):
         return text
+    same = bytes(a == b for a, b in zip(t, t[n:], strict=False))  # a word and the one n further on
+    if same.find(b"\1" * (n * most)) < 0:
+        return " ".join(t)
     out, i = [], 0
     while i < len(t):
         run = 1
@@ -563,7 +570,7 @@ def is_json_noise(line: str) -> bool:
     n = len(line.encode())
     if n < 20:
         return False
-    return line[0] in "{[" and n > 40 or sum(c in '{}[]":,' for c in line) / n >= 0.55
+    return line[0] in "{[" and n > 40 or sum(map(line.count, '{}[]":,')) / n >= 0.55
 
 
 GARBAGE = re.compile("|".join(tables.GARBAGE_LINES), re.IGNORECASE)
