@@ -100,17 +100,14 @@ class Blocks:
         self.context = strings.of(self.start, self.end) ^ hashing.mixed((self.anchor - self.start).astype(np.uint64))
         self.place = self.start - begins[self.text]
 
-    def key(self, text_hash: np.ndarray) -> np.ndarray:
-        """Of each occurrence, as _key(); text_hash: of the texts."""
-        return (self.context.view(np.int64) ^ text_hash[self.text] ^ self.place << 32).view(np.uint64)
-
-
-def _key():
-    return F.col("context").bitwiseXOR(_carrier())
+    def key(self, row_hash: np.ndarray) -> np.ndarray:
+        """Of each occurrence: its context and _carrier(); row_hash: of the texts' rows."""
+        return (self.context.view(np.int64) ^ row_hash[self.text] ^ self.place << 32).view(np.uint64)
 
 
 def _carrier():
-    return F.col("text_hash").bitwiseXOR(F.shiftleft(F.col("place").cast("long"), 32))
+    """The row and place of an occurrence."""
+    return F.col("row_hash").bitwiseXOR(F.shiftleft(F.col("place").cast("long"), 32))
 
 
 def _longs(x: np.ndarray) -> pa.Array:
@@ -123,7 +120,7 @@ def _parts(batches, column: str = "body"):
             yield part, [x or b"" for x in part.column(column).to_pylist()]
 
 
-OCCURRENCE = "text_hash long, n_bytes long, place int, count int, gram long, context long"
+OCCURRENCE = "text_hash long, row_hash long, n_bytes long, place int, count int, gram long, context long"
 
 
 def _grams(size: int):
@@ -149,13 +146,13 @@ def _occurrences(size: int, bits: int, sent):
             if len(keep):
                 of = x.text[keep]
                 sizes = np.array([len(t) for t in texts], np.int64)[of]
-                yield pa.RecordBatch.from_arrays([part.column("text_hash").take(pa.array(of)), pa.array(sizes), pa.array(x.place[keep].astype(np.int32)), pa.array(x.count[keep].astype(np.int32)), _longs(x.gram[keep]), _longs(x.context[keep])], names=["text_hash", "n_bytes", "place", "count", "gram", "context"])
+                yield pa.RecordBatch.from_arrays([part.column("text_hash").take(pa.array(of)), part.column("row_hash").take(pa.array(of)), pa.array(sizes), pa.array(x.place[keep].astype(np.int32)), pa.array(x.count[keep].astype(np.int32)), _longs(x.gram[keep]), _longs(x.context[keep])], names=["text_hash", "row_hash", "n_bytes", "place", "count", "gram", "context"])
 
     return run
 
 
 def _bodies(size: int, bits: int, sent):
-    """Contexts with their bytes, of the occurrences that the table tells; once from each task, if copies of a text tell them again."""
+    """Contexts with their bytes, of the occurrences that the table tells; once from each task, if a row is repeated."""
 
     @common.tidy
     def run(batches):
@@ -164,7 +161,7 @@ def _bodies(size: int, bits: int, sent):
             x = Blocks(texts, size)
             if not len(x.gram):
                 continue
-            key = x.key(part.column("text_hash").to_numpy())
+            key = x.key(part.column("row_hash").to_numpy())
             some = [i for i in np.flatnonzero(common.in_table(table, key, bits)).tolist() if key[i] not in seen]
             if len(seen) > SENT:
                 seen.clear()
@@ -342,11 +339,12 @@ class Repeats:
         self.size, spark = size, docs.sparkSession
         body = F.coalesce("text", F.lit(""))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
+        hashed = self.docs.select("text_hash", F.xxhash64("doc_id", "text_hash").alias("row_hash"), "body")
         several = self.docs.select("body").mapInArrow(_grams(size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
         several = common.stored(several.select(F.col("gram").alias("key")), "several")
         bits = common.bits_for(several.count())
         sent = spark.sparkContext.broadcast(common.bit_table(several, bits))
-        self.occurrences = common.stored(self.docs.select("text_hash", "body").mapInArrow(_occurrences(size, bits, sent), OCCURRENCE), "occurrences")
+        self.occurrences = common.stored(hashed.mapInArrow(_occurrences(size, bits, sent), OCCURRENCE), "occurrences")
         sent.destroy()
         common.spent(several)
         kinds = self.occurrences.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min("count").alias("count"), F.min(_carrier()).alias("carrier"))
@@ -356,7 +354,7 @@ class Repeats:
         wanted = common.stored(self.contexts.join(common.near(per), "gram").select(F.col("context").bitwiseXOR(F.col("carrier")).alias("key")), "wanted")
         bits = common.bits_for(wanted.count())
         sent = spark.sparkContext.broadcast(common.bit_table(wanted, bits))
-        bodies = self.docs.select("text_hash", "body").mapInArrow(_bodies(size, bits, sent), "gram long, context long, count int, body binary")
+        bodies = hashed.mapInArrow(_bodies(size, bits, sent), "gram long, context long, count int, body binary")
         near = held = common.stored(bodies, "bodies")
         sent.destroy()
         common.spent(wanted)
