@@ -155,7 +155,6 @@ def test_words_are_placed_where_the_likelihood_is_best():
     for i in range(300):
         after, before = r.poisson(0.4, k) * r.integers(1, 4), r.poisson(0.4, k)
         words.append((after, before, int(i % 5 == 0)))
-    words += [(np.eye(k)[a], np.eye(k)[b], 0) for a in range(k) for b in range(k)]
     after, before, own = (np.array(x) for x in zip(*words, strict=True))
     got = class_lm.best_classes(table, after.astype(float), before.astype(float), own.astype(float), classes)
 
@@ -172,7 +171,6 @@ def test_words_are_placed_where_the_likelihood_is_best():
             t[b, b] += o
             by_class.append(likelihood(t))
         assert by_class[c] >= max(by_class) - 1e-6
-    assert class_lm.once_seen(table, classes).T.ravel().tolist() == got[300:].tolist()
 
 
 def test_rare_words_have_classes_of_their_own_bigrams(spark):
@@ -345,6 +343,7 @@ def test_score_equals_brute_force(spark, monkeypatch):
     classes = 3
     got = class_lm.score(df, F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"), 7, 2), head=8, items=4, bundles=8, classes=classes).collect()
     m, placed, step = seen["model"], seen["placed"], seen["step"]
+    assert all(c == m.of[m.items + class_lm.bundle_of(w, m.bundles)] for w, (n, c) in placed.items() if n == 1)
     tokens = lambda t: [class_lm.END if w is None else w.encode() for w in lm_tokens(t)]
     items = {w: i for i, w in enumerate(m.words[: m.items])}
     counts = Counter(w for i, t, *_ in rows if learned(i) for w in tokens(t))

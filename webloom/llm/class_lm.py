@@ -2,10 +2,12 @@
 
 The most frequent words are items of their own, all others share bundles by
 their last three bytes.  The exchange algorithm moves items between classes as
-long as the likelihood of class bigrams grows.  Then every other training word
-is put into the class that the likelihood of the items' class bigrams grows most
-with, by the counts of the classes beside all of its occurrences; bundles
-remain for unseen words only, which count as one event of their bundle.  A text's probability is
+long as the likelihood of class bigrams grows.  Then every other word of more
+than one occurrence in training leaves its bundle for the class that the
+likelihood of class bigrams grows most with, by the counts of the classes
+beside all of its occurrences.  Bundles remain for words that training has once
+or never: how those stand is told best by each other.  An unseen word counts as
+one event of its bundle.  A text's probability is
 the product of class transitions, and of each word within its class, which
 leaves a discounted share to the unseen.  Transitions are counted with the
 words' own classes and smoothed by the class frequencies.
@@ -103,7 +105,7 @@ def _gains(table: np.ndarray, after: np.ndarray, before: np.ndarray, own: float)
 def best_classes(table: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, classes: int) -> np.ndarray:
     """The class of the first `classes` that each word is best put into, the first of several.
 
-    table: class bigrams without these words; after, before: a row for each
+    table: class bigrams, the words in their bundles; after, before: a row for each
     word, how often it stands before and after each class, without itself; own:
     how often it follows itself.
     """
@@ -127,13 +129,6 @@ def best_classes(table: np.ndarray, after: np.ndarray, before: np.ndarray, own:
     return gain[:, :classes].argmax(1)
 
 
-def once_seen(table: np.ndarray, classes: int) -> np.ndarray:
-    """best_classes of the words that stand in one place, by the classes before and after them."""
-    k = len(table)
-    one = np.eye(k)
-    return best_classes(table, np.tile(one, (k, 1)), np.repeat(one, k, 0), np.zeros(k * k), classes).reshape(k, k)
-
-
 def exchange(n_items: int, fixed: int, pairs: np.ndarray, counts: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     """Classes of items 0 .. n_items - 1 by the exchange algorithm; the item `fixed` is alone in the last class.
 
@@ -336,9 +331,9 @@ def _neighbours(sent, k: int):
     return run
 
 
-def _placed(table: np.ndarray, classes: int):
-    """Count and class of words that come sorted, with the counts of their neighbours."""
-    k, single = classes + 1, once_seen(table, classes)
+def _placed(table: np.ndarray, classes: int, homes: np.ndarray):
+    """Count and class of words that come sorted, with the counts of their neighbours; a word seen once stays with its bundle, in a class of homes."""
+    k = classes + 1
 
     def place(rows: pa.Table):
         words = rows.column("word").combine_chunks()
@@ -352,8 +347,9 @@ def _placed(table: np.ndarray, classes: int):
         found, n = np.empty(n_words, np.int64), np.ones(n_words, np.int64)
         # of one occurrence there are two codes, the class before it and the one after it
         lone = (total == 2) & (np.bincount(word, code == 2 * k, n_words) == 0)
-        at = np.flatnonzero(lone[word])
-        found[lone] = single[code[at[::2]], code[at[1::2]] - k]
+        names = words.filter(pa.array(new))
+        once = _codes(names.filter(pa.array(lone)), lambda w: bundle_of(w, len(homes)))
+        found[lone] = homes[once]
         some = np.flatnonzero(~lone)
         rest = np.flatnonzero(~lone[word])
         word, code, count = np.searchsorted(some, word[rest]), code[rest], count[rest]
@@ -364,7 +360,7 @@ def _placed(table: np.ndarray, classes: int):
             before, after, own = dense[:, :k], dense[:, k : 2 * k], dense[:, 2 * k]
             found[some[low:high]] = best_classes(table, after, before, own, classes)
             n[some[low:high]] = before.sum(1) + own
-        return pa.RecordBatch.from_arrays([words.filter(pa.array(new)), pa.array(n), pa.array(found.astype(np.int32))], names=["word", "n", "class"])
+        return pa.RecordBatch.from_arrays([names, pa.array(n), pa.array(found.astype(np.int32))], names=["word", "n", "class"])
 
     @common.tidy
     def run(batches):
@@ -512,12 +508,10 @@ def score(docs: DataFrame, learn: Column, head: int = 1 << 18, items: int = 2048
     codes, n = codes[order], pairs["n"].to_numpy()[order]
     model.finish(codes, n, np.zeros(bundles), np.zeros(bundles), discount, classes)
     k, n_items = classes + 1, model.items + bundles
-    first, second = codes // n_items, codes % n_items
-    own = (first < model.items) & (second < model.items)  # pairs of items: the others are still to be placed
-    table = np.bincount(model.of[first[own]] * k + model.of[second[own]], n[own], k * k).reshape(k, k).astype(float)
+    table = np.bincount(model.of[codes // n_items] * k + model.of[codes % n_items], n, k * k).reshape(k, k).astype(float)
     sent = spark.sparkContext.broadcast(model)
     beside = training.mapInArrow(_neighbours(sent, k), "word binary, codes binary, counts binary").repartition("word").sortWithinPartitions("word")
-    placed = common.stored(beside.mapInArrow(_placed(table, classes), "word binary, n long, class int"), "placed")
+    placed = common.stored(beside.mapInArrow(_placed(table, classes, model.of[model.items :]), "word binary, n long, class int"), "placed")
     sent.destroy()
     per = placed.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
     model.place(placed.where(F.col("n") >= least).toArrow(), [(r["class"], r["n"], r["types"]) for r in per])
