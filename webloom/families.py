@@ -837,7 +837,8 @@ def _streamed(spark, sf_dir, parts: list[DataFrame], name: str) -> DataFrame:
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{path}/in/batch=*")
     q = EV.tumbling(rows).writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").format("parquet").option("path", f"{path}/out").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{path}/out")
+    closed = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{path}/out")
+    return closed.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 _CLOSED = "select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by start, event_type having time_bucket(interval 1 day, ts) + interval 1 day <= (select max(ts) from events) - interval 1 hour"
