@@ -200,8 +200,9 @@ def topic(query: Column, entry_type: Column) -> Column:
 
 def dev_words(query: Column) -> Column:
     """The developer words within a query, parts of other words too."""
-    q = F.lower(query)
-    return F.filter(F.array(*[F.lit(w) for w in tables.DEV_WORDS]), lambda w: F.contains(q, w))
+    every = F.array(*[F.lit(w) for w in tables.DEV_WORDS])
+    # the small letters are made once, not for each word
+    return F.get(F.transform(F.array(F.lower(query)), lambda q: F.filter(every, lambda w: F.contains(q, w))), F.lit(0))
 
 
 def is_developer_query(query: Column) -> Column:
