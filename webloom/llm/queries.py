@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, class_lm, common, cover_tree, decontam, jaccard, langid, licenses, mixing, packing, repeats, token_orc
+from . import alignment, chat_windows, class_lm, common, cover_tree, decontam, jaccard, langid, licenses, mixing, packing, repeats, token_orc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,14 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
         return jaccard.Join(_table(spark, sf_dir, "documents"), n=4, threshold=0.85).result()
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with common.scratch(spark):
+        aligned = alignment.Alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+        return common.stored(aligned.report(), "alignment", keep=True)
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,7 +90,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return common.stored(packed.pieces(), "packed", keep=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_class_lm, op3_chat_windows, op4_repeats, op5_cover_tree, op6_mixing, op7_licenses, op8_language, op9_decontamination, op10_jaccard, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_class_lm, op3_chat_windows, op4_repeats, op5_cover_tree, op6_mixing, op7_licenses, op8_language, op9_decontamination, op10_jaccard, op12_alignment, op13_packing)}
 
 _OP3 = r"""
 with t as (
