@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types
 from pyspark.sql import functions as F
 
-from . import alignment, chat_windows, class_lm, common, cover_tree, decontam, jaccard, langid, licenses, mixing, packing, repeats, token_orc
+from . import alignment, chat_windows, class_lm, common, cover_tree, decontam, drift, jaccard, langid, licenses, mixing, packing, repeats, token_orc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,36 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
         return jaccard.Join(_table(spark, sf_dir, "documents"), n=4, threshold=0.85).result()
 
 
+#: The evolved schema of clients, ids from 1, and what stands for the fields that a file lacks.
+CLIENTS = drift.with_ids([("client_id", types.LongType()), ("master_id", types.LongType()), ("source", types.StringType()), ("updated_at", types.TimestampNTZType()), ("name", types.StringType()), ("email", types.StringType()), ("city", types.StringType()), ("nation_id", types.LongType()), ("segment", types.StringType()), ("balance", types.DoubleType())])
+MISSING = {"nation_id": -1, "source": "none"}
+#: How files drift: the fields that swap names, that go and that are narrower.
+DRIFT = {"swap": ("name", "email"), "lacking": ("nation_id", "source"), "narrow": {"balance": types.FloatType(), "nation_id": types.IntegerType()}}
+
+
+def op11_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.new_path(spark, "clients")
+    with common.scratch(spark):
+        clients = _table(spark, sf_dir, "clients").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CLIENTS.fields])
+        ids = F.col("client_id").cast("string")
+        rows, n = drift.ranked(clients, F.crc32(ids.cast("binary")), F.col("client_id"), *[F.col(f.name) for f in CLIENTS.fields[1:]])
+        each = 1 + n // 500
+        rows = rows.withColumn("file_no", F.floor(F.col("rank") / each)).withColumn("version", drift.version_of(F.col("file_no")))
+        drift.write_drifted(rows, folder, CLIENTS, "version", lambda file_no: f"clients-{int(file_no):05d}.parquet", **DRIFT)
+        start = drift.rewrite(spark, folder, CLIENTS, MISSING)
+        micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', r.updated_at)")
+        told = {"updated_at": micros, "balance": F.floor(1048576 * F.col("r.balance"))}
+        line = F.concat_ws("|", *[F.coalesce(told.get(f.name, F.col(f"r.{f.name}")).cast("string"), F.lit("?")) for f in CLIENTS.fields])
+        with drift.by_field_id(spark):
+            found = common.stored(drift.digests(spark, folder, CLIENTS, line, F.coalesce(F.col("r.client_id").cast("string"), F.lit("?"))), "digests")
+        name = F.element_at(F.split("path", "/"), -1)
+        was = start.select(name.alias("name"), F.array_join("names", ",").alias("start_columns"), F.col("drifted").alias("rewritten"))
+        now = drift.footers(spark, folder).select(name.alias("name"), F.array_join("names", ",").alias("columns"))
+        file_no = F.regexp_extract("name", "([0-9]+)[.]", 1).cast("long")
+        final = found.withColumn("name", name).join(was, "name").join(now, "name").withColumn("file_no", file_no)
+        return common.stored(final.select("file_no", drift.version_of(F.col("file_no")).cast("long").alias("version"), "n_rows", "n_nulls", F.col("keys_sha256").alias("ids_sha256"), "rows_sha256", "start_columns", "columns", F.regexp_replace("path", "^file:/*", "/").alias("path"), "rewritten"), "drift", keep=True)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,7 +120,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return common.stored(packed.pieces(), "packed", keep=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_class_lm, op3_chat_windows, op4_repeats, op5_cover_tree, op6_mixing, op7_licenses, op8_language, op9_decontamination, op10_jaccard, op12_alignment, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_class_lm, op3_chat_windows, op4_repeats, op5_cover_tree, op6_mixing, op7_licenses, op8_language, op9_decontamination, op10_jaccard, op11_drift, op12_alignment, op13_packing)}
 
 _OP3 = r"""
 with t as (
