@@ -278,3 +278,12 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     out = corpus_pipeline.tokens(spark, mix, str(tmp_path)).collect()
     crc = lambda x: zlib.crc32(b"".join(v.to_bytes(4, "little") for v in x))
     assert sorted((x.doc_id, x.n_tokens, x.ids_crc32) for x in out) == sorted((d, len(ids[d]), crc(ids[d])) for d in taken)
+
+
+def test_shingles_of_like_polynomials_differ(spark):
+    """Words whose polynomials are equal modulo 2**64 for every odd base are no link."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{one} w1 w2 w3"), (2, f"{other} w1 w2 w3"), (3, f"{one} w1 w2 w3")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.Join(docs).result().collect()}
+    assert got == {1: 1, 2: 2, 3: 1}

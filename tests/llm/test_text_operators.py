@@ -373,3 +373,17 @@ def test_score_equals_brute_force(spark, monkeypatch):
 
     want = sorted((-1 if i is None else i, round(score(t), 6)) for i, t, *_ in rows)
     assert sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 6)) for r in got) == want
+
+
+def test_mix_of_small_weights_keeps_its_target(spark):
+    """Weights that made all keys of a power 0: taken words come within a document of the target."""
+    df = spark.createDataFrame([(i, "s", "five words are in here", None, 1, 2) for i in range(1000)], "doc_id long, source string, text string, w double, d int, q int")
+    for w in (F.col("w"), F.lit(0.001), F.lit(0.005)):
+        d = mixing.measured(df, w)
+        assert d.select("key").distinct().count() == 1000
+        taken = mixing.copies(d, mixing.plan(d)).agg(F.sum(F.col("copies") * F.col("size"))).first()[0]
+        assert abs(taken - 7500) <= 5
+    # columns that the join uses as names stay
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    judged = mixing.judged(df, labels)
+    assert judged.columns == [*df.columns, "weight"] and judged.where("d = 1 and q = 2").count() == 1000

@@ -28,6 +28,7 @@ out, whatever their names.
 from __future__ import annotations
 
 import contextlib
+import functools
 import hashlib
 import urllib.parse
 from collections.abc import Iterator
@@ -154,23 +155,46 @@ def footer_map(spark: SparkSession, folder: str, schema: types.StructType) -> Da
     return common.stored(footers(spark, folder).select("*", missing.alias("missing"), (~F.coalesce(same, F.lit(False))).alias("drifted")), "footers")
 
 
-def scan(spark: SparkSession, paths: str | list[str], schema: types.StructType) -> DataFrame:
-    """Rows under the schema, matched by field id (run within by_field_id), with `file_path` and `row_index`."""
-    rows = spark.read.schema(schema).parquet(*([paths] if isinstance(paths, str) else paths))
-    return rows.select(F.struct(*[F.col(f.name) for f in schema.fields]).alias("r"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row_index"))
+def scan(spark: SparkSession, paths: str | list[str], schema: types.StructType, names: tuple[str | None, ...] | None = None) -> DataFrame:
+    """Rows under the schema, matched by field id (run within by_field_id), with `file_path` and `row_index`.
+
+    names: what the files call the fields, None for those that they lack.
+    """
+    called = schema.names if names is None else [n or f"_lacks{i}" for i, n in enumerate(names)]
+    under = types.StructType([types.StructField(n, f.dataType, True, f.metadata) for n, f in zip(called, schema.fields, strict=True)])
+    rows = spark.read.schema(under).parquet(*([paths] if isinstance(paths, str) else paths))
+    own = F.struct(*[F.col(n).alias(f.name) for n, f in zip(called, schema.fields, strict=True)])
+    return rows.select(own.alias("r"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row_index"))
+
+
+def _clashing(schema: types.StructType) -> tuple[Column, Column]:
+    """Of a footer: whether a field has the name of another field of the schema with another type; and its names of the schema's fields.
+
+    The reader takes a field's type by its name even where it finds it by its
+    id, so such files are read under their own names.
+    """
+    kind_of_id = F.create_map(*[x for f in schema.fields for x in (F.lit(f.metadata[FIELD_ID]), F.lit(f.dataType.simpleString()))])
+    kind_of_name = F.create_map(*[x for f in schema.fields for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])
+    each = F.arrays_zip("names", F.col("ids"))
+    clash = F.exists(each, lambda x: F.coalesce(F.try_element_at(kind_of_id, x["ids"]) != F.try_element_at(kind_of_name, x["names"]), F.lit(False)))
+    names = F.array(*[F.try_element_at(F.transform(F.filter(each, lambda x, i=f.metadata[FIELD_ID]: x["ids"] == i), lambda x: x["names"]), F.lit(1)) for f in schema.fields])
+    return clash, names
 
 
 def rewrite(spark: SparkSession, folder: str, schema: types.StructType, defaults: dict[str, object]) -> DataFrame:
     """Rewrites the drifted files of a folder in place; returns the footer map of before."""
     found = footer_map(spark, folder, schema)
-    drifted = [r["path"] for r in found.where("drifted and n_rows > 0").select("path").collect()]  # names, as a listing of the folder has them
+    clash, own = _clashing(schema)
+    drifted: dict[tuple | None, list[str]] = {}
+    for r in found.where("drifted and n_rows > 0").select("path", F.when(clash, own).alias("own")).collect():  # names, as a listing of the folder has them
+        drifted.setdefault(r["own"] and tuple(r["own"]), []).append(r["path"])
     if not drifted:
         return found
     staged = common.new_path(spark, "rewritten")
     with by_field_id(spark):
         name = F.element_at(F.split("file_path", "/"), -1)
         lacks = common.near(common.stored(found.where("drifted").select(F.element_at(F.split("path", "/"), -1).alias("file"), F.transform("missing", lambda i: i.cast("string")).alias("missing")), "lacks"))
-        rows = scan(spark, drifted, schema).withColumn("name", name).join(lacks, F.col("name") == F.col("file"))
+        rows = functools.reduce(DataFrame.union, [scan(spark, paths, schema, names) for names, paths in drifted.items()]).withColumn("name", name).join(lacks, F.col("name") == F.col("file"))
         filled = [F.when(F.array_contains("missing", str(f.metadata[FIELD_ID])), F.lit(defaults.get(f.name)).cast(f.dataType)).otherwise(F.col(f"r.{f.name}")).alias(f.name) for f in schema.fields]
         write_files(rows.select(F.col("name").alias("_file"), F.col("row_index").alias("_at"), *filled), "_file", "_at", schema, staged)
     _moved(spark, staged, folder, lambda key: key)
@@ -238,6 +262,7 @@ def write_drifted(rows: DataFrame, folder: str, schema: types.StructType, versio
     rows.select(*schema.names, "file_no", "rank", F.col(version).alias("_version")).write.partitionBy("_version").parquet(table)  # each version then reads its own rows only
     kinds = types.StructType([types.StructField(f.name, f.dataType) for f in schema.fields]).add("file_no", "long").add("rank", "long").add("_version", "integer")
     fs, p = _fs(spark, table)
+    fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
     there = sorted(int(e.getPath().getName().split("=")[1]) for e in fs.listStatus(p) if "=" in e.getPath().getName())
 
     def write(v: int) -> None:

@@ -1,6 +1,7 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its distinct n-word shingles, as 64-bit hashes.
+A document is the set of its distinct n-word shingles, as 64-bit hashes made
+of the hashes of its words.
 Documents of equal sets form a class; classes x and y link when
 |x & y| / |x | y| reaches the threshold.  All classes order shingles alike:
 by rarity, estimated in a sketch of fixed size over all documents, then by
@@ -26,11 +27,13 @@ rows that repeat are in one class; a null id is the largest of its component.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,26 +49,30 @@ LEAST, COST, MOST = 4, 64, 8
 #: White space becomes a space, A-Z small letters.
 _WORDS = bytes(32 if c in b"\x20\x09\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text: its words' hashes, mixed one after the other, so none is a sum of others."""
     split = [t.encode("utf-8", "replace").translate(_WORDS).split() for t in texts]
-    joined = b"".join(b" ".join(w) + b" " for w in split)
-    b = np.frombuffer(joined, np.uint8)
-    strings = hashing.Substrings(b)
-    counts = np.array([len(w) for w in split])
-    ends = np.flatnonzero(b == 32)
-    if (counts == 0).any():  # an empty text leaves a lone space
-        lone = np.cumsum(np.maximum(counts, 1)) - 1
-        ends = np.delete(ends, lone[counts == 0])
-    starts = ends - np.fromiter((len(x) for w in split for x in w), int, len(ends))
+    counts = [len(w) for w in split]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(split)), np.uint64, sum(counts))
+    short = {c for c in counts if c < n}
+    rows = [h]  # rows[k]: of k + 1 words from each place on
+    for k in range(1, n):
+        x = rows[-1][:-1] ^ np.uint64(k)
+        x ^= x >> np.uint64(29)
+        x *= hashing.ODD
+        rows.append((x ^ (x >> np.uint64(32))) + h[k:])
+    mixed = [hashing.mixed(r) if k == n - 1 or k + 1 in short else r for k, r in enumerate(rows)]
+    none = np.zeros(0, np.uint64)
     out, at = [], 0
-    for c in counts.tolist():
-        if c:
-            k = min(n, c)
-            s, e = starts[at : at + c - k + 1], ends[at + k - 1 : at + c]
-            out.append(np.unique(strings.of(s, e)))
-        else:
-            out.append(np.zeros(0, np.uint64))
+    for c in counts:
+        k = min(n, c)
+        out.append(_distinct(mixed[k - 1][at : at + c - k + 1]) if c else none)
         at += c
     return out
 

@@ -198,83 +198,6 @@ def predicted(spark: SparkSession, text: Column, model: Model | None) -> Column:
     return F.arrow_udf(told, "lang_pred string, score double")(text)
 
 
-def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        of = self.family.scores(x)
-        best = of.argmax(1)
-        lang, score = np.empty(len(x), object), of.max(1)
-        for k, f in enumerate(self.family.classes):
-            at = np.flatnonzero(best == k)
-            if len(at):
-                inner = self.within[f].scores(x[at])
-                lang[at] = np.array(self.within[f].classes, object)[inner.argmax(1)]
-                score[at] *= inner.max(1)
-        return lang, score
-
-
-#: Texts whose features a task holds at once, and bytes of them.
-TEXTS, BYTES = 256, 1 << 20
-
-
-@common.tidy
-def _sampled(batches):
-    schema = pa.schema([("lang", pa.string()), ("x", pa.binary())])
-    for batch in batches:
-        for some in common.sized_batches(batch, "text", BYTES, TEXTS):
-            x = features([cleaned(t) for t in some.column("text").to_pylist()]).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([some.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], schema=schema)
-
-
-def fit(docs: DataFrame, learn: Column, sample: int = 2048, languages: int = 128) -> Model | None:
-    """Fits to at most about `sample` of the rows of docs(doc_id, text, lang) that `learn` picks; None where there are none.
-
-    The `languages` values of lang with the most rows are learned, ties by
-    name, so that labels full of errors make neither rows nor machines without
-    bound; rows of the others are not learned from.
-    """
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike("\\p{L}"))
-    known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    each = max(1, sample // max(1, len(known)) // SALTS)
-    h = F.xxhash64("doc_id", "text")
-    rank = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))
-    picked = rows.where(F.col("lang").isin(known)).select("doc_id", "lang", "text", h.alias("h"), F.pmod(F.shiftright(h, 20), F.lit(SALTS)).alias("salt")).withColumn("rank", rank).where(F.col("rank") <= each)
-    got = picked.select("lang", "text").mapInArrow(_sampled, "lang string, x binary").toArrow()
-    if not got.num_rows:
-        return None
-    order = sorted(range(got.num_rows), key=lambda i: (got["lang"][i].as_py(), got["x"][i].as_py()))
-    x = np.array([np.frombuffer(got["x"][i].as_py(), np.float16) for i in order], np.float64)
-    return Model(x, [got["lang"][i].as_py() for i in order])
-
-
-def predicted(spark: SparkSession, text: Column, model: Model | None) -> Column:
-    """struct(lang_pred, score) of a text: no shuffle, and only the text goes to Python.
-
-    The model's size is fixed by the number of languages.  The column is
-    computed when its frame is, so the session's Arrow batches are bounded here.
-    """
-    common.bound_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
-
-    def told(texts: pa.Array) -> pa.Array:
-        import regex
-
-        letter, m = regex.compile(r"\p{L}"), sent.value
-        lang, score = [], []
-        for some in common.sized_batches(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", BYTES, TEXTS):
-            part = some.column("text").to_pylist()
-            at = [i for i, t in enumerate(part) if m is not None and t is not None and letter.search(t)]
-            names, p = ["und"] * len(part), np.zeros(len(part))
-            if at:
-                found, p[at] = m.predict(features([cleaned(part[i]) for i in at]))
-                for i, v in zip(at, found, strict=True):
-                    names[i] = v
-            lang += names
-            score.append(p)
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate([np.zeros(0), *score]))], names=["lang_pred", "score"])
-
-    told.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(told, "lang_pred string, score double")(text)
-
-
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs(row, text), row anything, as row, lang_pred, score."""
     told = docs.select("row", predicted(docs.sparkSession, F.col("text"), model).alias("told"))

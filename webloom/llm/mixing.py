@@ -2,12 +2,15 @@
 
 Each document draws u in (0, 1) from a hash of itself and gets the exponential
 key u ** (1 / w), w its quality weight.  Within a source documents stand by
-falling key.  A source's token target is met by complete epochs first; the rest
-is a prefix of the sorted documents whose sizes sum up to it.
+falling key; the key kept is -log(u) / w, which rises as it falls and has no
+bounds, so that small weights keep keys apart.  A source's token target is met
+by complete epochs first; the rest is a prefix of the sorted documents whose
+sizes sum up to it.
 
-No document is moved for this: keys fall into buckets, one small sum for each
-(source, bucket) finds the bucket in which the budget ends, and only that
-bucket's documents are sorted.  The cut is then one key for each source.
+No document is moved for this: the logarithms of keys fall into buckets of
+equal width, one small sum for each (source, bucket) finds the bucket in which
+the budget ends, and only that bucket's documents, some thousandths of a source
+at most, are sorted.  The cut is then one key for each source.
 
 Defined results: null text has size 0; a null source is a source of its own,
 ordered last; rows that repeat (same id and text) share one decision; of equal
@@ -23,10 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 65536
+#: Buckets of a doubling of the key.
+BUCKETS = 1024
 SEED = "mix-1"
-#: Sources whose plan is broadcast; of more, joins shuffle.
-SOURCES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -47,13 +49,14 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Labels are broadcast if they take few bytes.  Of several labels the lowest counts.
     """
     said = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("d")).agg(F.min("quality").alias("q"))
-    known = docs.join(common.near(common.stored(said, "labels", keep=True)), F.col("d") == F.col("doc_id"), "left")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "weight"]).alias("row"))
+    known = rows.join(common.near(common.stored(said, "labels", keep=True)), F.col("d") == F.col("row.doc_id"), "left")
     factor = F.when(F.col("q") > 0, 1.0).when(F.col("q") <= 0, 0.1).otherwise(0.5)
-    return known.withColumn("weight", quality(F.col("text")) * factor).drop("d", "q")
+    return known.select("row", (quality(F.col("row.text")) * factor).alias("weight")).select("row.*", "weight")
 
 
 def keyed(docs: DataFrame, weight: Column | None = None) -> DataFrame:
-    """docs with `key`, the exponential key, and its `bucket`; high keys have low buckets.
+    """docs with `key`, low where the exponential key is high, and its `bucket`.
 
     weight: a positive number for each document, from any scorer; a null one is the least, without it the rule's.
     """
@@ -61,8 +64,8 @@ def keyed(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     w = quality(text) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-6))
     draw = F.substring(F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))), 1, 12)
     u = (F.conv(draw, 16, 10).cast("double") + 0.5) / float(1 << 48)
-    d = docs.withColumn("key", F.pow(u, 1 / w))
-    return d.withColumn("bucket", F.floor((1 - F.col("key")) * BUCKETS).cast("int"))
+    d = docs.withColumn("key", -F.log(u) / w)
+    return d.withColumn("bucket", F.floor(F.log2("key") * BUCKETS).cast("int"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -86,9 +89,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
 
 
 def _near(sources: DataFrame) -> DataFrame:
-    """A table of a row for each source, kept, and broadcast if there are at most SOURCES of them: a large source then stays where its rows are."""
-    kept = common.stored(sources, "sources", keep=True)
-    return F.broadcast(kept) if kept.count() <= SOURCES else kept
+    """A table of a row for each source, kept, and broadcast if it takes few bytes: a large source then stays where its rows are."""
+    return common.near(common.stored(sources, "sources", keep=True))
 
 
 def plan(docs: DataFrame, **mix) -> DataFrame:
@@ -107,16 +109,16 @@ def plan(docs: DataFrame, **mix) -> DataFrame:
     end = _near(end.select(F.col("source").alias("s"), F.col("e.bucket").alias("b"), (F.col("e.upto") - F.col("e.size")).alias("before"), F.col("e.part").alias("part")))
     inside = docs.join(end, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("bucket")))
     each = inside.groupBy("source", "b", "before", "part", "key").agg(F.sum("size").alias("n"))
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("key"))) - F.col("n") / 2
-    cut = each.withColumn("mid", upto).groupBy("source", "b").agg(F.min(F.when((F.col("mid") <= F.col("part")) & (F.col("part") > 0), F.col("key"))).alias("end_key"))
-    cut = cut.select(F.col("source").alias("s"), F.col("b").alias("end_bucket"), F.coalesce("end_key", F.lit(2.0)).alias("end_key"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("key")) - F.col("n") / 2
+    cut = each.withColumn("mid", upto).groupBy("source", "b").agg(F.max(F.when((F.col("mid") <= F.col("part")) & (F.col("part") > 0), F.col("key"))).alias("end_key"))
+    cut = cut.select(F.col("source").alias("s"), F.col("b").alias("end_bucket"), F.coalesce("end_key", F.lit(-1.0)).alias("end_key"))
     return goal.join(cut, same, "left").select("source", "source_size", "target", "epochs", "part", "end_bucket", "end_key")
 
 
 def copies(docs: DataFrame, goal: DataFrame) -> DataFrame:
     """docs(source, key, bucket, ...) with source_size, target and `copies`, how often the mix takes the document."""
     g = _near(goal.withColumnRenamed("source", "s"))
-    inside = (F.col("bucket") < F.col("end_bucket")) | (F.col("bucket") == F.col("end_bucket")) & (F.col("key") >= F.col("end_key"))
+    inside = (F.col("bucket") < F.col("end_bucket")) | (F.col("bucket") == F.col("end_bucket")) & (F.col("key") <= F.col("end_key"))
     extra = F.when((F.col("part") > 0) & F.coalesce(inside, F.lit(False)), 1).otherwise(0)
     return docs.join(g, F.col("s").eqNullSafe(F.col("source"))).withColumn("copies", F.col("epochs") + extra).drop("s", "epochs", "part", "end_bucket", "end_key")
 

@@ -174,8 +174,8 @@ with d as (
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents
   left join (select doc_id as d, min(quality) as q from labels group by doc_id) on d = doc_id
 ), k as (
-  select doc_id, source, size, pow((cast('0x' || substr(md5('mix-1|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(text)), 1, 12) as bigint) + 0.5) / 281474976710656.0,
-    1 / (case when length(text) > 0 then greatest(1 - 4 * length(regexp_replace(text, '[\p{L} ]+', '', 'g')) / length(text), 0.05) else 0.05 end * case when q > 0 then 1.0 when q <= 0 then 0.1 else 0.5 end)) as key
+  select doc_id, source, size, -ln((cast('0x' || substr(md5('mix-1|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(text)), 1, 12) as bigint) + 0.5) / 281474976710656.0)
+    / (case when length(text) > 0 then greatest(1 - 4 * length(regexp_replace(text, '[\p{L} ]+', '', 'g')) / length(text), 0.05) else 0.05 end * case when q > 0 then 1.0 when q <= 0 then 0.1 else 0.5 end) as key
   from d
 ), s as (
   select source, sum(size) as source_size, (array[3.0, 1.0, 2.0])[(row_number() over (order by source nulls last) - 1) % 3 + 1] as w
@@ -190,7 +190,7 @@ with d as (
   select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as epochs from g
 ), o as (
   select k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size as part,
-    sum(size) over (partition by k.source order by key desc range unbounded preceding) as upto,
+    sum(size) over (partition by k.source order by key range unbounded preceding) as upto,
     sum(size) over (partition by k.source, key) as here
   from k join e on e.source is not distinct from k.source
 )
