@@ -608,4 +608,6 @@ def star_rollup(spark, sf_dir):
     return j.rollup("c_mktsegment", "n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-__all__ = ["ORACLE", "QUERIES", "families"]
+from . import services  # noqa: E402  uses queries of this module
+
+__all__ = ["ORACLE", "QUERIES", "families", "services"]

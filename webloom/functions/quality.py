@@ -157,12 +157,13 @@ def backoff_seconds(base: Column, streak: Column, cap: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays, -1 to 1; 0 if they are empty, of other lengths, or one is zero."""
+    """Cosine of two arrays, -1 to 1; 0 if they are empty, of other lengths, or one is zero or holds what is no number."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
     norm = lambda x: F.sqrt(total(F.transform(x, lambda v: v.cast("double") * v.cast("double"))))
     n = norm(a) * norm(b)
-    return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0) | (n == 0), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / n)))
+    odd = (F.size(a) != F.size(b)) | (F.size(a) == 0) | (n == 0) | F.isnan(n) | (n == float("inf")) | F.isnan(dot)
+    return F.when(F.coalesce(odd, F.lit(True)), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / n)))
 
 
 def is_grounded(value: Column, source: Column, lowered: bool = False) -> Column:
