@@ -256,3 +256,11 @@ def test_shave_gate_with_a_model(spark):
     assert got["b"].warnings == ["short_content", "semantic_shave: bypassed (word_count < 200)"] and got["b"].clean_content == "short text"
     assert got["c"].warnings is None and got["c"].clean_content is None
     assert {r.url: r.warnings for r in R.gated(df, None).collect()}["a"] == ["semantic_shave_missing_query"]
+
+
+def test_shaved_rows_of_one_id_stay_apart(spark):
+    one, two = " ".join(["alpha beta"] * 190 + ["delta epsilon"] * 100), " ".join(["gamma"] * 150 + ["delta"] * 200)
+    alone = {t: R.shaved(spark.createDataFrame([(i, t)], "id long, text string"), "delta epsilon", 0.8).first() for i, t in enumerate((one, two))}
+    both = R.shaved(spark.createDataFrame([(7, one), (7, two), (7, one)], "id long, text string"), "delta epsilon", 0.8).collect()
+    assert sorted((r.text, r.kept, r.total) for r in both) == sorted((alone[t].text, alone[t].kept, alone[t].total) for t in (one, two, one))
+    assert {r.id for r in both} == {7}

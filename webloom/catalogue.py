@@ -23,6 +23,7 @@ from .operators import store
 from .plans import api
 from .registry import ORACLE, QUERIES, query, table
 from .registry import sql_any as _sql_any
+from .registry import sql_words
 from .sources import pages as P
 from .streaming import events as EV
 
@@ -317,8 +318,39 @@ def chunk_windows(spark, sf_dir):
     return R.chunked(d.select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("doc_id"), "chunk", F.md5("text").alias("text_md5"))
 
 
-@query()
+#: Words whose counts are a text's vector in the queries below: a model that SQL can say.
+_SIGNS = ["the", "and", "tion", "ing", "ent", "er", "an", "le", "re", "in"]
+
+
+def _counted(text):
+    return F.array(*[F.regexp_count(text, F.lit(w)).cast("double") for w in _SIGNS])
+
+
+def _sql_counted(text: str) -> str:
+    return "[" + ", ".join(f"cast(len(regexp_extract_all({text}, '{w}')) as double)" for w in _SIGNS) + "]"
+
+
+_NEAR_Q = "[" + ", ".join(f"{float(QUERY.count(w))}" for w in _SIGNS) + "]"
+_NEAR = "round(case when list_dot_product(e, e) = 0 then 0.0 else greatest(-1.0, least(1.0, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))))) end, 6)"
+_W = sql_words("text")
+_SHAVED = f"""select d.doc_id, n, case when n > 1 then greatest(near_n, 1) else n end as kept,
+  case when n > 1 and strlen(short) <= strlen(d.text) then short else d.text end as out
+from documents d left join (select doc_id, max(chunk) + 1 as n, count_if(sim >= 0.9) as near_n,
+  case when count_if(sim >= 0.9) > 0 then string_agg(text, chr(10) || chr(10) order by chunk) filter (sim >= 0.9) else arg_max(text, (sim, chunk)) end as short
+  from (select doc_id, chunk, text, {_NEAR} as sim from (select *, {_sql_counted('text')} as e, {_NEAR_Q} as q from (
+    {_CHUNKS} union all select doc_id, 0 as chunk, text from documents where {_W} between 1 and 200))) group by doc_id) c on c.doc_id = d.doc_id"""
+
+
+@query(f"select doc_id, md5(out) as text_md5, cast(kept as bigint) as kept, cast(n as bigint) as total from ({_SHAVED})")
 def semantic_shave(spark, sf_dir):
+    """Documents cut to the chunks near a query, by vectors of counted signs."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return R.shaved(d, QUERY, 0.9, embed=_counted).select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"), "kept", "total")
+
+
+@query()
+def semantic_shave_hashed(spark, sf_dir):
+    """The same by hashed vectors, as where no model is given."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return R.shaved(d, QUERY).select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"), "kept", "total")
 

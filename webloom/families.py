@@ -811,7 +811,7 @@ def rapid_testing(spark, sf_dir):
     return out
 
 
-@query(f"select doc_id, asked, case when w < 200 then 'semantic_shave: bypassed (word_count < 200)' when asked then 'semantic_shave: kept' else 'semantic_shave_missing_query' end as warning, w < 200 or not asked as whole from (select doc_id, {sql_words('text')} as w from documents), (values (true), (false)) a(asked)")
+@query(f"select doc_id, asked, case when w < 200 then 'semantic_shave: bypassed (word_count < 200)' when asked then 'semantic_shave: kept' else 'semantic_shave_missing_query' end as warning, w <= 200 or not asked as whole from (select doc_id, {sql_words('text')} as w from documents), (values (true), (false)) a(asked)")
 def shave_gate(spark, sf_dir):
     """What becomes of documents as fetched pages, with a query that nothing is like and without one."""
     from .operators import relevance as R

@@ -30,7 +30,7 @@ Embed = Callable[[Column], Column]
 
 
 def near(parts: DataFrame, query: str, embed: Embed | None = None) -> DataFrame:
-    """parts(id, at, text) with `sim`, the cosine of a text's vector and the query's.
+    """parts(id, at, text), id and at naming a row, with `sim`, the cosine of a text's vector and the query's.
 
     Vectors are embed's, or else those of embedded(): these are counted by token
     hash, so that a long text costs its tokens once.
@@ -51,19 +51,28 @@ def shaved(docs: DataFrame, query: str, threshold: float = 0.35, embed: Embed |
     """docs(id, text) with the chunks near the query: id, text, kept, total.
 
     Chunks of at least the threshold stay, in order; if there are none, the best
-    one; the text stays as it is where the result would be no shorter.
+    one (of equal ones the last).  The text stays as it is where it is one
+    chunk, or where the chunks, which overlap, would be longer; `kept` still
+    tells how many were near.  Rows may share an id.
     """
+    docs = _keyed(docs)
     each = near(chunked(docs).withColumnRenamed("chunk", "at"), query, embed).withColumnRenamed("at", "chunk")
     by = each.groupBy("id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("sim") >= threshold, F.struct("chunk", "text")))).alias("near"),
+        F.sort_array(F.collect_set(F.when(F.col("sim") >= threshold, F.struct("chunk", "text")))).alias("near"),
         F.max_by("text", F.struct("sim", "chunk")).alias("best"),
-        F.count("*").alias("total"),
+        (F.max("chunk") + 1).alias("total"),
     )
     joined = F.when(F.size("near") > 0, F.array_join(F.col("near.text"), "\n\n")).otherwise(F.col("best"))
     by = by.select(F.col("id").alias("_id"), joined.alias("short"), F.greatest(F.size("near"), F.lit(1)).alias("near_n"), "total")
     both = docs.select("id", "text").join(by, F.col("_id").eqNullSafe(F.col("id")), "left")
     use = (F.col("total") > 1) & (F.octet_length("short") <= F.octet_length("text"))
-    return both.select("id", F.when(use, F.col("short")).otherwise(F.col("text")).alias("text"), F.when(use, F.col("near_n")).otherwise(F.col("total")).cast("long").alias("kept"), F.col("total").cast("long").alias("total"))
+    kept = F.when(F.col("total") > 1, F.col("near_n")).otherwise(F.col("total"))
+    return both.select("id.id", F.when(use, F.col("short")).otherwise(F.col("text")).alias("text"), kept.cast("long").alias("kept"), F.col("total").cast("long").alias("total"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs(id, text) under a key of both: rows of one id and different texts stay apart, equal rows have equal results."""
+    return docs.select(F.struct("id", F.md5("text").alias("of")).alias("id"), "text")
 
 
 def gated(fetched: DataFrame, query: str | None, threshold: float = 0.35, least_words: int = 200, embed: Embed | None = None) -> DataFrame:
@@ -95,9 +104,10 @@ def section_extract(docs: DataFrame, query: str, limit: int = 5, threshold: floa
     """
     if not query.strip():
         return docs.select("id", "text", F.lit("section_extract_missing_query").alias("note"))
+    docs = _keyed(docs)
     long_ = docs.where(T.word_count(F.col("text")) >= least_words)
     words = T.query_tokens(query)
-    each = long_.select("id", F.posexplode(T.sections(F.col("text"))).alias("at", "part"))
+    each = long_.dropDuplicates(["id"]).select("id", F.posexplode(T.sections(F.col("text"))).alias("at", "part"))
     keyword = T.has_any(F.lower("part"), words) if words else F.lit(False)
     each = near(each.withColumnRenamed("part", "text"), query, embed).withColumnRenamed("text", "part")
     each = each.withColumn("sim", F.greatest("sim", keyword.cast("double")))
@@ -106,4 +116,4 @@ def section_extract(docs: DataFrame, query: str, limit: int = 5, threshold: floa
     by = kept.groupBy(F.col("id").alias("_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "\n").alias("short"))
     both = docs.select("id", "text").join(by, F.col("_id").eqNullSafe(F.col("id")), "left")
     use = F.col("short").isNotNull() & (F.octet_length("short") <= F.octet_length("text"))
-    return both.select("id", F.when(use, F.col("short")).otherwise(F.col("text")).alias("text"), F.when(use, "section_extract").alias("note"))
+    return both.select("id.id", F.when(use, F.col("short")).otherwise(F.col("text")).alias("text"), F.when(use, "section_extract").alias("note"))
