@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalogue import _runs
+from .functions import text as T
 from .operators import store
 from .operators.vector_index import VectorIndex
-from .registry import ORACLE, query, table
+from .registry import ORACLE, query, sql_words, table
+from .sources import pages as P
 from .streaming import keyed
 
 _SIM = "round(greatest(0.0, least(1.0, list_dot_product(v.e, q.e) / nullif(sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e)), 0))), 6)"
@@ -89,3 +91,62 @@ def streamed_cache(spark, sf_dir):
     """Hits and misses of a cache whose entries live for six hours, asked for by each event's user."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("id"))
     return _in_two_runs(spark, e, "cache", "key", keyed.Cache(6 * 3600), late="1 minute").select("key", "hits", "misses")
+
+
+# -- main content, pass by pass
+
+
+def _sql_plain(html: str, between: str = "' '") -> str:
+    text = f"regexp_replace({html}, '(?s)<[^>]+>', {between}, 'g')"
+    for name, code in (("&copy;", 169), ("&middot;", 183), ("&nbsp;", 160), ("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#39;", 39), ("&amp;", 38)):
+        text = f"replace({text}, '{name}', chr({code}))"
+    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+
+
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+_BODY = "regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<(?:nav|footer)>.*?</(?:nav|footer)>', ' ', 'g')"
+_CONTENT = f"select page_id, html, {_sql_plain(_ARTICLE)} as art, {_sql_plain(_BODY)} as body, list_transform(string_split({_ARTICLE}, '<p>')[2:], lambda x: {_sql_plain('x', chr(39) * 2)}) as ps from pages"
+
+
+def _contents(spark, sf_dir, name: str) -> DataFrame:
+    return P.contents(table(spark, sf_dir, "pages"), [name]).select("page_id", F.md5(name).alias("md5"), T.word_count(F.col(name)).alias("words"))
+
+
+@query(f"select page_id, md5(art) as md5, cast({sql_words('art')} as bigint) as words from ({_CONTENT})")
+def page_heuristic(spark, sf_dir):
+    return _contents(spark, sf_dir, "heuristic")
+
+
+@query(f"select page_id, md5(body) as md5, cast({sql_words('body')} as bigint) as words from ({_CONTENT})")
+def page_fallback(spark, sf_dir):
+    return _contents(spark, sf_dir, "fallback")
+
+
+@query(f"select page_id, case when w > 50 then md5(art) end as md5, case when w > 50 then w else 0 end as words from (select *, cast({sql_words('art')} as bigint) as w from ({_CONTENT}))")
+def page_book(spark, sf_dir):
+    return _contents(spark, sf_dir, "book")
+
+
+@query(f"select page_id, md5(t) as md5, cast({sql_words('t')} as bigint) as words from (select page_id, case when {sql_words('art')} > 50 then art else array_to_string(list_filter(ps, lambda x: strlen(x) > 30), ' ') end as t from ({_CONTENT}))")
+def page_text_only(spark, sf_dir):
+    return _contents(spark, sf_dir, "text_only")
+
+
+@query(f"select page_id, md5(array_to_string(list_sort(list_distinct(string_split(case when strlen(art) >= 80 then art else body end, ' '))), ' ')) as words_md5, case when strlen(art) < 80 then 'whole' when len(list_filter(ps, lambda x: length(x) >= 25)) > 0 then 'readable' else 'heuristic' end as found_by from ({_CONTENT})")
+def page_content(spark, sf_dir):
+    """Main content as the passes find it (its words: repeated runs are collapsed), and which of them did."""
+    words = F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace("content", "\\s+", " "), " "))), " ")
+    return P.contents(table(spark, sf_dir, "pages"), []).select("page_id", F.md5(words).alias("words_md5"), "found_by")
+
+
+_SELECTORS = ["article p", "nav > ul > li a", "body > div.ad", "h1, title", "[charset=utf-8]", "article b, footer", "body > a", "p"]
+
+
+def _sql_n(pattern: str) -> str:
+    return f"len(regexp_extract_all(html, '{pattern}'))"
+
+
+@query(f"select page_id, {_sql_n('<p>')} || ',' || {_sql_n('<a href')} || ',1,2,1,' || ({_sql_n('<b>')} + 1) || ',0,' || {_sql_n('<p>')} as found from pages")
+def page_selected(spark, sf_dir):
+    """How many nodes selectors find on each page."""
+    return P.contents(table(spark, sf_dir, "pages"), [], _SELECTORS).select("page_id", F.array_join("selected", ",").alias("found"))

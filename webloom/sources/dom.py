@@ -17,6 +17,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Elements whose text is none of the page's.
 SILENT = {"script", "style", "noscript", "svg", "canvas", "iframe", "nav", "header", "footer", "aside", "form", "button", "template", "head"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that end an open paragraph, and those that may be open within it.
+ENDS_P = {"p", "div", "section", "article", "main", "ul", "ol", "table", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "form", "dl", "aside", "nav", "header", "footer"}
+INLINE = {"b", "i", "em", "strong", "a", "span", "u", "s", "small", "code", "sub", "sup", "font", "mark"}
 BLOCK = {"p", "div", "section", "article", "main", "li", "ul", "ol", "tr", "table", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "br", "dt", "dd", "body"}
 
 
@@ -73,6 +76,12 @@ class _Builder(HTMLParser):
         closes = CLOSES.get(tag, ())
         if self.at.tag in closes:
             self.at = self.at.parent
+        elif tag in ENDS_P:
+            above = self.at
+            while above.tag in INLINE and above.parent is not None:
+                above = above.parent
+            if above.tag == "p":
+                self.at = above.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:

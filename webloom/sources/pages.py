@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality as Q
 from ..functions import url as U
+from . import content as C
 from . import dom
 
 PARSED = """page_id long, url string, title string, meta_description string, meta_keywords string, canonical_url string,
@@ -86,6 +87,29 @@ def parsed(pages: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
+#: The passes that look for a page's text, by name; each gives a text or nothing.
+PASSES = {"heuristic": C.heuristic, "book": C.book, "preformatted": C.preformatted, "fallback": C.fallback, "text_only": C.text_only}
+
+
+def contents(pages: DataFrame, passes: list[str] | None = None, selectors: list[str] | None = None) -> DataFrame:
+    """page_id, content and found_by (the pass that found it), the texts of single passes, and how many nodes each of the selectors finds."""
+    names = list(PASSES) if passes is None else passes
+    selectors = selectors or []
+    schema = "page_id long, content string, found_by string" + "".join(f", {n} string" for n in names) + ", selected array<int>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, host, kind, html in zip(b["page_id"], b["host"], b["kind"], b["html"], strict=True):
+                root = dom.parse(html or "")
+                index = C.Index(root)
+                found = ((html or "")[:50_000], "raw") if kind == "ApiResponse" else C.main(root, kind or "Unknown", host or "")
+                rows.append((i, *found, *[PASSES[n](index) for n in names], [len(index.select(s)) for s in selectors]))
+            yield pd.DataFrame(rows, columns=["page_id", "content", "found_by", *names, "selected"])
+
+    return pages.select("page_id", U.host(F.col("url")).alias("host"), Q.content_kind(F.col("url"), F.col("html")).alias("kind"), "html").mapInPandas(run, schema)
+
+
 #: Fields that scored() and extraction read.
 SCORED = ["title", "meta_description", "author", "published_at", "headings", "code_blocks", "clean_content", "markdown"]
 
