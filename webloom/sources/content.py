@@ -28,15 +28,16 @@ NOISE_WORDS = ["share", "upvote", "downvote", "comment", "reply", "login", "sign
 
 
 class Index:
-    """The nodes of a tree in order, their intervals, postings and texts."""
+    """The nodes of a tree in order, their intervals, postings and texts; `pruned` leaves out what preprocessing takes away."""
 
-    def __init__(self, root: Node):
+    def __init__(self, root: Node, pruned: bool = False):
         self.nodes: list[Node] = []
         self.end: list[int] = []
         self.place: dict[int, int] = {}
         self.texts: list[str] = []
         self.spans: list[tuple[int, int]] = []
-        self.postings: dict[tuple[str, str], list[int]] = {}
+        self.tags: dict[str, list[int]] = {}
+        self.marks: dict[tuple[str, str], list[int]] | None = None
         stack: list[tuple] = [(root, None)]
         while stack:
             node, opened = stack.pop()
@@ -48,7 +49,8 @@ class Index:
             else:
                 i = self._add(node)
                 stack.append((node, i))
-                stack.extend((c, None) for c in reversed(node.children))
+                kids = [c for c in node.children if isinstance(c, str) or not is_gone(c)] if pruned else node.children
+                stack.extend((c, None) for c in reversed(kids))
         self.words = [0, *accumulate(len(t.split()) for t in self.texts)]
 
     def _add(self, node: Node) -> int:
@@ -57,12 +59,22 @@ class Index:
         self.place[id(node)] = i
         self.end.append(i + 1)
         self.spans.append((len(self.texts), len(self.texts)))
-        keys = {("tag", node.tag), ("tag", "*"), *(("class", c) for c in node.classes()), *(("has", a) for a in node.attrs)}
-        keys |= {(f"[{a}", v) for a, v in node.attrs.items()}
-        for key in keys:
-            self.postings.setdefault(key, []).append(i)
+        self.tags.setdefault(node.tag, []).append(i)
         return i
 
+    def posting(self, kind: str, value: str) -> list[int]:
+        """Nodes of a tag, class, attribute ("has") or attribute's value, in order; those of attributes are listed when first asked for."""
+        if kind == "tag":
+            return list(range(len(self.nodes))) if value == "*" else self.tags.get(value, [])
+        if self.marks is None:
+            self.marks = {}
+            for i, node in enumerate(self.nodes):
+                if node.attrs:
+                    keys = {*(("class", c) for c in node.classes()), *(("has", a) for a in node.attrs), *((f"[{a}", v) for a, v in node.attrs.items())}
+                    for key in keys:
+                        self.marks.setdefault(key, []).append(i)
+        return self.marks.get((kind, value), [])
+
     def within(self, i: int, posting: list[int]) -> bool:
         """Whether a node of a posting lies below node i."""
         k = bisect_left(posting, i + 1)
@@ -81,7 +93,7 @@ class Index:
         lists = []
         for tag, ident, cls, attr, value in _PART.findall(text):
             key = ("tag", tag.lower()) if tag else ("[id", ident) if ident else ("class", cls) if cls else (f"[{attr.lower()}", value) if value else ("has", attr.lower())
-            lists.append(self.postings.get(key, []))
+            lists.append(self.posting(*key))
         lists.sort(key=len)
         found = lists[0] if lists else []
         for other in lists[1:]:
@@ -124,10 +136,12 @@ class Index:
 # -- text of a part
 
 
+_NOISE = re.compile("|".join(map(re.escape, tables.NOISE_IDENTIFIERS + tables.NOISE_EDGES)))
+
+
 def is_noise(ident: str) -> bool:
     """Whether an id or class names something that is no content."""
-    name = ident.lower()
-    return any(x in name for x in tables.NOISE_IDENTIFIERS) or any(x in name for x in tables.NOISE_EDGES)
+    return bool(ident) and _NOISE.search(ident.lower()) is not None
 
 
 def is_sparse(index: Index, node: Node) -> bool:
@@ -139,7 +153,7 @@ def is_sparse(index: Index, node: Node) -> bool:
         return False
     text = index.text(node).lower()
     valued = any(c in text for c in "$€£¥฿") or any(v in text for v in VALUED)
-    below = [c for c in node.children if isinstance(c, Node)][:60]
+    below = [c for c in node.children if isinstance(c, Node) and id(c) in index.place][:60]
     controls = sum(c.tag in CONTROLS for c in below)
     words_a, least_a, words_b, least_b = (2, 10, 3, 55) if valued else (4, 8, 6, 40)
     return n <= words_a and controls >= least_a or n <= words_b and len(below) >= least_b
@@ -169,10 +183,13 @@ def part_text(index: Index, node: Node) -> str:
             if isinstance(child, str):
                 flush()
                 todo.append(child)
-            elif child.tag in SKIPPED or is_noise(child.get("id")) or any(map(is_noise, child.classes())) or is_sparse(index, child):
+            elif child.tag in SKIPPED or id(child) not in index.place:
+                flush()
+            elif is_noise(child.get("id")) or any(map(is_noise, child.classes())) or is_sparse(index, child):
                 flush()
             else:
-                sign = " ".join(index.text(child).split())[:200]
+                # only a short text can make a run of placeholders
+                sign = " ".join(index.text(child).split()) if index.count(child) <= 12 else ""
                 if run and not (sign and sign == said):
                     flush()
                 said = sign
@@ -233,7 +250,7 @@ def text_only(index: Index) -> str:
 def readable(index: Index) -> Node | None:
     """The node in which paragraphs score highest: each gives its parent points for its length and commas, half of them to the one above; links take their share away."""
     scores: dict[int, float] = {}
-    for i in sorted({i for tag in ("p", "pre", "td") for i in index.postings.get(("tag", tag), [])}):
+    for i in sorted(i for tag in ("p", "pre", "td") for i in index.posting("tag", tag)):
         node = index.nodes[i]
         text = index.text(node, "").strip()
         if len(text) < 25 or node.parent is None:
@@ -243,10 +260,11 @@ def readable(index: Index) -> Node | None:
             if above is not None and above.tag != "#root":
                 scores[index.place[id(above)]] = scores.get(index.place[id(above)], 0.0) + points / share
     best, most = None, 0.0
+    anchors = index.posting("tag", "a")
     for i, score in sorted(scores.items()):
         node = index.nodes[i]
         size = sum(len(t) for t in index.texts[slice(*index.spans[i])])
-        links = sum(len(index.text(index.nodes[a], "")) for a in index.postings.get(("tag", "a"), []) if i < a < index.end[i])
+        links = sum(len(index.text(index.nodes[a], "")) for a in anchors[bisect_left(anchors, i + 1) : bisect_left(anchors, index.end[i])])
         score *= 1 - links / max(1, size)
         if score > most:
             best, most = node, score
@@ -267,24 +285,12 @@ def _markdown(node: Node) -> str:
     return "\n".join(dom.block_text(node))
 
 
-def _pruned(root: Node) -> Node:
-    """The tree without what preprocessing takes out: silent elements, navigation, forms, hidden parts."""
-    gone = SKIPPED | {"button"}
-    copy = Node(root.tag, root.attrs, None)
-    stack = [(root, copy)]
-    while stack:
-        node, new = stack.pop()
-        for child in node.children:
-            if isinstance(child, str):
-                new.children.append(child)
-            elif child.tag not in gone and not hidden(child):
-                below = Node(child.tag, child.attrs, new)
-                new.children.append(below)
-                stack.append((child, below))
-    return copy
-
-
-def hidden(node: Node) -> bool:
+def is_gone(node: Node) -> bool:
+    """Whether preprocessing takes an element away: silent elements, navigation, forms, hidden parts."""
+    if node.tag in SKIPPED or node.tag == "button":
+        return True
+    if not node.attrs:
+        return False
     style = node.get("style").replace(" ", "").lower()
     return "hidden" in node.attrs or node.get("aria-hidden").lower() == "true" or "display:none" in style or "visibility:hidden" in style
 
@@ -298,19 +304,19 @@ def main(root: Node, kind: str = "Unknown", host: str = "") -> tuple[str, str]:
     the longer one wins, with the body's text where both have nothing; noisy
     results give way to plain text, very short ones to the whole page.
     """
-    whole = Index(root)
     if kind == "SinglePageApp" and dom.words(state := dom.state_text(root) or "") >= 100:
         return state, "state"
+    whole = Index(root) if kind == "CodeRepository" or "nowsecure" in host or "pastebin" in host else None
     if kind == "CodeRepository":
         for name, text in (("preformatted", preformatted(whole)), ("book", book(whole))):
             if text and text.strip():
                 return text, name
-    index = Index(_pruned(root))
+    index = Index(root, pruned=True)
     node = readable(index)
     read = dom.post_cleaned(part_text(index, node)) if node is not None else ""
     if kind == "NewsArticle" and dom.words(read) >= 50:
         return read, "readable"
-    if ("nowsecure" in host or "pastebin" in host) and (pre := preformatted(whole) or "").strip():
+    if whole is not None and kind != "CodeRepository" and (pre := preformatted(whole) or "").strip():
         return pre, "preformatted"
     if (found := book(index)) and len(found.encode()) > 30:
         return dom.post_cleaned(found), "book"

@@ -98,7 +98,11 @@ class _Builder(HTMLParser):
             self.at = node.parent
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        kids = self.at.children
+        if kids and isinstance(kids[-1], str):  # the reader may cut a text
+            kids[-1] += data
+        else:
+            kids.append(data)
 
 
 def parse(html: str) -> Node:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,9 +24,9 @@ clean_content string, markdown string"""
 NAMES = re.findall(r"(?:^|,\s)(\w+) (?=long|string|array)", PARSED)
 
 
-def _content(root, base: str, line_aware: bool, page_title: str, pictures: list) -> str:
-    """The page's clean text: main text, else linked data, else the state of an application, else the description."""
-    main = dom.main_text(root)
+def _content(root, base: str, line_aware: bool, page_title: str, pictures: list, kind: str, host: str) -> str:
+    """The page's clean text: main content, else linked data, else the state of an application, else the description."""
+    main = C.main(root, kind, host)[0]
     text = (dom.linked_data(root) if dom.words(main) < 10 else None) or main
     if dom.words(text) < 50:
         text = dom.state_text(root) or text
@@ -62,15 +63,15 @@ READERS = {
 }
 
 
-def read_page(url: str, html: str, line_aware: bool = False, fields: list[str] | None = None) -> dict:
-    """What dom reads from one page, or the named fields of it; an empty page has empty lists and texts."""
+def read_page(url: str, html: str, line_aware: bool = False, fields: list[str] | None = None, kind: str | None = None) -> dict:
+    """What dom and content read from one page, or the named fields of it; an empty page has empty lists and texts."""
     root, base = dom.parse(html or ""), url or ""
     wanted = NAMES[2:] if fields is None else fields
     out = {f: READERS[f](root, base) for f in wanted if f in READERS}
     if "clean_content" in wanted:
         page_title = out["title"] if "title" in out else dom.title(root)
         pictures = out["images"] if "images" in out else dom.images(root, base)
-        out["clean_content"] = _content(root, base, line_aware, page_title, pictures)
+        out["clean_content"] = _content(root, base, line_aware, page_title, pictures, kind or "Unknown", urlsplit(base).hostname or "")
     return out
 
 
@@ -81,10 +82,11 @@ def parsed(pages: DataFrame, fields: list[str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [{"page_id": i, "url": u, **read_page(u or "", h or "", fields=names[2:])} for i, u, h in zip(b["page_id"], b["url"], b["html"], strict=True)]
+            rows = [{"page_id": i, "url": u, **read_page(u or "", h or "", fields=names[2:], kind=k)} for i, u, h, k in zip(b["page_id"], b["url"], b["html"], b["kind"], strict=True)]
             yield pd.DataFrame(rows, columns=names)
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+    kind = Q.content_kind(F.col("url"), F.col("html")) if "clean_content" in names else F.lit(None).cast("string")
+    return pages.select("page_id", "url", "html", kind.alias("kind")).mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 #: The passes that look for a page's text, by name; each gives a text or nothing.
