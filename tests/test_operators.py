@@ -264,3 +264,41 @@ def test_shaved_rows_of_one_id_stay_apart(spark):
     both = R.shaved(spark.createDataFrame([(7, one), (7, two), (7, one)], "id long, text string"), "delta epsilon", 0.8).collect()
     assert sorted((r.text, r.kept, r.total) for r in both) == sorted((alone[t].text, alone[t].kept, alone[t].total) for t in (one, two, one))
     assert {r.id for r in both} == {7}
+
+
+def queue_walk(links, start, budget, wave, max_depth):
+    """A crawl by hand: first in, first out, marked when found."""
+    queue, depth, order = [start], {start: 0}, []
+    while queue and len(order) < budget:
+        batch, queue = queue[: min(wave, budget - len(order))], queue[min(wave, budget - len(order)) :]
+        order += batch
+        for node in batch:
+            for dst in links.get(node, []) if depth[node] < max_depth else []:
+                if dst not in depth:
+                    depth[dst] = depth[node] + 1
+                    queue.append(dst)
+    return [(n, depth[n]) for n in order]
+
+
+def test_frontier_equals_a_queue_and_goes_on(spark, tmp_path):
+    rng = random.Random(8)
+    links = {f"n{i}": [f"n{rng.randrange(60)}" for _ in range(rng.randrange(7))] for i in range(60)}
+    rows = spark.createDataFrame([(a, i, b) for a, out in links.items() for i, b in enumerate(out)], "src string, at int, dst string").cache()
+    asked = []
+
+    def expand(wave):
+        asked.append(wave.count())
+        return rows.join(wave, F.col("src") == F.col("node")).select("place", "at", "dst")
+
+    start = spark.createDataFrame([("n0",)], "node string")
+    for k, (budget, wave, depth) in enumerate(((25, 4, 9), (60, 7, 2), (5, 10, 3), (1, 3, 3), (200, 9, 20))):
+        asked.clear()
+        got = C.Frontier(spark, f"{tmp_path}/{k}", budget, wave, depth).run(start, expand)
+        assert [(r.node, r.depth) for r in got.orderBy("place").collect()] == queue_walk(links, "n0", budget, wave, depth)
+        assert sum(asked) <= budget
+    # a crawl that stopped after its third wave, with a fourth that is not whole
+    (tmp_path / "4/wave=3/_SUCCESS").unlink()
+    for left in range(4, 30):
+        if (tmp_path / f"4/wave={left}/_SUCCESS").exists():
+            (tmp_path / f"4/wave={left}/_SUCCESS").unlink()
+    assert [(r.node, r.depth) for r in C.Frontier(spark, f"{tmp_path}/4", 200, 9, 20).run(start, expand).orderBy("place").collect()] == queue_walk(links, "n0", 200, 9, 20)

@@ -484,19 +484,27 @@ def crawl_bfs(spark, sf_dir):
     return C.shared_links(page_hrefs(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")), 2)
 
 
-_LINK_KEY = f"select distinct {_CRAWL_KEY.format('page_url')} as src, {_CRAWL_KEY.format('url')} as dst from ({_PAGE_LINKS})"
+_LINK_AT = f"""select {_CRAWL_KEY.format('page_url')} as src, {_CRAWL_KEY.format('link')} as dst, min({{'u': page_url, 'p': pos}}) as ord from (
+  select url as page_url, regexp_extract(url, '^https?://[^/?#]+') || replace(href, '&amp;', '&') as link, pos from ({_ANCHORS}) where href is not null) group by src, dst"""
 
 
 @query(
-    f"""with e as ({_LINK_KEY}), have as (select distinct {_CRAWL_KEY.format('url')} as node from pages), l0 as (select {_CRAWL_KEY.format('min(url)')} as node from pages),
-l1 as (select distinct dst as node from e where src in (select node from l0) except select node from l0), l2 as (select distinct dst as node from e where src in (select node from l1) except select node from l0 except select node from l1),
-w as (select * from (select node, 0 as depth from l0 union all select node, 1 from l1 union all select node, 2 from l2) order by depth, node limit 40)
-select count_if(ok)::bigint as crawled, count_if(not ok)::bigint as failed, max(depth)::integer as max_depth, count(distinct case when ok then {_HOST.format('node')} end)::integer as domains, count_if(ok)::integer as sitemap from (select *, node in (select node from have) as ok from w)"""
+    f"""with e as ({_LINK_AT}), have as (select distinct {_CRAWL_KEY.format('url')} as node from pages), l0 as (select {_CRAWL_KEY.format('min(url)')} as node, 1 as place from pages),
+l1 as (select dst as node, row_number() over (order by min({{'a': l0.place, 'b': ord}}), dst) as place from e join l0 on src = l0.node where dst not in (select node from l0) group by dst),
+l2 as (select dst as node, row_number() over (order by min({{'a': l1.place, 'b': ord}}), dst) as place from e join l1 on src = l1.node where dst not in (select node from l0) and dst not in (select node from l1) group by dst),
+w as (select * from (select node, 0 as depth, place from l0 union all select node, 1, place from l1 union all select node, 2, place from l2) order by depth, place limit 40)
+select node as url, cast(depth as integer) as depth, node in (select node from have) as success from w"""
 )
+def crawl_budget(spark, sf_dir):
+    """The first 40 pages of a crawl from the first address, in the queue's order."""
+    p = table(spark, sf_dir, "pages")
+    start = p.agg(F.min("url")).first()[0]
+    return api.crawl_website(spark, p, start, max_depth=2, max_pages=40, same_domain=False)
+
+
+@query(f"select count_if(success)::bigint as crawled, count_if(not success)::bigint as failed, max(depth)::integer as max_depth, count(distinct case when success then {_HOST.format('url')} end)::integer as domains, count_if(success)::integer as sitemap from ({ORACLE['crawl_budget']})")
 def crawl_summary(spark, sf_dir):
-    p = P.parsed(table(spark, sf_dir, "pages"), ["links"]).select("url", "links")
-    start = p.orderBy("url").first()["url"]
-    c = C.summary(C.crawl(spark, p, start, 2, 40, same_domain=False))
+    c = C.summary(crawl_budget(spark, sf_dir))
     return c.select("crawled", "failed", "max_depth", F.size("domains").alias("domains"), F.size("sitemap").alias("sitemap"))
 
 

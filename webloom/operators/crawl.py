@@ -1,12 +1,14 @@
-"""Breadth-first search over links, wave by wave."""
+"""Breadth-first search over links, wave by wave; crawls from a queue with a budget."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import url as U
-from .store import kept
+from .store import kept, new_path
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -67,12 +69,83 @@ def summary(crawled: DataFrame) -> DataFrame:
     )
 
 
-def crawl(spark: SparkSession, pages: DataFrame, start: str, max_depth: int = 3, max_pages: int = 50, same_domain: bool = True, exclude: list[str] = (), include: list[str] = ()) -> DataFrame:
-    """url, depth, success of a crawl from one URL over parsed pages(url, links); links to pages that aren't there fail."""
-    key = U.crawl_key(F.lit(start))
+class Frontier:
+    """A crawl's queue as a table: nodes with depth and place, in the order in which they were found.
+
+    A wave takes the next `min(budget left, wave)` nodes of the queue; what they
+    link to is marked when it is found and goes to the queue's end, in the order
+    of the pages that link and of the links on them.  As the queue is first in,
+    first out, nodes behind the budget are never reached: none is kept, so the
+    table holds `budget` rows at most, and nothing is expanded once it is full.
+    Each wave is a folder of its own; a crawl of the same path goes on after
+    the last one that is whole.
+    """
+
+    SCHEMA = "node string, depth int, place long"
+
+    def __init__(self, spark: SparkSession, path: str, budget: int = 50, wave: int = 10, max_depth: int = 3):
+        self.spark, self.path, self.budget, self.wave, self.max_depth = spark, path, budget, wave, max_depth
+
+    def found(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.SCHEMA}, wave int").option("basePath", self.path).parquet(f"{self.path}/wave=*")
+
+    def _whole(self) -> list[int]:
+        """Nodes that each whole wave found."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        k = 0
+        while fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/wave={k}/_SUCCESS")):
+            k += 1
+        sizes = {r["wave"]: r["n"] for r in self.found().groupBy("wave").agg(F.count("*").alias("n")).collect()} if k else {}
+        return [sizes.get(i, 0) for i in range(k)]
+
+    def _keep(self, rows: DataFrame, k: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/wave={k}")
+
+    def run(self, starts: DataFrame, expand: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """node, depth, place of what is crawled from starts(node); expand gives (place, at, dst) of a wave(node, place), `at` the link's order on its page."""
+        sizes = self._whole()
+        if not sizes:
+            first = starts.select("node").distinct().orderBy("node").limit(self.budget)
+            self._keep(first.select("node", F.lit(0).alias("depth"), F.row_number().over(Window.orderBy("node")).cast("long").alias("place")), 0)
+            sizes = self._whole()
+        done = sum([min(self.wave, self.budget)] * (len(sizes) - 1))
+        while done < sum(sizes) < self.budget:
+            upto = min(done + self.wave, sum(sizes))
+            next_ = self.found().where((F.col("place") > done) & (F.col("place") <= upto) & (F.col("depth") < self.max_depth))
+            links = expand(next_.select("node", "place")).where(F.col("dst").isNotNull())
+            new = links.join(self.found().select(F.col("node").alias("dst")), "dst", "left_anti").groupBy("dst").agg(F.min(F.struct("place", "at")).alias("by"))
+            some = new.orderBy("by", "dst").limit(self.budget - sum(sizes))  # at most what the budget has left
+            depth = next_.select(F.col("place").alias("_p"), F.col("depth").alias("_d"))
+            own = some.join(F.broadcast(depth), F.col("by.place") == F.col("_p"))
+            place = F.row_number().over(Window.orderBy("by", "dst")) + sum(sizes)
+            self._keep(own.select(F.col("dst").alias("node"), (F.col("_d") + 1).alias("depth"), place.cast("long").alias("place")), len(sizes))
+            done = upto
+            sizes = self._whole()
+        return self.found().select("node", "depth", "place")
+
+
+def crawl(spark: SparkSession, pages: DataFrame, start: str, max_depth: int = 3, max_pages: int = 50, same_domain: bool = True, exclude: list[str] = (), include: list[str] = (), concurrent: int = 5, path: str | None = None) -> DataFrame:
+    """url, depth, success of a crawl from one URL over pages(url, links); links to pages that aren't there fail.
+
+    pages(page_id, url, html) are read as they are reached: only those of a
+    wave are parsed.  With a path the crawl can be gone on with.
+    """
     base = U.host(F.lit(start))
-    follow = pages.select("url", F.explode("links").alias("link")).where(U.should_crawl(F.col("link.url"), base, same_domain, exclude=exclude, include=include))
-    e = follow.select(U.crawl_key(F.col("url")).alias("src"), U.crawl_key(F.col("link.url")).alias("dst")).distinct()
-    reached = bfs(e, spark.range(1).select(key.alias("node")), max_depth, max_pages)
-    have = pages.select(U.crawl_key(F.col("url")).alias("node")).distinct().withColumn("have", F.lit(True))
+    keyed = pages.withColumn("_key", U.crawl_key(F.col("url")))
+
+    def expand(wave: DataFrame) -> DataFrame:
+        wave = F.broadcast(wave.withColumnRenamed("node", "_node"))  # a wave's rows are a parameter
+        here = keyed.join(wave, F.col("_key") == F.col("_node"))
+        if "links" not in pages.columns:
+            from ..sources import pages as P
+
+            read = P.parsed(here.select("page_id", "url", "html"), ["links"]).withColumn("_key", U.crawl_key(F.col("url")))
+            here = read.join(wave, F.col("_key") == F.col("_node"))
+        each = here.select("place", "url", F.posexplode("links").alias("pos", "link")).where(U.should_crawl(F.col("link.url"), base, same_domain, exclude=exclude, include=include))
+        return each.select("place", F.struct("url", "pos").alias("at"), U.crawl_key(F.col("link.url")).alias("dst"))
+
+    frontier = Frontier(spark, path or new_path(spark, "crawl"), max_pages, 2 * concurrent, max_depth)
+    reached = frontier.run(spark.range(1).select(U.crawl_key(F.lit(start)).alias("node")), expand)
+    have = keyed.select(F.col("_key").alias("node")).join(reached.select("node"), "node", "left_semi").distinct().withColumn("have", F.lit(True))
     return reached.join(have, "node", "left").select(F.col("node").alias("url"), "depth", F.coalesce("have", F.lit(False)).alias("success"))

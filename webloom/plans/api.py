@@ -42,7 +42,7 @@ def batch_summary(fetched: DataFrame) -> DataFrame:
 
 
 def crawl_website(spark: SparkSession, pages: DataFrame, start: str, **limits) -> DataFrame:
-    return C.crawl(spark, P.parsed(pages, ["links"]).select("url", "links"), start, **limits)
+    return C.crawl(spark, pages.select("page_id", "url", "html"), start, **limits)
 
 
 def extract_fields(pages: DataFrame, schema: list[X.Field] | str, strict: bool = True) -> DataFrame:
