@@ -47,7 +47,7 @@ HOT = 1 << 20
 SHIFT = 32
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys array<long>, counts array<int>"
 
-_workers: dict[tuple[str, str], Aligner] = {}
+_workers: dict[tuple[str, str], Aligner] = common.keeps(__name__)
 
 
 def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:

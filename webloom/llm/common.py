@@ -137,10 +137,30 @@ def let_go() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What a worker keeps between tasks (tokenizers, say), by the module that does.
+_kept: dict[str, list[dict]] = {}
+
+
+def keeps(module: str) -> dict:
+    """A dictionary that lasts as long as a worker's tasks are of the module; tasks of another one forget it."""
+    _kept.setdefault(module, []).append({})
+    return _kept[module][-1]
+
+
+def forget_others(module: str) -> None:
+    others = [d for m, kept in _kept.items() if m != module for d in kept if d]
+    for d in others:
+        d.clear()
+    if others:
+        gc.collect()
+        let_go()
+
+
 def tidy(run):
     """A function of Arrow batches that gives memory back when it has read them all."""
 
     def outer(batches):
+        forget_others(run.__module__)
         try:
             yield from run(batches)
         finally:

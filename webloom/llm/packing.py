@@ -54,7 +54,7 @@ GROUP = 1024
 ENCODED = "doc_id long, source string, shard int, pos long, n int, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, queue int, at long, ids array<int>"
 
-_encoders: dict[str, Words] = {}
+_encoders: dict[str, Words] = common.keeps(__name__)
 
 
 def gathered(flat: np.ndarray, begin: np.ndarray, count: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

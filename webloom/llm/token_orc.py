@@ -36,7 +36,7 @@ TAILS = ".,;:!?%#&*$)\"'"
 ROW = 2000
 STORED = "doc_id long, shard int, pos long, n_tokens int, ids array<int>"
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = common.keeps(__name__)
 
 
 class Encoder:
