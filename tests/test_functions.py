@@ -247,3 +247,23 @@ def test_cache_and_sql(spark, tmp_path):
     assert "web_words" in sql_functions.register(spark)
     r = spark.sql("select web_words(' a b '), web_tokens('Ab abc'), web_domain('https://X.org/a'), web_cosine(array(1f, 0f), array(1f, 0f)), web_band(0.95D)").first()
     assert tuple(r) == (2, ["abc"], "x.org", 1.0, "Exact")
+
+
+def test_needles_overlap_and_are_found_once(spark):
+    from webloom.functions import needles as N
+
+    rows = spark.createDataFrame([("javascript and java",), ("ajava",), ("",), (None,), ("c++ x" * 4000,)], "t string")
+    words = ["java", "javascript", "script", "ava", "c++", "", "java", "z"]
+    got = [r.h for r in rows.select(N.hits(F.col("t"), words).alias("h")).collect()]
+    assert got == [["java", "javascript", "script", "ava"], ["java", "ava"], [], [], ["c++"]]
+    assert [r.h for r in rows.select(N.hits(F.col("t"), []).alias("h")).collect()] == [[]] * 5
+
+
+def test_query_forms(spark):
+    """One pass over the needles gives what the functions give one by one."""
+    qs = ["rust docs", "how to use tokio", "coffee", "python bug", "rust docs site:x.org", None]
+    got = {r.q: r for r in T.query_forms(spark.createDataFrame([(q,) for q in qs], "q string"), "q").collect()}
+    assert got["rust docs"].rewritten == "rust docs site:doc.rust-lang.org"
+    assert [got[q].rewritten for q in ("coffee", "rust docs site:x.org", None)] == [None] * 3
+    assert got["python bug"].suggestions[-1] == "python bug site:stackoverflow.com" and got["coffee"].suggestions == []
+    assert "rust docs" not in got["rust docs"].recovery and got["coffee"].recovery == []

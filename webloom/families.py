@@ -321,9 +321,8 @@ _TRIED = "list_concat(list_filter([rewritten], lambda x: x is not null), suggest
 
 @query(f"select conv_id, turn, i, md5(rewritten) as rewritten, md5(array_to_string(suggested, ' | ')) as suggestions, md5(array_to_string(list_filter(t, lambda x, k: list_position(t, x) = k and x <> q and x <> coalesce(rewritten, q)), ' | ')) as recovery from (select *, {_TRIED} as t from ({_REWRITE}))")
 def query_rewrite(spark, sf_dir):
-    q = F.col("q")
-    a = _asked(spark, sf_dir).withColumns({"r": T.rewritten(q), "s": T.suggestions(q)})
-    return a.select("conv_id", "turn", "i", F.md5("r").alias("rewritten"), F.md5(F.array_join("s", " | ")).alias("suggestions"), F.md5(F.array_join(T.recovery_queries(q, F.coalesce("r", q)), " | ")).alias("recovery"))
+    a = T.query_forms(_asked(spark, sf_dir), "q")
+    return a.select("conv_id", "turn", "i", F.md5("rewritten").alias("rewritten"), F.md5(F.array_join("suggestions", " | ")).alias("suggestions"), F.md5(F.array_join("recovery", " | ")).alias("recovery"))
 
 
 @query(f"select conv_id, turn, i, {sql_any('lower(q)', tables.COMMUNITY_WORDS)} or turn < 4 as community, len(list_filter({sql_list(tables.DEV_WORDS)}, lambda w: contains(lower(q), w))) as dev_words from {_ASK}")

@@ -1,4 +1,4 @@
-"""Text, query text, dates: Column to Column, without Python on the executors.
+"""Text, query text, dates: Column to Column, without Python on the executors but for query_hits.
 
 Null in, null out, unless a function says otherwise.
 """
@@ -8,10 +8,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import tables
+from . import needles as N
 
 SPACE = "(?U)\\s+"
 
@@ -205,52 +206,85 @@ def dev_words(query: Column) -> Column:
     return F.get(F.transform(F.array(F.lower(query)), lambda q: F.filter(every, lambda w: F.contains(q, w))), F.lit(0))
 
 
-def is_developer_query(query: Column) -> Column:
-    return has_any(F.lower(query), tables.DEV_WORDS + tables.DEV_PATTERNS)
+def is_developer_query(query: Column, hits: Column | None = None) -> Column:
+    return _holds(query, hits, tables.DEV_WORDS + tables.DEV_PATTERNS)
 
 
-def sites(query: Column) -> Column:
-    """Sites of the query's words, in order and once each; none for other queries."""
-    q = F.lower(query)
-    none = F.array().cast("array<string>")
-    each = [F.when(F.contains(q, F.lit(w)), F.array(*[F.lit(s) for s in tables.SITES[w]])).otherwise(none) for w in tables.DEV_WORDS if w in tables.SITES]
-    return F.array_distinct(F.concat(*each))
+#: What the functions of queries below look for, so that one pass can find it all.
+QUERY_NEEDLES = [*dict.fromkeys([*tables.DEV_WORDS, *tables.DEV_PATTERNS, "docs", "documentation", "tutorial", "error", "bug", "stackoverflow", "error:", "error message", "how to", *tables.HOW_TO_LANGUAGES, "crate", "site:"])]
+#: Developer words that have sites.
+_WITH_SITES = [w for w in tables.DEV_WORDS if w in tables.SITES]
+
+
+def query_hits(query: Column) -> Column:
+    """The needles of a query, for the functions that take `hits`."""
+    return N.hits(F.lower(query), QUERY_NEEDLES)
+
 
+def _holds(query: Column, hits: Column | None, words: list[str]) -> Column:
+    return has_any(F.lower(query), words) if hits is None else N.has(hits, words)
 
-def suggestions(query: Column) -> Column:
-    q, s = F.lower(query), sites(query)
-    plain = is_developer_query(query) & (F.size(dev_words(query)) > 0) & ~has_any(q, ["docs", "documentation", "tutorial"])
+
+def sites(query: Column, hits: Column | None = None) -> Column:
+    """Sites of the query's words, in order and once each; none for other queries."""
+    if hits is None:
+        q, none = F.lower(query), F.array().cast("array<string>")
+        each = [F.when(F.contains(q, F.lit(w)), F.array(*[F.lit(s) for s in tables.SITES[w]])).otherwise(none) for w in _WITH_SITES]
+        return F.array_distinct(F.concat(*each))
+    own = F.filter(F.array(*[F.lit(w) for w in _WITH_SITES]), lambda w: F.array_contains(hits, w))
+    of = F.create_map(*[x for w in _WITH_SITES for x in (F.lit(w), F.array(*[F.lit(s) for s in tables.SITES[w]]))])
+    return F.array_distinct(F.flatten(F.transform(own, lambda w: F.element_at(of, w))))
+
+
+def suggestions(query: Column, hits: Column | None = None, of: Column | None = None) -> Column:
+    """hits and of: columns of query_hits(query) and sites(query), where they are known."""
+    s = sites(query, hits) if of is None else of
+    dev = is_developer_query(query, hits)
+    words = F.size(dev_words(query)) > 0 if hits is None else N.has(hits, tables.DEV_WORDS)
+    plain = dev & words & ~_holds(query, hits, ["docs", "documentation", "tutorial"])
     with_ = lambda tail: F.concat(query, F.lit(" "), tail)
     some = [
         F.when(plain, with_(F.lit("documentation"))),
         F.when(plain, with_(F.lit("tutorial"))),
         F.when(F.size(s) > 0, with_(F.concat(F.lit("site:"), F.get(s, F.lit(0))))),
         F.when(F.size(s) > 1, with_(F.concat(F.lit("site:"), F.get(s, F.lit(1))))),
-        F.when(is_developer_query(query) & has_any(q, ["error", "bug"]) & ~F.contains(q, F.lit("stackoverflow")), with_(F.lit("site:stackoverflow.com"))),
+        F.when(dev & _holds(query, hits, ["error", "bug"]) & ~_holds(query, hits, ["stackoverflow"]), with_(F.lit("site:stackoverflow.com"))),
     ]
     return F.filter(F.array(*some), lambda x: x.isNotNull())
 
 
-def rewritten(query: Column) -> Column:
+def rewritten(query: Column, hits: Column | None = None, of: Column | None = None) -> Column:
     """The query with a site, where it is clear which; else null."""
-    q, s = F.lower(query), sites(query)
+    s = sites(query, hits) if of is None else of
+    holds = lambda *words: _holds(query, hits, list(words))
     at = lambda site: F.concat(query, F.lit(" site:"), site)
-    how_to = [(F.contains(q, F.lit("how to")) & F.contains(q, F.lit(w)), at(F.lit(tables.SITES[w][0]))) for w in tables.HOW_TO_LANGUAGES]
+    how_to = [(holds("how to") & holds(w), at(F.lit(tables.SITES[w][0]))) for w in tables.HOW_TO_LANGUAGES]
     cases = [
-        (has_any(q, ["docs", "documentation"]) & (F.size(s) > 0), at(F.get(s, F.lit(0)))),
-        (has_any(q, ["error:", "error message"]), at(F.lit("stackoverflow.com"))),
+        (holds("docs", "documentation") & (F.size(s) > 0), at(F.get(s, F.lit(0)))),
+        (holds("error:", "error message"), at(F.lit("stackoverflow.com"))),
         *how_to,
-        (F.contains(q, F.lit("crate")), at(F.lit("docs.rs"))),
+        (holds("crate"), at(F.lit("docs.rs"))),
     ]
-    return F.when(is_developer_query(query) & ~F.contains(q, F.lit("site:")), first_match(cases))
+    return F.when(is_developer_query(query, hits) & ~holds("site:"), first_match(cases))
 
 
-def recovery_queries(query: Column, effective: Column) -> Column:
+def recovery_queries(query: Column, effective: Column, rewrite: Column | None = None, suggested: Column | None = None) -> Column:
     """What to try when nothing was found: the rewritten query and up to three suggestions."""
-    tried = F.concat(F.filter(F.array(rewritten(query)), lambda x: x.isNotNull()), F.slice(suggestions(query), 1, 3))
+    rewrite = rewritten(query) if rewrite is None else rewrite
+    suggested = suggestions(query) if suggested is None else suggested
+    tried = F.concat(F.filter(F.array(rewrite), lambda x: x.isNotNull()), F.slice(suggested, 1, 3))
     return F.array_except(F.array_distinct(tried), F.array(query, effective))
 
 
+def query_forms(rows: DataFrame, query: str) -> DataFrame:
+    """rows with `rewritten`, `suggestions` and `recovery` of a column of queries: its words are looked for once."""
+    q = F.col(query)
+    d = rows.withColumn("_hits", query_hits(q)).withColumn("_sites", sites(q, F.col("_hits")))
+    d = d.withColumns({"rewritten": rewritten(q, F.col("_hits"), F.col("_sites")), "suggestions": suggestions(q, F.col("_hits"), F.col("_sites"))})
+    recovery = recovery_queries(q, F.coalesce("rewritten", q), F.col("rewritten"), F.col("suggestions"))
+    return d.withColumn("recovery", recovery).drop("_hits", "_sites")
+
+
 def research_queries(query: Column, most: int = 6) -> Column:
     """The query and its angles, without regard to case and spacing once each, `most` of them."""
     every = F.array(F.trim(query), *[F.concat(query, F.lit(" " + a)) for a in tables.RESEARCH_ANGLES])

@@ -45,3 +45,16 @@ def placed(rows: DataFrame, *order: str | Column, name: str = "place") -> DataFr
         total += sizes.get(p, 0)
     start = F.element_at(F.array(*[F.lit(b).cast("long") for b in before or [0]]), (part + 1).cast("int"))
     return done.withColumn(name, start + nth + 1).drop("_mark")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out to all cores, where they are a table of less than one read partition for each core.
+
+    For work that costs far more than moving its rows, such as reading pages:
+    a small file is one task otherwise.  Larger tables stay where they are.
+    """
+    spark = rows.sparkSession
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    whole = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return rows.repartition(min(cores, 1 + size // (256 << 10))) if size < cores * whole else rows

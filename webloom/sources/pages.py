@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality as Q
 from ..functions import url as U
+from ..operators import store
 from . import content as C
 from . import dom
 
@@ -76,7 +77,7 @@ def read_page(url: str, html: str, line_aware: bool = False, fields: list[str] |
 
 
 def parsed(pages: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """One parse of each page, in Arrow batches, no shuffle; with fields, only those are read."""
+    """One parse of each page, in Arrow batches (a small table is dealt to all cores first); with fields, only those are read."""
     kinds = dict(re.findall(r"(?:^|,\s)(\w+) (long|string|array<(?:string|struct<.*?>)>)(?=,|$)", PARSED))
     names = ["page_id", "url", *(f for f in NAMES[2:] if fields is None or f in fields)]
 
@@ -86,7 +87,7 @@ def parsed(pages: DataFrame, fields: list[str] | None = None) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     kind = Q.content_kind(F.col("url"), F.col("html")) if "clean_content" in names else F.lit(None).cast("string")
-    return pages.select("page_id", "url", "html", kind.alias("kind")).mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+    return store.spread(pages.select("page_id", "url", "html", kind.alias("kind"))).mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 #: The passes that look for a page's text, by name; each gives a text or nothing.
@@ -109,7 +110,7 @@ def contents(pages: DataFrame, passes: list[str] | None = None, selectors: list[
                 rows.append((i, *found, *[PASSES[n](index) for n in names], [len(index.select(s)) for s in selectors]))
             yield pd.DataFrame(rows, columns=["page_id", "content", "found_by", *names, "selected"])
 
-    return pages.select("page_id", U.host(F.col("url")).alias("host"), Q.content_kind(F.col("url"), F.col("html")).alias("kind"), "html").mapInPandas(run, schema)
+    return store.spread(pages.select("page_id", U.host(F.col("url")).alias("host"), Q.content_kind(F.col("url"), F.col("html")).alias("kind"), "html")).mapInPandas(run, schema)
 
 
 #: Fields that scored() and extraction read.
