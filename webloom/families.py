@@ -801,13 +801,7 @@ def rapid_testing(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     probe = F.array(*[F.lit(x) for x in e.where("vec_id = 3").first()["embedding"]])
     rows = e.select(F.col("vec_id").alias("id"), F.lit("scrape").alias("entry_type"), (F.lit(dt.datetime(2024, 1, 1, 23, 56)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("vec_id"))).alias("ts"), F.col("embedding").alias("vector"), "label")
-    out = None
-    for label in sorted(r["label"] for r in e.select("label").distinct().collect()):
-        of = rows.where(F.col("label") == label)
-        some = M.nearest(of, probe, 3).where(F.col("sim") >= 0.95).limit(1).count()
-        one = M.is_rapid_testing(of, probe, F.lit(dt.datetime(2024, 1, 2))).select(F.lit(label).alias("lang"), "rapid") if some else None
-        out = one if out is None else out if one is None else out.unionByName(one)
-    return out
+    return M.rapid_testing_of(rows, probe, F.lit(dt.datetime(2024, 1, 2)), "label").select(F.col("label").alias("lang"), "rapid")
 
 
 @query(f"select doc_id, asked, case when w < 200 then 'semantic_shave: bypassed (word_count < 200)' when asked then 'semantic_shave: kept' else 'semantic_shave_missing_query' end as warning, w <= 200 or not asked as whole from (select doc_id, {sql_words('text')} as w from documents), (values (true), (false)) a(asked)")
@@ -828,14 +822,13 @@ def shave_gate(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, parts: list[DataFrame], name: str) -> DataFrame:
-    """Daily windows of the parts, read as a stream a part at a time, as far as the stream has closed them."""
+    """Daily windows of the parts, each read by a run of its own of one stream, as far as the stream has closed them."""
     path = store.new_path(spark, name)
     for k, part in enumerate(parts):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in/batch={k}")
-    schema = parts[0].schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{path}/in/batch=*")
-    q = EV.tumbling(rows).writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").format("parquet").option("path", f"{path}/out").trigger(availableNow=True).start()
-    q.awaitTermination()
+        part.write.parquet(f"{path}/in/batch={k}")
+        rows = spark.readStream.schema(parts[0].schema).parquet(f"{path}/in/batch=*")
+        q = EV.tumbling(rows).writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").format("parquet").option("path", f"{path}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
     closed = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{path}/out")
     return closed.withColumn("start", F.col("start").cast("timestamp_ntz"))
 

@@ -76,6 +76,15 @@ def is_rapid_testing(rows: DataFrame, vector: Column, as_of: Column) -> DataFram
     return top.agg((F.count_if(F.col("ts") > as_of - F.expr("interval 5 minutes")) >= 2).alias("rapid"))
 
 
+def rapid_testing_of(rows: DataFrame, vector: Column, as_of: Column, group: str) -> DataFrame:
+    """is_rapid_testing for each group that has a near row: group, rapid.  Each task keeps three rows of a group before any moves."""
+    sim = F.round(F.greatest(Q.cosine(F.col("vector"), vector), F.lit(0.0)), 6)
+    near = rows.where(F.col("entry_type") == "scrape").select(group, "id", "ts", sim.alias("sim"))
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("sim"), "id"))
+    top = near.withColumn("nth", nth).where(F.col("nth") <= 3).where(F.col("sim") >= 0.95)
+    return top.groupBy(group).agg((F.count_if(F.col("ts") > as_of - F.expr("interval 5 minutes")) >= 2).alias("rapid"))
+
+
 def top_domains(rows: DataFrame, k: int = 10) -> DataFrame:
     return rows.where(F.col("domain").isNotNull()).groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(k)
 

@@ -36,7 +36,7 @@ def engine_health(runs: DataFrame) -> DataFrame:
         F.max(F.struct("at", "status", "reason")).alias("last"),
     )
     after = lambda c: c.isNull() | (F.col("at") > c)
-    j = r.join(F.broadcast(last) if last.count() <= 100_000 else last, "engine")
+    j = r.join(last, "engine")  # broadcast or split at a hot engine as their sizes turn out
     s = j.groupBy("engine").agg(
         F.count_if(blocked & after(F.col("ok_at"))).alias("blocked_streak"),
         F.count_if(timeout & after(F.col("block_at"))).alias("timeout_streak"),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalogue import _runs
+from .catalogue import _DOC_TOKENS, _TOKENS, _docs, _runs
 from .functions import text as T
-from .operators import store
+from .operators import matching, store
 from .operators.vector_index import VectorIndex
 from .registry import ORACLE, query, sql_words, table
 from .sources import pages as P
@@ -150,3 +150,19 @@ def _sql_n(pattern: str) -> str:
 def page_selected(spark, sf_dir):
     """How many nodes selectors find on each page."""
     return P.contents(table(spark, sf_dir, "pages"), [], _SELECTORS).select("page_id", F.array_join("selected", ",").alias("found"))
+
+
+# -- many queries against many rows
+
+_ASKED_TOKENS = f"""select query_id, len(w) as n, token, count(*) as times from (select *, unnest(w) as token from (select conv_id * 10000 + turn as query_id, {_TOKENS.format('text')} as w from conversations where role = 'user')) group by query_id, w, token"""
+_LISTED = f"""select doc_id, unnest(list_distinct(tt)) as token, 0.4 as worth from ({_DOC_TOKENS}) union all select doc_id, unnest(list_filter(list_distinct(ct), lambda x: not list_contains(tt, x))) as token, 0.2 as worth from ({_DOC_TOKENS})"""
+
+
+@query(
+    f"""select query_id, doc_id as id, score, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from (
+  select query_id, doc_id, cast(round(least(1.0, (least(sum(worth * times) / (0.4 * n), 1.0) + sum(times) / n) / 2), 6) as double) as score from ({_ASKED_TOKENS}) q join ({_LISTED}) p on p.token = q.token group by query_id, doc_id, n)) where rank <= 10"""
+)
+def turns_to_documents(spark, sf_dir):
+    """The ten documents nearest to each user turn, by an inverted index of tokens."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return matching.top_rows(_docs(spark, sf_dir).withColumnRenamed("doc_id", "id"), c.select((F.col("conv_id") * 10_000 + F.col("turn")).alias("query_id"), F.col("text").alias("query")))
