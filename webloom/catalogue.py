@@ -355,8 +355,23 @@ def semantic_shave_hashed(spark, sf_dir):
     return R.shaved(d, QUERY).select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"), "kept", "total")
 
 
-@query()
+_SECTIONS = f"""select doc_id, text, w, ord, part, case when {_sql_any('lower(part)', T.query_tokens(QUERY))} then 1.0 else greatest({_NEAR}, 0.0) end as sim from (
+  select *, {_sql_counted('part')} as e, {_NEAR_Q} as q from (
+    select doc_id, text, w, unnest(parts) as part, unnest(range(len(parts))) as ord from (
+      select doc_id, text, {sql_words('text')} as w, list_filter(list_transform(string_split(text, chr(10) || '## '), lambda x, i: case when i > 1 then '## ' || x else x end), lambda x: trim(x, ' ') <> '') as parts
+      from (select doc_id, replace(text, '. ', '.' || chr(10) || '## ') as text from documents))))"""
+_CUT = f"select doc_id, string_agg(part, chr(10) order by ord) as short from (select *, row_number() over (partition by doc_id order by sim desc, ord) as rank from ({_SECTIONS}) where w >= 200) where rank = 1 or sim >= 0.45 and rank <= 5 group by doc_id"
+
+
+@query(f"select d.doc_id, md5(case when strlen(short) <= strlen(text) then short else text end) as text_md5, case when strlen(short) <= strlen(text) then 'section_extract' end as note from (select doc_id, replace(text, '. ', '.' || chr(10) || '## ') as text from documents) d left join ({_CUT}) c on c.doc_id = d.doc_id")
 def section_extract(spark, sf_dir):
+    """Documents, each sentence a section, cut to those near a query, by vectors of counted signs."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.replace("text", F.lit(". "), F.lit(".\n## ")).alias("text"))
+    return R.section_extract(d, QUERY, embed=_counted).select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"), "note")
+
+
+@query()
+def page_sections(spark, sf_dir):
     d = P.parsed(table(spark, sf_dir, "pages"), ["markdown"]).select(F.col("page_id").alias("id"), F.col("markdown").alias("text"))
     return R.section_extract(d, QUERY, least_words=20).select(F.col("id").alias("page_id"), F.md5("text").alias("text_md5"), "note")
 
@@ -419,11 +434,11 @@ def recent_duplicate(spark, sf_dir):
     return M.recent_duplicate(_memory(spark, sf_dir), probe, F.lit(dt.datetime(2024, 1, 1, 6))).select("id", "sim")
 
 
-@query()
+@query(f"select id, score, case when score >= 0.9 then 'Exact' when score >= 0.7 then 'High' when score >= 0.5 then 'Partial' else 'Low' end as band from (select id, round(case when h > 0 then least(1.0, sim + 0.15 * h / {len(QUERY.split())}) else sim end, 6) as score from (select id, ({_HITS}) as h, greatest({_NEAR}, 0.0) as sim from (select id, query, summary, topic, {_sql_counted('query')} as e, {_NEAR_Q} as q from ({_MEMORY})) order by sim desc, id limit 20)) where score >= 0.2")
 def memory_search(spark, sf_dir):
-    """Past searches like a query, by hashed vectors."""
-    m = _memory(spark, sf_dir).withColumn("vector", R.embedded(F.col("query")))
-    return api.memory_search(m, QUERY, 20, 0.2).select("id", "score", "band")
+    """Past searches like a query, by vectors of counted signs."""
+    m = _memory(spark, sf_dir).withColumn("vector", _counted(F.col("query")))
+    return api.memory_search(m, QUERY, 20, 0.2, embed=_counted).select("id", "score", "band")
 
 
 @query()

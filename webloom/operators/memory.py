@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality as Q
 from ..functions import text as T
-from .relevance import embedded
+from .relevance import Embed, embedded
 
 SCHEMA = "id string, entry_type string, query string, topic string, summary string, domain string, source_type string, ts timestamp, full_result string, vector array<float>"
 #: Bytes of a stored result above which it is cut and wrapped.
@@ -19,18 +19,18 @@ def _limited(result: Column) -> Column:
     return F.when(F.octet_length(result) > LARGEST, cut).otherwise(result)
 
 
-def search_entries(rows: DataFrame) -> DataFrame:
-    """rows(id, query, results json, n, ts) as memory rows."""
+def search_entries(rows: DataFrame, embed: Embed = embedded) -> DataFrame:
+    """rows(id, query, results json, n, ts) as memory rows; embed: the model of their vectors."""
     summary = F.concat(F.lit("Search: "), F.col("query"), F.lit(" ("), F.col("n").cast("string"), F.lit(" results)"))
     kind = F.lit("search")
-    return rows.select("id", kind.alias("entry_type"), "query", T.topic(F.col("query"), kind).alias("topic"), summary.alias("summary"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("source_type"), "ts", _limited(F.col("results")).alias("full_result"), embedded(summary).alias("vector"))
+    return rows.select("id", kind.alias("entry_type"), "query", T.topic(F.col("query"), kind).alias("topic"), summary.alias("summary"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("source_type"), "ts", _limited(F.col("results")).alias("full_result"), embed(summary).alias("vector"))
 
 
-def page_entries(rows: DataFrame) -> DataFrame:
-    """rows(id, url, title, preview, domain, result json, ts) as memory rows."""
+def page_entries(rows: DataFrame, embed: Embed = embedded) -> DataFrame:
+    """rows(id, url, title, preview, domain, result json, ts) as memory rows; embed: the model of their vectors."""
     summary = F.concat(F.lit("Scraped: "), F.coalesce(F.nullif("title", F.lit("")), F.col("url")), F.lit(" - "), F.col("preview"))
     kind = F.lit("scrape")
-    return rows.select("id", kind.alias("entry_type"), F.col("url").alias("query"), T.topic(F.col("url"), kind).alias("topic"), summary.alias("summary"), "domain", F.lit(None).cast("string").alias("source_type"), "ts", _limited(F.col("result")).alias("full_result"), embedded(summary).alias("vector"))
+    return rows.select("id", kind.alias("entry_type"), F.col("url").alias("query"), T.topic(F.col("url"), kind).alias("topic"), summary.alias("summary"), "domain", F.lit(None).cast("string").alias("source_type"), "ts", _limited(F.col("result")).alias("full_result"), embed(summary).alias("vector"))
 
 
 def append(entries: DataFrame, path: str) -> None:

@@ -52,8 +52,9 @@ def extract_fields(pages: DataFrame, schema: list[X.Field] | str, strict: bool =
     return E.extracted(rows, fields, strict) if fields else E.auto(rows)
 
 
-def memory_search(rows: DataFrame, query: str, limit: int = 10, threshold: float = 0.60, entry_type: str | None = None) -> DataFrame:
-    return M.hybrid(rows, query, R.embedded(F.lit(query)), limit, threshold, entry_type)
+def memory_search(rows: DataFrame, query: str, limit: int = 10, threshold: float = 0.60, entry_type: str | None = None, embed: R.Embed = R.embedded) -> DataFrame:
+    """Rows like a query; embed: the model that made the rows' vectors."""
+    return M.hybrid(rows, query, embed(F.lit(query)), limit, threshold, entry_type)
 
 
 def deep_research(results: DataFrame, pages: DataFrame, query: str, as_of: Column, depth: int = 1, max_sources: int = 10, max_chars: int = 20_000, threshold: float = 0.25) -> DataFrame:
