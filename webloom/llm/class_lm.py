@@ -19,7 +19,8 @@ bigrams, has a fixed size.
 
 Defined results: null texts are empty; an empty text is one end token; rows
 that repeat are rows each; a null id is neither held out nor learned from; with
-nothing to learn from every word is unseen.
+nothing to learn from every word is unseen; texts of any length count whole;
+columns beside doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -21,7 +21,9 @@ sets of the classes that have a candidate, told by a table of bits, 32 MB at mos
 
 Defined results: documents with fewer words than a shingle have their whole
 sequence as one; null and empty texts have the empty set and link with nothing;
-rows that repeat are in one class; a null id is the largest of its component.
+rows that repeat are in one class; a null id is the largest of its component;
+texts of any length are compared whole; columns beside doc_id and text are left
+out of the result, whatever their names, and kept by one_of_each.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ whole notice with bounded errors and improves the fit.
 
 Exact phrases are found as well, at every place where their words follow each
 other.  Null texts are empty ones; an empty text has no words and no labels;
-rows that repeat are rows each.
+rows that repeat are rows each; texts of any length are searched whole; columns
+beside row and text are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -38,7 +38,9 @@ does no harm.
 
 Defined results: texts are UTF-8 bytes, null is empty; matches lie within one
 text; rows that repeat are texts each, so they repeat each other; texts shorter
-than `size` keep all bytes; an empty table gives no rows.
+than `size` keep all bytes, texts of any length are read whole; an empty table
+gives no rows; columns beside doc_id and text are left out, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ so readers take stripes in parallel and skip those that hold no wanted id.
 
 Defined results: null text encodes as the empty text (just the end id); a null
 doc_id sorts first; rows that repeat are kept, one entry each; an empty table
-gives no rows.
+gives no rows; texts of any length are encoded whole; columns beside doc_id and
+text are left out, whatever their names.
 """
 
 from __future__ import annotations
