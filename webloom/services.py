@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalogue import _DOC_TOKENS, _TOKENS, _docs, _runs
+from .catalogue import _CHUNKS, _DOC_TOKENS, _TOKENS, _docs, _runs
 from .functions import text as T
 from .operators import matching, store
 from .operators.vector_index import VectorIndex
+from .plans import table_functions
 from .registry import ORACLE, query, sql_words, table
 from .sources import pages as P
 from .streaming import keyed
@@ -166,3 +167,27 @@ def turns_to_documents(spark, sf_dir):
     """The ten documents nearest to each user turn, by an inverted index of tokens."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     return matching.top_rows(_docs(spark, sf_dir).withColumnRenamed("doc_id", "id"), c.select((F.col("conv_id") * 10_000 + F.col("turn")).alias("query_id"), F.col("text").alias("query")))
+
+
+# -- table functions
+
+
+@query(f"select doc_id, cast(chunk as integer) as chunk, md5(text) as text_md5 from ({_CHUNKS}) union all select doc_id, 0 as chunk, md5(text) from documents where {sql_words('text')} between 1 and 200")
+def lateral_chunks(spark, sf_dir):
+    table_functions.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("web_documents")
+    return spark.sql("select doc_id, c.chunk, md5(c.text) as text_md5 from web_documents, lateral web_chunks(text) c")
+
+
+@query(f"select page_id, cast(nth as integer) as nth, 'p' as tag, md5(p) as text_md5 from (select page_id, unnest(ps) as p, unnest(range(len(ps))) as nth from ({_CONTENT}))")
+def lateral_select(spark, sf_dir):
+    table_functions.register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("web_pages")
+    return spark.sql("select page_id, s.nth, s.tag, md5(s.text) as text_md5 from web_pages, lateral web_select(html, 'article p') s")
+
+
+@query(ORACLE["page_links"])
+def lateral_links(spark, sf_dir):
+    table_functions.register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("web_pages")
+    return spark.sql("select page_id, l.url, l.text from web_pages p, lateral web_links(p.url, html) l")
