@@ -135,10 +135,15 @@ def _engine_rows(spark, sf_dir) -> DataFrame:
 _MERGED = f"select url_key, min(page_id) as page_id, case when bool_or(page_id % 3 = 0) then 'multi:alpha,beta' else 'alpha' end as engine, case when bool_or(page_id % 3 = 0) then 2 else 1 end as n_engines from (select page_id, {_SEARCH_KEY} as url_key from pages) group by url_key"
 
 
-_TEXT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style|noscript|svg|canvas|iframe)[^>]*?>.*?</(?:script|style|noscript|svg|canvas|iframe)>', ' ', 'g'), '(?is)<(?:nav|header|footer|aside)[^>]*?>.*?</(?:nav|header|footer|aside)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
-for _name, _code in (("&nbsp;", 32), ("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#39;", 39), ("&amp;", 38)):
-    _TEXT = f"replace({_TEXT}, '{_name}', chr({_code}))"
-_TEXT = rf"trim(regexp_replace({_TEXT}, '\s+', ' ', 'g'))"
+def _sql_html_text(html: str) -> str:
+    """Text of simple HTML, as functions.text.html_text has it."""
+    text = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({html}, '(?is)<(?:script|style|noscript|svg|canvas|iframe)[^>]*?>.*?</(?:script|style|noscript|svg|canvas|iframe)>', ' ', 'g'), '(?is)<(?:nav|header|footer|aside)[^>]*?>.*?</(?:nav|header|footer|aside)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+    for name, code in (("&nbsp;", 32), ("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#39;", 39), ("&amp;", 38)):
+        text = f"replace({text}, '{name}', chr({code}))"
+    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+
+
+_TEXT = _sql_html_text("html")
 
 
 @query(_MERGED)

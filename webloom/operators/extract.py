@@ -9,8 +9,8 @@ from ..functions import fields as X
 from ..functions import quality as Q
 from . import store
 
-#: Values with their words that a join may broadcast.
-NEAR = 100_000
+#: Bytes of values with their words that a join may broadcast.
+NEAR = 32 << 20
 
 
 def extracted(pages: DataFrame, schema: list[X.Field], strict: bool = True, sparse_words: int = 10, empty_share: float = 0.9) -> DataFrame:
@@ -69,7 +69,8 @@ def grounded_counts(values: DataFrame, docs: DataFrame) -> DataFrame:
     split = "[^\\p{IsAlphabetic}\\p{N}]+"
     v = values.select("id", F.lower(F.trim("value")).alias("v"))
     v = store.kept(v.withColumn("w", F.filter(F.split("v", split), lambda x: F.octet_length(x) >= 3)))
-    hint = F.broadcast if v.count() <= NEAR else (lambda df: df)
+    size = v.agg(F.sum(3 * F.octet_length("v") + 24 * F.size("w") + 64)).first()[0] or 0
+    hint = F.broadcast if size <= NEAR else (lambda df: df)
     always = (F.octet_length("v") < 4) | (F.size("w") == 0)
     each = v.where(~always).select("id", F.size("w").alias("n"), F.explode("w").alias("x")).groupBy("id", "n", "x").agg(F.count("*").alias("m"))
     lengths = sorted(r["l"] for r in each.select(F.length("x").alias("l")).distinct().collect())  # of words: a few dozen at most
