@@ -14,6 +14,7 @@ from ..operators import memory as M
 from ..operators import relevance as R
 from ..operators import research as D
 from ..operators import search as S
+from ..operators import store
 from ..sources import pages as P
 
 
@@ -67,15 +68,16 @@ def deep_research(results: DataFrame, pages: DataFrame, query: str, as_of: Colum
     depth, max_sources = max(1, min(depth, 3)), max(1, min(max_sources, 20))
     best = S.reranked(S.boosted(S.scored(S.merged(results), query, as_of), query), query)
     best = best.where(~D.is_spam(F.col("title"), F.col("content"), F.col("url")))
-    wave = D.by_priority(best.select("url", "rank")).orderBy("place").limit(2 * max_sources).select("url", F.col("place").alias("ord"))
+    wave = store.kept(D.by_priority(best.select("url", "rank")).orderBy("place").limit(2 * max_sources).select("url", F.col("place").alias("ord")), "wave")
     via = M.first_via(results.select("url", "query", "ord"))
     hops, seen = [], wave.select("url")
     for hop in range(1, depth + 1):
-        got = P.scored(P.parsed(pages.join(wave.select("url"), "url", "left_semi"), [*P.SCORED, "links"])).join(wave, "url")
+        # a hop's pages are a few dozen: read once, kept for the links and the text
+        got = store.kept(P.scored(P.parsed(pages.join(F.broadcast(wave.select("url")), "url", "left_semi"), [*P.SCORED, "links"])).join(F.broadcast(wave), "url").select("ord", "url", "title", "clean_content", "word_count", "links"), "hop")
         hops.append(got.select("ord", "url", "title", F.substring("clean_content", 1, max_chars).alias("content"), F.lit(hop).alias("depth"), "word_count"))
         if hop < depth:
             links = got.select("ord", F.posexplode("links").alias("at", "l")).select(F.col("l.url").alias("url"), (F.col("ord") * 1000 + F.col("at")).alias("ord"))
-            wave = D.unseen(links.where(U.is_http(F.col("url"))), seen, 3 * max_sources)
+            wave = store.kept(D.unseen(links.where(U.is_http(F.col("url"))), seen, 3 * max_sources), "wave")
             seen = seen.unionByName(wave.select("url"))
     found = hops[0]
     for h in hops[1:]:
