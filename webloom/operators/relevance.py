@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality as Q
 from ..functions import text as T
+from . import store
 
 DIMENSIONS = 64
 
@@ -29,32 +32,48 @@ def chunked(docs: DataFrame, window: int = 200, stride: int = 100) -> DataFrame:
 Embed = Callable[[Column], Column]
 
 
-def near(parts: DataFrame, query: str, embed: Embed | None = None) -> DataFrame:
-    """parts(id, at, text), id and at naming a row, with `sim`, the cosine of a text's vector and the query's.
+def likeness(text: Column, query: str, dimensions: int | None = DIMENSIONS, spark: SparkSession | None = None) -> Column:
+    """Cosine of a text's vector and the query's, both of embedded() and six decimals long, within the row.
 
-    Vectors are embed's, or else those of embedded(): these are counted by token
-    hash, so that a long text costs its tokens once.
+    The text's hashes are sorted, so that one pass over them counts each; without
+    dimensions whole hashes count, and a text without a word of the query has 0.
     """
-    if embed is not None:
-        return parts.withColumn("sim", F.round(Q.cosine(embed(F.col("text")), embed(F.lit(query))), 6))
-    q = embedded(F.lit(query))
-    norm = F.sqrt(F.aggregate(q, F.lit(0.0), lambda s, x: s + x * x))
-    dim = F.explode_outer(F.transform(T.tokens(F.col("text")), lambda t: F.pmod(F.xxhash64(t), F.lit(DIMENSIONS)).cast("int")))
-    counts = parts.select("id", "at", dim.alias("dim")).groupBy("id", "at", "dim").agg(F.count("dim").alias("n"))
-    dot = F.sum(F.col("n") * F.coalesce(F.get(q, F.col("dim")), F.lit(0.0)))
-    size = F.sqrt(F.sum(F.col("n") * F.col("n"))) * F.first(norm)
-    sim = counts.groupBy("id", "at").agg(F.when(size > 0, dot / size).otherwise(0.0).alias("sim"))
-    return parts.join(sim.select(F.col("id").alias("_i"), F.col("at").alias("_a"), F.round("sim", 6).alias("sim")), F.col("_i").eqNullSafe(F.col("id")) & (F.col("_a") == F.col("at"))).drop("_i", "_a")
-
-
-def shaved(docs: DataFrame, query: str, threshold: float = 0.35, embed: Embed | None = None) -> DataFrame:
+    at = lambda t: F.xxhash64(t) if dimensions is None else F.pmod(F.xxhash64(t), F.lit(dimensions).cast("long"))
+    spark = spark or SparkSession.active()
+    q = Counter(spark.range(1).select(F.transform(T.tokens(F.lit(query)), at).alias("q")).first()["q"])  # the query's few tokens
+    norm = math.sqrt(sum(n * n for n in q.values()))
+    if not q:
+        return F.lit(0.0)
+    worth = F.create_map(*[F.lit(x).cast(k) for d, n in q.items() for x, k in ((d, "long"), (n, "double"))])
+    none = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("squares"), F.lit(0.0).alias("dot"))
+
+    def counted(s: Column, x: Column) -> Column:
+        run = F.when(s["last"].eqNullSafe(x), s["run"]).otherwise(0.0)
+        dot = s["dot"] + F.coalesce(F.try_element_at(worth, x), F.lit(0.0))
+        return F.struct(x.alias("last"), (run + 1.0).alias("run"), (s["squares"] + 2.0 * run + 1.0).alias("squares"), dot.alias("dot"))
+
+    cosine = lambda s: F.when(s["squares"] > 0, s["dot"] / (F.sqrt(s["squares"]) * norm)).otherwise(0.0)
+    return F.round(F.coalesce(F.aggregate(F.sort_array(F.transform(T.tokens(text), at)), none, counted, cosine), F.lit(0.0)), 6)
+
+
+def near(parts: DataFrame, query: str, embed: Embed | None = None) -> DataFrame:
+    """parts(text, ...) with `sim`, the cosine of a text's vector and the query's; vectors are embed's, or else those of embedded()."""
+    if embed is None:
+        return parts.withColumn("sim", likeness(F.col("text"), query, spark=parts.sparkSession))
+    return parts.withColumn("sim", F.round(Q.cosine(embed(F.col("text")), embed(F.lit(query))), 6))
+
+
+def shaved(docs: DataFrame, query: str, threshold: float = 0.35, embed: Embed | None = None, dimensions: int | None = DIMENSIONS) -> DataFrame:
     """docs(id, text) with the chunks near the query: id, text, kept, total.
 
     Chunks of at least the threshold stay, in order; if there are none, the best
     one (of equal ones the last).  The text stays as it is where it is one
     chunk, or where the chunks, which overlap, would be longer; `kept` still
-    tells how many were near.  Rows may share an id.
+    tells how many were near.  Rows may share an id.  Without a model a text's
+    chunks stay in its row, by vectors of embedded() of these dimensions.
     """
+    if embed is None:
+        return _shaved_in_rows(docs, threshold, lambda text: likeness(text, query, dimensions, docs.sparkSession))
     docs = _keyed(docs)
     each = near(chunked(docs).withColumnRenamed("chunk", "at"), query, embed).withColumnRenamed("at", "chunk")
     by = each.groupBy("id").agg(
@@ -70,6 +89,19 @@ def shaved(docs: DataFrame, query: str, threshold: float = 0.35, embed: Embed |
     return both.select("id.id", F.when(use, F.col("short")).otherwise(F.col("text")).alias("text"), kept.cast("long").alias("kept"), F.col("total").cast("long").alias("total"))
 
 
+def _shaved_in_rows(docs: DataFrame, threshold: float, sim: Callable[[Column], Column]) -> DataFrame:
+    """shaved() without a shuffle; sim: how near a chunk is."""
+    d = store.spread(docs.select("id", "text")).select("id", "text", T.words(F.col("text")).alias("_w"))
+    d = d.select("id", "text", T.chunks(F.col("text"), 200, 100, F.col("_w")).alias("_parts"))
+    d = d.select("id", "text", F.transform("_parts", lambda p, i: F.struct(sim(p).alias("sim"), i.alias("at"), p.alias("text"))).alias("_parts"))
+    total = F.nullif(F.size("_parts"), F.lit(0))
+    d = d.select("id", "text", F.filter("_parts", lambda p: p["sim"] >= threshold).alias("_near"), F.array_max("_parts")["text"].alias("_best"), F.when(F.col("_parts").isNotNull(), total).alias("total"))
+    d = d.withColumn("short", F.when(F.size("_near") > 0, F.array_join(F.col("_near.text"), "\n\n")).otherwise(F.col("_best")))
+    use = (F.col("total") > 1) & (F.octet_length("short") <= F.octet_length("text"))
+    kept = F.when(F.col("total") > 1, F.greatest(F.size("_near"), F.lit(1))).otherwise(F.col("total"))
+    return d.select("id", F.when(use, F.col("short")).otherwise(F.col("text")).alias("text"), kept.cast("long").alias("kept"), F.col("total").cast("long").alias("total"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs(id, text) under a key of both: rows of one id and different texts stay apart, equal rows have equal results."""
     return docs.select(F.struct("id", F.md5("text").alias("of")).alias("id"), "text")
