@@ -19,3 +19,14 @@ def test_likeness_is_the_cosine_of_embedded_vectors(spark):
     got = rows.select(R.likeness(F.col("text"), "spark table the the", spark=spark).alias("a"), F.round(Q.cosine(R.embedded(F.coalesce("text", F.lit(""))), R.embedded(F.lit("spark table the the"))), 6).alias("b")).collect()
     assert [r.a for r in got] == [r.b for r in got]
     assert got[0].a > 0
+
+
+def test_gate_takes_no_clash_of_hashes_for_likeness(spark):
+    hashed = F.pmod(F.xxhash64("w"), F.lit(R.DIMENSIONS))
+    words = spark.range(2000).select(F.concat(F.lit("word"), "id").alias("w")).union(spark.createDataFrame([("zzzq",)], "w string"))
+    at = {r.w: r.h for r in words.select("w", hashed.alias("h")).collect()}
+    clash = next(w for w, h in at.items() if h == at["zzzq"] and w != "zzzq")
+    page = spark.createDataFrame([("a", f"{clash} " * 250, 250, [])], "url string, clean_content string, word_count long, warnings array<string>")
+    got = R.gated(page, "zzzq").first()
+    assert got.word_count == 200
+    assert got.warnings == ["semantic_shave: kept 1/2 chunks (250 → 200 words)"]

@@ -111,13 +111,14 @@ def gated(fetched: DataFrame, query: str | None, threshold: float = 0.35, least_
     """fetched(url, clean_content, word_count, warnings, ...) shaved to the query, with a warning that tells what was done.
 
     Short pages stay as they are, as do all without a query; pages that were not found have no words and no warning.
+    Without a model whole hashes count: a clash of words is no likeness.
     """
     words = F.col("word_count")
     told = lambda w: F.array_union(F.coalesce("warnings", F.array().cast("array<string>")), F.array(w if isinstance(w, Column) else F.lit(w)))
     bypassed = told(f"semantic_shave: bypassed (word_count < {least_words})")
     if not (query or "").strip():
         return fetched.withColumn("warnings", F.when(words < least_words, bypassed).when(words >= least_words, told("semantic_shave_missing_query")).otherwise(F.col("warnings")))
-    cut = shaved(fetched.where(words >= least_words).select(F.col("url").alias("id"), F.col("clean_content").alias("text")).distinct(), query, threshold, embed)
+    cut = shaved(fetched.where(words >= least_words).select(F.col("url").alias("id"), F.col("clean_content").alias("text")).distinct(), query, threshold, embed, dimensions=None)
     both = fetched.join(cut.select(F.col("id").alias("_url"), F.col("text").alias("_text"), "kept", "total"), F.col("_url") == F.col("url"), "left")
     n = lambda c: c.cast("string")
     after = T.word_count(F.col("_text"))
