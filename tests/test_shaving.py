@@ -28,5 +28,5 @@ def test_gate_takes_no_clash_of_hashes_for_likeness(spark):
     clash = next(w for w, h in at.items() if h == at["zzzq"] and w != "zzzq")
     page = spark.createDataFrame([("a", f"{clash} " * 250, 250, [])], "url string, clean_content string, word_count long, warnings array<string>")
     got = R.gated(page, "zzzq").first()
-    assert got.word_count == 200
-    assert got.warnings == ["semantic_shave: kept 1/2 chunks (250 → 200 words)"]
+    assert got.word_count == 150
+    assert got.warnings == ["semantic_shave: kept 1/2 chunks (250 → 150 words)"]
