@@ -1,5 +1,6 @@
-"""References cut short."""
+"""References cut short, runs of like parts."""
 
+from webloom.sources import content as C
 from webloom.sources import dom
 
 
@@ -8,3 +9,12 @@ def test_references_without_semicolon_are_text():
     assert dom.title(root) == "a &&< b &amp"
     assert root.first("script").raw_text() == 'if (a && b) x("&amp");'
     assert (root.first("a").get("href"), root.first("a").text()) == ("/?a=1&copy=2", "c & d")
+
+
+def test_runs_of_like_parts_stay_where_asked():
+    html = "<article>" + "<p>we like it here very much indeed</p>" * 60 + "<p>no more</p></article>"
+    root = dom.parse(html)
+    whole, few = C.Index(root, runs=True), C.Index(root)
+    assert [dom.words(f(whole) or "") for f in (C.heuristic, C.fallback, C.text_only, C.book)] == [422] * 4
+    assert dom.words(C.heuristic(few)) == 2
+    assert C.main(root, "NewsArticle", runs=True)[1] == "readable"
