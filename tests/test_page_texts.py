@@ -18,3 +18,13 @@ def test_runs_of_like_parts_stay_where_asked():
     assert [dom.words(f(whole) or "") for f in (C.heuristic, C.fallback, C.text_only, C.book)] == [422] * 4
     assert dom.words(C.heuristic(few)) == 2
     assert C.main(root, "NewsArticle", runs=True)[1] == "readable"
+
+
+def test_pages_are_handed_on_in_slices():
+    import pyarrow as pa
+
+    from webloom.sources import pages as P
+
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(150))})
+    got = list(P._slices(iter([batch])))
+    assert [len(s) for s in got] == [64, 64, 22] and got[2][-1] == {"page_id": 149}
