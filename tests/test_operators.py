@@ -302,3 +302,16 @@ def test_frontier_equals_a_queue_and_goes_on(spark, tmp_path):
         if (tmp_path / f"4/wave={left}/_SUCCESS").exists():
             (tmp_path / f"4/wave={left}/_SUCCESS").unlink()
     assert [(r.node, r.depth) for r in C.Frontier(spark, f"{tmp_path}/4", 200, 9, 20).run(start, expand).orderBy("place").collect()] == queue_walk(links, "n0", 200, 9, 20)
+
+
+def test_proxy_lines_match_each_pattern_once(spark):
+    from webloom.sources import proxies
+
+    rows = spark.createDataFrame([(x,) for x in ("https://u:p@h.example:3128 # fast", "h.example:443", "https://h.example:443", "sock5://h:1080", "nothing", None, "x://h:1")], "value string")
+    got = proxies.lines(rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 8 and plan.count("regexp_replace(") <= 3, plan
+    want = [("https://u:p@h.example:3128", "https", "h.example", 3128), ("https://h.example:443", "https", "h.example", 443), ("https://h.example:443", "https", "h.example", 443), ("sock5://h:1080", "socks5", "h", 1080)]
+    assert sorted((r.url, r.scheme, r.host, r.port) for r in got.collect()) == sorted(want)
+    some = proxies.listed(rows, "https", 5)
+    assert [r.url for r in some.collect()] == ["https://h.example:443", "https://u:p@h.example:3128"]

@@ -17,15 +17,23 @@ def kind(name: Column) -> Column:
     return first_match([(n == k, v) for k, v in KINDS.items()], F.lit(None).cast("string"))
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once for each row, however often they are used further on.
+
+    Spark writes an expression anew wherever its column is used in a condition
+    or taken apart; the columns of a generator it does not.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def lines(rows: DataFrame, scheme: str = "auto") -> DataFrame:
     """rows(value), a line each, as url, scheme, host, port, priority, supported; comments, blank and unreadable lines go."""
-    v = F.trim(F.regexp_replace("value", "#.*$", ""))
-    own = F.lower(F.regexp_extract(v, "^([A-Za-z0-9]+)://", 1))
-    at = U.host_port(F.regexp_replace(F.regexp_replace(v, "^[A-Za-z0-9]+://", ""), "^[^@]*@", ""))
-    p = rows.select(v.alias("v"), own.alias("own"), at.alias("at")).where(F.col("at").isNotNull())
+    p = _once(rows.select("value"), v=F.trim(F.regexp_replace("value", "#.*$", "")))
+    bare = F.regexp_replace(F.regexp_replace("v", "^[A-Za-z0-9]+://", ""), "^[^@]*@", "")
+    p = _once(p, own=F.lower(F.regexp_extract("v", "^([A-Za-z0-9]+)://", 1)), bare=bare)
+    p = _once(p, at=U.host_port(F.col("bare"))).where(F.col("at").isNotNull())
     guessed = U.scheme_by_port(F.col("at.port")) if scheme == "auto" else F.lit(scheme)
-    s = F.when(F.col("own") != "", kind(F.col("own"))).otherwise(guessed)
-    p = p.withColumn("scheme", s).where(F.col("scheme").isNotNull())
+    p = _once(p, scheme=F.when(F.col("own") != "", kind(F.col("own"))).otherwise(guessed)).where(F.col("scheme").isNotNull())
     url = F.when(F.col("own") != "", F.col("v")).otherwise(F.concat("scheme", F.lit("://"), "v"))
     return p.select(url.alias("url"), "scheme", "at.host", "at.port", F.when(F.col("scheme") == "socks5", 3).when(F.col("scheme") == "socks4", 0).otherwise(4).alias("priority"), (F.col("scheme") != "socks4").alias("supported"))
 
