@@ -40,7 +40,9 @@ def lines(rows: DataFrame, scheme: str = "auto") -> DataFrame:
 
 def listed(rows: DataFrame, wanted: str | None = None, limit: int | None = None) -> DataFrame:
     """Different proxies of lines(), of one kind if it is named, by address."""
-    p = lines(rows).dropDuplicates(["url"])
+    p = lines(rows)
     if wanted:
+        # an address has one kind, so others need not be compared
         p = p.where(F.col("scheme") == wanted)
+    p = p.dropDuplicates(["url"])
     return p.orderBy("url").limit(limit) if limit else p
