@@ -30,3 +30,16 @@ def test_gate_takes_no_clash_of_hashes_for_likeness(spark):
     got = R.gated(page, "zzzq").first()
     assert got.word_count == 150
     assert got.warnings == ["semantic_shave: kept 1/2 chunks (250 → 150 words)"]
+
+
+def test_a_memory_entry_splits_its_summary_once(spark):
+    from webloom.operators import memory, relevance
+
+    rows = spark.createDataFrame([(1, "the cat and the dog"), (2, ""), (3, None)], "id long, text string")
+    counts = rows.select("id", relevance.embedded(F.col("text")).alias("v"))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(transform(" in plan  # bound to a variable before the dimensions are gone through
+    got = {r.id: r.v for r in counts.collect()}
+    assert sum(got[1]) == 5 and len(got[1]) == 64 and max(got[1]) >= 2 and set(got[2]) == {0.0}
+    long = spark.createDataFrame([("x" * 15_001,), ("x" * 15_000,), (None,)], "r string").select(memory._limited(F.col("r")).alias("r"))
+    assert [r.r and (len(r.r), "_truncated" in r.r) for r in long.collect()] == [(15_000 + len('{"content":"","_truncated":true}'), True), (15_000, False), None]

@@ -15,8 +15,9 @@ LARGEST = 15_000
 
 
 def _limited(result: Column) -> Column:
-    cut = F.to_json(F.struct(F.substring(result, 1, LARGEST).alias("content"), F.lit(True).alias("_truncated")))
-    return F.when(F.octet_length(result) > LARGEST, cut).otherwise(result)
+    cut = lambda r: F.to_json(F.struct(F.substring(r, 1, LARGEST).alias("content"), F.lit(True).alias("_truncated")))
+    # the result is made once, not for each use
+    return F.get(F.transform(F.array(result), lambda r: F.when(F.octet_length(r) > LARGEST, cut(r)).otherwise(r)), F.lit(0))
 
 
 def search_entries(rows: DataFrame, embed: Embed = embedded) -> DataFrame:

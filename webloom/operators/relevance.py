@@ -19,7 +19,9 @@ DIMENSIONS = 64
 def embedded(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """A vector of a text without a model: counts of its tokens by hash.  Stands in wherever a trained embedding is not given."""
     at = F.transform(T.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("float"))
+    counts = lambda hashes: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(hashes, lambda a: a == i)).cast("float"))
+    # the text is split once, not for each dimension
+    return F.get(F.transform(F.array(at), counts), F.lit(0))
 
 
 def chunked(docs: DataFrame, window: int = 200, stride: int = 100) -> DataFrame:
