@@ -315,3 +315,17 @@ def test_proxy_lines_match_each_pattern_once(spark):
     assert sorted((r.url, r.scheme, r.host, r.port) for r in got.collect()) == sorted(want)
     some = proxies.listed(rows, "https", 5)
     assert [r.url for r in some.collect()] == ["https://h.example:443", "https://u:p@h.example:3128"]
+
+
+def test_grounded_counts_read_each_text_once(spark, monkeypatch):
+    from webloom.operators import extract
+
+    values = spark.createDataFrame([(1, "Red red apple"), (2, "ab"), (3, "one two six ten"), (4, None), (5, "x-y z1"), (6, "apple pie")], "id long, value string")
+    docs = spark.createDataFrame([(1, "the REDDISH apples"), (2, None), (3, "one two"), (4, "onetwosix"), (5, "an x-y z1"), (6, "")], "doc_id long, text string")
+    got = extract.grounded_counts(values, docs)
+    want = sorted(map(tuple, got.collect()))
+    assert want == [(1, 1), (2, 6), (3, 1), (4, 0), (5, 6), (6, 0)]
+    monkeypatch.setattr(extract, "NEAR", -1)
+    joined = extract.grounded_counts(values, docs)
+    assert sorted(map(tuple, joined.collect())) == want
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString() and "MapInArrow" not in joined._jdf.queryExecution().executedPlan().toString()

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions import fields as X
 from ..functions import quality as Q
 from . import store
 
-#: Bytes of values with their words that a join may broadcast.
+#: Bytes of values with their words that every task may have.
 NEAR = 32 << 20
 
 
@@ -57,10 +63,49 @@ def auto(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "title", F.coalesce(F.nullif("meta_description", F.lit("")), F.substring(c, 1, 200)).alias("description"), X.emails(c).alias("emails"), X.prices(c).alias("prices"), X.page_date(c).alias("date"), X.main_topics(F.col("headings")).alias("contents"))
 
 
+def _met(values: DataFrame, docs: DataFrame) -> DataFrame:
+    """values(id, v, w) as id, some: how many texts hold the value, or 70 % of its words; each text is read once, by an automaton of all of them."""
+    known = values.collect()  # at most NEAR bytes
+    sent = values.sparkSession.sparkContext.broadcast([(r["v"], r["w"]) for r in known])
+    schema = StructType([StructField("nth", IntegerType()), StructField("n", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        places: dict[str, list[tuple[int, int]]] = {}
+        size = np.array([len(w) for _, w in sent.value])
+        for i, (v, w) in enumerate(sent.value):
+            for word, times in Counter(w).items():
+                places.setdefault(word, []).append((i, times))
+            places.setdefault(v, []).append((i, len(w)))  # the whole value counts as all of its words
+        automaton = ahocorasick.Automaton()
+        for nth, word in enumerate(places):
+            automaton.add_word(word, nth)
+        automaton.make_automaton()
+        whose = [np.array([i for i, _ in x]) for x in places.values()]
+        times = [np.array([t for _, t in x], np.float64) for x in places.values()]
+        for b in batches:
+            total = np.zeros(len(size), np.int64)
+            for text in b.column(0):
+                hits = list({nth for _, nth in automaton.iter(text.as_py())}) if text.is_valid else []
+                if hits:
+                    have = np.bincount(np.concatenate([whose[h] for h in hits]), np.concatenate([times[h] for h in hits]), len(size))
+                    total += have / size >= 0.70
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["nth", "n"])
+
+    if not known:
+        return values.select("id", F.lit(0).cast("long").alias("some"))
+    ids = values.sparkSession.createDataFrame([(i, r["id"]) for i, r in enumerate(known)], StructType([schema["nth"], values.schema["id"]]))
+    counts = store.spread(docs.select(F.lower("text").alias("text"))).mapInArrow(run, schema).groupBy("nth").agg(F.sum("n").alias("some"))
+    return counts.join(F.broadcast(ids), "nth").select("id", "some")
+
+
 def grounded_counts(values: DataFrame, docs: DataFrame) -> DataFrame:
     """values(id, value) as id, grounded: how many of docs(doc_id, text) each value stands in (quality.is_grounded).
 
-    A join by words instead of all pairs.  A word of a value stands in a text
+    Up to NEAR bytes of values are looked for in each text at once.  More of
+    them are joined by words instead of all pairs.  A word of a value stands in a text
     within one of the text's words, so the distinct words of all texts tell, by
     their parts of the lengths asked for, which value's words are where.  A
     value needs 70 % of its words: one at least of its rarest ones, that are
@@ -70,21 +115,25 @@ def grounded_counts(values: DataFrame, docs: DataFrame) -> DataFrame:
     v = values.select("id", F.lower(F.trim("value")).alias("v"))
     v = store.kept(v.withColumn("w", F.filter(F.split("v", split), lambda x: F.octet_length(x) >= 3)))
     size = v.agg(F.sum(3 * F.octet_length("v") + 24 * F.size("w") + 64)).first()[0] or 0
-    hint = F.broadcast if size <= NEAR else (lambda df: df)
     always = (F.octet_length("v") < 4) | (F.size("w") == 0)
-    each = v.where(~always).select("id", F.size("w").alias("n"), F.explode("w").alias("x")).groupBy("id", "n", "x").agg(F.count("*").alias("m"))
+    some = _met(v.where(~always), docs) if size <= NEAR else _joined(v.where(~always), docs, split)
+    every = docs.agg(F.count("*").alias("every"))  # one row
+    return v.select("id", always.alias("always")).join(some, "id", "left").join(F.broadcast(every)).select("id", F.when(F.col("always"), F.col("every")).otherwise(F.coalesce("some", F.lit(0))).alias("grounded"))
+
+
+def _joined(v: DataFrame, docs: DataFrame, split: str) -> DataFrame:
+    """_met by a join of words, for values of any size."""
+    each = v.select("id", F.size("w").alias("n"), F.explode("w").alias("x")).groupBy("id", "n", "x").agg(F.count("*").alias("m"))
     lengths = sorted(r["l"] for r in each.select(F.length("x").alias("l")).distinct().collect())  # of words: a few dozen at most
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), split))).alias("word")).where("word <> ''")
     parts = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substr(F.col("word"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     known = words.groupBy("word").agg(F.count("*").alias("n"))
     pieces = F.array_distinct(F.flatten(F.array(*map(parts, lengths)))) if lengths else F.array().cast("array<string>")
-    inside = store.kept(known.select("word", "n", F.explode(pieces).alias("x")).join(hint(each.select("x").distinct()), "x"))
+    inside = store.kept(known.select("word", "n", F.explode(pieces).alias("x")).join(each.select("x").distinct(), "x"))
     rarity = inside.groupBy("x").agg(F.sum("n").alias("r"))
     upto = F.sum("m").over(Window.partitionBy("id").orderBy("r", "x"))
     prefix = each.join(rarity, "x", "left").withColumn("r", F.coalesce("r", F.lit(0))).withColumn("before", upto - F.col("m")).where(F.col("before") <= 0.3 * F.col("n"))
-    wanted = inside.join(hint(prefix.select("id", "x")), "x").select("word", "id").distinct()
+    wanted = inside.join(prefix.select("id", "x"), "x").select("word", "id").distinct()
     pairs = words.join(wanted, "word").select(F.col("doc_id").alias("d"), "id").distinct()
-    met = pairs.join(docs.select("doc_id", F.lower("text").alias("text")), F.col("d").eqNullSafe(F.col("doc_id"))).join(hint(v.select("id", "v")), "id")
-    some = met.where(Q.is_grounded(F.col("v"), F.col("text"), lowered=True)).groupBy("id").agg(F.count("*").alias("some"))
-    every = docs.agg(F.count("*").alias("every"))  # one row
-    return v.select("id", always.alias("always")).join(some, "id", "left").join(F.broadcast(every)).select("id", F.when(F.col("always"), F.col("every")).otherwise(F.coalesce("some", F.lit(0))).alias("grounded"))
+    met = pairs.join(docs.select("doc_id", F.lower("text").alias("text")), F.col("d").eqNullSafe(F.col("doc_id"))).join(v.select("id", "v"), "id")
+    return met.where(Q.is_grounded(F.col("v"), F.col("text"), lowered=True)).groupBy("id").agg(F.count("*").alias("some"))
