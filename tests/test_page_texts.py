@@ -46,3 +46,17 @@ def test_title_decodes_what_its_sql_does(spark, tmp_path):
     spark.createDataFrame([(1, "https://example.com/1", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert [tuple(r) for r in catalogue.page_title_lang(spark, str(tmp_path)).collect()] == [(1, "token = &quot;7a8f&quot; &quot; &amp", "en")]
     assert dom.title(dom.parse(html)) == 'token = "7a8f" &quot; &amp'
+
+
+def test_short_repeated_texts_count_whole_where_asked():
+    page = lambda body: dom.parse(f"<body><div class=ad>Buy this thing now</div><article><h1>Ed, Ed,</h1>{body}</article></body>")
+    whole = lambda body: C.main(page(body), "NewsArticle", runs=True)
+    said = "Ed, " * 30 + "and"
+    assert whole(f"<p>{said}</p>") == (f"Ed, Ed, {said}", "readable")
+    assert C.main(page(f"<p>{said}</p>"), "NewsArticle")[1] == "whole"  # by default it is three words and gives way to the page
+    short = "<p>of the and of the and</p>" * 12
+    assert whole(short) == ("Ed, Ed, " + " ".join(["of the and of the and"] * 12), "heuristic")
+    assert C.main(page(short), "NewsArticle", runs=False)[1] != "heuristic"
+    assert whole("<p>Few words</p>") == ("Buy this thing now Ed, Ed, Few words", "whole")
+    bare = dom.parse("<body><div>" + " ".join(f"word{i}" for i in range(20)) + "</div><article></article></body>")
+    assert C.main(bare, "NewsArticle", runs=True)[1] == "whole" and C.main(bare, "NewsArticle")[1] == "fallback"
